@@ -30,6 +30,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as motion-JPEG, read back, and cut into shots."""
+    from leadlight.llm.media import media_columns
+
+    stored = media_columns(table(spark, sf_dir, "documents"))
+    shot = F.transform("clips", lambda c: F.concat_ws("-", c["first_frame"].cast("string"), (c["first_frame"] + c["frames"]).cast("string")))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("shots="), F.size("clips").cast("string"), F.lit(" frames="), F.array_join(shot, ",")).alias("feature"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document and whether they pass 1024."""
     from leadlight.llm.token_counts import count_tokens
@@ -46,7 +64,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_token_counts, op5_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op5_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
