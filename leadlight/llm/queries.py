@@ -84,8 +84,27 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    from leadlight.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat("places.label", "spans.label")).alias("labels"),
+        "score",
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
