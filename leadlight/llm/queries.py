@@ -103,8 +103,22 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learned from preference pairs."""
+    from leadlight.llm.quality import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a byte network."""
+    from leadlight.llm.langid import train_and_predict
+
+    return train_and_predict(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses)}
+    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses, op9_quality, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
