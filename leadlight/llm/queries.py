@@ -111,6 +111,13 @@ def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), in_fold("doc_id", 5, 1))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    from leadlight.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document, learned from preference pairs."""
     from leadlight.llm.quality import train_and_score
@@ -126,7 +133,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses, op7_brown_lm, op9_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses, op7_brown_lm, op8_neardup, op9_quality, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
