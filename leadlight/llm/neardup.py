@@ -1,7 +1,7 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 A text is a weighted set of hashes of five consecutive words. The weight is the number of times a shingle
-stands in the text times its inverse document frequency, rounded to a quarter octave; document frequencies of
+stands in the text times its inverse document frequency, rounded to a half octave; document frequencies of
 all texts are counted in a fixed number of hash buckets, so that rare shingles weigh about the same and
 passages that many documents share weigh little, at every size of the corpus.
 
@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from leadlight.llm.common import as_bytes, bounded, materialize
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
-#: Buckets of the document-frequency table, share added to a frequency; levels of weight from 2^LOWEST in quarter octaves; random draws kept.
-DF_BUCKETS, SMOOTH, LOWEST, LEVELS, DRAWS = 1 << 18, 0.01, -2, 96, 1 << 16
+#: Buckets of the document-frequency table, and the share added to a frequency.
+DF_BUCKETS, SMOOTH = 1 << 18, 0.0065
+#: The weight of one rare shingle, in the middle of its level; levels are half octaves from 2^LOWEST of it on.
+RARE, LOWEST, LEVELS = float(np.log1p(1 / (SMOOTH + 0.0022))), -3, 48
+#: Random draws kept; a sample of a shingle takes one of them by a hash.
+DRAWS = 1 << 16
 CACHE_WORDS = 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -36,7 +40,7 @@ _rng = np.random.default_rng(20_240_229)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 #: The three random numbers of consistent weighted sampling: r and c are Gamma(2, 1), b is uniform.
 _R, _C, _B = _rng.gamma(2, 1, DRAWS), _rng.gamma(2, 1, DRAWS), _rng.random(DRAWS)
-_LOG_WEIGHT = (LOWEST + np.arange(LEVELS) / 4) * np.log(2)
+_LOG_WEIGHT = np.log(RARE) + (LOWEST + np.arange(LEVELS) / 2) * np.log(2)
 WEIGHTS = np.exp(_LOG_WEIGHT)
 _STEP = np.floor(_LOG_WEIGHT[:, None] / _R + _B)
 #: ln(a) of every level and draw; the smallest over a text's shingles is the sample.
@@ -78,7 +82,7 @@ def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def levels(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The weight level of each shingle."""
     weight = counts * idf[(hashes % np.uint64(DF_BUCKETS)).astype(np.int64)]
-    return np.clip(np.rint(4 * (np.log2(weight) - LOWEST)), 0, LEVELS - 1).astype(np.int64)
+    return np.clip(np.rint(2 * (np.log2(weight / RARE) - LOWEST)), 0, LEVELS - 1).astype(np.int64)
 
 
 def signature(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
