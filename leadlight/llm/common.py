@@ -84,3 +84,18 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
             yield step(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(docs: DataFrame, text_column: str, decide: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows whose text ``decide`` keeps (it gets the texts of a batch), with all their columns as they are.
+
+    Columns travel under names of their own, so none can clash. One narrow stage without a shuffle.
+    """
+    at = docs.columns.index(text_column)
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, f"c{at}"):
+            yield batch.filter(pa.array(decide(batch.column(at)), pa.bool_()))
+
+    return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)

@@ -9,6 +9,7 @@ pairs, so a batch of windows needs look-ups and sums only.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadlight.llm.common import bounded, in_fold
+from leadlight.llm.common import bounded, in_fold, keep_rows
 
 #: Bytes of a window, size of a byte's vector, filter widths, filters of each width.
 WINDOW, VECTOR, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
@@ -159,39 +160,58 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
 
 @lru_cache(maxsize=2)
 def _loaded(pickled: bytes) -> Network:
-    import pickle
-
     return pickle.loads(pickled)
 
 
-def predict(docs: DataFrame, network: Network, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns (id, [kept columns,] lang_pred string, score double) of every row.
+def label(network: Network, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its mean probability over the text's windows, weighted by their bytes."""
+    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    asked = [i for i, t in enumerate(texts) if t and network.languages and LETTER.search(t)]
+    if asked:
+        cut = [windows(texts[i].encode()) for i in asked]
+        p = network.probabilities(np.concatenate([r for r, _ in cut])) * np.concatenate([s for _, s in cut])[:, None]
+        starts = np.cumsum([0] + [len(s) for _, s in cut[:-1]])
+        mean = np.add.reduceat(p, starts, axis=0) / np.array([s.sum() for _, s in cut])[:, None]
+        for i, row in zip(asked, mean, strict=True):
+            best = int(row.argmax())
+            lang[i], score[i] = network.languages[best], min(1.0, row[best])
+    return lang, score
+
+
+def predict(docs: DataFrame, network: Network, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Columns (id, lang_pred string, score double) of every row.
 
     score is the mean probability of the predicted language; ties go to the first language by name. A null text, one
-    without a letter, and any text if no language was learned get ``und`` with score 0. One narrow stage, no shuffle.
+    without a letter, and any text if no language was learned get ``und`` with score 0. Other columns are not read. One
+    narrow stage without a shuffle.
     """
-    import pickle
-
-    names, model = [id_column, *keep], pickle.dumps(network)
+    model = pickle.dumps(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = _loaded(model)
-        for batch in bounded(batches, "__text", 1 << 20):
-            texts = batch.column("__text").to_pylist()
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            asked = [i for i, t in enumerate(texts) if t and net.languages and LETTER.search(t)]
-            if asked:
-                cut = [windows(texts[i].encode()) for i in asked]
-                p = net.probabilities(np.concatenate([r for r, _ in cut])) * np.concatenate([s for _, s in cut])[:, None]
-                starts = np.cumsum([0] + [len(s) for _, s in cut[:-1]])
-                mean = np.add.reduceat(p, starts, axis=0) / np.array([s.sum() for _, s in cut])[:, None]
-                for i, row in zip(asked, mean, strict=True):
-                    best = int(row.argmax())
-                    lang[i], score[i] = net.languages[best], min(1.0, row[best])
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*names, F.col(text_column).alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+        for batch in bounded(batches, "text", 1 << 20):
+            lang, score = label(_loaded(model), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    return rows.withColumnRenamed("id", id_column)
+
+
+def accepted(docs: DataFrame, network: Network, least: float = 0.4, text_column: str = "text") -> DataFrame:
+    """The rows whose language is known with a probability of at least ``least``, with all their columns.
+
+    Without a learned language all rows with a letter stay.
+    """
+    model = pickle.dumps(network)
+
+    def decide(texts: pa.Array) -> list[bool]:
+        net, rows = _loaded(model), texts.to_pylist()
+        if not net.languages:
+            return [bool(t and LETTER.search(t)) for t in rows]
+        lang, score = label(net, rows)
+        return [name != UNKNOWN and s >= least for name, s in zip(lang, score.tolist(), strict=True)]
+
+    return keep_rows(docs, text_column, decide)
 
 
 def train_and_predict(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

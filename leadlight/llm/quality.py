@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlight.llm.common import as_bytes, bounded, in_fold
+from leadlight.llm.common import as_bytes, bounded, in_fold, keep_rows
 
 #: Score from which a document is predicted to be of quality.
 CUT = 0.7
@@ -119,20 +119,29 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return fit(x if len(x) else np.zeros((0, len(features(b"")))), y)
 
 
-def score(docs: DataFrame, ranking: Ranking, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns (id, [kept columns,] score double, predicted int) of every row; a null text is empty and scored as such.
+def score(docs: DataFrame, ranking: Ranking, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Columns (id, score double, predicted int) of every row; a null text is empty and scored as such.
 
-    Only the text counts. Repeated rows give equal scores. One narrow stage without a shuffle.
+    Only the text counts. Repeated rows give equal scores; other columns are not read. One narrow stage, no shuffle.
     """
-    names = [id_column, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "__data"):
-            s = ranking.score(np.array([features(x) for x in batch.column("__data").to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(s), pa.array((s >= CUT).astype(np.int32))], [*names, "score", "predicted"])
+        for batch in bounded(batches, "data"):
+            s = ranking.score(np.array([features(x) for x in batch.column(1).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["id", "score", "predicted"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("id"), as_bytes(text_column).alias("data")).mapInArrow(run, f"id {kind}, score double, predicted int")
+    return rows.withColumnRenamed("id", id_column)
+
+
+def accepted(docs: DataFrame, ranking: Ranking, text_column: str = "text") -> DataFrame:
+    """The rows with a score of at least CUT, with all their columns."""
+
+    def decide(texts: pa.Array) -> list[bool]:
+        return (ranking.score(np.array([features((t or "").encode()) for t in texts.to_pylist()])) >= CUT).tolist()
 
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(*names, as_bytes(text_column).alias("__data")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return keep_rows(docs, text_column, decide)
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -132,8 +132,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_predict(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses, op7_brown_lm, op8_neardup, op9_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses, op7_brown_lm, op8_neardup, op9_quality, op10_langid, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
