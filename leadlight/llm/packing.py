@@ -9,13 +9,14 @@ runs of ranks within a length; executors rank their pieces and look their places
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from leadlight.llm.common import bounded, materialize
 #: Pieces of one length that one window group ranks; more are split into further groups.
 RANK_GROUP = 500
 #: Distinct units of which a worker keeps the ids.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 700_000
+#: New units that the library gets as one string.
+JOINED = 1000
 
 
 class CapacityTree:
@@ -99,36 +102,57 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 class UnitEncoder:
     """Ids by the tokenizers library, with known units (a word and the space before it) looked up.
 
-    A text is cut at single spaces. Where white space meets white space, or a special string stands, the library takes
-    the whole text.
+    A text is cut at single spaces; new units, all but a text's first, go through the library joined into one string
+    with their spaces, and its ids are dealt out by the bytes of each token. Where white space meets white space, or a special string
+    stands, the library takes the whole text. For byte-level vocabularies whose pattern cuts before a single space.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.edge = regex.compile(r"^\p{White_Space}|\p{White_Space}$")
+        sizes = {i: len(t) for t, i in self.library.get_vocab(with_added_tokens=False).items()}  # a symbol for each byte
+        self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
         self.units: dict[str, bytes | None] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        # a unit that is empty or has white space at an edge says that its text is no plain one
+        plain = [u for u in new if u and not (u[0].isspace() or u[-1].isspace())]
+        self.units.update(dict.fromkeys(new))
+        if not plain:
+            return
+        joined = [" " + " ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) + 1 for u in plain])) + 1
+        data, start = ids.tobytes(), 0
+        for unit, end in zip(plain, (4 * ends).tolist(), strict=True):
+            self.units[unit] = data[start:end]
+            start = end
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        cut = []
-        for text in texts:
-            first, *rest = (text or "").split(" ")
-            cut.append([first, *[" " + u for u in rest]] if rest else [first])
-        new = list(set().union(*cut) - self.units.keys())
-        odd = {u for u in new if self.edge.search(u[1:] if u[:1] == " " else u) or u in ("", " ") or any(s in u for s in self.special)}
-        self.units.update(dict.fromkeys(odd))
-        new = [u for u in new if u not in odd]
-        self.units.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True))
-        get = self.units.__getitem__
-        out = []
+        if len(self.units) > CACHE_UNITS:  # frequent units come early: the first ones stay
+            self.units = dict(islice(self.units.items(), CACHE_UNITS * 2 // 3))
+        cut = [None if not t or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        firsts = [c[0] for c in cut if c]
+        for c in filter(None, cut):
+            del c[0]
+        self._learn(set().union(*filter(None, cut)).difference(self.units))
+        heads = iter([np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(firsts, add_special_tokens=False)])
+        get, out = self.units.__getitem__, []
         for text, units in zip(texts, cut, strict=True):
+            if units is None:
+                out.append(self._whole(text) if text else b"")
+                continue
+            head = next(heads)
             try:
-                out.append(b"".join(map(get, units)))
+                # white space at the end of the first unit would join with the space after it
+                out.append(head + b"".join(map(get, units)) if text[0] != " " and not (units and text[text.index(" ") - 1].isspace()) else self._whole(text))
             except TypeError:
-                out.append(np.array(self.library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(self._whole(text))
         return out
 
 
