@@ -23,7 +23,7 @@ DESCRIPTORS = {
     "Scaffold_SMILES": "case when p_partkey % 9 = 0 then '' else p_brand end",
     "Series": "p_type",
     "MolWt": "cast('120.0173' as double) + cast(p_partkey * 7919 % 4800 as double) / 10",
-    "LogP": "cast('-2.00313' as double) + cast(p_partkey * 104729 % 850 as double) / 100",
+    "LogP": "cast('-2.00317' as double) + cast(p_partkey * 104729 % 850 as double) / 100",
     "TPSA": "cast('0.02771' as double) + cast(p_partkey * 1299709 % 1700 as double) / 10",
     "HBD": "cast(p_partkey * 31 % 8 as int)",
     "HBA": "cast(p_partkey * 17 % 14 as int)",

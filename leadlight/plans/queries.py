@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
 from leadlight.functions.similarity import METRICS, on_bits, similarity, words
+from leadlight.kernel.stage import graphs, structures
 from leadlight.operators import analyze as A
 from leadlight.operators import cluster as C
+from leadlight.operators import features as X
 from leadlight.operators import picklists as P
 from leadlight.operators import search as S
+from leadlight.operators import validate as V
+from leadlight.sources.smiles import parse_lines
+from leadlight.sources.tables import flatten_routes, retro_targets
 from leadlight.plans.adapters import FP_SQL, N_BITS, WIDE_SQL, compounds, fingerprints
-from leadlight.plans.calculator import calculate
+from leadlight.plans.calculator import TOX, calculate, fill_missing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,7 +154,7 @@ def analyze_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rates(wide(spark, sf_dir), {c: col(c) for c in FLAGS}).withColumn("rate", F.round("rate", 9))
 
 
-@register("analyze_prevalence", over_wide("select alert, n from (" + " union all ".join(f"select 'Tox_{k}' as alert, count(*) filter (n_{k} > 0) as n from w" for k in __import__("leadlight.plans.calculator", fromlist=["TOX"]).TOX) + ") where n > 0 order by n desc, alert limit 25"))
+@register("analyze_prevalence", over_wide("select alert, n from (" + " union all ".join(f"select 'Tox_{k}' as alert, count(*) filter (n_{k} > 0) as n from w" for k in TOX) + ") where n > 0 order by n desc, alert limit 25"))
 def analyze_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.analyze(wide(spark, sf_dir), "toxicity")["prevalence"]
 
@@ -349,3 +354,136 @@ def series_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = wide(spark, sf_dir)
     size = lambda key, name: df.select("Compound_ID", key).join(df.groupBy(key).agg(F.count("*").alias(name)), key).select("Compound_ID", name)
     return C.series(df.select("Compound_ID", "CNS_MPO"), size("Scaffold_SMILES", "Scaffold_Size"), size("Series", "Series_Size"), "Compound_ID")
+
+
+# ---- features -------------------------------------------------------------------------------------
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row, fragments, counts): the words of part names as fragments, and a few hashed counts."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    counts = F.create_map(F.col("p_partkey") * 7, F.lit(2), F.col("p_partkey") * 7 + 4096, F.lit(1), F.col("p_partkey") % 97 + 100_000, F.lit(3))
+    return part.select(F.col("p_partkey").alias("row"), F.split("p_name", " ").alias("fragments"), counts.alias("counts"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+
+
+_WORDS = "u as (select distinct p_partkey as \"row\", unnest(string_split(p_name, ' ')) as fragment from part), v as (select fragment, count(*) as n from u group by 1), k as (select fragment, cast(row_number() over (order by fragment) - 1 as int) as \"column\" from v where n >= 2)"
+
+
+@register("feature_fragment_counts", f"with {_WORDS} select fragment, n from v")
+def feature_fragment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.fragment_counts(fragments(spark, sf_dir))
+
+
+@register("feature_vocabulary", f'with {_WORDS} select fragment, "column" from k')
+def feature_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.vocabulary(fragments(spark, sf_dir), least=2)
+
+
+@register("feature_unknown_fragments", f"with {_WORDS} select fragment, n from v where fragment not in (select fragment from k where \"column\" < 5)")
+def feature_unknown_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fragments(spark, sf_dir)
+    return X.unknown_fragments(rows, X.vocabulary(rows, least=2).where("column < 5"))
+
+
+_CELLS = f"""with {_WORDS}, h as (select p_partkey as "row", unnest([struct_pack(key := p_partkey * 7, n := 2), struct_pack(key := p_partkey * 7 + 4096, n := 1), struct_pack(key := p_partkey % 97 + 100000, n := 3)]) as c from part),
+c as (select "row", cast(c.key % 4096 as int) as col, cast(sum(c.n) as double) as v from h group by 1, 2
+  union all select p_partkey, 8192, cast(p_size as double) from part where p_size <> 0
+  union all select p_partkey, 8193, cast(cast(p_retailprice as float) as double) from part where p_retailprice <> 0
+  union all select "row", cast("column" + 8194 as int), 1.0 from u join k on k.fragment = u.fragment)"""
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fragments(spark, sf_dir)
+    known = X.vocabulary(rows, least=2)
+    laid = X.blocks({"FG": 2, "Frag": known.count()})
+    cells = X.hashed_cells(rows, "row", "counts", laid["FP_Morgan"]).unionByName(X.named_cells(rows, "row", {"size": "size", "price": "price"}, laid["FG"])).unionByName(X.presence_cells(rows, "row", known, laid["Frag"]))
+    return X.sparse_rows(rows, "row", cells)
+
+
+@register("feature_sparse_rows", _CELLS + ' select "row", count(*) as nnz, cast(sum(col) as bigint) as column_sum, round(sum(v), 3) as value_sum from c group by 1')
+def feature_sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = lambda c, zero: F.aggregate(c, zero, lambda s, x: s + x)
+    return _sparse(spark, sf_dir).select("row", F.size("indices").cast("long").alias("nnz"), total("indices", F.lit(0).cast("long")).alias("column_sum"), F.round(total("values", F.lit(0.0)), 3).alias("value_sum"))
+
+
+@register("feature_row_pointers", _CELLS + ', n as (select "row", count(*) as nnz from c group by 1) select "row", cast(sum(nnz) over (order by "row") - nnz as bigint) as start from n')
+def feature_row_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.row_pointers(_sparse(spark, sf_dir)).select("row", "start")
+
+
+@register("feature_graph_offsets", 'select p_partkey as "row", cast(sum(p_size) over (order by p_partkey) - p_size as bigint) as atom_start, cast(sum(2 * p_size) over (order by p_partkey) - 2 * p_size as bigint) as edge_start from part')
+def feature_graph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fragments(spark, sf_dir).select("row", F.col("size").alias("n_atoms"), (2 * F.col("size")).alias("n_edges"))
+    return X.graph_offsets(rows).select("row", "atom_start", "edge_start")
+
+
+@register("feature_dense_rows", over_wide("select \"row\", round(cast(cast(MolWt as float) as double), 4) as a, round(cast(cast(coalesce(QED, -1) as float) as double), 4) as b, cast(Dev_Score as int) as c from w"))
+def feature_dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = X.dense_rows(wide(spark, sf_dir), "row", "MolWt, QED, Dev_Score")
+    cell = lambda i: F.round(F.coalesce(F.element_at("features", i).cast("double"), F.lit(-1.0)), 4)
+    return out.select("row", cell(1).alias("a"), cell(2).alias("b"), cell(3).cast("int").alias("c"))
+
+
+# ---- validation, export, sources ------------------------------------------------------------------
+
+_TYPED = {"CNS_MPO": "float", "QED": "int", "RO5_Violations": "int", "PAINS": "bool", "SMILES": "float", "Dev_Class": "bool", "HBD": "bool"}
+
+
+@register(
+    "validate_coercion",
+    over_wide(" union all ".join(
+        f"select '{c}' as \"column\", '{t}' as type, count({c}) as n, round(coalesce(count(*) filter ({good}) / nullif(count({c}), 0), 1.0), 9) as ratio from w"
+        for (c, t), good in zip(_TYPED.items(), ("CNS_MPO is not null", "QED = round(QED)", "RO5_Violations is not null", "PAINS is not null", "try_cast(SMILES as double) is not null", "lower(Dev_Class) in ('true','t','1','yes','y','false','f','0','no','n')", "HBD in (0, 1)"), strict=True)
+    )),
+)
+def validate_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.coercion_ratios(wide(spark, sf_dir), _TYPED).withColumn("ratio", F.round("ratio", 9))
+
+
+@register("export_filled", over_wide('select Compound_ID, coalesce(QED, -1.0) as "QED", coalesce(pKa_Basic, -1.0) as "pKa_Basic", coalesce(Scaffold_SMILES, \'-1\') as "Scaffold_SMILES" from w'))
+def export_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_missing(wide(spark, sf_dir).select("Compound_ID", "QED", "pKa_Basic", "Scaffold_SMILES"), -1.0)
+
+
+@register("smiles_parse", """
+with t as (select p_partkey as line, case p_partkey % 6 when 0 then '' when 1 then '# ' || p_name when 2 then 'C1CC=C1' when 3 then 'M' || p_partkey || chr(9) || 'CC=O' when 4 then 'N#C, M' || p_partkey else 'CCO ethanol' end as value from part)
+select line as "row", case p % 6 when 2 then 'cmpd_' || line when 3 then b when 4 then b else 'CCO' end as "Compound_ID", case p % 6 when 2 then 'C1CC=C1' when 3 then 'CC=O' when 4 then 'N#C' else 'ethanol' end as "SMILES"
+from t join (select p_partkey as p, 'M' || p_partkey as b from part) on p = line where p % 6 not in (0, 1)""")
+def smiles_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every layout through the calculators' dialect; the last is read as (name, SMILES), having no mark."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, tab, name = F.col("p_partkey") % 6, F.lit("\t"), F.concat(F.lit("M"), F.col("p_partkey").cast("string"))
+    value = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("# "), "p_name")).when(k == 2, F.lit("C1CC=C1")).when(k == 3, F.concat(name, tab, F.lit("CC=O"))).when(k == 4, F.concat(F.lit("N#C, "), name)).otherwise(F.lit("CCO ethanol"))
+    return parse_lines(part.select(F.col("p_partkey").alias("line"), value.alias("value")))
+
+
+@register("retro_routes", "select p_partkey as row_index, p_name as target, p_partkey % 4 = 0 as is_solved, cast(p_size as int) as number_of_routes, cast(case when p_partkey % 5 = 0 then 0 else least(p_size, 2) end as int) as n_routes_exported from part where p_name not in ('nan', 'none', '')")
+def retro_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested route-search results flattened to one row for each target."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    targets = retro_targets(part.select(F.col("p_partkey").alias("row_index"), F.col("p_name").alias("SMILES")), "SMILES")
+    trees = F.transform(F.sequence(F.lit(1), F.greatest(F.col("p_size"), F.lit(1))), lambda i: F.concat(F.lit("{"), i.cast("string"), F.lit("}")))
+    results = part.select(F.col("p_partkey").alias("row_index"), F.col("p_name").alias("target"), (F.col("p_partkey") % 4 == 0).alias("is_solved"), F.col("p_size").alias("number_of_routes"), F.when(F.col("p_partkey") % 5 != 0, trees).alias("trees"))
+    return flatten_routes(results, targets, n_routes=2).select("row_index", "target", "is_solved", "number_of_routes", "n_routes_exported")
+
+
+#: A few public structures that the kernel queries run on, spread over the rows of ``part``.
+STRUCTURES = ("CC(=O)Oc1ccccc1C(=O)O", "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "CC(=O)Nc1ccc(O)cc1", "CC(C)Cc1ccc(cc1)C(C)C(=O)O", "CCO", "c1ccccc1[N+](=O)[O-]", "c1ccc2ccccc2c1", "not a structure")
+
+
+def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("row"), F.element_at(F.array(*[F.lit(s) for s in STRUCTURES]), (F.col("p_partkey") % len(STRUCTURES) + 1).cast("int")).alias("SMILES"))
+
+
+@register("kernel_structures")
+def kernel_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors, counts and rules from structures; LogP is null, as the kernel has none."""
+    out = calculate(structures(_structured(spark, sf_dir), drop_invalid=True))
+    return out.select("row", "Canonical_SMILES", "Scaffold_SMILES", "MolWt", "TPSA", "HBD", "HBA", "RotBonds", "Rings", "AromaticRings", "pKa_Type", "Tox_Risk", "Met_Total_Sites")
+
+
+@register("kernel_graphs")
+def kernel_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs with their places in the joined tensors; an invalid structure is empty."""
+    return X.graph_offsets(graphs(_structured(spark, sf_dir))).select("row", "n_atoms", "n_edges", "atom_start", "edge_start")
