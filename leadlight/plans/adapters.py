@@ -128,7 +128,7 @@ w1 as (select *,
   case when logs >= 0 then 'Highly Soluble' when logs >= -2 then 'Soluble' when logs >= -4 then 'Moderately Soluble' when logs >= -6 then 'Poorly Soluble' else 'Insoluble' end as "Sol_ESOL_Class",
   round(caco2, 3) as "Perm_Caco2_LogPapp", case when caco2 > -5.15 then 'High' else 'Low' end as "Perm_Caco2_Class",
   round(pampa, 3) as "Perm_PAMPA_LogPe", case when pampa > -5.0 then 'High' else 'Low' end as "Perm_PAMPA_Class",
-  case when TPSA <= 140 and LogP <= 5.5 then 'High' else 'Low' end as "Perm_GI_Absorption", round(-2.7::double + 0.71::double * LogP - 0.0061::double * MolWt, 3) as "Perm_Skin_LogKp",
+  case when TPSA <= 140 and LogP <= 5.5 then 'High' else 'Low' end as "Perm_GI_Absorption", round(-2.7::double + 0.71::double * LogP - 0.0061::double * MolWt, 3) + 0.0::double as "Perm_Skin_LogKp",
   case when pumped >= 3 then 'High' when pumped = 2 then 'Medium' else 'Low' end as "Perm_Pgp_Likelihood",
   round(bound, 1) as "PPB_Est_%", case when bound >= 95 then 'High' when bound >= 80 then 'Medium' else 'Low' end as "PPB_Class",
   round(vd, 2) as "Vd_Est_L_kg", case when vd < 0.7 then 'Low (plasma confined)' when vd < 2 then 'Medium' else 'High (tissue distributed)' end as "Vd_Class",
