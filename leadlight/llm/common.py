@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 STEP_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch on its way to Python; Spark's default of 64 MB fills small executors.
+ARROW_BYTES = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, read by Spark so that any store works."""
+    """A table of the input folder, read by Spark so that any store works.
+
+    The session's Arrow batches are held to ARROW_BYTES from then on.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
