@@ -110,13 +110,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_column: str, text_c
             yield pa.RecordBatch.from_arrays([pa.array([features(x).tolist() for x in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
 
     found = sorted((r["x"], r["label"]) for r in texts.select("data", "label").mapInArrow(run, "x array<double>, label int").collect())
-    return np.array([x for x, _ in found]).reshape(len(found), -1), np.array([y for _, y in found], int)
+    return np.array([x for x, _ in found]).reshape(len(found), len(features(b""))), np.array([y for _, y in found], int)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", limit: int = LABELLED) -> Ranking:
     """A ranking from labelled documents; ``limit`` bounds what comes to the driver."""
-    x, y = labelled_features(docs, labels, id_column, text_column, label_column, limit)
-    return fit(x if len(x) else np.zeros((0, len(features(b"")))), y)
+    return fit(*labelled_features(docs, labels, id_column, text_column, label_column, limit))
 
 
 def score(docs: DataFrame, ranking: Ranking, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
