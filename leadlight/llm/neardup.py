@@ -9,13 +9,16 @@ Each of BANDS x ROWS samples picks a shingle and a level with a probability in p
 texts agree in a sample with a probability equal to their weighted Jaccard similarity. Texts that agree in all
 samples of a band are candidates. Equal texts are one node from the start. Candidates of a band are not paired
 all with all: first each meets two hubs and its neighbours in two orders; then only nodes of a band that no
-verified link has joined yet meet each other, all of them, so no link between two classes is lost.
+verified link has joined yet meet, as far as their shared shingles allow the similarity at all, so no link between
+two classes is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +146,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], ["bucket", "n"])
+        _words.clear()  # a worker that waits for its next task keeps no words
 
     found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(DF_BUCKETS + 1)
@@ -169,6 +173,7 @@ def sketched(texts: DataFrame, idf: np.ndarray) -> DataFrame:
             ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(nodes, pa.binary()), pa.array(weights, pa.float64()), pa.ListArray.from_arrays(ends, flat)], ["id", "node", "weight", "bands"])
+        _words.clear()
 
     return texts.mapInArrow(run, f"id {kind}, node binary, weight double, bands array<long>")
 
@@ -200,10 +205,33 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
                     found.append((a, b, s))
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
+        _words.clear()
 
     return dealt.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, alone double): the weight of each node's shingles that no other of the nodes has.
+
+    texts: (node, data), one row for each node. Shingles are counted by partial sums, so a common one is no hot key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "data", 1 << 19):
+            nodes, hashes, weights = [], [], []
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, counts = shingles(word_list(data))
+                nodes.append(pa.array([node], pa.binary()).take(pa.array(np.zeros(len(h), np.int8))))
+                hashes.append(h.view(np.int64))
+                weights.append(WEIGHTS[levels(h, counts, idf)])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(nodes), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(weights))], ["node", "shingle", "weight"])
+        _words.clear()
+
+    rows = texts.mapInArrow(run, "node binary, shingle long, weight double")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    return single.groupBy("node").agg(F.sum("weight").alias("alone"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of undirected edges (a, b), the root being the least node of its component.
 
@@ -273,17 +301,37 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str =
         near = F.least("weight", "a_weight") >= (least - 1e-9) * F.greatest("weight", "a_weight")
         return met.where(F.col("a").isNotNull() & (F.col("root") != F.col("a_root")) & near).select("a", "b").distinct()
 
+    def rest_of(rows: DataFrame) -> DataFrame:
+        """The pairs of different roots in a band, each from its first common band only, as far as a link is possible.
+
+        Two nodes share no more weight than either has in shingles that some other node of the open bands has. A node
+        that can't reach the similarity by this bound with any weight in its band goes, a pair that can't meets nowhere.
+        """
+        rich = rows
+        for _ in range(2):  # nodes that can't be linked go, and what only they share with others is unshared then
+            alone = unshared(shown.join(rich.select("node").distinct(), "node", "left_semi"), idf)
+            known = rich.select("band", "node", "root", "weight").join(alone, "node", "left").withColumn("common", F.col("weight") - F.coalesce("alone", F.lit(0.0)))
+            known = known.withColumn("light", F.min("weight").over(W.partitionBy("band")))  # the lightest partner asks for the least
+            able = known.where(F.col("common") >= (least - 1e-9) / (1 + least) * (F.col("weight") + F.col("light")))
+            rich = materialize(able.drop("alone", "light"), "rest")
+        rich = rich.join(nodes.select("node", "bands"), "node")
+        sizes = rich.groupBy("band", "root").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+        a = rich.join(largest, "band").where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight"), F.col("common").alias("a_common"), F.col("bands").alias("a_bands"))
+        b = rich.join(largest, "band")
+        shared = F.least("common", "a_common")
+        reach = shared >= (least - 1e-9) * (F.col("weight") + F.col("a_weight") - shared)
+        place = F.array_position("bands", F.col("band"))
+        earlier = reduce(or_, [(place > i + 1) & (F.col("bands")[i] == F.col("a_bands")[i]) for i in range(BANDS - 1)])
+        return a.join(b, "band").where((F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))) & reach & ~earlier).select("a", F.col("node").alias("b"))
+
     roots, tested = None, None
     for turn in range(3):
         rows = materialize(_rooted(crowded, roots).withColumn("open", F.min("root").over(W.partitionBy("band")) != F.max("root").over(W.partitionBy("band"))).where("open"), "open")
         if turn < 2:
             pairs = pairs_of(rows, turn)
         else:  # what is left: all nodes of a band outside its largest class, with all nodes of other classes there
-            sizes = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-            few = rows.join(largest, "band").where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight"))
-            met = few.join(rows.join(largest, "band"), "band").where("(root = main or a < node) and root <> a_root and a <> node")
-            pairs = possible(met.select("a", F.col("node").alias("b"), "root", "weight", "a_root", "a_weight"))
+            pairs = rest_of(rows)
         # the smaller node first, so that a pair met from both sides is one
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
