@@ -53,6 +53,13 @@ def value_counts(df: DataFrame, column: str, by_value: bool = False) -> DataFram
     return out.orderBy("value") if by_value else out.orderBy(F.desc("n"), "value")
 
 
+def value_counts_of(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(column, value as text, n, pct) of several columns in one pass; otherwise as ``value_counts``."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
+    counts = df.select(F.explode(cells).alias("c")).groupBy("c.column", "c.value").agg(F.count("*").alias("n"))
+    return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(W.partitionBy("column")))
+
+
 def rates(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """(name, hits, n, rate) of each condition; null is no hit but stays in n. One aggregation."""
     aggs = [F.count_if(yes(c)).alias(f"c{i}") for i, c in enumerate(conditions.values())]

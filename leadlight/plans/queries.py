@@ -139,11 +139,7 @@ COUNTED = ("CNS_MPO_Class", "RO5_Violations", "Tox_Risk", "Met_Stability", "hERG
 
 @register("analyze_value_counts", over_wide(" union all ".join(f"select '{c}' as \"column\", cast({c} as varchar) as value, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as pct from w group by {c}" for c in COUNTED)))
 def analyze_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, out = wide(spark, sf_dir), None
-    for c in COUNTED:
-        part = A.value_counts(df, c).select(F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "n", F.round("pct", 6).alias("pct"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return A.value_counts_of(wide(spark, sf_dir), COUNTED).withColumn("pct", F.round("pct", 6))
 
 
 FLAGS = ("BBB_Likely", "RO5_Pass", "RO3_Pass", "Veber_Pass", "Egan_Pass", "PAINS", "BRENK", "CYP_MBI_Risk", "Dev_GSK_4_400_Pass")
