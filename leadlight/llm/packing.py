@@ -26,8 +26,8 @@ from leadlight.llm.common import bounded, materialize
 
 #: Pieces of one length that one window group ranks; more are split into further groups.
 RANK_GROUP = 500
-#: Distinct units of which a worker keeps the ids.
-CACHE_UNITS = 700_000
+#: Distinct units of which a worker keeps the ids, within a task and from task to task.
+CACHE_UNITS, KEPT_UNITS = 600_000, 200_000
 #: New units that the library gets as one string.
 JOINED = 1000
 
@@ -114,6 +114,12 @@ class UnitEncoder:
         sizes = {i: len(t) for t, i in self.library.get_vocab(with_added_tokens=False).items()}  # a symbol for each byte
         self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
         self.units: dict[str, bytes | None] = {}
+        self.marks = {m: self._whole(m) for m in ",.;:!?"}
+
+    def trim(self, most: int) -> None:
+        """Forget all but the first units; frequent ones come early."""
+        if len(self.units) > most:
+            self.units = dict(islice(self.units.items(), most))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -122,20 +128,24 @@ class UnitEncoder:
         # a unit that is empty or has white space at an edge says that its text is no plain one
         plain = [u for u in new if u and not (u[0].isspace() or u[-1].isspace())]
         self.units.update(dict.fromkeys(new))
-        if not plain:
-            return
-        joined = [" " + " ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) + 1 for u in plain])) + 1
-        data, start = ids.tobytes(), 0
-        for unit, end in zip(plain, (4 * ends).tolist(), strict=True):
-            self.units[unit] = data[start:end]
-            start = end
+        # a mark after a letter or digit is always a token of its own: the word before it is looked up, too
+        marked = [u for u in plain if u[-1] in self.marks and u[-2:-1].isalnum()]
+        learned = list({u for u in plain if not (u[-1] in self.marks and u[-2:-1].isalnum())}.union([u[:-1] for u in marked if self.units.get(u[:-1]) is None]))
+        if learned:
+            joined = [" " + " ".join(learned[i : i + JOINED]) for i in range(0, len(learned), JOINED)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) + 1 for u in learned])) + 1
+            data, start = ids.tobytes(), 0
+            for unit, end in zip(learned, (4 * ends).tolist(), strict=True):
+                self.units[unit] = data[start:end]
+                start = end
+        for unit in marked:
+            self.units[unit] = self.units[unit[:-1]] + self.marks[unit[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.units) > CACHE_UNITS:  # frequent units come early: the first ones stay
-            self.units = dict(islice(self.units.items(), CACHE_UNITS * 2 // 3))
+        if len(self.units) > CACHE_UNITS:
+            self.trim(CACHE_UNITS * 2 // 3)
         cut = [None if not t or any(s in t for s in self.special) else t.split(" ") for t in texts]
         firsts = [c[0] for c in cut if c]
         for c in filter(None, cut):
@@ -184,6 +194,7 @@ def encode_pieces(docs: DataFrame, vocab_path: str, capacity: int, end_id: int =
             arrays = [pa.array(c, k) for c, k in zip(rows, (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names[: 5 + with_ids])
+        unit_encoder(vocab_path).trim(KEPT_UNITS)  # what a worker holds until its next task
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
