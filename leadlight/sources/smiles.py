@@ -44,7 +44,7 @@ def parse_lines(lines: DataFrame, dialect: str = "calculator") -> DataFrame:
 
 def read_smiles(spark: SparkSession, path: str, dialect: str = "calculator") -> DataFrame:
     """A structure list from a text file; the line number comes from the file's order in one task (files are small)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "value"))
     return parse_lines(lines.select((F.col("line") + 1).cast("long").alias("line"), "value"), dialect)
 
 
