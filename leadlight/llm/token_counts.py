@@ -135,7 +135,7 @@ class TokenCounter:
         for _, p in pieces:
             first, *rest = p.split(" ")
             units.append([first, *[" " + u for u in rest]] if rest else [first])
-        new = set().union(*units) - self.units.keys()
+        new = set().union(*units).difference(self.units)
         irregular = {u for u in new if self.edge.search(u[1:] if u[:1] == " " else u) or u in (" ", "")}
         self.units.update(dict.fromkeys(irregular, -1 << 60))
         self._learn(new - irregular)
