@@ -65,15 +65,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of frames made by ``materialize`` that no later plan reads."""
-    for df in frames:
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/leadlight-" in file:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def as_bytes(column: str = "text") -> object:
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
@@ -84,16 +75,6 @@ def in_fold(doc_id: str, folds: int, fold: int) -> object:
     return F.coalesce((F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds) == fold, F.lit(False))
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size_of: str) -> DataFrame:
-    """``mapInArrow`` over bounded batches, one result batch for each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, size_of):
-            yield step(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def keep_rows(docs: DataFrame, text_column: str, decide: Callable[[pa.Array], list[bool]]) -> DataFrame:
     """The rows whose text ``decide`` keeps (it gets the texts of a batch), with all their columns as they are.
 
