@@ -27,16 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadlight.llm.common import as_bytes, bounded, materialize
+from leadlight.llm.common import as_bytes, bounded, materialize, release
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Buckets of the document-frequency table, and the share added to a frequency.
 DF_BUCKETS, SMOOTH = 1 << 18, 0.0065
 #: The weight of one rare shingle, in the middle of its level; levels are half octaves from 2^LOWEST of it on.
-RARE, LOWEST, LEVELS = float(np.log1p(1 / (SMOOTH + 0.0022))), -3, 48
+RARE, LOWEST, LEVELS = float(np.log1p(1 / (SMOOTH + 0.0022))), -3, 32
 #: Random draws kept; a sample of a shingle takes one of them by a hash.
 DRAWS = 1 << 16
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 _rng = np.random.default_rng(20_240_229)
@@ -45,10 +45,13 @@ _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64
 _R, _C, _B = _rng.gamma(2, 1, DRAWS), _rng.gamma(2, 1, DRAWS), _rng.random(DRAWS)
 _LOG_WEIGHT = np.log(RARE) + (LOWEST + np.arange(LEVELS) / 2) * np.log(2)
 WEIGHTS = np.exp(_LOG_WEIGHT)
-_STEP = np.floor(_LOG_WEIGHT[:, None] / _R + _B)
-#: ln(a) of every level and draw; the smallest over a text's shingles is the sample.
-_LOG_A = (np.log(_C) - _R * (_STEP - _B) - _R).astype(np.float32).ravel()
-_STEP = _STEP.astype(np.int64).ravel()
+#: ln(a) of every level and draw, and its step; the smallest ln(a) over a text's shingles is the sample.
+_LOG_A, _STEP = np.empty(LEVELS * DRAWS, np.float32), np.empty(LEVELS * DRAWS, np.int32)
+for _level in range(LEVELS):
+    _place = slice(_level * DRAWS, (_level + 1) * DRAWS)
+    _step = np.floor(_LOG_WEIGHT[_level] / _R + _B)
+    _STEP[_place] = np.clip(_step, -(1 << 31) + 1, (1 << 31) - 1)
+    _LOG_A[_place] = np.log(_C) - _R * (_step - _B) - _R
 _words: dict[bytes, int] = {}
 
 
@@ -63,6 +66,12 @@ def word_list(data: bytes) -> list[bytes]:
     return data.translate(LOWER).split()
 
 
+def forget() -> None:
+    """What a task does at its end: a worker that waits for the next one keeps no words."""
+    _words.clear()
+    release()
+
+
 def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes, ascending, and how often each stands; fewer than SHINGLE words are one shingle."""
     global _words
@@ -101,7 +110,7 @@ def signature(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
         better = value[rows, least] < best
         best[better] = value[rows, least][better]
         pick[better], place[better] = least[better] + start, at[rows, least][better]
-    return mix(hashes[pick] + mix(_STEP[place].astype(np.uint64)))
+    return mix(hashes[pick] + mix(_STEP[place].astype(np.int64).view(np.uint64)))
 
 
 def bands(sample: np.ndarray) -> np.ndarray:
@@ -146,7 +155,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], ["bucket", "n"])
-        _words.clear()  # a worker that waits for its next task keeps no words
+        forget()
 
     found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(DF_BUCKETS + 1)
@@ -173,7 +182,7 @@ def sketched(texts: DataFrame, idf: np.ndarray) -> DataFrame:
             ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(nodes, pa.binary()), pa.array(weights, pa.float64()), pa.ListArray.from_arrays(ends, flat)], ["id", "node", "weight", "bands"])
-        _words.clear()
+        forget()
 
     return texts.mapInArrow(run, f"id {kind}, node binary, weight double, bands array<long>")
 
@@ -205,7 +214,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
                     found.append((a, b, s))
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
-        _words.clear()
+        forget()
 
     return dealt.mapInArrow(run, "a binary, b binary, similarity double")
 
@@ -225,7 +234,7 @@ def unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
                 hashes.append(h.view(np.int64))
                 weights.append(WEIGHTS[levels(h, counts, idf)])
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(nodes), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(weights))], ["node", "shingle", "weight"])
-        _words.clear()
+        forget()
 
     rows = texts.mapInArrow(run, "node binary, shingle long, weight double")
     single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")

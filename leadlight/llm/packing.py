@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leadlight.llm.common import bounded, materialize
+from leadlight.llm.common import bounded, materialize, release
 
 #: Pieces of one length that one window group ranks; more are split into further groups.
 RANK_GROUP = 500
@@ -195,6 +195,7 @@ def encode_pieces(docs: DataFrame, vocab_path: str, capacity: int, end_id: int =
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names[: 5 + with_ids])
         unit_encoder(vocab_path).trim(KEPT_UNITS)  # what a worker holds until its next task
+        release()
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
