@@ -1,4 +1,4 @@
-"""Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
+"""Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, plain min-hashes, banded, verified.
 
 A text is a weighted set of hashes of five consecutive words. The weight is the number of times a shingle
 stands in the text times its inverse document frequency, rounded to a half octave; document frequencies of
@@ -7,7 +7,11 @@ passages that many documents share weigh little, at every size of the corpus.
 
 Each of BANDS x ROWS samples picks a shingle and a level with a probability in proportion to its weight; two
 texts agree in a sample with a probability equal to their weighted Jaccard similarity. Texts that agree in all
-samples of a band are candidates. Equal texts are one node from the start. Candidates of a band are not paired
+samples of a band are candidates. A group's own size makes the shingles that it shares common and so light; for a
+pair that is alike on plain shingles not to be lost by that, as many bands of unweighted min-hashes give candidates, too,
+and a pair is linked by its weighted or by its plain Jaccard similarity.
+
+Equal texts are one node from the start. Candidates of a band are not paired
 all with all: first each meets two hubs and its neighbours in two orders; then only nodes of a band that no
 verified link has joined yet meet, as far as their shared shingles allow the similarity at all, so no link between
 two classes is lost.
@@ -99,34 +103,42 @@ def levels(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 def signature(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
     """A hash of the sampled (shingle, step) for each sample; the first of equal ln(a) by shingle hash is taken."""
+    return samples(hashes, level)[0]
+
+
+def samples(hashes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted signature, and the plain one: the least product of a shingle with each factor."""
+    lowest = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
     best = np.full(len(_FACTORS), np.inf, np.float32)
     pick, place = np.zeros(len(_FACTORS), np.int64), np.zeros(len(_FACTORS), np.int64)
     for start in range(0, len(hashes), 2048):
         part = slice(start, start + 2048)
-        at = ((_FACTORS[:, None] * hashes[part]) >> np.uint64(48)).astype(np.int64) + level[part] * DRAWS
+        product = _FACTORS[:, None] * hashes[part]
+        np.minimum(lowest, product.min(1), out=lowest)
+        at = (product >> np.uint64(48)).astype(np.int64) + level[part] * DRAWS
         value = _LOG_A[at]
         least = value.argmin(1)
         rows = np.arange(len(_FACTORS))
         better = value[rows, least] < best
         best[better] = value[rows, least][better]
         pick[better], place[better] = least[better] + start, at[rows, least][better]
-    return mix(hashes[pick] + mix(_STEP[place].astype(np.int64).view(np.uint64)))
+    return mix(hashes[pick] + mix(_STEP[place].astype(np.int64).view(np.uint64))), lowest
 
 
-def bands(sample: np.ndarray) -> np.ndarray:
-    """One signed 64-bit hash for each band."""
-    total = np.arange(1, BANDS + 1, dtype=np.uint64)
+def bands(sample: np.ndarray, first: int = 1) -> np.ndarray:
+    """One signed 64-bit hash for each band; bands are numbered from ``first`` on."""
+    total = np.arange(first, first + BANDS, dtype=np.uint64)
     for row in sample.reshape(BANDS, ROWS).T:
         total = mix(total * np.uint64(0x9E3779B97F4A7C15) + row)
     return total.view(np.int64)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (hashes, levels)."""
+    """Weighted or plain Jaccard similarity of two (hashes, levels), whichever is more."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     wa, wb = WEIGHTS[a[1]], WEIGHTS[b[1]]
     low, high = np.minimum(wa[i], wb[j]).sum(), np.maximum(wa[i], wb[j]).sum()
-    return float(low / (wa.sum() + wb.sum() - wa[i].sum() - wb[j].sum() + high))
+    return max(float(low / (wa.sum() + wb.sum() - wa[i].sum() - wb[j].sum() + high)), len(i) / (len(wa) + len(wb) - len(i)))
 
 
 # ---- Spark ----------------------------------------------------------------------------------------
@@ -164,12 +176,15 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def sketched(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, node binary, weight double, bands array<long>) of every text that has words; node is a hash of its words."""
+    """(id, node binary, weight double, size long, bands array<long>) of every text that has words.
+
+    node is a hash of its words, size the number of its distinct shingles.
+    """
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "data"):
-            ids, nodes, weights, keys = [], [], [], []
+            ids, nodes, weights, sizes, keys = [], [], [], [], []
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = word_list(data)
                 if words:
@@ -178,17 +193,19 @@ def sketched(texts: DataFrame, idf: np.ndarray) -> DataFrame:
                     ids.append(doc)
                     nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
                     weights.append(float(WEIGHTS[level].sum()))
-                    keys.append(bands(signature(hashes, level)))
-            ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS)
+                    sizes.append(len(hashes))
+                    weighted, plain = samples(hashes, level)
+                    keys += [bands(weighted), bands(plain, 1 + BANDS)]
+            ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (2 * BANDS))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(nodes, pa.binary()), pa.array(weights, pa.float64()), pa.ListArray.from_arrays(ends, flat)], ["id", "node", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(nodes, pa.binary()), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "node", "weight", "size", "bands"])
         forget()
 
-    return texts.mapInArrow(run, f"id {kind}, node binary, weight double, bands array<long>")
+    return texts.mapInArrow(run, f"id {kind}, node binary, weight double, size long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least ``least``, with it.
+    """The pairs (a, b) whose weighted or plain Jaccard similarity is at least ``least``, with it.
 
     texts: (node, data). A hub's text comes once, first among the rows of its partners.
     """
@@ -220,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
 
 
 def unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, alone double): the weight of each node's shingles that no other of the nodes has.
+    """(node, alone double, alone_size long): weight and number of each node's shingles that no other of the nodes has.
 
     texts: (node, data), one row for each node. Shingles are counted by partial sums, so a common one is no hot key.
     """
@@ -238,7 +255,7 @@ def unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     rows = texts.mapInArrow(run, "node binary, shingle long, weight double")
     single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
-    return single.groupBy("node").agg(F.sum("weight").alias("alone"))
+    return single.groupBy("node").agg(F.sum("weight").alias("alone"), F.count("*").alias("alone_size"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -281,18 +298,18 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns (id, class_id, class_size long) of every row: the class's smallest id and its number of rows.
 
-    Two rows are in one class if a chain of links joins them: equal words, or a verified similarity of at least
-    ``least``. Words are what stands between ASCII white space, A-Z lower case. A text that is null, empty or without
+    Two rows are in one class if a chain of links joins them: equal words, or a verified similarity, weighted or
+    plain, of at least ``least``. Words are what stands between ASCII white space, A-Z lower case. A text that is null, empty or without
     words is alone. Repeated rows are copies of each other; rows without an id have a class, too, but are not its
     smallest id. Other columns are not read.
     """
     texts = docs.select(F.col(id_column).alias("id"), as_bytes(text_column).alias("data"))
     idf = document_frequencies(texts.select("data"))
     sketches = materialize(sketched(texts, idf), "sketches")
-    nodes = sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    nodes = sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("size").alias("size"), F.first("bands").alias("bands"))
 
     # bands that at least two nodes share
-    crowded = nodes.select("node", "id", "weight", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1").drop("n")
+    crowded = nodes.select("node", "id", "weight", "size", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1").drop("n")
     crowded = materialize(crowded, "bands")
     wanted = crowded.select("id", "node").distinct()
     shown = materialize(texts.join(wanted, "id").select("node", "data").dropDuplicates(["node"]), "texts")
@@ -301,37 +318,41 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str =
         """Each node of a band with the band's first node in an order, and with the one before it."""
         key = F.xxhash64(F.lit(turn), "node") if turn else F.lit(0)
         order = W.partitionBy("band").orderBy(key, "node")
-        ranked = rows.select("node", "root", "weight", F.struct(F.first("node").over(order).alias("node"), F.first("root").over(order).alias("root"), F.first("weight").over(order).alias("weight")).alias("hub"), F.lag(F.struct("node", "root", "weight")).over(order).alias("last"))
-        met = ranked.select(F.col("node").alias("b"), "root", "weight", F.explode(F.array("hub", "last")).alias("x")).select("b", "root", "weight", F.col("x.node").alias("a"), F.col("x.root").alias("a_root"), F.col("x.weight").alias("a_weight"))
+        own = ("node", "root", "weight", "size")
+        ranked = rows.select(*own, F.struct(*[F.first(c).over(order).alias(c) for c in own]).alias("hub"), F.lag(F.struct(*own)).over(order).alias("last"))
+        met = ranked.select(F.col("node").alias("b"), "root", "weight", "size", F.explode(F.array("hub", "last")).alias("x")).select("b", "root", "weight", "size", F.col("x.node").alias("a"), *[F.col(f"x.{c}").alias(f"a_{c}") for c in own[1:]])
         return possible(met)
 
     def possible(met: DataFrame) -> DataFrame:
-        """Distinct pairs of different roots whose total weights allow the similarity."""
-        near = F.least("weight", "a_weight") >= (least - 1e-9) * F.greatest("weight", "a_weight")
+        """Distinct pairs of different roots whose total weights or sizes allow the similarity."""
+        near = reduce(or_, [F.least(c, f"a_{c}") >= (least - 1e-9) * F.greatest(c, f"a_{c}") for c in ("weight", "size")])
         return met.where(F.col("a").isNotNull() & (F.col("root") != F.col("a_root")) & near).select("a", "b").distinct()
 
     def rest_of(rows: DataFrame) -> DataFrame:
         """The pairs of different roots in a band, each from its first common band only, as far as a link is possible.
 
-        Two nodes share no more weight than either has in shingles that some other node of the open bands has. A node
-        that can't reach the similarity by this bound with any weight in its band goes, a pair that can't meets nowhere.
+        Two nodes share no more weight, and no more shingles, than either has in shingles that some other node of the
+        open bands has. A node that can't reach the similarity by either bound with any partner in its band goes, a pair
+        that can't meets nowhere.
         """
+        measures = {"weight": ("alone", "common", "lightest"), "size": ("alone_size", "common_size", "smallest")}
         rich = rows
         for _ in range(2):  # nodes that can't be linked go, and what only they share with others is unshared then
             alone = unshared(shown.join(rich.select("node").distinct(), "node", "left_semi"), idf)
-            known = rich.select("band", "node", "root", "weight").join(alone, "node", "left").withColumn("common", F.col("weight") - F.coalesce("alone", F.lit(0.0)))
-            known = known.withColumn("light", F.min("weight").over(W.partitionBy("band")))  # the lightest partner asks for the least
-            able = known.where(F.col("common") >= (least - 1e-9) / (1 + least) * (F.col("weight") + F.col("light")))
-            rich = materialize(able.drop("alone", "light"), "rest")
+            known = rich.select("band", "node", "root", *measures).join(alone, "node", "left")
+            for total, (lone, common, lowest) in measures.items():
+                # the lightest partner asks for the least, and any for its similarity's share of the node itself
+                known = known.withColumn(common, F.col(total) - F.coalesce(lone, F.lit(0))).withColumn(lowest, F.min(total).over(W.partitionBy("band")))
+            able = known.where(reduce(or_, [F.col(common) >= (least - 1e-9) * F.greatest(F.col(total), (F.col(total) + F.col(lowest)) / (1 + least)) for total, (_, common, lowest) in measures.items()]))
+            rich = materialize(able.drop("alone", "alone_size", "lightest", "smallest"), "rest")
         rich = rich.join(nodes.select("node", "bands"), "node")
         sizes = rich.groupBy("band", "root").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        a = rich.join(largest, "band").where("root <> main").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("weight").alias("a_weight"), F.col("common").alias("a_common"), F.col("bands").alias("a_bands"))
+        a = rich.join(largest, "band").where("root <> main").select("band", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("root", "weight", "common", "size", "common_size", "bands")])
         b = rich.join(largest, "band")
-        shared = F.least("common", "a_common")
-        reach = shared >= (least - 1e-9) * (F.col("weight") + F.col("a_weight") - shared)
+        reach = reduce(or_, [F.least(common, f"a_{common}") >= (least - 1e-9) * (F.col(total) + F.col(f"a_{total}") - F.least(common, f"a_{common}")) for total, (_, common, _) in measures.items()])
         place = F.array_position("bands", F.col("band"))
-        earlier = reduce(or_, [(place > i + 1) & (F.col("bands")[i] == F.col("a_bands")[i]) for i in range(BANDS - 1)])
+        earlier = reduce(or_, [(place > i + 1) & (F.col("bands")[i] == F.col("a_bands")[i]) for i in range(2 * BANDS - 1)])
         return a.join(b, "band").where((F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))) & reach & ~earlier).select("a", F.col("node").alias("b"))
 
     roots, tested = None, None

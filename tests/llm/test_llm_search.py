@@ -143,3 +143,34 @@ def test_sampling_estimates_similarity():
     true = neardup.similarity((x, level(x)), (y, level(y)))
     agree = (neardup.signature(x, level(x)) == neardup.signature(y, level(y))).mean()
     assert abs(agree - true) < 0.15
+
+
+@pytest.mark.parametrize(("rows", "share", "edited"), [(360, 3, 3), (300, 10, 5)])
+def test_large_group_against_plain_jaccard(spark, rows, share, edited):
+    rng = random.Random(rows)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(300)]
+    texts = []
+    for k in range(rows):
+        own = list(base) if k < rows // share else [word() for _ in range(300)]
+        if k < rows // share:
+            for at in rng.sample(range(300), edited):
+                own[at] = word()
+        texts.append(own)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(rows))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(rows):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: find(i) for i in range(rows)}
