@@ -3,7 +3,8 @@
 A text becomes its words (lower-case A-Z, digits, anything above ASCII) joined by single spaces. Exact
 phrases are found there at word borders. A fuzzy notice with at most k edits must hold one of the k + 1
 pieces of its text unchanged; these seeds are searched exactly, and only around them the regex library
-matches the whole notice with at most k edits. Best matches are reported with their spans and edits.
+matches the whole notice with at most k edits. Matches with fewer edits are taken first, then those with more
+in what is left between them, so that neighbouring notices do not hide each other.
 """
 
 from __future__ import annotations
@@ -52,14 +53,15 @@ def normal(data: bytes) -> bytes:
 
 
 class Notice:
-    """One notice: its seeds with their places in it and the pattern that verifies it."""
+    """One notice: its seeds with their places in it and the patterns that verify it, by edits."""
 
     def __init__(self, text: str, label: str) -> None:
         self.label, self.size = label, len(text)
         self.edits = len(text) // EDIT_EVERY
         cuts = [len(text) * i // (self.edits + 1) for i in range(self.edits + 2)]
         self.seeds = [(text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(text.encode(), literal_spaces=True), self.edits))
+        literal = regex.escape(text.encode(), literal_spaces=True)
+        self.patterns = [regex.compile(rb"(?:%s){e<=%d}" % (literal, e) if e else literal) for e in range(self.edits + 1)]
 
     def spans(self, words: bytes) -> list[tuple[int, int, int]]:
         """(start, end, edits) of the matches, not overlapping."""
@@ -69,17 +71,25 @@ class Notice:
             while at >= 0:
                 around.append((max(0, at - place - self.edits), at - place + self.size + self.edits))
                 at = words.find(seed, at + 1)
-        found: list[tuple[int, int, int]] = []
         around.sort()
+        parts: list[tuple[int, int]] = []
         k = 0
         while k < len(around):
             start, end = around[k]
             while k < len(around) and around[k][0] <= end:
                 end, k = max(end, around[k][1]), k + 1
-            for m in self.pattern.finditer(words, start, min(end, len(words))):
-                if m.end() > m.start():
+            parts.append((start, min(end, len(words))))
+        found: list[tuple[int, int, int]] = []
+        for pattern in self.patterns:
+            left = []
+            for start, end in parts:
+                for m in pattern.finditer(words, start, end):
                     found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-        return found
+                    left.append((start, m.start()))
+                    start = m.end()
+                left.append((start, end))
+            parts = [(start, end) for start, end in left if end - start >= self.size - self.edits]
+        return sorted(found)
 
 
 @lru_cache(maxsize=8)

@@ -70,6 +70,33 @@ def test_fuzzy_notices_are_found_within_their_edits():
     assert licenses.Notice("mit license", "mit").spans(b"a text without any notice at all") == []
 
 
+def test_neighbouring_notices_against_brute_force():
+    mit = licenses.Notice("mit license", "mit")
+    assert [x[:2] for x in mit.spans(b"mit licence mit license")] == [(0, 11), (12, 23)]
+    assert len(mit.spans(b"the mit licence or the mit license or mit licens x")) == 3
+    rng = random.Random(7)
+    for text in ("mit license", "apache license", "licensed under cc by", "gnu general public license"):
+        notice = licenses.Notice(text, "x")
+        for _ in range(15):
+            parts = []
+            for _ in range(rng.randint(2, 6)):
+                damaged = list(text)
+                for _ in range(rng.randint(0, notice.edits + 1)):
+                    at = rng.randrange(len(damaged))
+                    rng.choice([lambda at=at: damaged.__setitem__(at, "q"), lambda at=at: damaged.pop(at), lambda at=at: damaged.insert(at, "q")])()
+                parts.append("".join(damaged))
+            words = rng.choice([" ", " or ", ""]).join(parts)
+            spans = notice.spans(words.encode())
+            assert all(edits(text, words[a:b]) == e <= notice.edits for a, b, e in spans)
+            borders = [0, *[x for a, b, _ in spans for x in (a, b)], len(words)]
+            assert borders == sorted(borders)
+            # nothing that matches is left before, between or behind the spans
+            for lo, hi in zip(borders[::2], borders[1::2], strict=True):
+                for a in range(lo, hi):
+                    for b in range(a + notice.size - notice.edits, min(hi, a + notice.size + notice.edits) + 1):
+                        assert edits(text, words[a:b]) > notice.edits, (words, spans, a, b)
+
+
 def brute(rows, least=0.8):
     """Classes by plain weighted Jaccard of all pairs, with the operator's own weights."""
     tot, sets = np.zeros(neardup.DF_BUCKETS), {}
