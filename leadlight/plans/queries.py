@@ -275,6 +275,12 @@ def similarity_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pairwise(library, N_BITS).withColumn("similarity", F.round("similarity", 9))
 
 
+@register("similarity_matrix")
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of the whole table; held against a plain re-computation in the tests."""
+    return S.pairwise(fingerprints(spark, sf_dir), N_BITS).withColumn("similarity", F.round("similarity", 9))
+
+
 @register("similarity_threshold_join", over_fp(f'select a."row" as a_row, b."row" as b_row, round({_FORMULAS["tanimoto"]}, 9) as similarity from fp a join fp b on a."row" < b."row" where {_FORMULAS["tanimoto"]} >= 0.5'))
 def similarity_threshold_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.similar_pairs(fingerprints(spark, sf_dir), N_BITS, 0.5).withColumn("similarity", F.round("similarity", 9))
