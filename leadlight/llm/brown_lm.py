@@ -2,9 +2,11 @@
 
 Every word has one class; P(text) is the product of class transitions and word emissions, smoothed, from
 the start of a text to its end token. Classes come from exchange clustering: an item moves to the class
-that raises the likelihood of the class bigrams most, until none moves. Items are the frequent words (a
-share of 1/HEADS of all training tokens, so at most HEADS of them) and, for the words below, BUCKETS groups by
-word ending; so every training token takes part, and the driver's tables have a fixed bound.
+that raises the likelihood of the class bigrams most. It starts on the driver with a table of fixed bound, of the
+frequent words (a share of 1/HEADS of all training tokens, so at most HEADS of them) and BUCKETS groups by word ending
+of the rest, until none moves or for PASSES passes. Then every word that stands LEAST times or more is an item of its own:
+its counts beside each class are summed in Spark, and all of them are exchanged at once against the class bigrams, for
+TURNS turns or until the likelihood no longer rises. Rarer words keep the class of their group.
 
 Counts of single words know no bound, so they never come to the driver or to every task. Texts are packed
 into chunks; a chunk's distinct words with their counts are shuffled by word, summed over all chunks, and
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from leadlight.llm.common import as_bytes, bounded, materialize
 
 HEADS, BUCKETS, CLASSES, PASSES = 512, 128, 48, 12
+#: Words that stand as often are items of the distributed exchange; its turns, each of which reads all texts again.
+LEAST, TURNS = 10, 2
 #: Bytes of text of a chunk; a longer single text makes a chunk of its own.
 CHUNK = 12 << 20
 #: Weight of the class frequencies in a transition's probability.
@@ -49,6 +54,42 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
+def _gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, same: float) -> np.ndarray:
+    """What an item adds to the likelihood in each class, by its neighbours' classes; ``table`` is without the item."""
+    rows, columns = table.sum(1) + left, table.sum(0) + right  # its neighbours keep it beside them in any class
+    old = _xlogx(table)
+    gain = (_xlogx(table + right) - old).sum(1) + (_xlogx(table + left[:, None]) - old).sum(0)
+    d = np.diag(table)
+    gain += _xlogx(d + right + left + same) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
+    gain -= _xlogx(rows + right.sum() + same) - _xlogx(rows) + _xlogx(columns + left.sum() + same) - _xlogx(columns)
+    gain[0] = -np.inf
+    return gain
+
+
+def best_class(table: np.ndarray, c: int, right: np.ndarray, left: np.ndarray, same: float) -> int:
+    """The best class of an item of class ``c``; ``table`` and the counts beside each class are with the item itself."""
+    right, left, table = right.astype(np.float64), left.astype(np.float64), table.copy()
+    right[c] -= same
+    left[c] -= same
+    table[c] -= right
+    table[:, c] -= left
+    table[c, c] -= same
+    gain = _gains(table, right, left, same)
+    best = int(np.argmax(gain))
+    return c if gain[best] <= gain[c] + 1e-9 else best
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the log likelihood of the class bigrams that the classes decide."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def transitions_of(table: np.ndarray) -> np.ndarray:
+    """log10 transition probabilities, smoothed by the class frequencies."""
+    share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * len(table))
+    return np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """The class of each item from its bigram counts (item x item); item 0, the end, keeps class 0 for itself.
 
@@ -75,13 +116,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
             table[c] -= right
             table[:, c] -= left
             table[c, c] -= same
-            rows, columns = table.sum(1), table.sum(0)
-            old = _xlogx(table)
-            gain = (_xlogx(table + right) - old).sum(1) + (_xlogx(table + left[:, None]) - old).sum(0)
-            d = np.diag(table)
-            gain += _xlogx(d + right + left + same) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
-            gain -= _xlogx(rows + right.sum() + same) - _xlogx(rows) + _xlogx(columns + left.sum() + same) - _xlogx(columns)
-            gain[0] = -np.inf
+            gain = _gains(table, right, left, same)
             best = int(np.argmax(gain))
             if gain[best] <= gain[c] + 1e-9:
                 best = c
@@ -124,8 +159,7 @@ def class_model(heads: dict[bytes, int], pairs: np.ndarray, tokens: np.ndarray,
     member = np.zeros((len(of), n))
     member[np.arange(len(of)), of] = 1
     table = member.T @ pairs @ member
-    share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * n)
-    return ClassModel(heads, of, np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR)), tokens @ member, types @ member)
+    return ClassModel(heads, of, transitions_of(table), tokens @ member, types @ member)
 
 
 # ---- Spark ----------------------------------------------------------------------------------------
@@ -191,19 +225,156 @@ def chunked(docs: DataFrame, held_out: object, id_column: str, text_column: str)
     return rows.mapInArrow(run, "chunk string, blob binary, word binary, n long")
 
 
-def _bucket_sizes(words: DataFrame) -> dict[int, tuple[int, int]]:
-    """{bucket: (distinct words, tokens)}."""
+def _seeded(words: DataFrame, seed: ClassModel) -> DataFrame:
+    """(word, c, class) with the class that the driver's exchange gives a word or its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, tokens = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            of = np.fromiter(map(bucket, batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            types += np.bincount(of, minlength=BUCKETS)
-            np.add.at(tokens, of, batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(types), pa.array(tokens)], ["bucket", "types", "tokens"])
+            of = seed.of[np.fromiter(map(seed.item, batch.column(0).to_pylist()), np.int64, batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int32())], ["word", "c", "class"])
+
+    return words.select("word", "c").mapInArrow(run, "word binary, c long, class int")
+
+
+def _class_sizes(words: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each of n classes."""
+    tokens, types = np.zeros(n), np.zeros(n)
+    for r in words.groupBy("class").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
+        tokens[r["class"]], types[r["class"]] = r["tokens"], r["types"]
+    return tokens, types
 
-    rows = words.mapInArrow(run, "bucket long, types long, tokens long").groupBy("bucket").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()
-    return {r["bucket"]: (r["types"], r["tokens"]) for r in rows}
+
+#: One count of an item's neighbours: n + n classes before and behind which it stands, then itself.
+ENTRY = np.dtype([("key", "<u2"), ("n", "<i8")])
+
+
+def _sparse(words: pa.Array, of: np.ndarray, keys: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
+    """(word, class, counts) from ascending keys word * width + entry and their counts."""
+    rows = keys // width
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    entries = np.empty(len(keys), ENTRY)
+    entries["key"], entries["n"] = keys % width, counts
+    ends = np.append(starts, len(keys)).astype(np.int32) * ENTRY.itemsize
+    at = rows[starts]
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(entries.tobytes())])
+    return pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(of[at], pa.int32()), packed], ["word", "class", "counts"])
+
+
+def _entries(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, key and count of every entry of a column of packed counts."""
+    flat = np.frombuffer(b"".join(counts.to_pylist()), ENTRY)
+    sizes = pc.binary_length(counts).to_numpy(zero_copy_only=False) // ENTRY.itemsize
+    return np.repeat(np.arange(len(counts)), sizes), flat["key"].astype(np.int64), flat["n"]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, place = np.unique(keys, return_inverse=True)
+    return own, np.bincount(place, weights=counts, minlength=len(own)).astype(np.int64)
+
+
+def _neighbours(blobs: DataFrame, items: DataFrame, seed: ClassModel) -> DataFrame:
+    """(word, class, counts binary) of every item: how often it stands before and behind each class, and before itself.
+
+    items: (chunk, word, class). Of all other words together there is one row for each class, its word a space and the
+    class; the end is that of class 0. counts hold what is not zero.
+    """
+    n = len(seed.transitions)
+    width = 2 * n + 1
+
+    def count(texts: pa.Table, known: pa.Table) -> pa.Table:
+        words = known.column("word").to_pylist()
+        m = len(words)
+        index = dict(zip(words, range(m), strict=True))
+        of = np.concatenate([known.column("class").to_numpy().astype(np.int64), np.arange(n)])
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        pending: list[np.ndarray] = []
+
+        def add() -> None:
+            at = np.concatenate(pending)
+            between = np.cumsum([len(x) for x in pending])[:-1] - 1  # one text's end and the next one's start
+            a, b = np.delete(at[:-1], between), np.delete(at[1:], between)
+            parts.append(np.unique(np.concatenate([a * width + of[b], b * width + n + of[a], a[a == b] * width + 2 * n]), return_counts=True))
+            pending.clear()
+
+        size = 0
+        for blob in texts.column("blob"):
+            packed = _unpack(blob.as_py())
+            for out, data in zip(packed.column("held").to_pylist(), packed.column("data").to_pylist(), strict=True):
+                if out:
+                    continue
+                split = data.split()
+                for w in set(split).difference(index):
+                    index[w] = m + int(seed.of[seed.item(w)])
+                at = np.full(len(split) + 2, m, np.int64)
+                at[1:-1] = np.fromiter(map(index.__getitem__, split), np.int64, len(split))
+                pending.append(at)
+                size += len(at)
+                if size > 1 << 19:
+                    add()
+                    size = 0
+        if pending:
+            add()
+        names = pa.concat_arrays([pa.array(words, pa.binary()), pa.array([b" " + bytes([c]) for c in range(n)], pa.binary())])
+        keys, counts = _summed(*map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.Table.from_batches([_sparse(names, of, keys, counts, width)])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in bounded(batches, "counts", 1 << 20):
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            words = batch.column(0)
+            new = np.ones(len(words), bool)
+            if len(words) > 1:
+                new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            row, key, counts = _entries(batch.column(2))
+            keys, counts = _summed((np.cumsum(new) - 1)[row] * width + key, counts)
+            first = np.flatnonzero(new)
+            done = _sparse(words.take(pa.array(first)), batch.column(1).to_numpy()[first], keys, counts, width)
+            last = done.slice(done.num_rows - 1)
+            yield done.slice(0, done.num_rows - 1)
+        if last is not None:
+            yield last
+
+    kind = "word binary, class int, counts binary"
+    parts = blobs.groupBy("chunk").cogroup(items.groupBy("chunk")).applyInArrow(count, kind)
+    return parts.repartition("word").sortWithinPartitions("word").mapInArrow(total, kind)
+
+
+def _class_table(neighbours: DataFrame, n: int) -> np.ndarray:
+    """Class bigram counts; n * n rows at most come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((n, n), np.int64)
+        for batch in batches:
+            row, key, counts = _entries(batch.column(1))
+            behind = key < n
+            pair = batch.column(0).to_numpy().astype(np.int64)[row[behind]] * n + key[behind]
+            table += np.bincount(pair, weights=counts[behind], minlength=n * n).astype(np.int64).reshape(n, n)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at])], ["pair", "n"])
+
+    table = np.zeros(n * n)
+    for r in neighbours.select("class", "counts").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r["pair"]] = r["n"]
+    return table.reshape(n, n)
+
+
+def _moved(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, class) of every item after all of them moved at once."""
+    n = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                row, entries = np.zeros(2 * n + 1, np.int64), np.frombuffer(counts, ENTRY)
+                row[entries["key"]] = entries["n"]
+                out.append(best_class(table, c, row[:n], row[n : 2 * n], float(row[2 * n])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], ["word", "class"])
+
+    items = neighbours.where("substring(word, 1, 1) <> X'20'")
+    return items.mapInArrow(run, "word binary, class int")
 
 
 def _pair_counts(blobs: DataFrame, heads: dict[bytes, int]) -> np.ndarray:
@@ -250,8 +421,9 @@ def score(docs: DataFrame, held_out: object, id_column: str = "doc_id", text_col
     space, A-Z lower case, then one end; a null or empty text is the end alone. Without training rows both scores
     still exist (nothing is known). Repeated rows count as often as they stand; other columns are not read.
 
-    The texts are written once, compressed, to the shared folder and shuffled once; words move as one row for each
-    chunk that has them. At most HEADS words, BUCKETS rows and (1 + HEADS + BUCKETS)^2 pair counts come to the driver.
+    The texts are written once, compressed, to the shared folder and shuffled once for the scores and once for each turn
+    of the exchange; words move as one row for each chunk that has them. At most HEADS words, (1 + HEADS + BUCKETS)^2
+    pair counts and CLASSES^2 class bigrams a turn come to the driver.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     chunks = materialize(chunked(docs, F.coalesce(held_out, F.lit(False)), id_column, text_column), "chunks")
@@ -263,16 +435,34 @@ def score(docs: DataFrame, held_out: object, id_column: str = "doc_id", text_col
     frequent = sorted(((-r["c"], bytes(r["word"])) for r in seen.where((F.col("c") * HEADS >= total) & (F.octet_length("word") > 0)).select("word", "c").collect()))
     heads = {w: i for i, (_, w) in enumerate(frequent, 1)}
     ends = seen.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    rest = _bucket_sizes(seen.where((F.col("c") * HEADS < total) & (F.octet_length("word") > 0)).select("word", "c"))
-    tokens = np.array([ends, *(-c for c, _ in frequent), *(rest.get(b, (0, 0))[1] for b in range(BUCKETS))], np.float64)
-    types = np.array([min(ends, 1), *[1] * len(heads), *(rest.get(b, (0, 0))[0] for b in range(BUCKETS))], np.float64)
-    model = class_model(heads, _pair_counts(blobs.select("blob"), heads), tokens, types)
+    groups = np.zeros(1 + len(heads) + BUCKETS)
+    seed = class_model(heads, _pair_counts(blobs.select("blob"), heads), groups, groups)
+    n = len(seed.transitions)
+    inner = seen.where(F.octet_length("word") > 0)
+    common, rare = F.col("c") >= LEAST, F.col("c") < LEAST
+    items = materialize(_seeded(inner.where(common), seed), "items")
+    in_chunks = words.where(common & (F.octet_length("word") > 0)).select("chunk", "word")
+    classes, best = items.select("word", "class"), None
+    for turn in range(TURNS + 1):
+        around = materialize(_neighbours(blobs, in_chunks.join(classes, "word").select("chunk", "word", "class"), seed), "neighbours")
+        table = _class_table(around, n)
+        if best is not None and likelihood(table) <= likelihood(best[0]):
+            break
+        best = table, classes
+        if turn < TURNS:
+            classes = materialize(_moved(around, table), "classes")
+    table, classes = best
+    sizes = _class_sizes(items.select("word", "c").join(classes, "word"), n), _class_sizes(_seeded(inner.where(rare), seed), n)
+    tokens, types = (x + y for x, y in zip(*sizes, strict=True))
+    tokens[0], types[0] = ends, min(ends, 1)
+    model = ClassModel(heads, seed.of, transitions_of(table), tokens, types)
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         known = found.column("word").to_pylist()
         counts = found.column("c").to_numpy().astype(np.float64)
         index = dict(zip(known, range(len(known)), strict=True))
-        classes = model.of[np.fromiter(map(model.item, known), np.int64, len(known))]
+        own = found.column("class").to_pylist()
+        classes = np.fromiter((model.of[model.item(w)] if c is None else c for w, c in zip(known, own, strict=True)), np.int64, len(known))
         base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
         emission = model.emission(classes, counts)
         end, seen_word = index[END], counts > 0
@@ -292,5 +482,8 @@ def score(docs: DataFrame, held_out: object, id_column: str = "doc_id", text_col
         kinds = (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = blobs.groupBy("chunk").cogroup(words.select("chunk", "word", "c").groupBy("chunk")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    of_chunk = words.select("chunk", "word", "c")
+    large = of_chunk.where(common & (F.octet_length("word") > 0)).join(classes, "word").select("chunk", "word", "c", "class")
+    small = of_chunk.where(rare | (F.octet_length("word") == 0)).withColumn("class", F.lit(None).cast("int"))
+    scored = blobs.groupBy("chunk").cogroup(large.unionByName(small).groupBy("chunk")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -135,6 +135,36 @@ def test_exchange_raises_the_likelihood():
     assert len(set(of[1::2])) == len(set(of[2::2])) == 1 and of[1] != of[2]
 
 
+def test_words_below_the_heads_have_classes_of_their_own(spark):
+    """Two kinds of words alternate; none is frequent, and their endings say nothing."""
+    rng = random.Random(11)
+    kinds = [["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(600)] for _ in range(2)]
+    texts = [" ".join(rng.choice(kinds[j % 2]) for j in range(40)) for _ in range(1500)]
+    wrong = [" ".join(sorted(t.split(), key=lambda w: w in kinds[1])) for t in texts[:50]]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(5000 + i, t, True) for i, t in enumerate(texts[:50])] + [(6000 + i, t, True) for i, t in enumerate(wrong)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    out = {r["doc_id"]: r for r in brown_lm.score(docs, F.col("held")).collect()}
+    right, other = (np.mean([out[k + i]["score"] for i in range(50)]) / 41 for k in (5000, 6000))
+    assert right - other > 1
+
+
+def test_best_class_equals_the_exchange_on_whole_tables():
+    rng = np.random.default_rng(12)
+    n, k = 30, 5
+    pairs = rng.integers(0, 6, (n, n)).astype(float)
+    of = np.array([0, *rng.integers(1, k, n - 1)])
+    member = lambda x: np.eye(k)[x]
+    table = member(of).T @ pairs @ member(of)
+    for w in range(1, n):
+        values = []
+        for c in range(1, k):
+            moved = of.copy()
+            moved[w] = c
+            values.append(brown_lm.likelihood(member(moved).T @ pairs @ member(moved)))
+        got = brown_lm.best_class(table, of[w], pairs[w] @ member(of), pairs[:, w] @ member(of), pairs[w, w])
+        assert values[got - 1] == pytest.approx(max(values))
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = brown_lm.score(docs, F.lit(True)).collect()
