@@ -367,8 +367,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str =
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # the last turn may still find some
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = materialize(verified(pairs, shown, idf, least), "links")
         if not links.isEmpty():

@@ -201,3 +201,21 @@ def test_large_group_against_plain_jaccard(spark, rows, share, edited):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
     assert got == {i: find(i) for i in range(rows)}
+
+
+def test_last_turn_runs_without_pairs_before(spark, monkeypatch):
+    """One band of four nodes; only the second and the fourth are alike, and all other pairs differ too much in size."""
+    node = lambda text: neardup.xxhash.xxh3_128_digest(text.encode())
+    for seed in range(1000):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+        base = [word() for _ in range(100)]
+        texts = [[word() for _ in range(10)], base, [word() for _ in range(400)], [*base[:-1], word()]]
+        texts = [" ".join(t) for t in texts]
+        if texts == sorted(texts, key=node):
+            break
+    sketched = neardup.sketched
+    one_band = lambda *args: sketched(*args).withColumn("bands", F.array(F.lit(7).cast("long"), *[F.xxhash64("node", F.lit(i)) for i in range(1, 2 * neardup.BANDS)]))
+    monkeypatch.setattr(neardup, "sketched", one_band)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
