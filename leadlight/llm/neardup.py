@@ -144,6 +144,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 # ---- Spark ----------------------------------------------------------------------------------------
 
 
+def wordless(texts: DataFrame) -> DataFrame:
+    """The texts that have no words."""
+    return texts.where(~F.col("data").cast("string").rlike(r"[^\x09-\x0D\x20]"))
+
+
+def digest(data: object) -> object:
+    """What tells texts apart byte by byte."""
+    return F.unhex(F.md5(data))
+
+
 def document_frequencies(texts: DataFrame) -> np.ndarray:
     """The inverse document frequency of each bucket; DF_BUCKETS rows come to the driver.
 
@@ -176,21 +186,23 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def sketched(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, node binary, weight double, size long, bands array<long>) of every text that has words.
+    """(id, digest binary, node binary, weight double, size long, bands array<long>) of every text that has words.
 
-    node is a hash of its words, size the number of its distinct shingles.
+    node is a hash of its words, digest one of its bytes, size the number of its distinct shingles.
     """
     kind = texts.schema["id"].dataType.simpleString()
+    texts = texts.select("id", "data", digest("data").alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "data"):
-            ids, nodes, weights, sizes, keys = [], [], [], [], []
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, digests, nodes, weights, sizes, keys = [], [], [], [], [], []
+            for doc, data, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = word_list(data)
                 if words:
                     hashes, counts = shingles(words)
                     level = levels(hashes, counts, idf)
                     ids.append(doc)
+                    digests.append(own)
                     nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
                     weights.append(float(WEIGHTS[level].sum()))
                     sizes.append(len(hashes))
@@ -198,10 +210,22 @@ def sketched(texts: DataFrame, idf: np.ndarray) -> DataFrame:
                     keys += [bands(weighted), bands(plain, 1 + BANDS)]
             ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (2 * BANDS))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(nodes, pa.binary()), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "node", "weight", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(digests, pa.binary()), pa.array(nodes, pa.binary()), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "digest", "node", "weight", "size", "bands"])
         forget()
 
-    return texts.mapInArrow(run, f"id {kind}, node binary, weight double, size long, bands array<long>")
+    return texts.mapInArrow(run, f"id {kind}, digest binary, node binary, weight double, size long, bands array<long>")
+
+
+def keyed(texts: DataFrame) -> DataFrame:
+    """(node, data) of every text (id, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "data"):
+            nodes = [xxhash.xxh3_128_digest(b" ".join(word_list(data))) for data in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0)], ["node", "data"])
+        release()
+
+    return texts.select("data").mapInArrow(run, "node binary, data binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
@@ -304,6 +328,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str =
     smallest id. Other columns are not read.
     """
     texts = docs.select(F.col(id_column).alias("id"), as_bytes(text_column).alias("data"))
+    found = _found(texts, least)
+    classes = found.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    with_words = found.join(classes, "root").select("id", "class_id", "class_size")
+    alone = wordless(texts).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return with_words.unionByName(alone).withColumnRenamed("id", id_column)
+
+
+def _found(texts: DataFrame, least: float) -> DataFrame:
+    """(id, digest, node, root) of every text (id, data) that has words; texts with one root are a class."""
     idf = document_frequencies(texts.select("data"))
     sketches = materialize(sketched(texts, idf), "sketches")
     nodes = sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -311,8 +344,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str =
     # bands that at least two nodes share
     crowded = nodes.select("node", "id", "weight", "size", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1").drop("n")
     crowded = materialize(crowded, "bands")
-    wanted = crowded.select("id", "node").distinct()
-    shown = materialize(texts.join(wanted, "id").select("node", "data").dropDuplicates(["node"]), "texts")
+    # ids only say which texts to look at, as they may be null or clash; nodes say whose text it is
+    looked_at = texts.join(crowded.select("id").distinct(), "id", "left_semi").unionByName(texts.where("id is null"))
+    shown = materialize(keyed(looked_at).join(crowded.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     def pairs_of(rows: DataFrame, turn: int) -> DataFrame:
         """Each node of a band with the band's first node in an order, and with the one before it."""
@@ -374,19 +408,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str =
         if not links.isEmpty():
             roots = _merged(roots, links.select("a", "b"))
 
-    found = _rooted(sketches.select("id", "node"), roots)
-    classes = found.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    with_words = found.join(classes, "root").select("id", "class_id", "class_size")
-    wordless = texts.where(~F.col("data").cast("string").rlike(r"[^\x09-\x0D\x20]")).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return with_words.unionByName(wordless).withColumnRenamed("id", id_column)
+    return _rooted(sketches.select("id", "digest", "node"), roots)
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one document of each class: the one with the smallest id stays.
 
-    Of several rows with that id the first by text stays. Rows without an id stay as they are. All columns stay.
+    Different texts may have one id, each is kept or dropped with its own class. Of several rows of a class with that id
+    the first by text stays. Rows without an id stay as they are. All columns stay.
     """
-    kept = near_duplicates(docs, least, id_column, text_column).select(F.col("class_id").alias(id_column)).distinct()
-    order = W.partitionBy(id_column).orderBy(text_column)
-    with_id = docs.join(kept, id_column, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return with_id.unionByName(docs.where(F.col(id_column).isNull())).select(docs.columns)
+    texts = docs.select(F.col(id_column).alias("id"), as_bytes(text_column).alias("data"))
+    found = _found(texts, least).where("id is not null")
+    smallest = found.groupBy("root").agg(F.min("id").alias("id"))
+    alone = wordless(texts.where("id is not null")).select("id", digest("data").alias("digest"), digest("data").alias("root"))
+    kept = found.join(smallest, ["root", "id"]).select("id", "digest", "root").unionByName(alone).distinct()
+    kept = kept.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("root").alias("__root"))
+    marked = docs.withColumn("__key", digest(as_bytes(text_column)))
+    order = W.partitionBy(id_column, "__root").orderBy(text_column)
+    with_id = marked.join(kept, (F.col(id_column) == F.col("__id")) & (F.col("__key") == F.col("__digest"))).withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return with_id.select(docs.columns).unionByName(docs.where(F.col(id_column).isNull()))

@@ -219,3 +219,23 @@ def test_last_turn_runs_without_pairs_before(spark, monkeypatch):
     monkeypatch.setattr(neardup, "sketched", one_band)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
+def near_pair():
+    base = [f"w{i}" for i in range(100)]
+    return " ".join(base), " ".join([*base[:-1], "other"])
+
+
+def test_near_copies_without_ids(spark):
+    first, second = near_pair()
+    df = spark.createDataFrame([(None, first), (None, second), (3, "something else")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["class_size"]) for r in neardup.near_duplicates(df).collect()) == [(0, 2), (0, 2), (3, 1)]
+
+
+def test_different_texts_with_one_id(spark):
+    first, second = near_pair()
+    own = " ".join(f"x{i}" for i in range(60))
+    rows = [(3, first), (5, second), (5, own), (5, own + " "), (7, " "), (7, own + " more words"), (9, ""), (9, ""), (11, "one text"), (11, "two texts")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.one_of_each(df).collect())
+    assert kept == sorted([(3, first), (5, own), (7, " "), (9, ""), (11, "one text"), (11, "two texts")])
