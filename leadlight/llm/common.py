@@ -54,9 +54,14 @@ def bounded(batches: Iterable[pa.RecordBatch], size_of: str, limit: int = STEP_B
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Where the setting is empty (local tests) the session's warehouse folder serves.
+    Where the setting is empty a local session's warehouse folder serves; on a cluster that is an error, as the folder
+    might be on one machine only.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{root.rstrip('/')}/leadlight-{name}-{uuid.uuid4().hex}"
 
 
@@ -64,7 +69,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, executors may be lost."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.leadlight_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.leadlight_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release() -> None:

@@ -1,62 +1,93 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, plain min-hashes, banded, verified.
 
-A text is a weighted set of hashes of five consecutive words. The weight is the number of times a shingle
-stands in the text times its inverse document frequency, rounded to a half octave; document frequencies of
-all texts are counted in a fixed number of hash buckets, so that rare shingles weigh about the same and
-passages that many documents share weigh little, at every size of the corpus.
-
-Each of BANDS x ROWS samples picks a shingle and a level with a probability in proportion to its weight; two
-texts agree in a sample with a probability equal to their weighted Jaccard similarity. Texts that agree in all
-samples of a band are candidates. A group's own size makes the shingles that it shares common and so light; for a
-pair that is alike on plain shingles not to be lost by that, as many bands of unweighted min-hashes give candidates, too,
-and a pair is linked by its weighted or by its plain Jaccard similarity.
-
-Equal texts are one node from the start. Candidates of a band are not paired
-all with all: first each meets two hubs and its neighbours in two orders; then only nodes of a band that no
-verified link has joined yet meet, as far as their shared shingles allow the similarity at all, so no link between
-two classes is lost.
+A text is a weighted set of hashes of five consecutive words. The weight is the number of times a shingle stands in the
+text times its inverse document frequency. Document frequencies of all texts come from two rows of hashed counters; what
+other shingles put into a counter on average is taken off and the smaller of the two counts, so a rare shingle weighs the
+same however many or long the texts are, and passages that many documents share weigh little.
+
+Each of BANDS x ROWS samples picks a shingle and a step of its weight with a probability in proportion to that weight;
+two texts agree in a sample with a probability equal to their weighted Jaccard similarity. For sampling alone weights are
+rounded to quarter octaves; similarities are verified with exact weights. Texts that agree in all samples of a band are
+candidates. A group's own size makes the shingles that it shares common and so light; for a pair that is alike on plain
+shingles not to be lost by that, as many bands of unweighted min-hashes give candidates, too, and a pair is linked by its
+weighted or by its plain Jaccard similarity. A pair at exactly 0.8 shares a band of its kind with probability 0.9998, and
+agrees in enough samples to be looked at with probability 0.9999.
+
+Equal texts are one node from the start. Nodes of a band are not paired all with all: first each meets the band's most
+central node. Then, in bands that still hold several classes, the signatures of all nodes outside the band's largest class
+are compared with all others there, in blocks; nodes with a partner that may be linked meet by their shingles, in blocks,
+too, and only links that join two classes leave a block. So no link between two classes is lost, and what a group makes grows
+with its size, not with the square.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
-from operator import or_
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadlight.llm.common import as_bytes, bounded, materialize, release
-
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
-#: Buckets of the document-frequency table, and the share added to a frequency.
-DF_BUCKETS, SMOOTH = 1 << 18, 0.0065
-#: The weight of one rare shingle, in the middle of its level; levels are half octaves from 2^LOWEST of it on.
-RARE, LOWEST, LEVELS = float(np.log1p(1 / (SMOOTH + 0.0022))), -3, 32
+from leadlight.llm.common import as_bytes, bounded, discard, materialize, release
+
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
+SAMPLES = BANDS * ROWS
+#: Counters of a row of the document-frequency table, as a power of two, and the share added to a frequency.
+DF_BITS, SMOOTH = 17, 0.0065
+DF_SIZE = 1 << DF_BITS
+#: Counters that travel as one row.
+DF_BLOCK = 4096
+#: The weight of one rare shingle; sampling levels are quarter octaves from 2^LOWEST of it on.
+RARE, LOWEST, LEVELS = float(np.log1p(1 / SMOOTH)), -3, 64
 #: Random draws kept; a sample of a shingle takes one of them by a hash.
 DRAWS = 1 << 16
-CACHE_WORDS = 200_000
+#: Nodes of a band that others are compared with at a time, by signature and by shingles.
+BLOCK, TEXT_BLOCK = 2048, 256
+#: Bytes of text hashed at a time, and bytes of text that one step holds; words of half a window or more are hashed by themselves.
+WINDOW, STEP = 1 << 18, 1 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _rng = np.random.default_rng(20_240_229)
-_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-#: The three random numbers of consistent weighted sampling: r and c are Gamma(2, 1), b is uniform.
-_R, _C, _B = _rng.gamma(2, 1, DRAWS), _rng.gamma(2, 1, DRAWS), _rng.random(DRAWS)
-_LOG_WEIGHT = np.log(RARE) + (LOWEST + np.arange(LEVELS) / 2) * np.log(2)
-WEIGHTS = np.exp(_LOG_WEIGHT)
-#: ln(a) of every level and draw, and its step; the smallest ln(a) over a text's shingles is the sample.
-_LOG_A, _STEP = np.empty(LEVELS * DRAWS, np.float32), np.empty(LEVELS * DRAWS, np.int32)
-for _level in range(LEVELS):
-    _place = slice(_level * DRAWS, (_level + 1) * DRAWS)
-    _step = np.floor(_LOG_WEIGHT[_level] / _R + _B)
-    _STEP[_place] = np.clip(_step, -(1 << 31) + 1, (1 << 31) - 1)
-    _LOG_A[_place] = np.log(_C) - _R * (_step - _B) - _R
-_words: dict[bytes, int] = {}
+_FACTORS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_white = re.compile(rb"[\t-\r ]")
+#: A random number for each byte, the same for both cases of a letter, none for white space; words are polynomials of them.
+_LETTER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_LETTER = np.where(_SPACE, np.uint64(0), _LETTER[np.frombuffer(LOWER, np.uint8)])
+_BASE = 0xD1342543DE82EF95
+
+
+def _powers(base: int) -> np.ndarray:
+    of = np.full(WINDOW, base, np.uint64)
+    of[0] = 1
+    return np.multiply.accumulate(of)
+
+
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _keys() -> np.ndarray:
+    """ln(a) of consistent weighted sampling for every level and draw, as 32 bits in the same order.
+
+    The three random numbers of a draw are r and c, Gamma(2, 1), and b, uniform. With a draw, ln(a) tells the step, too.
+    """
+    r, c, b = _rng.gamma(2, 1, DRAWS), _rng.gamma(2, 1, DRAWS), _rng.random(DRAWS)
+    out = np.empty(LEVELS * DRAWS, np.uint32)
+    for level in range(LEVELS):
+        step = np.floor((np.log(RARE) + (LOWEST + level / 4) * np.log(2)) / r + b)
+        bits = (np.log(c) - r * (step - b) - r).astype(np.float32).view(np.uint32)
+        out[level * DRAWS : (level + 1) * DRAWS] = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+    return out
+
+
+_LOG_A = _keys()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,82 +97,149 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_list(data: bytes) -> list[bytes]:
-    return data.translate(LOWER).split()
-
-
-def forget() -> None:
-    """What a task does at its end: a worker that waits for the next one keeps no words."""
-    _words.clear()
-    release()
-
-
-def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes, ascending, and how often each stands; fewer than SHINGLE words are one shingle."""
-    global _words
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(_words) > CACHE_WORDS:
-        _words = dict(islice(_words.items(), CACHE_WORDS * 2 // 3))
-    known = _words
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - SHINGLE + 1)
-    total = np.zeros(n, np.uint64)
-    for j in range(min(SHINGLE, len(h))):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + mix(h[j : j + n] + np.uint64(j))
-    return np.unique(mix(total), return_counts=True)
-
-
-def levels(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The weight level of each shingle."""
-    weight = counts * idf[(hashes % np.uint64(DF_BUCKETS)).astype(np.int64)]
-    return np.clip(np.rint(2 * (np.log2(weight / RARE) - LOWEST)), 0, LEVELS - 1).astype(np.int64)
-
-
-def signature(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A hash of the sampled (shingle, step) for each sample; the first of equal ln(a) by shingle hash is taken."""
-    return samples(hashes, level)[0]
-
-
-def samples(hashes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted signature, and the plain one: the least product of a shingle with each factor."""
-    lowest = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    best = np.full(len(_FACTORS), np.inf, np.float32)
-    pick, place = np.zeros(len(_FACTORS), np.int64), np.zeros(len(_FACTORS), np.int64)
-    for start in range(0, len(hashes), 2048):
-        part = slice(start, start + 2048)
-        product = _FACTORS[:, None] * hashes[part]
-        np.minimum(lowest, product.min(1), out=lowest)
-        at = (product >> np.uint64(48)).astype(np.int64) + level[part] * DRAWS
-        value = _LOG_A[at]
-        least = value.argmin(1)
-        rows = np.arange(len(_FACTORS))
-        better = value[rows, least] < best
-        best[better] = value[rows, least][better]
-        pick[better], place[better] = least[better] + start, at[rows, least][better]
-    return mix(hashes[pick] + mix(_STEP[place].astype(np.int64).view(np.uint64))), lowest
-
-
-def bands(sample: np.ndarray, first: int = 1) -> np.ndarray:
-    """One signed 64-bit hash for each band; bands are numbered from ``first`` on."""
-    total = np.arange(first, first + BANDS, dtype=np.uint64)
-    for row in sample.reshape(BANDS, ROWS).T:
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + row)
+# ---- texts to shingles ----------------------------------------------------------------------------
+
+
+def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and its hash; ``blob`` ends with white space."""
+    raw = np.frombuffer(blob, np.uint8)
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+
+    def alone(start: int, end: int) -> np.uint64:
+        return np.uint64(xxhash.xxh3_64_intdigest(blob[start:end].translate(LOWER)))
+
+    while at < len(raw):
+        part = raw[at : at + WINDOW]
+        space = _SPACE[part]
+        gap = space[::-1].argmax()
+        end = len(part) - int(gap) if space[len(part) - 1 - gap] else 0
+        before = np.concatenate([[True], space[: end - 1]]) if end else np.zeros(0, bool)
+        space = space[:end]
+        first, last = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
+        total = np.zeros(end + 1, np.uint64)
+        np.cumsum(_LETTER[part[:end]] * _POWER[:end], out=total[1:])
+        found = mix((total[last] - total[first]) * _INVERSE[first])
+        for i in np.flatnonzero(last - first >= WINDOW // 2):
+            found[i] = alone(at + int(first[i]), at + int(last[i]))
+        starts.append(first + at)
+        hashes.append(found)
+        at += end
+        if end <= WINDOW // 2 and at < len(raw):  # a word of half a window or more follows
+            stop = _white.search(blob, at).start()
+            if stop > at:
+                starts.append(np.array([at]))
+                hashes.append(np.array([alone(at, stop)], np.uint64) if stop - at >= WINDOW // 2 else word_hashes(blob[at : stop + 1])[1])
+            at = stop + 1
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
+@dataclass(frozen=True)
+class Sets:
+    """Distinct shingle hashes of texts, ascending in each, how often each stands, where each text's begin, and its words."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    offsets: np.ndarray
+    words: list[np.ndarray]
+
+    def node(self, i: int) -> bytes:
+        """What tells the words of text ``i`` from other texts'."""
+        return xxhash.xxh3_128_digest(self.words[i].tobytes())
+
+
+def shingled(texts: list[bytes]) -> Sets:
+    """The shingles of texts; fewer than SHINGLE words are one shingle."""
+    starts, h = word_hashes(b" ".join(texts) + b" ") if texts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    begin, end = bounds[:-1], bounds[1:]
+    n, length = len(h), end - begin
+    total, single = np.zeros(n, np.uint64), np.zeros(len(texts), np.uint64)
+    for j in range(min(SHINGLE, n)):
+        total[: n - j] = total[: n - j] * GOLDEN + mix(h[j:] + np.uint64(j))
+        short = length == j + 1
+        single[short] = total[begin[short]]
+    valid = np.ones(n, bool)
+    for j in range(1, SHINGLE):
+        valid[end[length >= j] - j] = False
+    short = (length > 0) & (length < SHINGLE)
+    total[begin[short]], valid[begin[short]] = single[short], True
+    found = mix(total[valid])
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(length - SHINGLE + 1, length > 0))])
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        found[s:e].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[offsets[offsets < len(found)]] = True
+    at = np.flatnonzero(new)
+    return Sets(found[at], np.diff(at, append=len(found)), np.searchsorted(at, offsets), [h[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+
+
+# ---- weights, signatures, similarities ------------------------------------------------------------
+
+
+def df_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's counter in either row of the document-frequency table."""
+    mask = np.uint64(DF_SIZE - 1)
+    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(DF_BITS)) & mask).astype(np.int64)
+
+
+def weights(sets: Sets, shares: np.ndarray) -> np.ndarray:
+    """Count times inverse document frequency of every shingle; shares: the table of ``document_shares``."""
+    first, second = df_places(sets.hashes)
+    return sets.counts * np.log1p(1 / (SMOOTH + np.minimum(shares[0][first], shares[1][second]).astype(np.float64)))
+
+
+def signatures(sets: Sets, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x SAMPLES) weighted samples, and plain ones (the least product of a shingle with each factor).
+
+    Only texts with words have a row. A weighted sample holds its ln(a) and half of the product of its shingle.
+    """
+    level = np.clip(np.rint(4 * (np.log2(weight / RARE) - LOWEST)), 0, LEVELS - 1).astype(np.int64) * DRAWS
+    begin = sets.offsets[:-1][np.diff(sets.offsets) > 0]
+    weighted, plain = np.empty((len(begin), SAMPLES), np.uint64), np.empty((len(begin), SAMPLES), np.uint64)
+    if len(begin):
+        for k, factor in enumerate(_FACTORS):
+            product = sets.hashes * factor
+            plain[:, k] = np.minimum.reduceat(product, begin)
+            key = _LOG_A[(product >> np.uint64(48)).view(np.int64) + level].astype(np.uint64)
+            weighted[:, k] = np.minimum.reduceat(key << np.uint64(32) | product >> np.uint64(32), begin)
+    return weighted, plain
+
+
+def bands(samples: np.ndarray, first: int = 1) -> np.ndarray:
+    """(texts x BANDS) signed 64-bit hashes; bands are numbered from ``first`` on."""
+    total = np.broadcast_to(np.arange(first, first + BANDS, dtype=np.uint64), (len(samples), BANDS))
+    for row in np.moveaxis(samples.reshape(-1, BANDS, ROWS), 2, 0):
+        total = mix(total * GOLDEN + row)
     return total.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted or plain Jaccard similarity of two (hashes, levels), whichever is more."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    wa, wb = WEIGHTS[a[1]], WEIGHTS[b[1]]
-    low, high = np.minimum(wa[i], wb[j]).sum(), np.maximum(wa[i], wb[j]).sum()
-    return max(float(low / (wa.sum() + wb.sum() - wa[i].sum() - wb[j].sum() + high)), len(i) / (len(wa) + len(wb) - len(i)))
+def marks(samples: np.ndarray) -> np.ndarray:
+    """A byte of each sample; equal samples have equal bytes."""
+    return (mix(samples) & np.uint64(255)).astype(np.uint8)
+
+
+def similarities(hub: tuple[np.ndarray, np.ndarray], sets: Sets, weight: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Weighted or plain Jaccard similarity, whichever is more, of ``hub`` (hashes, weights) with texts lo to hi, all with words."""
+    part, begin = slice(sets.offsets[lo], sets.offsets[hi]), sets.offsets[lo:hi] - sets.offsets[lo]
+    own, w = sets.hashes[part], weight[part]
+    at = np.minimum(np.searchsorted(hub[0], own), len(hub[0]) - 1)
+    hit = hub[0][at] == own
+    low = np.add.reduceat(np.where(hit, np.minimum(hub[1][at], w), 0.0), begin)
+    common = np.add.reduceat(hit.astype(np.int64), begin)
+    sizes = np.diff(sets.offsets[lo : hi + 1])
+    return np.maximum(low / (hub[1].sum() + np.add.reduceat(w, begin) - low), common / (len(hub[0]) + sizes - common))
+
 
+def similarity(a: bytes, b: bytes, shares: np.ndarray) -> float:
+    """The similarity of two texts with words."""
+    sets = shingled([a, b])
+    weight = weights(sets, shares)
+    cut = sets.offsets[1]
+    return float(similarities((sets.hashes[:cut], weight[:cut]), sets, weight, 1, 2)[0])
 
-# ---- Spark ----------------------------------------------------------------------------------------
+
+# ---- Spark: texts ---------------------------------------------------------------------------------
 
 
 def wordless(texts: DataFrame) -> DataFrame:
@@ -149,281 +247,364 @@ def wordless(texts: DataFrame) -> DataFrame:
     return texts.where(~F.col("data").cast("string").rlike(r"[^\x09-\x0D\x20]"))
 
 
-def digest(data: object) -> object:
+def digest(data: object) -> Column:
     """What tells texts apart byte by byte."""
     return F.unhex(F.md5(data))
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """The inverse document frequency of each bucket; DF_BUCKETS rows come to the driver.
+def document_shares(texts: DataFrame) -> np.ndarray:
+    """(2 x DF_SIZE) float32: of each counter, the share of all texts that a shingle there stands in, without the average of others.
 
-    It is ln(1 + n / (f + SMOOTH * n)) of n texts and a frequency f. What other rare shingles of a bucket add to f is a
-    small part of SMOOTH * n at every n.
+    Tasks send blocks of their counters; 2 * DF_SIZE sums come to the driver.
     """
+    blocks = 2 * DF_SIZE // DF_BLOCK
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((2, DF_SIZE), np.int64), 0
+        for batch in bounded(batches, "data", STEP):
+            sets = shingled(batch.column(0).to_pylist())
+            n += int((np.diff(sets.offsets) > 0).sum())
+            for row, at in zip(total, df_places(sets.hashes), strict=True):
+                row += np.bincount(at, minlength=DF_SIZE)
+        if n:
+            parts = [np.array([n]).tobytes(), *(x.tobytes() for x in total.reshape(blocks, DF_BLOCK))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+        release()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DF_BUCKETS + 1, np.int64), 0
-        pending: list[np.ndarray] = []
-        for batch in bounded(batches, "data"):
-            for data in batch.column(0).to_pylist():
-                hashes, _ = shingles(word_list(data))
-                if len(hashes):
-                    n += 1
-                    pending.append((hashes % np.uint64(DF_BUCKETS)).astype(np.int64))
-            if pending:
-                total[:-1] += np.bincount(np.concatenate(pending), minlength=DF_BUCKETS)
-                pending.clear()
-        total[-1] = n
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], ["bucket", "n"])
-        forget()
-
-    found = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(DF_BUCKETS + 1)
-    total[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return np.log1p(total[-1] / (total[:-1] + SMOOTH * total[-1])) if total[-1] else np.ones(DF_BUCKETS)
-
-
-def sketched(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, digest binary, node binary, weight double, size long, bands array<long>) of every text that has words.
-
-    node is a hash of its words, digest one of its bytes, size the number of its distinct shingles.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+    kind = "block int, counts binary"
+    sums = {r["block"]: np.frombuffer(r["counts"], np.int64) for r in texts.mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()}
+    if not sums:
+        return np.zeros((2, DF_SIZE), np.float32)
+    table = np.concatenate([sums[i] for i in range(blocks)]).reshape(2, DF_SIZE)
+    others = (table.sum(1, keepdims=True) - table) / (DF_SIZE - 1)
+    return (np.maximum(table - others, 0) / sums[-1][0]).astype(np.float32)
+
+
+def sketched(texts: DataFrame, shares: np.ndarray) -> DataFrame:
+    """(id, digest binary, node binary, weight double, size long, bands array<long>, marks binary) of every text with words.
+
+    node is a hash of its words, digest one of its bytes, size the number of its distinct shingles, marks a byte of every sample.
     """
     kind = texts.schema["id"].dataType.simpleString()
     texts = texts.select("id", "data", digest("data").alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "data"):
-            ids, digests, nodes, weights, sizes, keys = [], [], [], [], [], []
-            for doc, data, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = word_list(data)
-                if words:
-                    hashes, counts = shingles(words)
-                    level = levels(hashes, counts, idf)
-                    ids.append(doc)
-                    digests.append(own)
-                    nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    weights.append(float(WEIGHTS[level].sum()))
-                    sizes.append(len(hashes))
-                    weighted, plain = samples(hashes, level)
-                    keys += [bands(weighted), bands(plain, 1 + BANDS)]
-            ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (2 * BANDS))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(digests, pa.binary()), pa.array(nodes, pa.binary()), pa.array(weights, pa.float64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "digest", "node", "weight", "size", "bands"])
-        forget()
-
-    return texts.mapInArrow(run, f"id {kind}, digest binary, node binary, weight double, size long, bands array<long>")
+        for batch in bounded(batches, "data", STEP):
+            sets = shingled(batch.column(1).to_pylist())
+            weight = weights(sets, shares)
+            full = np.flatnonzero(np.diff(sets.offsets))
+            both = signatures(sets, weight)
+            begin = sets.offsets[full]
+            keys = np.concatenate([bands(both[0]), bands(both[1], 1 + BANDS)], 1)
+            columns = [
+                *(batch.column(i).take(pa.array(full)) for i in (0, 2)),
+                pa.array([sets.node(i) for i in full.tolist()], pa.binary()),
+                pa.array(np.add.reduceat(weight, begin) if len(begin) else np.zeros(0)),
+                pa.array(np.diff(sets.offsets)[full]),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * (2 * BANDS)), pa.array(keys.ravel())),
+                pa.array([x.tobytes() for x in np.concatenate([marks(x) for x in both], 1)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "node", "weight", "size", "bands", "marks"])
+        release()
+
+    return texts.mapInArrow(run, f"id {kind}, digest binary, node binary, weight double, size long, bands array<long>, marks binary")
 
 
 def keyed(texts: DataFrame) -> DataFrame:
     """(node, data) of every text (id, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "data"):
-            nodes = [xxhash.xxh3_128_digest(b" ".join(word_list(data))) for data in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0)], ["node", "data"])
+        for batch in bounded(batches, "data", STEP):
+            sets = shingled(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([sets.node(i) for i in range(batch.num_rows)], pa.binary()), batch.column(0)], ["node", "data"])
         release()
 
     return texts.select("data").mapInArrow(run, "node binary, data binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """The pairs (a, b) whose weighted or plain Jaccard similarity is at least ``least``, with it.
+# ---- Spark: pairs ---------------------------------------------------------------------------------
+
+
+def enough(least: float) -> int:
+    """The samples that a pair of that similarity shares at the least, but once in 10,000 times."""
+    return int(SAMPLES * least - 4 * np.sqrt(SAMPLES * least * (1 - least)))
+
+
+def _likely(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float) -> np.ndarray:
+    """Where nodes (marks, weight, size) may be similar by samples and totals; arrays of one shape but for the marks' last axis."""
+    same, out = a[0] == b[0], False
+    for i, part in ((1, slice(SAMPLES)), (2, slice(SAMPLES, None))):
+        near = np.minimum(a[i], b[i]) >= (least - 1e-9) * np.maximum(a[i], b[i])
+        out |= near & (np.count_nonzero(same[..., part], -1) >= enough(least))
+    return out
+
+
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A column of byte strings of one width as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
-    texts: (node, data). A hub's text comes once, first among the rows of its partners.
+
+def likely(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that may be similar by samples and totals; for either there are a marks, weight and size column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ((_bytes(batch.column(i), 2 * SAMPLES), *(batch.column(j).to_numpy() for j in (i + 1, i + 2))) for i in (2, 5))
+            yield batch.select(["a", "b"]).filter(pa.array(_likely(a, b, least)))
+
+    return pairs.select("a", "b", "a_marks", "a_weight", "a_size", "marks", "weight", "size").mapInArrow(run, "a binary, b binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shares: np.ndarray, least: float) -> DataFrame:
+    """The pairs (a, b) whose weighted or plain Jaccard similarity is at least ``least``.
+
+    texts: (node, data). A hub's text comes once, first among the rows of its partners; a hub with very many partners is
+    spread, and each part has its text.
     """
-    hubs = pairs.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("turn"))
-    asked = hubs.unionByName(pairs.select("a", "b", F.lit(1).alias("turn")))
-    # a hub with very many partners is spread; each part has the hub's text
-    parts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / 256).cast("int").alias("parts"))
-    asked = asked.join(parts, "a").withColumn("part", F.when(F.col("turn") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))))
-    asked = asked.withColumn("part", F.explode("part")).drop("parts")
-    rows = asked.join(texts.select(F.col("node").alias("b"), "data"), "b")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("parts"))
+    hubs = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"))
+    partners = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("turn"))
+    rows = hubs.unionByName(partners).join(texts.select(F.col("node").alias("b"), "data"), "b")
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "turn").select("a", "b", "turn", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
-        for batch in bounded(batches, "data"):
-            found: list[tuple[bytes, bytes, float]] = []
-            for a, b, turn, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                hashes, counts = shingles(word_list(data))
-                own = hashes, levels(hashes, counts, idf)
-                if turn == 0:
-                    hub = own
-                elif (s := similarity(hub, own)) >= least:
-                    found.append((a, b, s))
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.float64())], ["a", "b", "similarity"])
-        forget()
+        for batch in bounded(batches, "data", STEP):
+            sets = shingled(batch.column(3).to_pylist())
+            weight, turn = weights(sets, shares), batch.column(2).to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            first = [*np.flatnonzero(turn == 0).tolist(), batch.num_rows]
+            for lo, hi in zip([-1, *first[:-1]], first, strict=True):
+                if lo >= 0:
+                    part = slice(sets.offsets[lo], sets.offsets[lo + 1])
+                    hub = sets.hashes[part].copy(), weight[part].copy()
+                if lo + 1 < hi:
+                    keep[lo + 1 : hi] = similarities(hub, sets, weight, lo + 1, hi) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+        release()
 
-    return dealt.mapInArrow(run, "a binary, b binary, similarity double")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, alone double, alone_size long): weight and number of each node's shingles that no other of the nodes has.
+def _dealt(rows: DataFrame, block: int, *columns: str) -> DataFrame:
+    """Rows (band, part, turn, columns) of open bands: in each part some nodes outside the main class (turn 0), then all (turn 1).
 
-    texts: (node, data), one row for each node. Shingles are counted by partial sums, so a common one is no hot key.
+    rows: (band, root, main, outside: the band's number of rows outside its main class, columns). A part has about ``block``.
     """
+    rows = rows.withColumn("parts", F.ceil(F.col("outside") / block).cast("int"))
+    own = rows.where("root <> main").select("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("turn"), *columns)
+    once = rows.where("parts = 1").select("band", F.lit(0).alias("part"), F.lit(1).alias("turn"), *columns)
+    more = rows.where("parts > 1").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("turn"), *columns)
+    return own.unionByName(once).unionByName(more).repartition("band", "part").sortWithinPartitions("band", "part", "turn")
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int, int]]:
+    """((band, part), turn, from, to) of rows that follow each other."""
+    band, part, turn = (batch.column(i).to_numpy() for i in range(3))
+    cut = [0, *(np.flatnonzero((np.diff(band) != 0) | (np.diff(part) != 0) | (np.diff(turn) != 0)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        yield (int(band[lo]), int(part[lo])), int(turn[lo]), lo, hi
+
+
+def promising(rows: DataFrame, least: float) -> DataFrame:
+    """The (band, node) of open bands that may be linked to a node of another class there, by samples and totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, told, held_names = None, None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes, roots = batch.column(3).to_pylist(), _bytes(batch.column(4), 16).view(np.uint64)
+            own = (_bytes(batch.column(5), 2 * SAMPLES), batch.column(6).to_numpy(), batch.column(7).to_numpy())
+            found: list[tuple[int, bytes]] = []
+            for at, turn, lo, hi in _runs(batch):
+                part = (*(x[lo:hi] for x in own), roots[lo:hi])
+                if turn == 0:
+                    names = nodes[lo:hi]
+                    if key == at:
+                        held, names = [np.concatenate(x) for x in zip(held, part, strict=True)], held_names + names
+                        told = np.concatenate([told, np.zeros(hi - lo, bool)])
+                    else:
+                        held, told = [x.copy() for x in part], np.zeros(hi - lo, bool)
+                    key, held_names = at, names
+                elif key == at:
+                    step = max(1, (1 << 22) // (len(told) * 2 * SAMPLES))
+                    for s in range(0, hi - lo, step):
+                        tile = [x[s : s + step, None] for x in part]
+                        able = _likely(tuple(tile[:3]), tuple(x[None] for x in held[:3]), least) & (tile[3] != held[3][None]).any(-1)
+                        found += [(at[0], nodes[lo + s + int(i)]) for i in np.flatnonzero(able.any(1))]
+                        fresh = able.any(0) & ~told
+                        found += [(at[0], held_names[int(i)]) for i in np.flatnonzero(fresh)]
+                        told |= fresh
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["band", "node"])
+        release()
+
+    return _dealt(rows, BLOCK, "node", "root", "marks", "weight", "size").mapInArrow(run, "band long, node binary").distinct()
+
+
+def joining(rows: DataFrame, shares: np.ndarray, least: float) -> DataFrame:
+    """Verified links (a, b) between classes of a band; of links that join the same classes in a block one is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "data", 1 << 19):
-            nodes, hashes, weights = [], [], []
-            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, counts = shingles(word_list(data))
-                nodes.append(pa.array([node], pa.binary()).take(pa.array(np.zeros(len(h), np.int8))))
-                hashes.append(h.view(np.int64))
-                weights.append(WEIGHTS[levels(h, counts, idf)])
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(nodes), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(weights))], ["node", "shingle", "weight"])
-        forget()
+        key, texts, names, roots, index, above = None, [], [], [], None, {}
 
-    rows = texts.mapInArrow(run, "node binary, shingle long, weight double")
-    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
-    return single.groupBy("node").agg(F.sum("weight").alias("alone"), F.count("*").alias("alone_size"))
+        def top(x: bytes) -> bytes:
+            while above.get(x, x) != x:
+                x = above[x]
+            return x
+
+        for batch in bounded(batches, "data", STEP):
+            node, root, data = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            found: list[tuple[bytes, bytes]] = []
+            for at, turn, lo, hi in _runs(batch):
+                if turn == 0:
+                    if key != at:
+                        key, texts, names, roots, index, above = at, [], [], [], None, {}
+                    texts, names, roots = texts + data[lo:hi], names + node[lo:hi], roots + root[lo:hi]
+                    continue
+                if key != at:
+                    continue
+                if index is None:
+                    sets = shingled(texts)
+                    w, order = weights(sets, shares), np.argsort(sets.hashes, kind="stable")
+                    owner, sizes = np.repeat(np.arange(len(texts)), np.diff(sets.offsets)), np.diff(sets.offsets)
+                    index, texts = (sets.hashes[order], owner[order], w[order], sizes, np.bincount(owner, w, len(sizes))), []
+                sorted_hashes, owner, w, sizes, totals = index
+                own = shingled(data[lo:hi])
+                own_w = weights(own, shares)
+                for i in range(lo, hi):
+                    part = slice(own.offsets[i - lo], own.offsets[i - lo + 1])
+                    h = own.hashes[part]
+                    first = np.searchsorted(sorted_hashes, h)
+                    times = np.searchsorted(sorted_hashes, h, "right") - first
+                    hit = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    low = np.bincount(owner[hit], np.minimum(w[hit], np.repeat(own_w[part], times)), len(sizes))
+                    common = np.bincount(owner[hit], minlength=len(sizes))
+                    alike = np.maximum(low / (totals + own_w[part].sum() - low), common / (sizes + len(h) - common))
+                    for j in np.flatnonzero(alike >= least).tolist():
+                        x, y = top(roots[j]), top(root[i])
+                        if x != y:
+                            above[x] = y
+                            found.append((names[j], node[i]))
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], ["a", "b"])
+        release()
+
+    return _dealt(rows, TEXT_BLOCK, "node", "root", "data").mapInArrow(run, "a binary, b binary")
+
+
+# ---- Spark: classes -------------------------------------------------------------------------------
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of undirected edges (a, b), the root being the least node of its component.
 
-    Alternates large and small stars until the edges stay the same; every turn is written to the shared folder.
+    Alternates large and small stars until the edges stay the same; every turn is written to the shared folder, and the one
+    before it deleted. Least neighbours are pre-aggregated and joined, so a node with very many edges is no hot window.
     """
+
+    def least(edges: DataFrame) -> DataFrame:
+        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+
     edges, before = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars"), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+        before, old = now, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        star = W.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(star), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.withColumn("m", F.min("v").over(star))
-        small = least.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "stars")
+        large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        small = least(large)
+        edges = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        discard(old)
 
 
-def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """With the root of each row's node; a node without links is its own."""
-    if roots is None:
-        return rows.withColumn("root", F.col("node"))
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The roots after further links between nodes."""
-    if roots is None:
-        return materialize(components(links), "roots")
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    above = components(lifted)
-    old = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return materialize(old.unionByName(above.join(roots, "node", "left_anti").select("node", "root")), "roots")
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of bands that hold several classes, with root, main (the largest class's) and outside (how many are not in it)."""
+    rooted = _rooted(rows, roots)
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    of = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    return rooted.join(of, "band")
+
+
+def _found(texts: DataFrame, least: float) -> DataFrame:
+    """(id, digest, node, root) of every text (id, data) that has words; texts with one root are a class."""
+    shares = document_shares(texts.select("data"))
+    sketches = materialize(sketched(texts, shares), "sketches")
+    nodes = sketches.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("weight", "size", "bands", "marks")))
+
+    # bands that at least two nodes share
+    in_bands = nodes.select("node", "id", F.explode("bands").alias("band"))
+    shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = materialize(in_bands.join(shared, "band"), "bands")
+    # ids only say which texts to look at, as they may be null or clash; nodes say whose text it is
+    central = crowded.groupBy("node").agg(F.sum("n").alias("central"))
+    looked_at = texts.join(crowded.select("id").distinct(), "id", "left_semi").unionByName(texts.where("id is null"))
+    shown = materialize(keyed(looked_at).join(central.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    known = sketches.select("node", "weight", "size", "marks").join(central, "node").dropDuplicates(["node"])
+    rows = materialize(crowded.select("band", "node").join(known, "node"), "crowded")
+
+    # each node with the most central one of its band: of a text and its many copies, that is the text
+    own = ("node", "marks", "weight", "size")
+    hubs = rows.groupBy("band").agg(F.max_by(F.struct(*own), F.struct("central", "node")).alias("hub"))
+    met = rows.join(hubs, "band").where("hub.node <> node").select(F.col("node").alias("b"), *own[1:], F.col("hub.node").alias("a"), *[F.col(f"hub.{c}").alias(f"a_{c}") for c in own[1:]])
+    pairs = materialize(likely(met.dropDuplicates(["a", "b"]), least), "pairs")
+    roots = materialize(components(verified(pairs, shown, shares, least)), "roots")
+
+    # what is left: all nodes of a band outside its largest class, with all nodes of other classes there
+    left = materialize(_open(rows, roots), "open")
+    able = materialize(left.select("band", "node").join(promising(left, least), ["band", "node"], "left_semi"), "promising")
+    asked = _open(able, roots).join(shown, "node")
+    links = joining(asked, shares, least)
+    roots = materialize(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    return _rooted(sketches.select("id", "digest", "node"), roots)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns (id, class_id, class_size long) of every row: the class's smallest id and its number of rows.
 
     Two rows are in one class if a chain of links joins them: equal words, or a verified similarity, weighted or
-    plain, of at least ``least``. Words are what stands between ASCII white space, A-Z lower case. A text that is null, empty or without
-    words is alone. Repeated rows are copies of each other; rows without an id have a class, too, but are not its
-    smallest id. Other columns are not read.
+    plain, of at least ``least``; bands are set for 0.8, below that more links are missed. Words are what stands between
+    ASCII white space, A-Z lower case. A text that is null, empty or without words is alone; an empty table gives an
+    empty result. Texts of any length are compared whole. Repeated rows are copies of each other; different texts with one
+    id are rows of their own; rows without an id have a class, too, but are not its smallest id. Other columns are not read.
     """
     texts = docs.select(F.col(id_column).alias("id"), as_bytes(text_column).alias("data"))
-    found = _found(texts, least)
-    classes = found.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    found = materialize(_found(texts, least).select("id", "root"), "found")
+    classes = materialize(found.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     with_words = found.join(classes, "root").select("id", "class_id", "class_size")
     alone = wordless(texts).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return with_words.unionByName(alone).withColumnRenamed("id", id_column)
 
 
-def _found(texts: DataFrame, least: float) -> DataFrame:
-    """(id, digest, node, root) of every text (id, data) that has words; texts with one root are a class."""
-    idf = document_frequencies(texts.select("data"))
-    sketches = materialize(sketched(texts, idf), "sketches")
-    nodes = sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-
-    # bands that at least two nodes share
-    crowded = nodes.select("node", "id", "weight", "size", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1").drop("n")
-    crowded = materialize(crowded, "bands")
-    # ids only say which texts to look at, as they may be null or clash; nodes say whose text it is
-    looked_at = texts.join(crowded.select("id").distinct(), "id", "left_semi").unionByName(texts.where("id is null"))
-    shown = materialize(keyed(looked_at).join(crowded.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-    def pairs_of(rows: DataFrame, turn: int) -> DataFrame:
-        """Each node of a band with the band's first node in an order, and with the one before it."""
-        key = F.xxhash64(F.lit(turn), "node") if turn else F.lit(0)
-        order = W.partitionBy("band").orderBy(key, "node")
-        own = ("node", "root", "weight", "size")
-        ranked = rows.select(*own, F.struct(*[F.first(c).over(order).alias(c) for c in own]).alias("hub"), F.lag(F.struct(*own)).over(order).alias("last"))
-        met = ranked.select(F.col("node").alias("b"), "root", "weight", "size", F.explode(F.array("hub", "last")).alias("x")).select("b", "root", "weight", "size", F.col("x.node").alias("a"), *[F.col(f"x.{c}").alias(f"a_{c}") for c in own[1:]])
-        return possible(met)
-
-    def possible(met: DataFrame) -> DataFrame:
-        """Distinct pairs of different roots whose total weights or sizes allow the similarity."""
-        near = reduce(or_, [F.least(c, f"a_{c}") >= (least - 1e-9) * F.greatest(c, f"a_{c}") for c in ("weight", "size")])
-        return met.where(F.col("a").isNotNull() & (F.col("root") != F.col("a_root")) & near).select("a", "b").distinct()
-
-    def rest_of(rows: DataFrame) -> DataFrame:
-        """The pairs of different roots in a band, each from its first common band only, as far as a link is possible.
-
-        Two nodes share no more weight, and no more shingles, than either has in shingles that some other node of the
-        open bands has. A node that can't reach the similarity by either bound with any partner in its band goes, a pair
-        that can't meets nowhere.
-        """
-        measures = {"weight": ("alone", "common", "lightest"), "size": ("alone_size", "common_size", "smallest")}
-        rich = rows
-        for _ in range(2):  # nodes that can't be linked go, and what only they share with others is unshared then
-            alone = unshared(shown.join(rich.select("node").distinct(), "node", "left_semi"), idf)
-            known = rich.select("band", "node", "root", *measures).join(alone, "node", "left")
-            for total, (lone, common, lowest) in measures.items():
-                # the lightest partner asks for the least, and any for its similarity's share of the node itself
-                known = known.withColumn(common, F.col(total) - F.coalesce(lone, F.lit(0))).withColumn(lowest, F.min(total).over(W.partitionBy("band")))
-            able = known.where(reduce(or_, [F.col(common) >= (least - 1e-9) * F.greatest(F.col(total), (F.col(total) + F.col(lowest)) / (1 + least)) for total, (_, common, lowest) in measures.items()]))
-            rich = materialize(able.drop("alone", "alone_size", "lightest", "smallest"), "rest")
-        rich = rich.join(nodes.select("node", "bands"), "node")
-        sizes = rich.groupBy("band", "root").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        a = rich.join(largest, "band").where("root <> main").select("band", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("root", "weight", "common", "size", "common_size", "bands")])
-        b = rich.join(largest, "band")
-        reach = reduce(or_, [F.least(common, f"a_{common}") >= (least - 1e-9) * (F.col(total) + F.col(f"a_{total}") - F.least(common, f"a_{common}")) for total, (_, common, _) in measures.items()])
-        place = F.array_position("bands", F.col("band"))
-        earlier = reduce(or_, [(place > i + 1) & (F.col("bands")[i] == F.col("a_bands")[i]) for i in range(2 * BANDS - 1)])
-        return a.join(b, "band").where((F.col("root") != F.col("a_root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))) & reach & ~earlier).select("a", F.col("node").alias("b"))
-
-    roots, tested = None, None
-    for turn in range(3):
-        rows = materialize(_rooted(crowded, roots).withColumn("open", F.min("root").over(W.partitionBy("band")) != F.max("root").over(W.partitionBy("band"))).where("open"), "open")
-        if turn < 2:
-            pairs = pairs_of(rows, turn)
-        else:  # what is left: all nodes of a band outside its largest class, with all nodes of other classes there
-            pairs = rest_of(rows)
-        # the smaller node first, so that a pair met from both sides is one
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():  # the last turn may still find some
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = materialize(verified(pairs, shown, idf, least), "links")
-        if not links.isEmpty():
-            roots = _merged(roots, links.select("a", "b"))
-
-    return _rooted(sketches.select("id", "digest", "node"), roots)
-
-
 def one_of_each(docs: DataFrame, least: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one document of each class: the one with the smallest id stays.
 
-    Different texts may have one id, each is kept or dropped with its own class. Of several rows of a class with that id
-    the first by text stays. Rows without an id stay as they are. All columns stay.
+    Of several texts of a class with that id the one with the smallest MD5 stays, of repeated rows one. Rows without an id
+    come last, so such a row stays where its whole class has none. Different texts may share an id; each is kept or dropped
+    with its own class. Texts without words are no copies of each other: all of their rows stay. All columns stay.
     """
     texts = docs.select(F.col(id_column).alias("id"), as_bytes(text_column).alias("data"))
-    found = _found(texts, least).where("id is not null")
-    smallest = found.groupBy("root").agg(F.min("id").alias("id"))
-    alone = wordless(texts.where("id is not null")).select("id", digest("data").alias("digest"), digest("data").alias("root"))
-    kept = found.join(smallest, ["root", "id"]).select("id", "digest", "root").unionByName(alone).distinct()
-    kept = kept.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("root").alias("__root"))
-    marked = docs.withColumn("__key", digest(as_bytes(text_column)))
-    order = W.partitionBy(id_column, "__root").orderBy(text_column)
-    with_id = marked.join(kept, (F.col(id_column) == F.col("__id")) & (F.col("__key") == F.col("__digest"))).withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return with_id.select(docs.columns).unionByName(docs.where(F.col(id_column).isNull()))
+    found = _found(texts, least)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "digest")).alias("x"))
+    kept = chosen.select(F.col("x.id").alias("__id"), F.col("x.digest").alias("__digest"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = (names[docs.columns.index(c)] for c in (id_column, text_column))
+    marked = docs.toDF(*names).withColumn("__data", as_bytes(text_at)).withColumn("__key", digest("__data"))
+    empty = ~F.col("__data").cast("string").rlike(r"[^\x09-\x0D\x20]")
+    with_words = marked.where(~empty).join(kept, F.col(id_at).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")))
+    first = with_words.withColumn("__n", F.row_number().over(W.partitionBy(id_at, "__key").orderBy(F.lit(0)))).where("__n = 1")
+    return first.select(names).unionByName(marked.where(empty).select(names)).toDF(*docs.columns)

@@ -1,7 +1,10 @@
 """Exact top-k, license scans and near duplicates against brute force."""
 
+import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,15 +101,14 @@ def test_neighbouring_notices_against_brute_force():
 
 
 def brute(rows, least=0.8):
-    """Classes by plain weighted Jaccard of all pairs, with the operator's own weights."""
-    tot, sets = np.zeros(neardup.DF_BUCKETS), {}
+    """Classes by weighted or plain Jaccard of all pairs, with exact document frequencies."""
+    sets = {}
     for i, t in rows:
-        h, c = neardup.shingles(neardup.word_list((t or "").encode()))
-        if len(h):
-            np.add.at(tot, (h % np.uint64(neardup.DF_BUCKETS)).astype(int), 1)
-            sets[i] = (h, c)
-    idf = np.log1p(len(sets) / (tot + neardup.SMOOTH * len(sets)))
-    own = {i: (h, neardup.levels(h, c, idf)) for i, (h, c) in sets.items()}
+        words = (t or "").lower().split()
+        if words:
+            sets[i] = Counter(tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4)))
+    df = Counter(s for c in sets.values() for s in c)
+    idf = {s: math.log1p(len(sets) / (n + neardup.SMOOTH * len(sets))) for s, n in df.items()}
     root = {i: i for i, _ in rows}
 
     def find(x):
@@ -114,12 +116,13 @@ def brute(rows, least=0.8):
             x = root[x]
         return x
 
-    keys = sorted(own)
-    for a in keys:
-        for b in keys:
-            if a < b and neardup.similarity(own[a], own[b]) >= least:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        low = sum(min(n, y[s]) * idf[s] for s, n in x.items() if s in y)
+        weighted = low / (sum(n * idf[s] for s, n in x.items()) + sum(n * idf[s] for s, n in y.items()) - low)
+        if max(weighted, len(x.keys() & y) / len(x.keys() | y)) >= least:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
     return {i: find(i) for i, _ in rows}
 
 
@@ -155,7 +158,9 @@ def test_repeated_rows_and_missing_ids(spark):
     rows = neardup.near_duplicates(df).collect()
     assert sorted((r["doc_id"] or 0, r["class_id"], r["class_size"]) for r in rows) == [(0, 5, 4), (5, 5, 4), (5, 5, 4), (7, 5, 4), (8, 8, 1)]
     kept = sorted((r["doc_id"] or 0) for r in neardup.one_of_each(df).collect())
-    assert kept == [0, 5, 8]
+    assert kept == [5, 8]
+    kept = neardup.one_of_each(df.where("doc_id is null or doc_id = 8").withColumn("doc_id", F.expr("nullif(doc_id, 8)"))).collect()
+    assert sorted(r["text"] for r in kept) == ["other words here", text]
 
 
 def test_nothing_to_compare(spark):
@@ -165,11 +170,37 @@ def test_nothing_to_compare(spark):
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(2)
     shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (600, 200, 200))
-    x, y = np.unique(np.concatenate([shared, a])), np.unique(np.concatenate([shared, b]))
-    level = lambda h: (h % np.uint64(5)).astype(np.int64) + 4
-    true = neardup.similarity((x, level(x)), (y, level(y)))
-    agree = (neardup.signature(x, level(x)) == neardup.signature(y, level(y))).mean()
-    assert abs(agree - true) < 0.15
+    parts = [np.sort(np.concatenate([shared, x])) for x in (a, b)]
+    sets = neardup.Sets(np.concatenate(parts), np.ones(1600, np.int64), np.array([0, 800, 1600]), [])
+    weight = 1 + (sets.hashes % np.uint64(5)).astype(float)
+    true = neardup.similarities((parts[0], weight[:800]), sets, weight, 1, 2)[0]
+    weighted, plain = neardup.signatures(sets, weight)
+    assert true >= 0.6 and abs((weighted[0] == weighted[1]).mean() - true) < 0.15
+    assert abs((plain[0] == plain[1]).mean() - 0.6) < 0.15
+
+
+def test_words_by_windows(monkeypatch):
+    """Texts of megabytes and words longer than a window hash like their parts elsewhere."""
+    rng = random.Random(5)
+    words = [b"".join(rng.choice([b"a", b"Zz", "ж".encode()]) for _ in range(rng.choice([1, 3, 9, 700]))) for _ in range(3000)]
+    long = b"Q" * (neardup.WINDOW // 2) + b"x"
+    words[100], words[2000], words[2001] = long, long * 5, long
+    text = b"".join(w + rng.choice([b" ", b"\n\t "]) for w in words)
+    assert len(text) > 4 * neardup.WINDOW
+    own = {w: neardup.word_hashes(w + b" ")[1][0] for w in set(words)}
+    assert neardup.word_hashes(text)[1].tolist() == [own[w] for w in words]
+    assert own[long] == neardup.word_hashes(long.lower() + b" ")[1][0] and len(set(own.values())) == len(own)
+    sets = neardup.shingled([text, b"", b" \n", b"one", text.lower()])
+    assert np.diff(sets.offsets).tolist() == [2996, 0, 0, 1, 2996] and sets.node(0) == sets.node(4)
+
+
+def test_long_texts_among_short_ones(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    long = [word() for _ in range(400_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-30_000], *(word() for _ in range(30_000))])), (3, " ".join(long[:250_000])), (4, "short"), (5, "x" * 3_000_000), (6, "X" * 3_000_000)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
 
 
 @pytest.mark.parametrize(("rows", "share", "edited"), [(360, 3, 3), (300, 10, 5)])
@@ -203,22 +234,25 @@ def test_large_group_against_plain_jaccard(spark, rows, share, edited):
     assert got == {i: find(i) for i in range(rows)}
 
 
-def test_last_turn_runs_without_pairs_before(spark, monkeypatch):
-    """One band of four nodes; only the second and the fourth are alike, and all other pairs differ too much in size."""
-    node = lambda text: neardup.xxhash.xxh3_128_digest(text.encode())
-    for seed in range(1000):
-        rng = random.Random(seed)
-        word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
-        base = [word() for _ in range(100)]
-        texts = [[word() for _ in range(10)], base, [word() for _ in range(400)], [*base[:-1], word()]]
-        texts = [" ".join(t) for t in texts]
-        if texts == sorted(texts, key=node):
-            break
+def test_blocks_of_one_band(spark, monkeypatch):
+    """One band of all nodes, in blocks of two: what the hub does not reach is found by blocks, chains of links included."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, texts = [word() for _ in range(100)], []
+    for _ in range(4):
+        texts.append(" ".join(base))
+        at = rng.randrange(50)
+        base = [*base[:at], word(), *base[at + 1 :], word()]
+    texts += [" ".join(word() for _ in range(n)) for n in (90, 100, 110, 400)]
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "TEXT_BLOCK", 2)
     sketched = neardup.sketched
     one_band = lambda *args: sketched(*args).withColumn("bands", F.array(F.lit(7).cast("long"), *[F.xxhash64("node", F.lit(i)) for i in range(1, 2 * neardup.BANDS)]))
     monkeypatch.setattr(neardup, "sketched", one_band)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+    want = brute(list(enumerate(texts)))
+    assert {want[i] for i in range(4)} == {0}
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == want
 
 
 def near_pair():
@@ -237,5 +271,7 @@ def test_different_texts_with_one_id(spark):
     own = " ".join(f"x{i}" for i in range(60))
     rows = [(3, first), (5, second), (5, own), (5, own + " "), (7, " "), (7, own + " more words"), (9, ""), (9, ""), (11, "one text"), (11, "two texts")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted((r["doc_id"], r["text"]) for r in neardup.one_of_each(df).collect())
-    assert kept == sorted([(3, first), (5, own), (7, " "), (9, ""), (11, "one text"), (11, "two texts")])
+    kept = sorted((r["doc_id"], r["text"].strip()) for r in neardup.one_of_each(df).collect())
+    assert kept == sorted([(3, first), (5, own), (7, ""), (9, ""), (9, ""), (11, "one text"), (11, "two texts")])
+    repeated = neardup.one_of_each(spark.createDataFrame([(5, own, 1), (5, own, 2)], "doc_id long, text string, __id int")).collect()
+    assert len(repeated) == 1
