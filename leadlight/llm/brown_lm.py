@@ -1,50 +1,45 @@
 """Language-model scores by Brown's class-based bigrams.
 
-Every word has one class; P(text) is the product of class transitions and word emissions, smoothed, from
-the start of a text to its end token. Classes come from exchange clustering: an item moves to the class
-that raises the likelihood of the class bigrams most. It starts on the driver with a table of fixed bound, of the
-frequent words (a share of 1/HEADS of all training tokens, so at most HEADS of them) and BUCKETS groups by word ending
-of the rest, until none moves or for PASSES passes. Then every word that stands LEAST times or more is an item of its own:
-its counts beside each class are summed in Spark, and all of them are exchanged at once against the class bigrams, for
-TURNS turns or until the likelihood no longer rises. Rarer words keep the class of their group.
-
-Counts of single words know no bound, so they never come to the driver or to every task. Texts are packed
-into chunks; a chunk's distinct words with their counts are shuffled by word, summed over all chunks, and
-sent back to the chunk, whose texts are then scored with a dictionary of their own words.
+Every word has one class; P(text) is the product of class transitions and word emissions, smoothed, from the start of a
+text to its end token. Classes come from exchange clustering: an item moves to the class that raises the likelihood of the
+class bigrams most. The HEADS most frequent words are exchanged one by one on the driver until none moves or for PASSES
+passes. Then every other word that stands LEAST times or more in training is exchanged, all of them at once, by its own
+counts beside each class, which Spark sums over all texts: that vocabulary grows with the input. Rarer and unknown words
+have one class for each shape (letters, digits, beyond ASCII, other signs).
+
+Counts of words know no bound, so they never come to the driver or to every task. Texts are packed into chunks of numbered
+words. A chunk sends its distinct words, by ranges of their hashes, with counts, and later with counts beside classes; each
+range sums over all chunks and answers every chunk with the sums, and later the classes, of its words in their order. So a
+common word costs one entry for each chunk of CHUNK bytes, not a row, and ranges are alike in size. There are RANGES ranges
+for each of the session's shuffle partitions; a task holds one range at a time.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.ipc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadlight.llm.common import as_bytes, bounded, materialize
+from leadlight.llm.common import as_bytes, bounded, discard, materialize, release
+from leadlight.llm.words import SHAPES, word_hashes, word_shapes
 
-HEADS, BUCKETS, CLASSES, PASSES = 512, 128, 48, 12
-#: Words that stand as often are items of the distributed exchange; its turns, each of which reads all texts again.
-LEAST, TURNS = 10, 2
+HEADS, CLASSES, PASSES = 512, 48, 12
+#: Words that stand as often are items of the distributed exchange.
+LEAST = 10
 #: Bytes of text of a chunk; a longer single text makes a chunk of its own.
-CHUNK = 12 << 20
+CHUNK = 32 << 20
+#: Ranges of word hashes for each shuffle partition, at least.
+RANGES = 4
 #: Weight of the class frequencies in a transition's probability.
 PRIOR = 20.0
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-END = b""
-
-
-def bucket(word: bytes) -> int:
-    """The group of a word by its ending."""
-    return zlib.crc32(word[-3:]) % BUCKETS
+#: Class 0 is the end of a text, 1 to SHAPES are rare words, then come those of the exchange.
+FIRST = 1 + SHAPES
 
 
 # ---- exchange clustering --------------------------------------------------------------------------
@@ -62,7 +57,7 @@ def _gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, same: float)
     d = np.diag(table)
     gain += _xlogx(d + right + left + same) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
     gain -= _xlogx(rows + right.sum() + same) - _xlogx(rows) + _xlogx(columns + left.sum() + same) - _xlogx(columns)
-    gain[0] = -np.inf
+    gain[:FIRST] = -np.inf
     return gain
 
 
@@ -79,30 +74,25 @@ def best_class(table: np.ndarray, c: int, right: np.ndarray, left: np.ndarray, s
     return c if gain[best] <= gain[c] + 1e-9 else best
 
 
-def likelihood(table: np.ndarray) -> float:
-    """The part of the log likelihood of the class bigrams that the classes decide."""
-    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
-
-
 def transitions_of(table: np.ndarray) -> np.ndarray:
     """log10 transition probabilities, smoothed by the class frequencies."""
     share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * len(table))
     return np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
-    """The class of each item from its bigram counts (item x item); item 0, the end, keeps class 0 for itself.
+def exchange(pairs: np.ndarray, fixed: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
+    """The class of each item from its bigram counts (item x item).
 
-    Items start round robin by frequency. Ties go to the lower class.
+    The first items have the classes ``fixed``, below FIRST; the others go to ``classes`` classes from FIRST on, start round
+    robin by frequency and are exchanged one by one. Ties go to the lower class.
     """
-    n = len(pairs)
+    n, k = len(pairs), len(fixed)
     pairs = pairs.astype(np.float64)
-    classes = max(2, min(classes, n))
     weight = pairs.sum(0) + pairs.sum(1)
-    order = 1 + np.argsort(-weight[1:], kind="stable")
-    of = np.zeros(n, int)
-    of[order] = 1 + np.arange(n - 1) % (classes - 1)
-    member = np.zeros((n, classes))
+    order = k + np.argsort(-weight[k:], kind="stable")
+    of = np.concatenate([fixed, np.zeros(n - k, np.int64)]).astype(np.int64)
+    of[order] = FIRST + np.arange(n - k) % classes
+    member = np.zeros((n, FIRST + classes))
     member[np.arange(n), of] = 1
     table = member.T @ pairs @ member
     for _ in range(passes):
@@ -131,286 +121,360 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     return of
 
 
-@dataclass(frozen=True)
-class ClassModel:
-    """Classes of items, log10 transitions, and of each class its tokens and distinct words."""
+def class_table(pairs: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
+    """Class bigram counts of items' bigram counts."""
+    member = np.zeros((len(of), classes))
+    member[np.arange(len(of)), of] = 1
+    return member.T @ pairs @ member
 
-    heads: dict[bytes, int]
-    of: np.ndarray
-    transitions: np.ndarray
-    tokens: np.ndarray
-    types: np.ndarray
 
-    def item(self, word: bytes) -> int:
-        """0 for the end, then the frequent words, then the buckets."""
-        if word == END:
-            return 0
-        return self.heads.get(word) or 1 + len(self.heads) + bucket(word)
+def emissions(counts: np.ndarray, classes: np.ndarray, tokens: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """log10 probability of a word of that count in its class; half a count each, and for one unseen word."""
+    return np.log10((counts + 0.5) / (tokens[classes] + 0.5 * (types[classes] + 1)))
 
-    def emission(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of a word of that count in its class; half a count each, and for one unseen word."""
-        return np.log10((counts + 0.5) / (self.tokens[classes] + 0.5 * (self.types[classes] + 1)))
 
+# ---- chunks ---------------------------------------------------------------------------------------
 
-def class_model(heads: dict[bytes, int], pairs: np.ndarray, tokens: np.ndarray, types: np.ndarray) -> ClassModel:
-    """A model from bigram counts, tokens and distinct words of the items."""
-    of = exchange(pairs)
-    n = max(2, int(of.max()) + 1)
-    member = np.zeros((len(of), n))
-    member[np.arange(len(of)), of] = 1
-    table = member.T @ pairs @ member
-    return ClassModel(heads, of, transitions_of(table), tokens @ member, types @ member)
+_chunk = "chunk long, docs binary, lengths binary, hashes binary, order binary, counts binary, shapes binary, low binary, mid binary, high binary"
 
 
-# ---- Spark ----------------------------------------------------------------------------------------
+def _press(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
-def _pack(ids: list, held: list, texts: list, id_type: pa.DataType) -> bytes:
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(texts, pa.binary())], ["id", "held", "data"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _read(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
 
+class Chunk:
+    """Texts as numbers of distinct words, the most frequent first.
 
-def _unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
+    docs: Arrow table (id, held). lengths: words of each text. hashes: of the distinct words, ascending; order: their
+    numbers; counts (in training texts) and shapes of the words in the order of hashes. words: the numbers of all texts' words.
+    """
+
+    def __init__(self, row: dict) -> None:
+        self.docs = pa.ipc.open_stream(row["docs"]).read_all()
+        self.number, self.lengths, self.order = row["chunk"], _read(row["lengths"], np.int64), _read(row["order"], np.int32)
+        self.hashes = _read(row["hashes"], np.uint64) if row.get("hashes") else None
+        self.counts, self.shapes = _read(row["counts"], np.int64), _read(row["shapes"], np.uint8)
+        low, mid, high = (_read(row[c], k) for c, k in (("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
+        self.words = high.astype(np.int32) << 16 | mid.astype(np.int32) << 8 | low
+
+    def training(self) -> np.ndarray:
+        """The numbers of all training texts' words, each text between ends; the end's number is that of distinct words."""
+        held = self.docs.column("held").to_numpy()
+        words, lengths = self.words[np.repeat(~held, self.lengths)], self.lengths[~held]
+        return np.insert(words, np.concatenate([[0], np.cumsum(lengths)]), len(self.order)) if len(lengths) else np.zeros(0, np.int32)
+
+    def numbered(self, of_hashes: np.ndarray, of_end: float) -> np.ndarray:
+        """Values by number, from those of the words in the order of hashes and the end's."""
+        out = np.empty(len(self.order) + 1, of_hashes.dtype)
+        out[self.order], out[-1] = of_hashes, of_end
+        return out
+
+    def ranges(self, bits: int, only: np.ndarray | None = None) -> Iterator[tuple[int, slice]]:
+        """Each range of hashes (their leading bits) that has words, and where those stand among ``only`` (or all) of them."""
+        hashes = self.hashes if only is None else self.hashes[only]
+        cut = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+        for r in np.flatnonzero(np.diff(cut)).tolist():
+            yield r, slice(cut[r], cut[r + 1])
+
+
+def _packed(number: int, ids: list, held: list, texts: list, id_type: pa.DataType) -> dict:
+    """A chunk's row."""
+    blob = b" ".join(texts) + b" "
+    starts, hashes = word_hashes(blob)
+    lengths = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+    own, first, at, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    order = np.empty(len(own), np.int32)
+    order[np.argsort(-times, kind="stable")] = np.arange(len(own), dtype=np.int32)
+    words = order[at]
+    counts = np.bincount(at[np.repeat(~np.array(held, bool), lengths)], minlength=len(own))
+    sink = pa.BufferOutputStream()
+    docs = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(held, pa.bool_())], ["id", "held"])
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(docs)
+    parts = {"lengths": lengths, "hashes": own, "order": order, "counts": counts, "shapes": word_shapes(blob, starts)[first], "low": (words & 255).astype(np.uint8), "mid": (words >> 8 & 255).astype(np.uint8), "high": (words >> 16).astype(np.uint16)}
+    return {"chunk": number, "docs": sink.getvalue().to_pybytes()} | {k: _press(v) for k, v in parts.items()}
 
 
 def chunked(docs: DataFrame, held_out: object, id_column: str, text_column: str) -> DataFrame:
-    """Rows (chunk, blob, word, n): for each chunk its packed texts, and its distinct words with their training counts."""
+    """Rows of chunks."""
+    schema = pa.schema([("chunk", pa.int64()), *((x.split()[0], pa.binary()) for x in _chunk.split(", ")[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        ids, held, texts, counts, size = [], [], [], Counter(), 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, size
-            if not ids:
-                return
-            chunk = f"{task}-{number}"
-            blob = _pack(ids, held, texts, id_type)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([blob], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.int64())], names)
-            words = list(counts)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part)), pa.nulls(len(part), pa.binary()), pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], names)
-            number, size = number + 1, 0
-            for x in (ids, held, texts, counts):
-                x.clear()
-
-        names = ["chunk", "blob", "word", "n"]
+        number, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, size, ids, held, texts
+            row = _packed(number, ids, held, texts, id_type)
+            number, ids, held, texts, size = number + 1, [], [], [], 0
+            return pa.RecordBatch.from_pylist([row], schema)
+
         for batch in bounded(batches, "data"):
             id_type = batch.column(0).type
-            for doc, out, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = data.translate(LOWER)
-                words = data.split()
-                if out:
-                    for w in words:
-                        if w not in counts:
-                            counts[w] = 0
-                    counts[END] += 0
-                else:
-                    counts.update(words)
-                    counts[END] += 1
-                ids.append(doc)
-                held.append(out)
-                texts.append(data)
-                size += len(data) + 100
-                if size >= CHUNK:
-                    yield from flush()
-        yield from flush()
+            if size and size + batch.column(2).nbytes > CHUNK:
+                yield flush()
+            ids += batch.column(0).to_pylist()
+            held += batch.column(1).to_pylist()
+            texts += batch.column(2).to_pylist()
+            size += batch.column(2).nbytes
+        if ids:
+            yield flush()
+        release()
 
     rows = docs.select(F.col(id_column).alias("id"), held_out.alias("held"), as_bytes(text_column).alias("data"))
-    return rows.mapInArrow(run, "chunk string, blob binary, word binary, n long")
+    return rows.mapInArrow(run, _chunk)
 
 
-def _seeded(words: DataFrame, seed: ClassModel) -> DataFrame:
-    """(word, c, class) with the class that the driver's exchange gives a word or its group."""
+def _each(chunks: DataFrame, make: object, kind: str) -> DataFrame:
+    """What ``make`` yields for every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = seed.of[np.fromiter(map(seed.item, batch.column(0).to_pylist()), np.int64, batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int32())], ["word", "c", "class"])
+            for i in range(batch.num_rows):
+                yield from make(Chunk(batch.slice(i, 1).to_pylist()[0]))
+        release()
 
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, class int")
+    return chunks.mapInArrow(run, kind)
 
 
-def _class_sizes(words: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each of n classes."""
-    tokens, types = np.zeros(n), np.zeros(n)
-    for r in words.groupBy("class").agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect():
-        tokens[r["class"]], types[r["class"]] = r["tokens"], r["types"]
-    return tokens, types
+def _by_range(parts: DataFrame, make: object, kind: str) -> DataFrame:
+    """What ``make`` yields for the rows (as dicts) of every value of ``range``; a task holds those of one at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and rows[0]["range"] != row["range"]:
+                    yield from make(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from make(rows)
+        release()
 
-#: One count of an item's neighbours: n + n classes before and behind which it stands, then itself.
-ENTRY = np.dtype([("key", "<u2"), ("n", "<i8")])
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(run, kind)
 
 
-def _sparse(words: pa.Array, of: np.ndarray, keys: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
-    """(word, class, counts) from ascending keys word * width + entry and their counts."""
-    rows = keys // width
-    starts = np.flatnonzero(np.diff(rows, prepend=-1))
-    entries = np.empty(len(keys), ENTRY)
-    entries["key"], entries["n"] = keys % width, counts
-    ends = np.append(starts, len(keys)).astype(np.int32) * ENTRY.itemsize
-    at = rows[starts]
-    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(entries.tobytes())])
-    return pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(of[at], pa.int32()), packed], ["word", "class", "counts"])
+def _summed(rows: DataFrame, key: str, value: str, size: int) -> np.ndarray:
+    """Sums of (key, value) rows as an array of ``size``, which bounds what comes to the driver."""
+    found = rows.groupBy(key).agg(F.sum(value).alias(value)).toArrow()
+    total = np.zeros(size, np.int64)
+    total[found.column(key).to_numpy()] = found.column(value).to_numpy()
+    return total
 
 
-def _entries(counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The row, key and count of every entry of a column of packed counts."""
-    flat = np.frombuffer(b"".join(counts.to_pylist()), ENTRY)
-    sizes = pc.binary_length(counts).to_numpy(zero_copy_only=False) // ENTRY.itemsize
-    return np.repeat(np.arange(len(counts)), sizes), flat["key"].astype(np.int64), flat["n"]
+def _counted(pairs: np.ndarray, size: int) -> pa.RecordBatch:
+    total = np.bincount(pairs, minlength=size)
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, place = np.unique(keys, return_inverse=True)
-    return own, np.bincount(place, weights=counts, minlength=len(own)).astype(np.int64)
+# ---- counts of words ------------------------------------------------------------------------------
 
+#: Rows of answers to chunks, and rows of sums (chunk null): of what, in which class, how many words and tokens.
+_answers = "chunk long, range int, answer binary, kind string, class int, types long, tokens long, word binary"
+_answer_schema = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("answer", pa.binary()), ("kind", pa.string()), ("class", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64()), ("word", pa.binary())])
 
-def _neighbours(blobs: DataFrame, items: DataFrame, seed: ClassModel) -> DataFrame:
-    """(word, class, counts binary) of every item: how often it stands before and behind each class, and before itself.
 
-    items: (chunk, word, class). Of all other words together there is one row for each class, its word a space and the
-    class; the end is that of class 0. counts hold what is not zero.
-    """
-    n = len(seed.transitions)
-    width = 2 * n + 1
+def _answered(rows: list[dict], at: np.ndarray, values: np.ndarray, sums: list[dict]) -> pa.RecordBatch:
+    """To each chunk's row of a range the values of its words (``at`` says which), and rows of sums."""
+    cut = np.cumsum([0, *(r["size"] for r in rows)])
+    answers = [{"chunk": r["chunk"], "range": r["range"], "answer": _press(values[at[lo:hi]])} for r, lo, hi in zip(rows, cut[:-1], cut[1:], strict=True)]
+    return pa.RecordBatch.from_pylist(answers + sums, _answer_schema)
 
-    def count(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words = known.column("word").to_pylist()
-        m = len(words)
-        index = dict(zip(words, range(m), strict=True))
-        of = np.concatenate([known.column("class").to_numpy().astype(np.int64), np.arange(n)])
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        pending: list[np.ndarray] = []
-
-        def add() -> None:
-            at = np.concatenate(pending)
-            between = np.cumsum([len(x) for x in pending])[:-1] - 1  # one text's end and the next one's start
-            a, b = np.delete(at[:-1], between), np.delete(at[1:], between)
-            parts.append(np.unique(np.concatenate([a * width + of[b], b * width + n + of[a], a[a == b] * width + 2 * n]), return_counts=True))
-            pending.clear()
-
-        size = 0
-        for blob in texts.column("blob"):
-            packed = _unpack(blob.as_py())
-            for out, data in zip(packed.column("held").to_pylist(), packed.column("data").to_pylist(), strict=True):
-                if out:
-                    continue
-                split = data.split()
-                for w in set(split).difference(index):
-                    index[w] = m + int(seed.of[seed.item(w)])
-                at = np.full(len(split) + 2, m, np.int64)
-                at[1:-1] = np.fromiter(map(index.__getitem__, split), np.int64, len(split))
-                pending.append(at)
-                size += len(at)
-                if size > 1 << 19:
-                    add()
-                    size = 0
-        if pending:
-            add()
-        names = pa.concat_arrays([pa.array(words, pa.binary()), pa.array([b" " + bytes([c]) for c in range(n)], pa.binary())])
-        keys, counts = _summed(*map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.Table.from_batches([_sparse(names, of, keys, counts, width)])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in bounded(batches, "counts", 1 << 20):
-            if last is not None:
-                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            words = batch.column(0)
-            new = np.ones(len(words), bool)
-            if len(words) > 1:
-                new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
-            row, key, counts = _entries(batch.column(2))
-            keys, counts = _summed((np.cumsum(new) - 1)[row] * width + key, counts)
-            first = np.flatnonzero(new)
-            done = _sparse(words.take(pa.array(first)), batch.column(1).to_numpy()[first], keys, counts, width)
-            last = done.slice(done.num_rows - 1)
-            yield done.slice(0, done.num_rows - 1)
-        if last is not None:
-            yield last
-
-    kind = "word binary, class int, counts binary"
-    parts = blobs.groupBy("chunk").cogroup(items.groupBy("chunk")).applyInArrow(count, kind)
-    return parts.repartition("word").sortWithinPartitions("word").mapInArrow(total, kind)
-
-
-def _class_table(neighbours: DataFrame, n: int) -> np.ndarray:
-    """Class bigram counts; n * n rows at most come to the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((n, n), np.int64)
-        for batch in batches:
-            row, key, counts = _entries(batch.column(1))
-            behind = key < n
-            pair = batch.column(0).to_numpy().astype(np.int64)[row[behind]] * n + key[behind]
-            table += np.bincount(pair, weights=counts[behind], minlength=n * n).astype(np.int64).reshape(n, n)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at])], ["pair", "n"])
+def _word_counts(chunks: DataFrame, bits: int) -> DataFrame:
+    """Training counts over all chunks of every chunk's words (int64, by range); sums: seen words by shape, most frequent words."""
+
+    def send(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        rows = [{"chunk": chunk.number, "range": r, "size": s.stop - s.start, "hashes": _press(chunk.hashes[s]), "counts": _press(chunk.counts[s]), "shapes": _press(chunk.shapes[s])} for r, s in chunk.ranges(bits)]
+        if rows:
+            yield pa.RecordBatch.from_pylist([{k: int(v) if k == "size" else v for k, v in r.items()} for r in rows], pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("size", pa.int64()), *((c, pa.binary()) for c in ("hashes", "counts", "shapes"))]))
+
+    def add(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        own, first, at = np.unique(np.concatenate([_read(r["hashes"], np.uint64) for r in rows]), return_index=True, return_inverse=True)
+        total = np.bincount(at, np.concatenate([_read(r["counts"], np.int64) for r in rows])).astype(np.int64)
+        shapes = np.concatenate([_read(r["shapes"], np.uint8) for r in rows])[first]
+        seen = total > 0
+        # counts of counts below LEAST tell the rare words; the rest is known by class later
+        sums = [{"kind": "shape", "class": 1 + k, "types": int((seen & (shapes == k)).sum()), "tokens": int(total[shapes == k].sum())} for k in range(SHAPES)]
+        sums += [{"kind": "rare", "class": 1 + k, "types": int((low := seen & (shapes == k) & (total < LEAST)).sum()), "tokens": int(total[low].sum())} for k in range(SHAPES)]
+        top = np.lexsort((own, -total))[:HEADS]
+        sums += [{"kind": "top", "class": int(1 + shapes[i]), "tokens": int(total[i]), "word": own[i].tobytes()} for i in top.tolist() if total[i]]
+        yield _answered(rows, at, total, sums)
 
-    table = np.zeros(n * n)
-    for r in neighbours.select("class", "counts").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        table[r["pair"]] = r["n"]
-    return table.reshape(n, n)
+    return _by_range(_each(chunks, send, "chunk long, range int, size long, hashes binary, counts binary, shapes binary"), add, _answers)
 
 
-def _moved(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, class) of every item after all of them moved at once."""
+def _head_pairs(chunks: DataFrame, heads: np.ndarray) -> np.ndarray:
+    """Bigram counts of the end, other words by shape, and ``heads`` (word hashes, ascending)."""
+    size = FIRST + len(heads)
+
+    def make(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        of, _ = _head_classes(chunk, heads, FIRST + np.arange(len(heads)))
+        path = chunk.numbered(of, 0)[chunk.training()]
+        yield _counted(path[:-1] * size + path[1:], size * size)
+
+    return _summed(_each(chunks, make, "pair long, n long"), "pair", "n", size * size).reshape(size, size)
+
+
+def _head_classes(chunk: Chunk, heads: np.ndarray, of_heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each word in the order of hashes, that of its shape where it is no head, and which are heads."""
+    of, head = 1 + chunk.shapes.astype(np.int64), np.zeros(len(chunk.hashes), bool)
+    here = np.isin(heads, chunk.hashes)
+    at = np.searchsorted(chunk.hashes, heads[here])
+    of[at], head[at] = of_heads[here], True
+    return of, head
+
+
+# ---- counts beside classes ------------------------------------------------------------------------
+
+#: One count of an item's neighbours: the class before which it stands, or n + the class behind which, or 2n for itself.
+ENTRY = np.dtype([("key", "u1"), ("n", "<u2")])
+MOST = (1 << 16) - 1
+
+
+def _entries(keys: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and entries from keys row * width + entry; a count above MOST makes several entries."""
+    times = (counts - 1) // MOST + 1
+    entries = np.empty(int(times.sum()), ENTRY)
+    entries["key"], entries["n"] = np.repeat(keys % width, times), MOST
+    entries["n"][np.cumsum(times) - 1] = (counts - 1) % MOST + 1
+    return np.repeat(keys // width, times), entries
+
+
+def _placed(chunks: DataFrame, bits: int, heads: np.ndarray, of_heads: np.ndarray, table: np.ndarray) -> DataFrame:
+    """The class of every chunk's words (uint8, by range) after all words with LEAST or more have been exchanged at once.
+
+    A word's own counts beside each class are summed over all chunks; heads keep their classes, rarer words those of their
+    shapes. table: class bigrams before. Sums: words of LEAST and more by class.
+    """
     n = len(table)
+    width = 2 * n + 1
+
+    def send(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        of, head = _head_classes(chunk, heads, of_heads)
+        words, path = chunk.training(), None
+        path = chunk.numbered(of, 0)[words]
+        item = np.full(len(of), -1)
+        sent = np.flatnonzero(~head)
+        item[sent] = np.arange(len(sent))
+        own_item = chunk.numbered(item, -1)[words]
+        rows, entries = [np.zeros(0, np.int64)], [np.zeros(0, ENTRY)]
+        for lo in range(0, len(sent), 1 << 16):  # a table of some items at a time
+            place = np.flatnonzero((own_item >= lo) & (own_item < lo + (1 << 16)))
+            base = (own_item[place] - lo) * width
+            twice = words[place] == words[place + 1]
+            total = np.bincount(np.concatenate([base + path[place + 1], base + n + path[place - 1], base[twice] + 2 * n]), minlength=1)
+            keys = np.flatnonzero(total)
+            found = _entries(keys, total[keys], width)
+            rows.append(found[0] + lo)
+            entries.append(found[1])
+        rows, entries = np.concatenate(rows), np.concatenate(entries)
+        sizes = np.bincount(rows, minlength=len(sent))
+        ends = np.cumsum(sizes)
+        out = []
+        for r, s in chunk.ranges(bits, sent):
+            part = entries[(ends[s.start - 1] if s.start else 0) : ends[s.stop - 1]]
+            out.append({"chunk": chunk.number, "range": r, "size": int(s.stop - s.start), "hashes": _press(chunk.hashes[sent[s]]), "shapes": _press(chunk.shapes[sent[s]]), "sizes": _press(sizes[s].astype(np.uint32)), "keys": _press(part["key"]), "counts": _press(part["n"])})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("size", pa.int64()), *((c, pa.binary()) for c in ("hashes", "shapes", "sizes", "keys", "counts"))]))
+
+    def add(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        own, first, at = np.unique(np.concatenate([_read(r["hashes"], np.uint64) for r in rows]), return_index=True, return_inverse=True)
+        of = 1 + np.concatenate([_read(r["shapes"], np.uint8) for r in rows])[first]
+        counts = np.zeros(len(own), np.int64)
+        place = [np.repeat(p, _read(r["sizes"], np.uint32)) for r, p in zip(rows, np.split(at, np.cumsum([r["size"] for r in rows])[:-1]), strict=True)]
+        place, keys = np.concatenate(place), np.concatenate([_read(r["keys"], np.uint8) for r in rows])
+        times = np.concatenate([_read(r["counts"], np.uint16) for r in rows]).astype(np.int64)
+        before = keys < n  # every word stands before something once
+        counts += np.bincount(place[before], times[before], len(own)).astype(np.int64)
+        items = np.flatnonzero(counts >= LEAST)
+        number = np.full(len(own), -1)
+        number[items] = np.arange(len(items))
+        kept = number[place] >= 0
+        place, keys, times = number[place[kept]], keys[kept], times[kept]
+        order = np.argsort(place, kind="stable")
+        place, keys, times = place[order], keys[order], times[order]
+        cut = np.searchsorted(place, np.arange(len(items) + 1))
+        for i, w in enumerate(items.tolist()):
+            part = slice(cut[i], cut[i + 1])
+            row = np.bincount(keys[part], times[part], width)
+            of[w] = best_class(table, int(of[w]), row[:n], row[n : 2 * n], float(row[2 * n]))
+        types, tokens = np.bincount(of[items], minlength=n), np.bincount(of[items], counts[items], n)
+        yield _answered(rows, at, of, [{"kind": "class", "class": c, "types": int(types[c]), "tokens": int(tokens[c])} for c in np.flatnonzero(types).tolist()])
+
+    return _by_range(_each(chunks, send, "chunk long, range int, size long, hashes binary, shapes binary, sizes binary, keys binary, counts binary"), add, _answers)
+
+
+# ---- scores ---------------------------------------------------------------------------------------
+
+
+def _scored_words(chunks: DataFrame, answers: DataFrame, model: dict, kind: str) -> DataFrame:
+    """(id, held, n_tokens, n_known, base, emission, path binary) of every text; path: the classes of its words, a byte each.
+
+    answers: (chunk, range, kind count or class, answer) to every chunk; those of class leave the heads out.
+    """
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        replies = sorted(known.to_pylist(), key=lambda r: r["range"])
+        for row in texts.to_pylist():
+            chunk = Chunk(row)
+            of, head = _head_classes(chunk, model["heads"], model["of_heads"])
+            counts, classes = (np.concatenate([np.zeros(0, t), *(_read(r["answer"], t) for r in replies if r["kind"] == k)]) for k, t in (("count", np.int64), ("class", np.uint8)))
+            of[~head] = classes
+            of, counts = chunk.numbered(of, 0), chunk.numbered(counts, model["ends"])
+            base = np.log10((counts + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1)))
+            emission = emissions(counts, of, model["tokens"], model["types"])
+            cut = np.cumsum(chunk.lengths)
+            tokens, begin = np.insert(chunk.words, cut, len(chunk.order)), cut - chunk.lengths + np.arange(len(cut))
+            path = of[chunk.words].astype(np.uint8).tobytes()
+            sums = [np.add.reduceat(x[tokens], begin) for x in ((counts > 0).astype(np.int64), base, emission)]
+            paths = [path[e - n : e] for e, n in zip(cut.tolist(), chunk.lengths.tolist(), strict=True)]
+            out.append(pa.table([chunk.docs.column(0), chunk.docs.column(1), pa.array(chunk.lengths + 1), *map(pa.array, sums), pa.array(paths, pa.binary())], names=["id", "held", "n_tokens", "n_known", "base", "emission", "path"]))
+        release()
+        return pa.concat_tables(out)
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"id {kind}, held boolean, n_tokens long, n_known long, base double, emission double, path binary")
+
+
+def _between_ends(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All paths one after the other, each with an end before and behind it, and where each one's end before it stands."""
+    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    cut = np.cumsum(np.append(0, lengths))
+    return np.insert(flat, cut, 0), cut[:-1] + np.arange(len(lengths))
+
+
+def _path_table(paths: DataFrame, n: int) -> np.ndarray:
+    """Class bigram counts of the training texts; n * n rows at most come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for c, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                row, entries = np.zeros(2 * n + 1, np.int64), np.frombuffer(counts, ENTRY)
-                row[entries["key"]] = entries["n"]
-                out.append(best_class(table, c, row[:n], row[n : 2 * n], float(row[2 * n])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], ["word", "class"])
+        total = np.zeros(n * n, np.int64)
+        for batch in bounded(batches, "path"):
+            path, _ = _between_ends(batch.column(0))
+            total += np.bincount(path[:-1].astype(np.int64) * n + path[1:], minlength=n * n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
-    items = neighbours.where("substring(word, 1, 1) <> X'20'")
-    return items.mapInArrow(run, "word binary, class int")
+    return _summed(paths.where("not held").select("path").mapInArrow(run, "pair long, n long"), "pair", "n", n * n).reshape(n, n)
 
 
-def _pair_counts(blobs: DataFrame, heads: dict[bytes, int]) -> np.ndarray:
-    """Bigram counts of items in the training texts, each text from end to end."""
-    n = 1 + len(heads) + BUCKETS
+def _likelihoods(paths: DataFrame, transitions: np.ndarray, kind: str) -> DataFrame:
+    """(id, held, n_tokens, n_known, base, score) from paths and log10 transitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(n * n, np.int64), dict(heads)
-        pending: list[np.ndarray] = []
-        for batch in batches:
-            for blob in batch.column(0):
-                packed = _unpack(blob.as_py())
-                for out, data in zip(packed.column("held").to_pylist(), packed.column("data").to_pylist(), strict=True):
-                    if out:
-                        continue
-                    words = data.split()
-                    if len(known) > 200_000:
-                        known = dict(heads)
-                    for w in set(words).difference(known):
-                        known[w] = 1 + len(heads) + bucket(w)
-                    items = np.zeros(len(words) + 2, np.int64)
-                    items[1:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                    pending.append(items[:-1] * n + items[1:])
-                    if len(pending) >= 500:
-                        total += np.bincount(np.concatenate(pending), minlength=n * n)
-                        pending.clear()
-        if pending:
-            total += np.bincount(np.concatenate(pending), minlength=n * n)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], ["pair", "n"])
+        for batch in bounded(batches, "path"):
+            path, begin = _between_ends(batch.column(6))
+            moves = np.add.reduceat(transitions[path[:-1], path[1:]], begin)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(batch.column(5).to_numpy() + moves)], ["id", "held", "n_tokens", "n_known", "base", "score"])
+        release()
 
-    found = blobs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(n * n)
-    pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return pairs.reshape(n, n)
+    return paths.select("id", "held", "n_tokens", "n_known", "base", "emission", "path").mapInArrow(run, f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double")
 
 
 def score(docs: DataFrame, held_out: object, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -419,71 +483,46 @@ def score(docs: DataFrame, held_out: object, id_column: str = "doc_id", text_col
     Columns: the id, held_out boolean, n_tokens, n_known (seen in training), train_tokens (long), base_score (log10 by
     smoothed word frequencies), score (log10 by the class model). A text's tokens are its words between ASCII white
     space, A-Z lower case, then one end; a null or empty text is the end alone. Without training rows both scores
-    still exist (nothing is known). Repeated rows count as often as they stand; other columns are not read.
+    still exist (nothing is known); an empty table gives an empty result. Repeated rows count as often as they stand, rows
+    without an id like others (their fold is ``held_out``'s, null: training); a text of any length is scored whole; other
+    columns are not read.
 
-    The texts are written once, compressed, to the shared folder and shuffled once for the scores and once for each turn
-    of the exchange; words move as one row for each chunk that has them. At most HEADS words, (1 + HEADS + BUCKETS)^2
-    pair counts and CLASSES^2 class bigrams a turn come to the driver.
+    The chunks are written once to the shared folder and shuffled once, for the scores. At most HEADS
+    words, (FIRST + HEADS)^2 pair counts and the class bigrams of a turn come to the driver.
     """
     kind = docs.schema[id_column].dataType.simpleString()
+    spark = docs.sparkSession
+    bits = max(1, (RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     chunks = materialize(chunked(docs, F.coalesce(held_out, F.lit(False)), id_column, text_column), "chunks")
-    blobs = chunks.where("blob is not null").select("chunk", "blob")
-    by_word = W.partitionBy("word")
-    words = materialize(chunks.where("word is not null").select("chunk", "word", F.sum("n").over(by_word).alias("c"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first")), "words")
-    seen = words.where("first and c > 0")
-    total, distinct = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = sorted(((-r["c"], bytes(r["word"])) for r in seen.where((F.col("c") * HEADS >= total) & (F.octet_length("word") > 0)).select("word", "c").collect()))
-    heads = {w: i for i, (_, w) in enumerate(frequent, 1)}
-    ends = seen.where(F.octet_length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    groups = np.zeros(1 + len(heads) + BUCKETS)
-    seed = class_model(heads, _pair_counts(blobs.select("blob"), heads), groups, groups)
-    n = len(seed.transitions)
-    inner = seen.where(F.octet_length("word") > 0)
-    common, rare = F.col("c") >= LEAST, F.col("c") < LEAST
-    items = materialize(_seeded(inner.where(common), seed), "items")
-    in_chunks = words.where(common & (F.octet_length("word") > 0)).select("chunk", "word")
-    classes, best = items.select("word", "class"), None
-    for turn in range(TURNS + 1):
-        around = materialize(_neighbours(blobs, in_chunks.join(classes, "word").select("chunk", "word", "class"), seed), "neighbours")
-        table = _class_table(around, n)
-        if best is not None and likelihood(table) <= likelihood(best[0]):
-            break
-        best = table, classes
-        if turn < TURNS:
-            classes = materialize(_moved(around, table), "classes")
-    table, classes = best
-    sizes = _class_sizes(items.select("word", "c").join(classes, "word"), n), _class_sizes(_seeded(inner.where(rare), seed), n)
-    tokens, types = (x + y for x, y in zip(*sizes, strict=True))
+    counts = materialize(_word_counts(chunks, bits), "counts")
+    sums = {(r["kind"], r["class"]): r for r in counts.where("chunk is null and kind <> 'top'").groupBy("kind", "class").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()}
+    seen = [r for (what, _), r in sums.items() if what == "shape"]
+    total, distinct = (sum(r[c] for r in seen) for c in ("tokens", "types"))
+    top = counts.where("kind = 'top'").orderBy(F.desc("tokens"), "word").select("word", "tokens", "class").limit(HEADS).collect()
+    top = sorted((int(np.frombuffer(r["word"], np.uint64)[0]), r["tokens"], r["class"]) for r in top)
+    heads = np.array([w for w, _, _ in top], np.uint64)
+
+    n, pairs = FIRST + CLASSES, _head_pairs(chunks, heads)
+    of = exchange(pairs, np.arange(FIRST))
+    classes = materialize(_placed(chunks, bits, heads, of[FIRST:], class_table(pairs, of, n)), "classes")
+
+    # the end, then rare words but for heads among them, then the heads and the words exchanged
+    ends = int(pairs[:, 0].sum())
+    tokens, types = np.zeros(n), np.zeros(n)
     tokens[0], types[0] = ends, min(ends, 1)
-    model = ClassModel(heads, seed.of, transitions_of(table), tokens, types)
-
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        known = found.column("word").to_pylist()
-        counts = found.column("c").to_numpy().astype(np.float64)
-        index = dict(zip(known, range(len(known)), strict=True))
-        own = found.column("class").to_pylist()
-        classes = np.fromiter((model.of[model.item(w)] if c is None else c for w, c in zip(known, own, strict=True)), np.int64, len(known))
-        base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-        emission = model.emission(classes, counts)
-        end, seen_word = index[END], counts > 0
-        rows: list[list] = [[] for _ in range(6)]
-        for blob in texts.column("blob"):
-            packed = _unpack(blob.as_py())
-            for doc, out, data in zip(*(packed.column(i).to_pylist() for i in range(3)), strict=True):
-                split = data.split()
-                at = np.empty(len(split) + 1, np.int64)
-                at[:-1] = np.fromiter(map(index.__getitem__, split), np.int64, len(split))
-                at[-1] = end
-                path = classes[at]
-                value = emission[at].sum() + model.transitions[np.concatenate([[0], path[:-1]]), path].sum()
-                for column, v in zip(rows, (doc, out, len(at), int(seen_word[at].sum()), float(base[at].sum()), float(value)), strict=True):
-                    column.append(v)
-            id_type = packed.schema.field("id").type
-        kinds = (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    of_chunk = words.select("chunk", "word", "c")
-    large = of_chunk.where(common & (F.octet_length("word") > 0)).join(classes, "word").select("chunk", "word", "c", "class")
-    small = of_chunk.where(rare | (F.octet_length("word") == 0)).withColumn("class", F.lit(None).cast("int"))
-    scored = blobs.groupBy("chunk").cogroup(large.unionByName(small).groupBy("chunk")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    placed = classes.where("kind = 'class'").groupBy("class").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()
+    for r in [*(r for (what, _), r in sums.items() if what == "rare"), *placed]:
+        tokens[r["class"]] += r["tokens"]
+        types[r["class"]] += r["types"]
+    for (_, c, shape), own in zip(top, of[FIRST:].tolist(), strict=True):
+        tokens[own], types[own] = tokens[own] + c, types[own] + 1
+        if c < LEAST:
+            tokens[shape], types[shape] = tokens[shape] - c, types[shape] - 1
+
+    model = {"heads": heads, "of_heads": of[FIRST:], "ends": ends, "total": total + ends, "distinct": distinct + min(ends, 1), "tokens": tokens, "types": types}
+    answers = counts.withColumn("kind", F.lit("count")).unionByName(classes.withColumn("kind", F.lit("class"))).where("chunk is not null").select("chunk", "range", "kind", "answer")
+    paths = materialize(_scored_words(chunks, answers, model, kind), "paths")
+    for done in (chunks, counts, classes):
+        discard(done)
+    scored = _likelihoods(paths, transitions_of(_path_table(paths, n)), kind)
+    return scored.select(F.col("id").alias(id_column), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model["total"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -22,21 +22,24 @@ with its size, not with the square.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlight.llm.common import as_bytes, bounded, discard, materialize, release
+from leadlight.llm.words import mix, word_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
 SAMPLES = BANDS * ROWS
+#: Bytes of a node's marks: one of every sample and four of every band, weighted and plain.
+MARKS = 2 * (SAMPLES + 4 * BANDS)
 #: Counters of a row of the document-frequency table, as a power of two, and the share added to a frequency.
 DF_BITS, SMOOTH = 17, 0.0065
 DF_SIZE = 1 << DF_BITS
@@ -48,29 +51,12 @@ RARE, LOWEST, LEVELS = float(np.log1p(1 / SMOOTH)), -3, 64
 DRAWS = 1 << 16
 #: Nodes of a band that others are compared with at a time, by signature and by shingles.
 BLOCK, TEXT_BLOCK = 2048, 256
-#: Bytes of text hashed at a time, and bytes of text that one step holds; words of half a window or more are hashed by themselves.
-WINDOW, STEP = 1 << 18, 1 << 20
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of text that one step holds.
+STEP = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _rng = np.random.default_rng(20_240_229)
 _FACTORS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_white = re.compile(rb"[\t-\r ]")
-#: A random number for each byte, the same for both cases of a letter, none for white space; words are polynomials of them.
-_LETTER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_LETTER = np.where(_SPACE, np.uint64(0), _LETTER[np.frombuffer(LOWER, np.uint8)])
-_BASE = 0xD1342543DE82EF95
-
-
-def _powers(base: int) -> np.ndarray:
-    of = np.full(WINDOW, base, np.uint64)
-    of[0] = 1
-    return np.multiply.accumulate(of)
-
-
-_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def _keys() -> np.ndarray:
@@ -90,49 +76,9 @@ def _keys() -> np.ndarray:
 _LOG_A = _keys()
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of unsigned 64-bit numbers that spreads all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 # ---- texts to shingles ----------------------------------------------------------------------------
 
 
-def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word starts and its hash; ``blob`` ends with white space."""
-    raw = np.frombuffer(blob, np.uint8)
-    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
-
-    def alone(start: int, end: int) -> np.uint64:
-        return np.uint64(xxhash.xxh3_64_intdigest(blob[start:end].translate(LOWER)))
-
-    while at < len(raw):
-        part = raw[at : at + WINDOW]
-        space = _SPACE[part]
-        gap = space[::-1].argmax()
-        end = len(part) - int(gap) if space[len(part) - 1 - gap] else 0
-        before = np.concatenate([[True], space[: end - 1]]) if end else np.zeros(0, bool)
-        space = space[:end]
-        first, last = np.flatnonzero(before & ~space), np.flatnonzero(~before & space)
-        total = np.zeros(end + 1, np.uint64)
-        np.cumsum(_LETTER[part[:end]] * _POWER[:end], out=total[1:])
-        found = mix((total[last] - total[first]) * _INVERSE[first])
-        for i in np.flatnonzero(last - first >= WINDOW // 2):
-            found[i] = alone(at + int(first[i]), at + int(last[i]))
-        starts.append(first + at)
-        hashes.append(found)
-        at += end
-        if end <= WINDOW // 2 and at < len(raw):  # a word of half a window or more follows
-            stop = _white.search(blob, at).start()
-            if stop > at:
-                starts.append(np.array([at]))
-                hashes.append(np.array([alone(at, stop)], np.uint64) if stop - at >= WINDOW // 2 else word_hashes(blob[at : stop + 1])[1])
-            at = stop + 1
-    return np.concatenate(starts), np.concatenate(hashes)
-
-
 @dataclass(frozen=True)
 class Sets:
     """Distinct shingle hashes of texts, ascending in each, how often each stands, where each text's begin, and its words."""
@@ -290,7 +236,8 @@ def document_shares(texts: DataFrame) -> np.ndarray:
 def sketched(texts: DataFrame, shares: np.ndarray) -> DataFrame:
     """(id, digest binary, node binary, weight double, size long, bands array<long>, marks binary) of every text with words.
 
-    node is a hash of its words, digest one of its bytes, size the number of its distinct shingles, marks a byte of every sample.
+    node is a hash of its words, digest one of its bytes, size the number of its distinct shingles; marks are a byte of
+    every sample and four of every band.
     """
     kind = texts.schema["id"].dataType.simpleString()
     texts = texts.select("id", "data", digest("data").alias("digest"))
@@ -309,7 +256,7 @@ def sketched(texts: DataFrame, shares: np.ndarray) -> DataFrame:
                 pa.array(np.add.reduceat(weight, begin) if len(begin) else np.zeros(0)),
                 pa.array(np.diff(sets.offsets)[full]),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * (2 * BANDS)), pa.array(keys.ravel())),
-                pa.array([x.tobytes() for x in np.concatenate([marks(x) for x in both], 1)], pa.binary()),
+                pa.array([x.tobytes() for x in np.concatenate([marks(both[0]), marks(both[1]), keys.astype(np.uint32).view(np.uint8)], 1)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "node", "weight", "size", "bands", "marks"])
         release()
@@ -317,12 +264,29 @@ def sketched(texts: DataFrame, shares: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, f"id {kind}, digest binary, node binary, weight double, size long, bands array<long>, marks binary")
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """(id, data) with every text compressed, to be sent."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in bounded(batches, "data"):
+            yield batch.set_column(1, "data", pa.array([press(x) for x in batch.column(1).to_pylist()], pa.binary()))
+        release()
+
+    return texts.select("id", "data").mapInArrow(run, f"id {kind}, data binary")
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
+
+
 def keyed(texts: DataFrame) -> DataFrame:
-    """(node, data) of every text (id, data)."""
+    """(node, data) of every packed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "data", STEP):
-            sets = shingled(batch.column(0).to_pylist())
+        for batch in bounded(batches, "data", STEP // 2):
+            sets = shingled(_unpacked(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([sets.node(i) for i in range(batch.num_rows)], pa.binary()), batch.column(0)], ["node", "data"])
         release()
 
@@ -339,13 +303,18 @@ def enough(least: float) -> int:
 
 def _likely(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float) -> np.ndarray:
     """Where nodes (marks, weight, size) may be similar by samples and totals; arrays of one shape but for the marks' last axis."""
-    same, out = a[0] == b[0], False
+    same, out = a[0][..., : 2 * SAMPLES] == b[0][..., : 2 * SAMPLES], False
     for i, part in ((1, slice(SAMPLES)), (2, slice(SAMPLES, None))):
         near = np.minimum(a[i], b[i]) >= (least - 1e-9) * np.maximum(a[i], b[i])
         out |= near & (np.count_nonzero(same[..., part], -1) >= enough(least))
     return out
 
 
+def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first band that nodes share, by their marks."""
+    return (a[..., 2 * SAMPLES :].view(np.uint32) == b[..., 2 * SAMPLES :].view(np.uint32)).argmax(-1)
+
+
 def _bytes(column: pa.Array, width: int) -> np.ndarray:
     """A column of byte strings of one width as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
@@ -356,7 +325,7 @@ def likely(pairs: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ((_bytes(batch.column(i), 2 * SAMPLES), *(batch.column(j).to_numpy() for j in (i + 1, i + 2))) for i in (2, 5))
+            a, b = ((_bytes(batch.column(i), MARKS), *(batch.column(j).to_numpy() for j in (i + 1, i + 2))) for i in (2, 5))
             yield batch.select(["a", "b"]).filter(pa.array(_likely(a, b, least)))
 
     return pairs.select("a", "b", "a_marks", "a_weight", "a_size", "marks", "weight", "size").mapInArrow(run, "a binary, b binary")
@@ -365,7 +334,7 @@ def likely(pairs: DataFrame, least: float) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, shares: np.ndarray, least: float) -> DataFrame:
     """The pairs (a, b) whose weighted or plain Jaccard similarity is at least ``least``.
 
-    texts: (node, data). A hub's text comes once, first among the rows of its partners; a hub with very many partners is
+    texts: (node, data), packed. A hub's text comes once, first among the rows of its partners; a hub with very many partners is
     spread, and each part has its text.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("parts"))
@@ -376,8 +345,8 @@ def verified(pairs: DataFrame, texts: DataFrame, shares: np.ndarray, least: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
-        for batch in bounded(batches, "data", STEP):
-            sets = shingled(batch.column(3).to_pylist())
+        for batch in bounded(batches, "data", STEP // 2):
+            sets = shingled(_unpacked(batch.column(3)))
             weight, turn = weights(sets, shares), batch.column(2).to_numpy()
             keep = np.zeros(batch.num_rows, bool)
             first = [*np.flatnonzero(turn == 0).tolist(), batch.num_rows]
@@ -394,14 +363,16 @@ def verified(pairs: DataFrame, texts: DataFrame, shares: np.ndarray, least: floa
 
 
 def _dealt(rows: DataFrame, block: int, *columns: str) -> DataFrame:
-    """Rows (band, part, turn, columns) of open bands: in each part some nodes outside the main class (turn 0), then all (turn 1).
+    """Rows (band, part, turn, columns) of open bands: in each part some nodes outside the main class (turn 0), then the others.
 
     rows: (band, root, main, outside: the band's number of rows outside its main class, columns). A part has about ``block``.
     """
-    rows = rows.withColumn("parts", F.ceil(F.col("outside") / block).cast("int"))
-    own = rows.where("root <> main").select("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("turn"), *columns)
-    once = rows.where("parts = 1").select("band", F.lit(0).alias("part"), F.lit(1).alias("turn"), *columns)
-    more = rows.where("parts > 1").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("turn"), *columns)
+    rows = rows.withColumn("parts", F.ceil(F.col("outside") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    outside, turn = F.col("root") != F.col("main"), F.lit(1).alias("turn")
+    own = rows.where(outside).select("band", "part", F.lit(0).alias("turn"), *columns)
+    once = rows.where(~outside & (F.col("parts") == 1)).select("band", F.lit(0).alias("part"), turn, *columns)
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: ~outside | (p != F.col("part")))
+    more = rows.where("parts > 1").select("band", F.explode(others).alias("part"), turn, *columns)
     return own.unionByName(once).unionByName(more).repartition("band", "part").sortWithinPartitions("band", "part", "turn")
 
 
@@ -414,86 +385,110 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int, in
 
 
 def promising(rows: DataFrame, least: float) -> DataFrame:
-    """The (band, node) of open bands that may be linked to a node of another class there, by samples and totals."""
+    """The (band, node) of open bands that may be linked to a node of another class there, by samples and totals.
+
+    Of several bands that a pair shares only the first counts. (Four bytes stand for a band: a pair is taken to share one
+    that it doesn't share once in 100 million times.)
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, told, held_names = None, None, None, []
+        key, turned, names, held, told = None, False, [], [], np.zeros(0, bool)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nodes, roots = batch.column(3).to_pylist(), _bytes(batch.column(4), 16).view(np.uint64)
-            own = (_bytes(batch.column(5), 2 * SAMPLES), batch.column(6).to_numpy(), batch.column(7).to_numpy())
+            nodes, roots, numbers = batch.column(3).to_pylist(), _bytes(batch.column(4), 16).view(np.uint64), batch.column(8).to_numpy()
+            own = (_bytes(batch.column(5), MARKS), batch.column(6).to_numpy(), batch.column(7).to_numpy(), roots)
             found: list[tuple[int, bytes]] = []
             for at, turn, lo, hi in _runs(batch):
-                part = (*(x[lo:hi] for x in own), roots[lo:hi])
+                part = [x[lo:hi] for x in own]
                 if turn == 0:
-                    names = nodes[lo:hi]
-                    if key == at:
-                        held, names = [np.concatenate(x) for x in zip(held, part, strict=True)], held_names + names
-                        told = np.concatenate([told, np.zeros(hi - lo, bool)])
-                    else:
-                        held, told = [x.copy() for x in part], np.zeros(hi - lo, bool)
-                    key, held_names = at, names
-                elif key == at:
-                    step = max(1, (1 << 22) // (len(told) * 2 * SAMPLES))
-                    for s in range(0, hi - lo, step):
-                        tile = [x[s : s + step, None] for x in part]
+                    if key != at:
+                        key, turned, names, held = at, False, [], [x[:0] for x in own]
+                    names, held = names + nodes[lo:hi], [np.concatenate(x) for x in zip(held, part, strict=True)]
+                    continue
+                if key != at:  # a part that no node outside the main class fell into
+                    continue
+                met = [(part, nodes[lo:hi])] if turned else [(held, names), (part, nodes[lo:hi])]
+                told, turned = told if turned else np.zeros(len(names), bool), True
+                step = max(1, (1 << 22) // (len(names) * MARKS))
+                for side, side_names in met:
+                    for s in range(0, len(side_names), step):
+                        tile = [x[s : s + step, None] for x in side]
                         able = _likely(tuple(tile[:3]), tuple(x[None] for x in held[:3]), least) & (tile[3] != held[3][None]).any(-1)
-                        found += [(at[0], nodes[lo + s + int(i)]) for i in np.flatnonzero(able.any(1))]
+                        if able.any():
+                            i, j = np.nonzero(able)
+                            able[i, j] = _first_band(side[0][s + i], held[0][j]) == numbers[lo]
+                        found += [(at[0], side_names[s + int(i)]) for i in np.flatnonzero(able.any(1))]
                         fresh = able.any(0) & ~told
-                        found += [(at[0], held_names[int(i)]) for i in np.flatnonzero(fresh)]
+                        found += [(at[0], names[int(i)]) for i in np.flatnonzero(fresh)]
                         told |= fresh
             columns = list(zip(*found, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["band", "node"])
         release()
 
-    return _dealt(rows, BLOCK, "node", "root", "marks", "weight", "size").mapInArrow(run, "band long, node binary").distinct()
+    return _dealt(rows, BLOCK, "node", "root", "marks", "weight", "size", "number").mapInArrow(run, "band long, node binary").distinct()
 
 
-def joining(rows: DataFrame, shares: np.ndarray, least: float) -> DataFrame:
-    """Verified links (a, b) between classes of a band; of links that join the same classes in a block one is enough."""
+class _Block:
+    """Texts of one part of a band, by their shingles, and which of their classes links have joined so far."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, texts, names, roots, index, above = None, [], [], [], None, {}
+    def __init__(self, names: list[bytes], roots: list[bytes], sets: Sets, weight: np.ndarray) -> None:
+        order = np.argsort(sets.hashes, kind="stable")
+        self.names, self.roots, self.above = names, roots, {}
+        self.sizes = np.diff(sets.offsets)
+        owner = np.repeat(np.arange(len(names)), self.sizes)
+        self.totals = np.bincount(owner, weight, len(names))
+        self.hashes, self.owner, self.weight = sets.hashes[order], owner[order], weight[order]
 
-        def top(x: bytes) -> bytes:
-            while above.get(x, x) != x:
-                x = above[x]
-            return x
+    def top(self, x: bytes) -> bytes:
+        while self.above.get(x, x) != x:
+            x = self.above[x]
+        return x
 
-        for batch in bounded(batches, "data", STEP):
-            node, root, data = (batch.column(i).to_pylist() for i in (3, 4, 5))
+    def links(self, name: bytes, root: bytes, h: np.ndarray, w: np.ndarray, least: float) -> Iterator[tuple[bytes, bytes]]:
+        """Links of a text (hashes, weights) to those of other classes here; one for classes that a link has joined."""
+        first = np.searchsorted(self.hashes, h)
+        times = np.searchsorted(self.hashes, h, "right") - first
+        hit = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        low = np.bincount(self.owner[hit], np.minimum(self.weight[hit], np.repeat(w, times)), len(self.sizes))
+        common = np.bincount(self.owner[hit], minlength=len(self.sizes))
+        alike = np.maximum(low / (self.totals + w.sum() - low), common / (self.sizes + len(h) - common))
+        for j in np.flatnonzero(alike >= least).tolist():
+            x, y = self.top(self.roots[j]), self.top(root)
+            if x != y:
+                self.above[x] = y
+                yield self.names[j], name
+
+
+def joining(rows: DataFrame, shares: np.ndarray, least: float) -> DataFrame:
+    """Verified links (a, b) between classes of a band; of links that join the same classes in a part one is enough.
+
+    rows: those of ``promising`` with their packed texts (data).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, names, roots, texts = None, None, [], [], []
+        for batch in bounded(batches, "data", STEP // 2):
+            node, root, data = batch.column(3).to_pylist(), batch.column(4).to_pylist(), _unpacked(batch.column(5))
             found: list[tuple[bytes, bytes]] = []
             for at, turn, lo, hi in _runs(batch):
                 if turn == 0:
                     if key != at:
-                        key, texts, names, roots, index, above = at, [], [], [], None, {}
-                    texts, names, roots = texts + data[lo:hi], names + node[lo:hi], roots + root[lo:hi]
+                        key, block, names, roots, texts = at, None, [], [], []
+                    names, roots, texts = names + node[lo:hi], roots + root[lo:hi], texts + data[lo:hi]
                     continue
                 if key != at:
                     continue
-                if index is None:
+                met = [(node[lo:hi], root[lo:hi], shingled(data[lo:hi]))]
+                if block is None:
                     sets = shingled(texts)
-                    w, order = weights(sets, shares), np.argsort(sets.hashes, kind="stable")
-                    owner, sizes = np.repeat(np.arange(len(texts)), np.diff(sets.offsets)), np.diff(sets.offsets)
-                    index, texts = (sets.hashes[order], owner[order], w[order], sizes, np.bincount(owner, w, len(sizes))), []
-                sorted_hashes, owner, w, sizes, totals = index
-                own = shingled(data[lo:hi])
-                own_w = weights(own, shares)
-                for i in range(lo, hi):
-                    part = slice(own.offsets[i - lo], own.offsets[i - lo + 1])
-                    h = own.hashes[part]
-                    first = np.searchsorted(sorted_hashes, h)
-                    times = np.searchsorted(sorted_hashes, h, "right") - first
-                    hit = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
-                    low = np.bincount(owner[hit], np.minimum(w[hit], np.repeat(own_w[part], times)), len(sizes))
-                    common = np.bincount(owner[hit], minlength=len(sizes))
-                    alike = np.maximum(low / (totals + own_w[part].sum() - low), common / (sizes + len(h) - common))
-                    for j in np.flatnonzero(alike >= least).tolist():
-                        x, y = top(roots[j]), top(root[i])
-                        if x != y:
-                            above[x] = y
-                            found.append((names[j], node[i]))
+                    block, texts = _Block(names, roots, sets, weights(sets, shares)), []
+                    met.insert(0, (names, roots, sets))
+                for side_names, side_roots, sets in met:
+                    weight = weights(sets, shares)
+                    for i, (name, own) in enumerate(zip(side_names, side_roots, strict=True)):
+                        part = slice(sets.offsets[i], sets.offsets[i + 1])
+                        found += block.links(name, own, sets.hashes[part], weight[part], least)
             columns = list(zip(*found, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], ["a", "b"])
         release()
@@ -546,27 +541,31 @@ def _found(texts: DataFrame, least: float) -> DataFrame:
     sketches = materialize(sketched(texts, shares), "sketches")
     nodes = sketches.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("weight", "size", "bands", "marks")))
 
-    # bands that at least two nodes share
-    in_bands = nodes.select("node", "id", F.explode("bands").alias("band"))
+    # bands that at least two nodes share; half of a node's hash finds them, nodes that share it are told apart after
+    in_bands = nodes.select(F.xxhash64("node").alias("short"), F.posexplode("bands").alias("number", "band")).withColumn("number", F.col("number").cast("byte"))
     shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialize(in_bands.join(shared, "band"), "bands")
+    central = crowded.groupBy("short").agg(F.sum("n").alias("central"))
+    known = nodes.drop("bands").withColumn("short", F.xxhash64("node")).join(central, "short").drop("short")
+    known = materialize(known, "nodes")
     # ids only say which texts to look at, as they may be null or clash; nodes say whose text it is
-    central = crowded.groupBy("node").agg(F.sum("n").alias("central"))
-    looked_at = texts.join(crowded.select("id").distinct(), "id", "left_semi").unionByName(texts.where("id is null"))
-    shown = materialize(keyed(looked_at).join(central.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    known = sketches.select("node", "weight", "size", "marks").join(central, "node").dropDuplicates(["node"])
-    rows = materialize(crowded.select("band", "node").join(known, "node"), "crowded")
+    sent = packed(texts)
+    looked_at = sent.join(known.select("id").distinct(), "id", "left_semi").unionByName(sent.where("id is null"))
+    shown = materialize(keyed(looked_at).join(known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    short = known.select("node", "central", F.xxhash64("node").alias("short"))
+    rows = materialize(crowded.select("band", "number", "short").join(short, "short").drop("short"), "crowded")
+    looks = known.select("node", "marks", "weight", "size")
 
     # each node with the most central one of its band: of a text and its many copies, that is the text
-    own = ("node", "marks", "weight", "size")
-    hubs = rows.groupBy("band").agg(F.max_by(F.struct(*own), F.struct("central", "node")).alias("hub"))
-    met = rows.join(hubs, "band").where("hub.node <> node").select(F.col("node").alias("b"), *own[1:], F.col("hub.node").alias("a"), *[F.col(f"hub.{c}").alias(f"a_{c}") for c in own[1:]])
-    pairs = materialize(likely(met.dropDuplicates(["a", "b"]), least), "pairs")
+    hubs = rows.groupBy("band").agg(F.max_by("node", F.struct("central", "node")).alias("a"))
+    met = rows.join(hubs, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    of_hubs = looks.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in looks.columns[1:]])
+    pairs = materialize(likely(met.join(of_hubs, "a").join(looks.withColumnRenamed("node", "b"), "b"), least), "pairs")
     roots = materialize(components(verified(pairs, shown, shares, least)), "roots")
 
     # what is left: all nodes of a band outside its largest class, with all nodes of other classes there
-    left = materialize(_open(rows, roots), "open")
-    able = materialize(left.select("band", "node").join(promising(left, least), ["band", "node"], "left_semi"), "promising")
+    left = materialize(_open(rows.select("band", "number", "node"), roots), "open")
+    able = materialize(left.select("band", "node").join(promising(left.join(looks, "node"), least), ["band", "node"], "left_semi"), "promising")
     asked = _open(able, roots).join(shown, "node")
     links = joining(asked, shares, least)
     roots = materialize(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")

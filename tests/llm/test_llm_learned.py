@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("leadlight.llm")
 
-from leadlight.llm import brown_lm, langid, neardup, quality  # noqa: E402
+from leadlight.llm import brown_lm, langid, neardup, quality, words  # noqa: E402
 from leadlight.llm.common import in_fold  # noqa: E402
 from leadlight.llm.queries import queries  # noqa: E402
 
@@ -85,6 +85,10 @@ def test_no_language_known(spark):
     assert langid.train_and_predict(docs.limit(0)).count() == 0
 
 
+def words_of(text):
+    return [*(text or "").encode().translate(words.LOWER).split(), b""]
+
+
 def lm_rows():
     rng = random.Random(5)
     return [(i, " ".join(rng.choice(["The", "cat", "DOG", "runs", "sits,", f"rare{rng.randint(0, 50)}"]) for _ in range(rng.randint(0, 30)))) for i in range(200)] + [(500, None), (501, ""), (502, "  \t\n"), (503, "É x\x0by\x85z")]
@@ -95,7 +99,7 @@ def test_base_scores_against_counts(spark, monkeypatch):
     rows = lm_rows()
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
     out = {r["doc_id"]: r for r in brown_lm.score(docs, in_fold("doc_id", 5, 1)).collect()}
-    tokens = {i: brown_lm.END.join([]) or [*(t or "").encode().translate(brown_lm.LOWER).split(), brown_lm.END] for i, t in rows}
+    tokens = {i: words_of(t) for i, t in rows}
     counts = Counter(w for i, ws in tokens.items() if fold(i, 5) != 1 for w in ws)
     n, v = sum(counts.values()), len(counts)
     assert set(out) == set(tokens)
@@ -106,33 +110,98 @@ def test_base_scores_against_counts(spark, monkeypatch):
         assert r["score"] < 0
 
 
+def shape(word):
+    if any(48 <= c <= 57 for c in word):
+        return 1
+    return 2 if any(c > 127 for c in word) else 0 if word.isalpha() else 3
+
+
+def plain_scores(rows, held, heads, least):
+    """The class model by dictionaries."""
+    train = [words_of(t) for i, t in rows if not held(i)]
+    counts = Counter(w for ws in train for w in ws[:-1])
+    hashed = {w: int(words.word_hashes(w + b" ")[1][0]) for _, t in rows for w in words_of(t)[:-1]}
+    top = sorted(sorted(counts, key=lambda w: (-counts[w], hashed[w].to_bytes(8, "little")))[:heads], key=hashed.get)
+    item = {b"": 0} | {w: brown_lm.FIRST + i for i, w in enumerate(top)}
+    pairs = np.zeros((brown_lm.FIRST + len(top),) * 2)
+    bigrams = [(a, b) for ws in train for a, b in zip([b"", *ws[:-1]], ws, strict=True)]
+    for a, b in bigrams:
+        pairs[item.get(a, 1 + shape(a)), item.get(b, 1 + shape(b))] += 1
+    of = brown_lm.exchange(pairs, np.arange(brown_lm.FIRST))
+    n = brown_lm.FIRST + brown_lm.CLASSES
+    table = brown_lm.class_table(pairs, of, n)
+    before = {w: int(of[item[w]]) if w in item else 1 + shape(w) for w in {*hashed, b""}}
+    after = dict(before)
+    for w in counts:
+        if counts[w] >= least and w not in item:
+            right, left = np.zeros(n), np.zeros(n)
+            for a, b in bigrams:
+                right[before[b]] += a == w
+                left[before[a]] += b == w
+            after[w] = brown_lm.best_class(table, before[w], right, left, float(sum(a == b == w for a, b in bigrams)))
+    tokens, types, final = np.zeros(n), np.zeros(n), np.zeros((n, n))
+    for w, c in (*counts.items(), (b"", len(train))):
+        if c:
+            tokens[after[w]] += c
+            types[after[w]] += 1
+    for a, b in bigrams:
+        final[after[a], after[b]] += 1
+    moves = brown_lm.transitions_of(final)
+    counts[b""] = len(train)
+    out = {}
+    for i, t in rows:
+        ws = words_of(t)
+        path = [0, *(after[w] for w in ws)]
+        out[i] = sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)) + sum(math.log10((counts[w] + 0.5) / (tokens[c] + 0.5 * (types[c] + 1))) for w, c in zip(ws, path[1:], strict=True))
+    return out, after
+
+
+@pytest.mark.parametrize(("heads", "least", "chunk"), [(512, 10, 2000), (5, 3, 1500), (0, 4, 1 << 20)])
+def test_scores_against_dictionaries(spark, monkeypatch, heads, least, chunk):
+    for name, value in (("HEADS", heads), ("LEAST", least), ("CHUNK", chunk)):
+        monkeypatch.setattr(brown_lm, name, value)
+    rng = random.Random(9)
+    kinds = [[f"{x}{k}" for k in range(40)] for x in "ab"] + [["the", "of,", "été", "A", "x-y"]]
+    draw = lambda j: rng.choices(kinds[j % 3], [1 / (1 + k) for k in range(len(kinds[j % 3]))])[0]
+    rows = lm_rows()[::4] + [(1000 + i, " ".join(draw(j) for j in range(rng.randint(0, 20)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score(docs, in_fold("doc_id", 5, 1)).collect()}
+    # the constants that the tasks see are the patched ones, as the plain form's are
+    want, classes = plain_scores(rows, lambda i: fold(i, 5) == 1, heads, least)
+    assert heads > 5 or sum(c >= brown_lm.FIRST for c in classes.values()) > heads + 5
+    assert got == pytest.approx(want)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(6)
-    heads = {b"the": 1, b"cat": 2}
-    n = 1 + len(heads) + brown_lm.BUCKETS
-    pairs = rng.integers(0, 5, (n, n)).astype(float)
-    types = rng.integers(1, 9, n).astype(float)
-    types[0] = 1
-    tokens = types + rng.integers(0, 50, n)
-    model = brown_lm.class_model(heads, pairs, tokens, types)
-    assert np.allclose((10**model.transitions).sum(1), 1)
+    table = rng.integers(0, 5, (9, 9)).astype(float)
+    assert np.allclose((10 ** brown_lm.transitions_of(table)).sum(1), 1)
     # a class's words: all seen ones share tokens + types / 2, one unseen word has half a count
-    seen = (model.tokens + 0.5 * model.types + 0.5) / (model.tokens + 0.5 * (model.types + 1))
-    assert np.allclose(seen, 1)
-    assert model.of[0] == 0 and (model.of[1:] > 0).all()
+    counts = np.array([3, 1, 7, 0])
+    share = 10 ** brown_lm.emissions(counts, np.zeros(4, int), np.array([11.0]), np.array([3.0]))
+    assert share.sum() == pytest.approx(1)
 
 
 def test_exchange_raises_the_likelihood():
     # two kinds of words that alternate: the classes find them
-    n = 21
+    k, n = brown_lm.FIRST, brown_lm.FIRST + 20
     pairs = np.zeros((n, n))
-    for i in range(1, n):
-        for j in range(1, n):
+    for i in range(k, n):
+        for j in range(k, n):
             if i % 2 != j % 2:
                 pairs[i, j] = 10
-    pairs[0, 1:], pairs[1:, 0] = 1, 1
-    of = brown_lm.exchange(pairs, classes=3)
-    assert len(set(of[1::2])) == len(set(of[2::2])) == 1 and of[1] != of[2]
+    pairs[0, k:], pairs[k:, 0] = 1, 1
+    of = brown_lm.exchange(pairs, np.arange(k), classes=2)
+    assert len(set(of[k::2])) == len(set(of[k + 1 :: 2])) == 1 and of[k] != of[k + 1] and of[:k].tolist() == list(range(k))
+
+
+def test_long_text_and_common_words(spark):
+    """A text of megabytes makes a chunk of its own; a count beyond 16 bits is kept."""
+    docs = spark.createDataFrame([(1, "go on " * 500_000), (2, "on go"), (3, "x" * 3_000_000), (4, "go")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in brown_lm.score(docs, F.col("doc_id") == 4).collect()}
+    assert [out[i]["n_tokens"] for i in (1, 2, 3, 4)] == [1_000_001, 3, 2, 2] and out[4]["train_tokens"] == 1_000_006
+    assert out[4]["base_score"] == pytest.approx(math.log10(500_001.5 / 1_000_008.5) + math.log10(3.5 / 1_000_008.5))
+    assert out[2]["score"] > out[3]["score"] - 20 and out[1]["score"] / 1_000_001 > -0.4
 
 
 def test_words_below_the_heads_have_classes_of_their_own(spark):
@@ -148,21 +217,27 @@ def test_words_below_the_heads_have_classes_of_their_own(spark):
     assert right - other > 1
 
 
+def likelihood(table):
+    x = lambda v: np.where(v > 0, v * np.log(np.maximum(v, 1)), 0).sum()
+    return x(table) - x(table.sum(0)) - x(table.sum(1))
+
+
 def test_best_class_equals_the_exchange_on_whole_tables():
     rng = np.random.default_rng(12)
-    n, k = 30, 5
+    n, first = 30, brown_lm.FIRST
+    k = first + 4
     pairs = rng.integers(0, 6, (n, n)).astype(float)
-    of = np.array([0, *rng.integers(1, k, n - 1)])
+    of = np.array([*range(first), *rng.integers(first, k, n - first)])
     member = lambda x: np.eye(k)[x]
     table = member(of).T @ pairs @ member(of)
-    for w in range(1, n):
+    for w in range(first, n):
         values = []
-        for c in range(1, k):
+        for c in range(first, k):
             moved = of.copy()
             moved[w] = c
-            values.append(brown_lm.likelihood(member(moved).T @ pairs @ member(moved)))
+            values.append(likelihood(member(moved).T @ pairs @ member(moved)))
         got = brown_lm.best_class(table, of[w], pairs[w] @ member(of), pairs[:, w] @ member(of), pairs[w, w])
-        assert values[got - 1] == pytest.approx(max(values))
+        assert values[got - first] == pytest.approx(max(values))
 
 
 def test_nothing_to_learn(spark):
