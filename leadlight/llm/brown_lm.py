@@ -33,9 +33,9 @@ HEADS, CLASSES, PASSES = 512, 48, 12
 #: Words that stand as often are items of the distributed exchange.
 LEAST = 10
 #: Bytes of text of a chunk; a longer single text makes a chunk of its own.
-CHUNK = 32 << 20
+CHUNK = 20 << 20
 #: Ranges of word hashes for each shuffle partition, at least.
-RANGES = 4
+RANGES = 2
 #: Weight of the class frequencies in a transition's probability.
 PRIOR = 20.0
 #: Class 0 is the end of a text, 1 to SHAPES are rare words, then come those of the exchange.
@@ -302,13 +302,37 @@ def _word_counts(chunks: DataFrame, bits: int) -> DataFrame:
         # counts of counts below LEAST tell the rare words; the rest is known by class later
         sums = [{"kind": "shape", "class": 1 + k, "types": int((seen & (shapes == k)).sum()), "tokens": int(total[shapes == k].sum())} for k in range(SHAPES)]
         sums += [{"kind": "rare", "class": 1 + k, "types": int((low := seen & (shapes == k) & (total < LEAST)).sum()), "tokens": int(total[low].sum())} for k in range(SHAPES)]
-        top = np.lexsort((own, -total))[:HEADS]
-        sums += [{"kind": "top", "class": int(1 + shapes[i]), "tokens": int(total[i]), "word": own[i].tobytes()} for i in top.tolist() if total[i]]
+        sums.append({"kind": "top", "range": rows[0]["range"], "word": _top(own, total, shapes).tobytes()})
         yield _answered(rows, at, total, sums)
 
     return _by_range(_each(chunks, send, "chunk long, range int, size long, hashes binary, counts binary, shapes binary"), add, _answers)
 
 
+#: A frequent word, its count and shape.
+TOP = np.dtype([("word", "<u8"), ("count", "<i8"), ("shape", "u1")])
+
+
+def _top(words: np.ndarray, counts: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """The HEADS most frequent of distinct words, of equal ones those with the least hashes; words that don't stand are none."""
+    first = np.lexsort((words, -counts))[:HEADS]
+    first = first[counts[first] > 0]
+    out = np.empty(len(first), TOP)
+    out["word"], out["count"], out["shape"] = words[first], counts[first], shapes[first]
+    return out
+
+
+def _heads(counts: DataFrame) -> np.ndarray:
+    """The most frequent words of all ranges, by hash; some ranges' are merged at a time, and 16 times HEADS come to the driver."""
+
+    def merge(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        every = np.concatenate([np.frombuffer(r["word"], TOP) for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([_top(every["word"], every["count"], every["shape"]).tobytes()], pa.binary())], ["word"])
+
+    tops = counts.where("kind = 'top'").select((F.col("range") % 16).alias("range"), "word")
+    every = np.frombuffer(b"".join(r["word"] for r in _by_range(tops, merge, "word binary").collect()), TOP)
+    return np.sort(_top(every["word"], every["count"], every["shape"]), order="word")
+
+
 def _head_pairs(chunks: DataFrame, heads: np.ndarray) -> np.ndarray:
     """Bigram counts of the end, other words by shape, and ``heads`` (word hashes, ascending)."""
     size = FIRST + len(heads)
@@ -495,12 +519,11 @@ def score(docs: DataFrame, held_out: object, id_column: str = "doc_id", text_col
     bits = max(1, (RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     chunks = materialize(chunked(docs, F.coalesce(held_out, F.lit(False)), id_column, text_column), "chunks")
     counts = materialize(_word_counts(chunks, bits), "counts")
-    sums = {(r["kind"], r["class"]): r for r in counts.where("chunk is null and kind <> 'top'").groupBy("kind", "class").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()}
+    sums = {(r["kind"], r["class"]): r for r in counts.where("chunk is null and kind in ('shape', 'rare')").groupBy("kind", "class").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()}
     seen = [r for (what, _), r in sums.items() if what == "shape"]
     total, distinct = (sum(r[c] for r in seen) for c in ("tokens", "types"))
-    top = counts.where("kind = 'top'").orderBy(F.desc("tokens"), "word").select("word", "tokens", "class").limit(HEADS).collect()
-    top = sorted((int(np.frombuffer(r["word"], np.uint64)[0]), r["tokens"], r["class"]) for r in top)
-    heads = np.array([w for w, _, _ in top], np.uint64)
+    top = _heads(counts)
+    heads = top["word"].copy()
 
     n, pairs = FIRST + CLASSES, _head_pairs(chunks, heads)
     of = exchange(pairs, np.arange(FIRST))
@@ -514,10 +537,10 @@ def score(docs: DataFrame, held_out: object, id_column: str = "doc_id", text_col
     for r in [*(r for (what, _), r in sums.items() if what == "rare"), *placed]:
         tokens[r["class"]] += r["tokens"]
         types[r["class"]] += r["types"]
-    for (_, c, shape), own in zip(top, of[FIRST:].tolist(), strict=True):
+    for (_, c, shape), own in zip(top.tolist(), of[FIRST:].tolist(), strict=True):
         tokens[own], types[own] = tokens[own] + c, types[own] + 1
         if c < LEAST:
-            tokens[shape], types[shape] = tokens[shape] - c, types[shape] - 1
+            tokens[1 + shape], types[1 + shape] = tokens[1 + shape] - c, types[1 + shape] - 1
 
     model = {"heads": heads, "of_heads": of[FIRST:], "ends": ends, "total": total + ends, "distinct": distinct + min(ends, 1), "tokens": tokens, "types": types}
     answers = counts.withColumn("kind", F.lit("count")).unionByName(classes.withColumn("kind", F.lit("class"))).where("chunk is not null").select("chunk", "range", "kind", "answer")

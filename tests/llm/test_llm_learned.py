@@ -121,7 +121,7 @@ def plain_scores(rows, held, heads, least):
     train = [words_of(t) for i, t in rows if not held(i)]
     counts = Counter(w for ws in train for w in ws[:-1])
     hashed = {w: int(words.word_hashes(w + b" ")[1][0]) for _, t in rows for w in words_of(t)[:-1]}
-    top = sorted(sorted(counts, key=lambda w: (-counts[w], hashed[w].to_bytes(8, "little")))[:heads], key=hashed.get)
+    top = sorted(sorted(counts, key=lambda w: (-counts[w], hashed[w]))[:heads], key=hashed.get)
     item = {b"": 0} | {w: brown_lm.FIRST + i for i, w in enumerate(top)}
     pairs = np.zeros((brown_lm.FIRST + len(top),) * 2)
     bigrams = [(a, b) for ws in train for a, b in zip([b"", *ws[:-1]], ws, strict=True)]
