@@ -29,6 +29,8 @@ from leadlight.llm.common import bounded
 WORD_END = "\ue000"
 #: Distinct units of which a worker keeps the ids.
 CACHE_UNITS = 400_000
+#: Longer units (texts without spaces) are encoded each time, so a cache holds a bounded number of bytes.
+LONG_UNIT = 64
 
 
 def byte_symbols() -> list[str]:
@@ -168,7 +170,9 @@ class WordTokenizer:
         ids: list[int] = []
         for word in self.pattern.findall(text):
             ids += self.encoder.encode("".join([self.symbols[b] for b in word.encode()]))
-        found = self.cache[unit] = np.array(ids, "<u4").tobytes()
+        found = np.array(ids, "<u4").tobytes()
+        if len(unit) <= LONG_UNIT:
+            self.cache[unit] = found
         return found
 
     def _plain(self, text: str) -> list[bytes]:

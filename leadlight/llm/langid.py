@@ -135,25 +135,28 @@ def fit(rows: np.ndarray, labels: list[str], seed: int = 11) -> Network:
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", texts: int = TEXTS) -> Network:
     """A network from labelled rows: of each language at most ``texts`` texts, and TEXT_WINDOWS windows spread over each.
 
-    Rows whose text or language is null, or whose text has no letter, teach nothing.
+    Rows whose text or language is null, or whose text has no letter, teach nothing. Of several rows with one id and language
+    the one with the least windows counts, so repeated ids don't lift the bound. An empty table gives a network that
+    knows no language.
     """
     known = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
     order = W.partitionBy("lang").orderBy("h", "id")
     ids = known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(id_column).alias("h"))
     chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).select("id").distinct()
-    sample = known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("data")).join(F.broadcast(chosen), "id").select("lang", "data")
+    sample = known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("data")).join(F.broadcast(chosen), "id").select("lang", "id", "data")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "data"):
-            lang, window = [], []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = []
+            for data in batch.column(2).to_pylist():
                 rows, _ = windows(data)
                 picked = np.unique(np.linspace(0, len(rows) - 1, TEXT_WINDOWS).round().astype(int))
-                lang += [name] * len(picked)
-                window += [rows[i].tobytes() for i in picked]
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(window, pa.binary())], ["lang", "window"])
+                found.append([rows[i].tobytes() for i in picked])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], ["lang", "id", "windows"])
 
-    found = sorted((r["lang"], bytes(r["window"])) for r in sample.mapInArrow(cut, "lang string, window binary").collect())
+    kind = docs.schema[id_column].dataType.simpleString()
+    picked = sample.mapInArrow(cut, f"lang string, id {kind}, windows array<binary>").groupBy("lang", "id").agg(F.min("windows").alias("windows"))
+    found = sorted((r["lang"], bytes(w)) for r in picked.collect() for w in r["windows"])
     rows = np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, WINDOW)
     return fit(rows, [name for name, _ in found])
 
@@ -182,7 +185,8 @@ def predict(docs: DataFrame, network: Network, id_column: str = "doc_id", text_c
     """Columns (id, lang_pred string, score double) of every row.
 
     score is the mean probability of the predicted language; ties go to the first language by name. A null text, one
-    without a letter, and any text if no language was learned get ``und`` with score 0. Other columns are not read. One
+    without a letter, and any text if no language was learned get ``und`` with score 0. Repeated rows give repeated
+    rows; a text of any length is read whole, in windows. Other columns are not read. One
     narrow stage without a shuffle.
     """
     model = pickle.dumps(network)

@@ -3,7 +3,8 @@
 A text becomes its words (lower-case A-Z, digits, anything above ASCII) joined by single spaces. Exact
 phrases are found there at word borders. A fuzzy notice with at most k edits must hold one of the k + 1
 pieces of its text unchanged; these seeds are searched exactly, and only around them the regex library
-matches the whole notice with at most k edits. Matches with fewer edits are taken first, then those with more
+matches the whole notice with at most k edits, from the border of a word to that of another, so "permit license" holds no
+"mit license". Matches with fewer edits are taken first, then those with more
 in what is left between them, so that neighbouring notices do not hide each other.
 """
 
@@ -61,34 +62,37 @@ class Notice:
         cuts = [len(text) * i // (self.edits + 1) for i in range(self.edits + 2)]
         self.seeds = [(text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:], strict=False)]
         literal = regex.escape(text.encode(), literal_spaces=True)
-        self.patterns = [regex.compile(rb"(?:%s){e<=%d}" % (literal, e) if e else literal) for e in range(self.edits + 1)]
+        self.patterns = [regex.compile(rb" (?:%s)%s(?= )" % (literal, b"{e<=%d}" % e if e else b"")) for e in range(self.edits + 1)]
 
     def spans(self, words: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of the matches, not overlapping."""
+        """(start, end, edits) of the matches, not overlapping, each from a word's start to a word's end."""
+        padded = b" " + words + b" "
         around = []
         for seed, place in self.seeds:
-            at = words.find(seed)
+            at = padded.find(seed)
             while at >= 0:
-                around.append((max(0, at - place - self.edits), at - place + self.size + self.edits))
-                at = words.find(seed, at + 1)
+                # from a space to a space, both included
+                end = padded.find(b" ", min(at - place + self.size + self.edits, len(padded) - 1))
+                around.append((padded.rfind(b" ", 0, max(1, at - place - self.edits + 1)), end + 1))
+                at = padded.find(seed, at + 1)
         around.sort()
         parts: list[tuple[int, int]] = []
         k = 0
         while k < len(around):
             start, end = around[k]
-            while k < len(around) and around[k][0] <= end:
+            while k < len(around) and around[k][0] < end:
                 end, k = max(end, around[k][1]), k + 1
-            parts.append((start, min(end, len(words))))
+            parts.append((start, end))
         found: list[tuple[int, int, int]] = []
         for pattern in self.patterns:
             left = []
             for start, end in parts:
-                for m in pattern.finditer(words, start, end):
-                    found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                    left.append((start, m.start()))
+                for m in pattern.finditer(padded, start, end):
+                    found.append((m.start(), m.end() - 1, sum(m.fuzzy_counts)))
+                    left.append((start, m.start() + 1))
                     start = m.end()
                 left.append((start, end))
-            parts = [(start, end) for start, end in left if end - start >= self.size - self.edits]
+            parts = [(start, end) for start, end in left if end - start >= self.size - self.edits + 2]
         return sorted(found)
 
 
@@ -121,7 +125,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     places: each exact phrase's label and the number of its first word; spans: each fuzzy match's label, its bytes
     from start to stop in the normalized text, its edits and what it matched; score: the best match's share of right
     characters, 1 with an exact phrase, 0 without a match. A null or empty text, or one without words, has empty
-    lists. Repeated rows give repeated rows; other columns are not read. One narrow stage without a shuffle.
+    lists. Repeated rows give repeated rows, an empty table an empty result; a text of any length is scanned whole; other
+    columns are not read. One narrow stage without a shuffle.
     """
     phrases = PHRASES if phrases is None else phrases
     kept = tuple((NOTICES if notices is None else notices).items())

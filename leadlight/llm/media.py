@@ -3,8 +3,9 @@
 Storage: each byte is one 8-bit sample, kept as the DC term of one 8x8 block of a baseline grey JPEG with
 DC quantizer 8 and no AC terms, so any JPEG decoder gives a block of exactly that grey. The frames carry
 their own Huffman tables: a difference of category s has a code of 9 - s bits, so every block takes ten
-bits and a whole column of frames is coded and decoded with array arithmetic. Frames with other tables,
-AC terms, several components or restarts are decoded bit by bit.
+bits and a whole column of frames is coded and decoded with array arithmetic. Frames with other or no tables (then those
+of the standard hold), AC terms, several components or restarts are decoded bit by bit to the pixels of their first
+component.
 
 Shots are cut where the difference of neighbouring frames' histograms stands out from its surroundings.
 """
@@ -54,6 +55,30 @@ DC_COUNTS, DC_VALUES = bytes([1] * 9 + [0] * 7), bytes(range(8, -1, -1))
 AC_COUNTS, AC_VALUES = bytes([1] + [0] * 15), b"\0"
 
 
+def _standard(counts: list[int], head: str) -> dict[tuple[int, int], int]:
+    """An AC table of the JPEG standard: its values are ``head``, then all other (run, size) in ascending order."""
+    first = list(bytes.fromhex(head))
+    every = [0, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    return canonical(bytes(counts), bytes(first + sorted(set(every).difference(first))))
+
+
+# Fixed values of the JPEG standard, Annex K: tables of frames that bring none, luminance and chrominance.
+STANDARD_DC = [
+    canonical(bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))),
+    canonical(bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12))),
+]
+STANDARD_AC = [
+    _standard([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
+    _standard([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"),
+]
+#: Row and column of the k-th term of a block: diagonals, every other one upwards.
+ZIGZAG = np.array(sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1])))
+#: The cosine transform of eight values.
+COSINE = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+#: Blocks of a component beyond which a frame is taken for broken.
+LARGEST = 1 << 20
+
+
 def block_table(dc: dict[tuple[int, int], int], ac: dict[tuple[int, int], int]) -> tuple[int, np.ndarray] | None:
     """Bits of a block and the DC difference of each code, if all blocks have as many bits; else None."""
     if set(ac.values()) != {0} or len(ac) != 1 or len({length + s for (length, _), s in dc.items()}) != 1:
@@ -165,7 +190,8 @@ class FrameFormat:
     """What a frame's headers say: geometry, components, Huffman tables, restart interval, DC quantizers."""
 
     def __init__(self, head: bytes) -> None:
-        self.dc, self.ac, self.quant, self.restart = {}, {}, {}, 0
+        self.dc, self.ac = dict(enumerate(STANDARD_DC)), dict(enumerate(STANDARD_AC))
+        self.quant, self.restart = {}, 0
         at = 2
         while at + 4 <= len(head):
             marker, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
@@ -174,7 +200,7 @@ class FrameFormat:
             if marker == 0xDB:
                 while body:
                     wide = body[0] >> 4
-                    self.quant[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
+                    self.quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * (1 + wide)], ">u2" if wide else "u1").astype(np.int64)
                     body = body[1 + 64 * (1 + wide) :]
             elif marker == 0xC4:
                 while body:
@@ -191,21 +217,26 @@ class FrameFormat:
             elif marker == 0xDA:
                 self.order = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
         self.wide = [max(c[1] for c in self.components), max(c[2] for c in self.components)]
-        self.blocks = (-(-self.width // 8), -(-self.height // 8))
+        first = self.components[0]
+        # pixels and blocks of the first component, which may be smaller than the frame
+        self.pixels = -(-self.width * first[1] // self.wide[0]), -(-self.height * first[2] // self.wide[1])
+        self.blocks = -(-self.pixels[0] // 8), -(-self.pixels[1] // 8)
+        if not 0 < self.blocks[0] * self.blocks[1] <= LARGEST:
+            raise MediaError("no frame, or too large a one")
         one = len(self.components) == 1
         self.fast = block_table(self.dc[self.order[0][1]], self.ac[self.order[0][2]]) if one and not self.restart else None
-        self.scale = self.quant[self.components[0][3]] / 8
+        self.scale = self.quant[first[3]][0] / 8
 
     def grey(self, terms: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(terms * self.scale + 128), 0, 255).astype(np.uint8)
 
     def read(self, scans: list[bytes]) -> np.ndarray:
-        """Mean grey of each block of the first component: an array (frames, blocks)."""
+        """Samples (frames, n) of the first component: a grey of each block if all hold nothing else, or all pixels."""
         n = self.blocks[0] * self.blocks[1]
         size = self.fast and -(-n * self.fast[0] // 8)
         plain = [s.replace(b"\xff\0", b"\xff") for s in scans] if self.fast else []
         if not self.fast or any(len(s) != size for s in plain):
-            return np.stack([self.grey(self._slow(s)) for s in scans])
+            return np.stack([self.slow(s).reshape(-1) for s in scans])
         width, differences = self.fast
         group = 8 // gcd(8, width)
         step = group * width // 8
@@ -221,8 +252,8 @@ class FrameFormat:
             raise MediaError("a code outside the table")
         return self.grey(np.cumsum(terms, axis=1))
 
-    def _slow(self, scan: bytes) -> np.ndarray:
-        """DC terms bit by bit, for any baseline frame."""
+    def slow(self, scan: bytes) -> np.ndarray:
+        """The pixels of the first component, term by term, for any baseline frame."""
         parts, start = [], 0
         for at in range(len(scan) - 1):
             if scan[at] == 0xFF and 0xD0 <= scan[at + 1] <= 0xD7:
@@ -232,14 +263,20 @@ class FrameFormat:
         one = len(self.components) == 1
         first = self.components[0]
         shape = (1, 1) if one else (first[1], first[2])
-        units = self.blocks if one else tuple(-(-b // w) for b, w in zip((-(-self.width // 8), -(-self.height // 8)), self.wide, strict=True))
-        plane = np.zeros((units[1] * shape[1], units[0] * shape[0]), np.int32)
+        units = self.blocks if one else (-(-self.width // (8 * self.wide[0])), -(-self.height // (8 * self.wide[1])))
+        terms = np.zeros((units[1] * shape[1], units[0] * shape[0], 64), np.int64)
+        quant = self.quant[first[3]]
         sampling = {c[0]: (c[1], c[2]) for c in self.components}
         unit, total = 0, units[0] * units[1]
         for part in parts:
             bits = np.unpackbits(np.frombuffer(part.replace(b"\xff\0", b"\xff"), np.uint8)).tolist()
             at, last = 0, dict.fromkeys(sampling, 0)
 
+            def extra(size: int) -> int:
+                nonlocal at
+                value, at = int("".join(map(str, bits[at : at + size])) or "0", 2), at + size
+                return value if size == 0 or value >> (size - 1) else value - (1 << size) + 1
+
             def symbol(codes: dict[tuple[int, int], int]) -> int:
                 nonlocal at
                 code = 0
@@ -255,21 +292,23 @@ class FrameFormat:
                 for c, dc, ac in self.order:
                     h, v = (1, 1) if one else sampling[c]
                     for k in range(h * v):
-                        s = symbol(self.dc[dc])
-                        value = int("".join(map(str, bits[at : at + s])) or "0", 2)
-                        at += s
-                        last[c] += value if s == 0 or value >> (s - 1) else value - (1 << s) + 1
-                        filled = 1
+                        last[c] += extra(symbol(self.dc[dc]))
+                        block = terms[unit // units[0] * shape[1] + k // h, unit % units[0] * shape[0] + k % h] if c == first[0] else np.zeros(64, np.int64)
+                        block[0], filled = last[c], 1
                         while filled < 64:
                             run = symbol(self.ac[ac])
                             if run == 0:
                                 break
-                            at += run & 15
-                            filled += (run >> 4) + 1
-                        if c == first[0]:
-                            plane[unit // units[0] * shape[1] + k // h, unit % units[0] * shape[0] + k % h] = last[c]
+                            filled += run >> 4
+                            if filled > 63:
+                                raise MediaError("a run beyond its block")
+                            block[filled] = extra(run & 15)
+                            filled += 1
                 unit += 1
-        return plane[: self.blocks[1], : self.blocks[0]].reshape(-1)
+        square = np.zeros((*terms.shape[:2], 8, 8))
+        square[..., ZIGZAG[:, 0], ZIGZAG[:, 1]] = terms * quant
+        plane = np.swapaxes(COSINE.T @ square @ COSINE, 1, 2).reshape(terms.shape[0] * 8, terms.shape[1] * 8)
+        return np.clip(np.rint(plane + 128), 0, 255).astype(np.uint8)[: self.pixels[1], : self.pixels[0]]
 
 
 @lru_cache(maxsize=64)
@@ -277,37 +316,53 @@ def frame_format(head: bytes) -> FrameFormat:
     return FrameFormat(head)
 
 
-def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """Samples (frames, blocks) of JPEG frames that have the same headers."""
-    if not frames:
-        return np.zeros((0, 0), np.uint8)
+def _head(frame: bytes) -> bytes:
     at = 2
-    while frames[0][at + 1] != 0xDA:
-        at += 2 + int.from_bytes(frames[0][at + 2 : at + 4], "big")
-    at += 2 + int.from_bytes(frames[0][at + 2 : at + 4], "big")
-    head = frames[0][:at]
-    scans = [f[at : f.rfind(b"\xff\xd9")] for f in frames]
-    if all(f.startswith(head) for f in frames):
-        return frame_format(head).read(scans)
-    return np.concatenate([decode_frames([f]) for f in frames])
+    while frame[at + 1] != 0xDA:
+        at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
+    return frame[: at + 2 + int.from_bytes(frame[at + 2 : at + 4], "big")]
+
+
+def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
+    """Samples of JPEG frames: arrays (frames, n) of neighbours with the same headers. An empty frame repeats the one before."""
+    out: list[np.ndarray] = []
+    start = 0
+    while start < len(frames):
+        if not frames[start]:
+            if out:
+                out.append(out[-1][-1:])
+            start += 1
+            continue
+        head, stop = _head(frames[start]), start + 1
+        while stop < len(frames) and frames[stop].startswith(head):
+            stop += 1
+        scans = [f[len(head) : end if (end := f.rfind(b"\xff\xd9")) >= len(head) else len(f)] for f in frames[start:stop]]
+        out.append(frame_format(head).read(scans))
+        start = stop
+    return out
 
 
 # ---- shots ----------------------------------------------------------------------------------------
 
 
-def shots(samples: np.ndarray) -> tuple[list[int], np.ndarray]:
+def histograms(samples: np.ndarray) -> np.ndarray:
+    """The share of each of BINS greys in every frame (frames, n)."""
+    n = len(samples)
+    bins = (samples >> 4).astype(np.int64) + BINS * np.arange(n)[:, None]
+    return np.bincount(bins.ravel(), minlength=BINS * n).reshape(n, BINS) / samples.shape[1]
+
+
+def shots(shares: np.ndarray) -> tuple[list[int], np.ndarray]:
     """First frames of the shots, and each frame's histogram difference to the one before (0 for the first).
 
     A cut is at a frame whose difference is at least LEAST, the largest of its neighbours', and above the mean of up to
     AROUND differences on each side by DEVIATIONS standard deviations.
     """
-    n = len(samples)
+    n = len(shares)
     if n < 2:
         return [0] * n, np.zeros(n)
-    bins = (samples >> 4).astype(np.int64) + BINS * np.arange(n)[:, None]
-    histograms = np.bincount(bins.ravel(), minlength=BINS * n).reshape(n, BINS)
     change = np.zeros(n)
-    change[1:] = np.abs(np.diff(histograms, axis=0)).sum(1) / (2 * samples.shape[1])
+    change[1:] = np.abs(np.diff(shares, axis=0)).sum(1) / 2
     sums, squares = np.concatenate([[0], np.cumsum(change)]), np.concatenate([[0], np.cumsum(change**2)])
     t = np.arange(1, n)
     low, high = np.maximum(t - AROUND, 1), np.minimum(t + AROUND + 1, n)
@@ -319,12 +374,15 @@ def shots(samples: np.ndarray) -> tuple[list[int], np.ndarray]:
     return [0, *t[cut].tolist()], change
 
 
-def clips(media: bytes) -> tuple[np.ndarray, list[dict]]:
+def clips(media: bytes) -> tuple[list[np.ndarray], list[dict]]:
     """Samples of a media value and its clips: number, first frame, frames, start and end in seconds, strength of the cut."""
     fps, frames = read_avi(media)
     samples = decode_frames(frames)
-    starts, change = shots(samples)
-    rows = [{"clip": k, "first_frame": a, "frames": b - a, "start_s": a / fps, "end_s": b / fps, "change": round(float(change[a]), 6)} for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(samples)], strict=True))]
+    if not samples:
+        return samples, []
+    n = sum(map(len, samples))
+    starts, change = shots(np.concatenate([histograms(x) for x in samples]))
+    rows = [{"clip": k, "first_frame": a, "frames": b - a, "start_s": a / fps, "end_s": b / fps, "change": round(float(change[a]), 6)} for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True))]
     return samples, rows
 
 
@@ -341,7 +399,7 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """Columns (id, n_bytes long, media binary, payload binary, clips array) of every row.
 
     media is the text's UTF-8 bytes as AVI, payload what is read back from it, clips the shots found in it. A null
-    text is empty; an empty one fills one frame. Repeated rows give repeated rows; other columns are not read. One
+    text is empty; an empty one fills one frame. Repeated rows give repeated rows, an empty table an empty result; other columns are not read. One
     narrow stage without a shuffle; a few megabytes are held at a time.
     """
 
@@ -350,7 +408,7 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             data = batch.column(1).to_pylist()
             media = [store(x) for x in data]
             read = [clips(m) for m in media]
-            arrays = [batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(media, pa.binary()), pa.array([s.tobytes() for s, _ in read], pa.binary()), pa.array([c for _, c in read], CLIP_TYPE)]
+            arrays = [batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(media, pa.binary()), pa.array([b"".join(x.tobytes() for x in s) for s, _ in read], pa.binary()), pa.array([c for _, c in read], CLIP_TYPE)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_bytes", "media", "payload", "clips"])
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -361,7 +419,8 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def clip_rows(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
     """One row for each clip of each media value, whatever wrote it: (id, clip, first_frame, frames, start_s, end_s, change).
 
-    A null value has no rows; one that is no such AVI gives one row with null columns besides the id.
+    A null value has no rows, nor has an AVI without frames; any other value that is no AVI of baseline JPEG frames gives one
+    row with null columns besides the id. Frames may differ in size and headers. Repeated rows give repeated rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,10 +429,10 @@ def clip_rows(media: DataFrame, id_column: str = "doc_id", media_column: str = "
             for m in batch.column(1).to_pylist():
                 try:
                     found.append(clips(m)[1])
-                except (MediaError, struct.error, IndexError, KeyError, AttributeError):
+                except (ValueError, struct.error, LookupError, AttributeError, ArithmeticError):  # what broken bytes lead to
                     found.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, CLIP_TYPE)], ["id", "clips"])
 
     kind = media.schema[id_column].dataType.simpleString()
     rows = media.where(F.col(media_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(media_column).alias("media"))
-    return rows.mapInArrow(run, f"id {kind}, clips {CLIP}").select(F.col("id").alias(id_column), F.expr("inline_outer(clips)"))
+    return rows.mapInArrow(run, f"id {kind}, clips {CLIP}").where("clips is null or size(clips) > 0").select(F.col("id").alias(id_column), F.expr("inline_outer(clips)"))

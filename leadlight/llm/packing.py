@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from leadlight.llm.bpe import LONG_UNIT
 from leadlight.llm.common import bounded, materialize, release
 
 #: Pieces of one length that one window group ranks; more are split into further groups.
@@ -150,7 +151,8 @@ class UnitEncoder:
         firsts = [c[0] for c in cut if c]
         for c in filter(None, cut):
             del c[0]
-        self._learn(set().union(*filter(None, cut)).difference(self.units))
+        new = set().union(*filter(None, cut)).difference(self.units)
+        self._learn(new)
         heads = iter([np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(firsts, add_special_tokens=False)])
         get, out = self.units.__getitem__, []
         for text, units in zip(texts, cut, strict=True):
@@ -163,6 +165,10 @@ class UnitEncoder:
                 out.append(head + b"".join(map(get, units)) if text[0] != " " and not (units and text[text.index(" ") - 1].isspace()) else self._whole(text))
             except TypeError:
                 out.append(self._whole(text))
+        for u in new:  # long units are not kept, so the cache holds a bounded number of bytes
+            if len(u) > LONG_UNIT:
+                self.units.pop(u, None)
+                self.units.pop(u[:-1], None)
         return out
 
 
@@ -205,20 +211,22 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0
     """Pieces of all documents with their sequence and their offset in it.
 
     Columns: the id, piece int, start, length, ids_crc32, [ids,] sequence_id, offset (long). Each sequence holds its
-    pieces without gaps from 0. Repeated rows are packed each on their own; an empty table gives no rows. Text is read
+    pieces without gaps from 0. Repeated rows are packed each on their own, rows without an id like others; an empty table
+    gives no rows; which of several pieces of one length stands where is any. Text is read
     once; the pieces go through the shared folder, since the histogram comes before the places. To the driver go at
     most ``capacity`` rows; one shuffle moves rows of a few numbers.
     """
-    pieces = materialize(encode_pieces(docs, vocab_path, capacity, end_id, id_column, text_column, with_ids), "pieces")
+    encoded = encode_pieces(docs, vocab_path, capacity, end_id, id_column, text_column, with_ids)
+    pieces = materialize(encoded.withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     entries = sorted(plan(histogram, capacity))
     spread = [1] + [-(-histogram.get(n, 0) // RANK_GROUP) or 1 for n in range(1, capacity + 1)]
 
-    # ranks within a length: place in a group by hash, plus the pieces of the groups before
-    group = F.pmod(F.xxhash64("id", "piece"), F.element_at(F.lit(spread), (F.col("length") + 1).cast("int")).cast("long"))
+    # ranks within a length: place in a group by a hash of the row's number, plus the pieces of the groups before
+    group = F.pmod(F.xxhash64("row"), F.element_at(F.lit(spread), (F.col("length") + 1).cast("int")).cast("long"))
     keyed = pieces.withColumn("group", group)
     before = keyed.groupBy("length", "group").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("group")) - F.col("n")).drop("n")
-    within = F.row_number().over(W.partitionBy("length", "group").orderBy("id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(W.partitionBy("length", "group").orderBy("row")) - 1
     ranked = keyed.withColumn("rank", within.cast("long")).join(before, ["length", "group"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     table = np.array(entries, np.int64).reshape(-1, 5)

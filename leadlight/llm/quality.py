@@ -100,16 +100,21 @@ def fit(rows: np.ndarray, labels: np.ndarray, seed: int = 7) -> Ranking:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` labelled documents, in the order of a hash of the id."""
+    """Features and labels of at most ``limit`` labelled documents, in the order of a hash of the id.
+
+    Of several rows with one id the one with the least features counts, so repeated ids don't lift the bound.
+    """
     known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.round(F.avg(label_column)).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64(id_column), id_column).limit(limit)
     texts = docs.select(F.col(id_column), as_bytes(text_column).alias("data")).join(F.broadcast(sample), id_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "data"):
-            yield pa.RecordBatch.from_arrays([pa.array([features(x).tolist() for x in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x).tolist() for x in batch.column(1).to_pylist()], pa.list_(pa.float64())), batch.column(2)], ["id", "x", "label"])
 
-    found = sorted((r["x"], r["label"]) for r in texts.select("data", "label").mapInArrow(run, "x array<double>, label int").collect())
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = texts.select(F.col(id_column).alias("id"), "data", "label").mapInArrow(run, f"id {kind}, x array<double>, label int")
+    found = sorted((r["x"], r["label"]) for r in rows.groupBy("id").agg(F.min("x").alias("x"), F.min("label").alias("label")).collect())
     return np.array([x for x, _ in found]).reshape(len(found), len(features(b""))), np.array([y for _, y in found], int)
 
 
@@ -121,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 def score(docs: DataFrame, ranking: Ranking, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns (id, score double, predicted int) of every row; a null text is empty and scored as such.
 
-    Only the text counts. Repeated rows give equal scores; other columns are not read. One narrow stage, no shuffle.
+    Only the text counts. Repeated rows give equal scores, an empty table an empty result; a text of any length is scored
+    whole; other columns are not read. One narrow stage, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlight.llm.bpe import byte_symbols
+from leadlight.llm.bpe import LONG_UNIT, byte_symbols
 from leadlight.llm.common import bounded
 
 #: The split of byte-level tokenizers whose file says ``use_regex``; a fixed value of the format.
@@ -152,6 +152,9 @@ class TokenCounter:
             count = dict(zip(words, self.merger.counts([w.encode() for w in words]).tolist(), strict=True))
             for i, ws in odd:
                 totals[i] += sum([count[w] for w in ws])
+        for u in new:  # long units are not kept, so the cache holds a bounded number of bytes
+            if len(u) > LONG_UNIT:
+                del self.units[u]
         return totals
 
 
@@ -163,7 +166,8 @@ def counter(path: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, vocab_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns (id, n_bytes long, n_tokens long) of every row; a null or empty text has none of either.
 
-    Repeated rows give repeated rows; other columns are not read. One narrow stage without a shuffle.
+    Repeated rows give repeated rows, an empty table an empty result; a text of any length is counted whole, in memory of
+    some times its size; other columns are not read. One narrow stage without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """BPE, token counts, packing and media against the tokenizers library, round trips and brute force."""
 
+import math
 import random
 import zlib
 
@@ -44,6 +45,19 @@ def test_counts_are_exact(docs):
     assert got == sorted((d is None, d or 0, len((x or "").encode()), len(i)) for (d, x, _), i in zip(ROWS, ids, strict=True))
 
 
+def test_long_units_are_not_kept(spark):
+    """Texts of megabytes without spaces: right, and no cache grows by them."""
+    long = "字" * 300_000 + "ab" * 100_000
+    rows = [(0, long), (1, "a " + "字符" * 2000), (2, "word " * 400_000)] + [(3 + i, "x" + "語" * (100 + i)) for i in range(20)]
+    texts = [t for _, t in rows]
+    word, _ = library(WORD, texts)
+    byte, _ = library(BYTE, texts)
+    assert [bpe.tokenizer(WORD).encode(t).tolist() for t in texts] == word
+    assert token_counts.counter(BYTE).counts(texts) == [len(i) for i in byte]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.unit_encoder(BYTE).encode(texts)] == byte
+    assert all(len(u) <= bpe.LONG_UNIT + 1 for cache in (bpe.tokenizer(WORD).cache, token_counts.counter(BYTE).units, packing.unit_encoder(BYTE).units) for u in cache)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(max_codepoint=0x2FA1F, exclude_categories=("Cs", "Cn")), max_size=40), min_size=1, max_size=6))
 def test_any_text(texts):
@@ -123,11 +137,108 @@ def test_media_round_trip(docs):
 
 def test_slow_decoder_agrees():
     frames = media.encode_frames(random.Random(3).randbytes(3 * media.FRAME))
-    head = frames[0][: frames[0].index(b"\xff\xda") + 10]
-    fast, slow = media.FrameFormat(head), media.FrameFormat(head)
-    slow.fast = None
+    head = media._head(frames[0])
+    fast = media.FrameFormat(head)
     scans = [f[len(head) : -2] for f in frames]
-    assert (fast.read(scans) == slow.read(scans)).all()
+    for scan, want in zip(scans, fast.read(scans), strict=True):
+        pixels = fast.slow(scan)
+        assert (pixels == want.reshape(media.SIDE, media.SIDE).repeat(8, 0).repeat(8, 1)).all()
+
+
+def jpeg(planes, quant, restart=0):
+    """A baseline frame without Huffman tables, and its first plane as a plain sum of cosines gives it back.
+
+    planes: one of (h, w), or luma twice as wide and high as two others.
+    """
+    size = [2, 1, 1] if len(planes) == 3 else [1]
+    zigzag = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
+    code = [[{v: (n, c) for (n, c), v in t.items()} for t in ts] for ts in (media.STANDARD_DC, media.STANDARD_AC)]
+    norm = lambda u: math.sqrt(0.5) if u == 0 else 1.0
+    wave = lambda x, u: math.cos((2 * x + 1) * u * math.pi / 16)
+    back = np.zeros(planes[0].shape)
+    bits, scan, last = "", b"", [0] * len(planes)
+
+    def flush():
+        nonlocal bits, scan
+        bits += "1" * (-len(bits) % 8)
+        scan += bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        bits = ""
+
+    def value(v):
+        n = abs(v).bit_length()
+        return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def block(k, y, x):
+        nonlocal bits
+        part = planes[k][8 * y : 8 * y + 8, 8 * x : 8 * x + 8].astype(float) - 128
+        terms = [round(norm(u) * norm(v) / 4 * sum(part[i, j] * wave(i, u) * wave(j, v) for i in range(8) for j in range(8)) / quant[z]) for z, (u, v) in enumerate(zigzag)]
+        if k == 0:
+            for i in range(8):
+                for j in range(8):
+                    back[8 * y + i, 8 * x + j] = 128 + sum(norm(u) * norm(v) / 4 * t * q * wave(i, u) * wave(j, v) for t, q, (u, v) in zip(terms, quant, zigzag, strict=True))
+        n, extra = value(terms[0] - last[k])
+        last[k] = terms[0]
+        put = lambda t, s: format(code[t][k > 0][s][1], f"0{code[t][k > 0][s][0]}b")
+        bits += put(0, n) + extra
+        run = 0
+        for t in terms[1:]:
+            if t == 0:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + put(1, 0xF0), run - 16
+            n, extra = value(t)
+            bits, run = bits + put(1, run << 4 | n) + extra, 0
+        if run:
+            bits += put(1, 0)
+
+    units = [(y, x) for y in range(planes[0].shape[0] // (8 * size[0])) for x in range(planes[0].shape[1] // (8 * size[0]))]
+    for n, (y, x) in enumerate(units):
+        if restart and n and n % restart == 0:
+            flush()
+            scan += bytes([0xFF, 0xD0 + (n // restart - 1) % 8])
+            last = [0] * len(planes)
+        for k, s in enumerate(size):
+            for i in range(s * s):
+                block(k, y * s + i // s, x * s + i % s)
+    flush()
+    part = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+    h, w = planes[0].shape
+    frame = b"\xff\xd8" + part(0xDB, b"\0" + bytes(quant)) + (part(0xDD, restart.to_bytes(2, "big")) if restart else b"")
+    frame += part(0xC0, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(size)]) + b"".join(bytes([k + 1, s << 4 | s, 0]) for k, s in enumerate(size)))
+    frame += part(0xDA, bytes([len(size)]) + b"".join(bytes([k + 1, 0x11 * (k > 0)]) for k in range(len(size))) + bytes([0, 63, 0]))
+    return frame + scan + b"\xff\xd9", np.clip(np.rint(back), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize(("colour", "restart"), [(False, 0), (True, 0), (True, 1)])
+def test_foreign_frames_against_a_plain_decoder(spark, colour, restart):
+    rng = np.random.default_rng(8)
+    quant = [3 + k // 2 for k in range(64)]
+    smooth = lambda h, w: np.clip(128 + 90 * np.sin(np.add.outer(np.arange(h) / 5, np.arange(w) / 7)) + rng.normal(0, 9, (h, w)), 0, 255).astype(np.uint8)
+    planes = [smooth(32, 48), smooth(16, 24), smooth(16, 24)] if colour else [smooth(24, 40)]
+    frame, want = jpeg(planes, quant, restart)
+    (got,) = media.decode_frames([frame])
+    assert np.abs(got[0].astype(int) - want.reshape(-1)).max() <= 1
+    assert np.abs(got[0].astype(int) - planes[0].reshape(-1)).mean() < 8
+    dark, _ = jpeg([np.full((16, 16), 9, np.uint8)], quant)
+    own = media.encode_frames(bytes([200]) * media.FRAME)
+    mixed = media.write_avi([frame] * 9 + [b""] + [dark] * 9 + own * 9)
+    frames = [r for r in media.clip_rows(spark.createDataFrame([(1, mixed)], "doc_id long, media binary")).collect()]
+    assert [(r["first_frame"], r["frames"]) for r in frames] == [(0, 10), (10, 9), (19, 9)]
+
+
+def test_broken_media_never_stops_the_job(spark):
+    rng = random.Random(12)
+    whole = media.store(b"some text " * 300)
+    none = media.write_avi([b"x"])[: -16 - 8 - 2 - 8]  # no index, no frame
+    rows = [(0, none[: none.index(b"movi") - 4] + (4).to_bytes(4, "little") + b"movi")]
+    for i in range(1, 120):
+        data = bytearray(whole)
+        for _ in range(rng.choice([1, 5, 60])):
+            data[rng.randrange(len(data) if i % 2 else 700)] = rng.randrange(256)
+        rows.append((i, bytes(data[: rng.choice([len(data), rng.randrange(len(data))])])))
+    got = {r["doc_id"] for r in media.clip_rows(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert 0 not in got and len(got) > 20
 
 
 def test_index_is_optional_and_bad_media_is_null(spark):
@@ -144,7 +255,7 @@ def test_index_is_optional_and_bad_media_is_null(spark):
 
 def test_a_cut_is_found():
     calm = [np.full(media.FRAME, 10, np.uint8)] * 12 + [np.full(media.FRAME, 200, np.uint8)] * 12
-    starts, _ = media.shots(np.stack(calm))
+    starts, _ = media.shots(media.histograms(np.stack(calm)))
     assert starts == [0, 12]
 
 

@@ -97,7 +97,20 @@ def test_neighbouring_notices_against_brute_force():
             for lo, hi in zip(borders[::2], borders[1::2], strict=True):
                 for a in range(lo, hi):
                     for b in range(a + notice.size - notice.edits, min(hi, a + notice.size + notice.edits) + 1):
-                        assert edits(text, words[a:b]) > notice.edits, (words, spans, a, b)
+                        borders = (a == 0 or words[a - 1] == " ") and (b == len(words) or words[b] == " ")
+                        assert not borders or edits(text, words[a:b]) > notice.edits, (words, spans, a, b)
+            assert all((a == 0 or words[a - 1] == " ") and (b == len(words) or words[b] == " ") for a, b, _ in spans)
+
+
+def test_no_notice_inside_words(spark):
+    mit = licenses.Notice("mit license", "mit")
+    for words in (b"submit license", b"permit license", b"limit license", b"emit licence", b"mit licenses here"):
+        assert [e for _, _, e in mit.spans(words)] == ([1] if words.endswith(b"here") else [])
+    rows = [(1, "permit license " * 5), (2, "x" * 2_000_000 + " MIT-License"), (3, "mit license " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in licenses.scan(df).selectExpr("doc_id", "size(places) p", "size(spans) s", "score").collect()}
+    assert [tuple(out[i])[1:] for i in (1, 2, 3)] == [(0, 0, 0.0), (1, 1, 1.0), (100_000, 100_000, 1.0)]
+    assert licenses.scan(df.limit(0)).count() == 0
 
 
 def brute(rows, least=0.8):
