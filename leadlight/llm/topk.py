@@ -4,7 +4,8 @@ Each vector gets one more component, sqrt(M - |x|^2) with M the largest squared
 Then |q - x|^2 = |q|^2 + M - 2 q.x, so high scores are near neighbours and the triangle inequality
 holds: the distances of q and x to one pivot differ by |q - x| at most. The rows carry their distances to
 many pivots. For a query and a block of rows the largest difference over the pivots bounds each score from
-above; rows are scored in the order of their bounds until no bound reaches the k-th score found.
+above; rows are scored in the order of their bounds until no bound reaches the k-th score found. Where that search starts
+it knows each query's k-th best score among PIVOT_SAMPLE rows, so every block has a threshold at once.
 """
 
 from __future__ import annotations
@@ -46,18 +47,33 @@ def matrix(column: pa.Array, dtype: type) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), -1)
 
 
-def search_block(queries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray, np.ndarray], longest: float, k: int) -> list[tuple[int, int, int]]:
+def thresholds(q_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among some rows but its own; no score below it is among its k best."""
+    scores = asked @ sample.T
+    least = np.finfo(np.float64).min if scores.dtype == np.float64 else np.iinfo(np.int64).min
+    scores[q_ids[:, None] == ids] = least
+    return np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(asked), least, scores.dtype)
+
+
+def search_block(queries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray, np.ndarray], longest: float, k: int, sample: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int]]:
     """(query id, row id, score) of the k best rows of a block for each query, ties to the smaller id.
 
+    Rows that cannot reach a query's k-th best score among ``sample`` (ids, vectors) may be left out.
+
     Both sides are (ids, integer vectors, distances to the pivots). A query's own id is no candidate.
     """
     q_ids, q_vectors, q_far = queries
     ids, vectors, far = rows
-    reach = float(np.abs(q_vectors).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+    largest = max(float(np.abs(x).max(initial=0)) for x in (vectors, *([sample[1]] if sample else [])))
+    reach = float(np.abs(q_vectors).max(initial=0)) * largest * vectors.shape[1]
     kind = np.float64 if reach < EXACT else np.int64  # the float product is exact below 2^53
     data, asked = vectors.astype(kind), q_vectors.astype(kind)
     found = []
-    for q_id, q, q_pivots in zip(q_ids.tolist(), asked, q_far, strict=True):
+    if sample is None:
+        floors = np.full(len(asked), -np.inf)
+    else:
+        floors = thresholds(q_ids, asked, sample[0], sample[1].astype(kind), k)
+    for q_id, q, q_pivots, floor in zip(q_ids.tolist(), asked, q_far, floors, strict=True):
         low = np.abs(far - q_pivots).max(1) if far.shape[1] else np.zeros(len(ids))
         top = (q.astype(np.float64) ** 2).sum() + longest
         bound = (top - low**2) / 2 + 1e-9 * top + 1  # a little higher, for rounding
@@ -65,7 +81,7 @@ def search_block(queries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: tuple
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for start in range(0, len(order), STEP):
             part = order[start : start + STEP]
-            if len(best) == k and bound[part[0]] < best[-1]:
+            if bound[part[0]] < max(floor, best[-1] if len(best) == k else floor):
                 break
             part = part[ids[part] != q_id]
             scores = (data[part] @ q).astype(np.int64)
@@ -98,7 +114,9 @@ def top_k(vectors: DataFrame, is_query: object, k: int = 10, scale: int = 1024,
 
 
 def _top_k_of_size(clean: DataFrame, n: int, n_queries: int, longest: float, k: int, pivots: int) -> DataFrame:
-    sample = np.array([r["v"] for r in clean.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()], np.float64)
+    taken = clean.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(PIVOT_SAMPLE).collect()
+    known = np.array([r["id"] for r in taken], np.int64), np.array([r["v"] for r in taken], np.int64)
+    sample = known[1].astype(np.float64)
     chosen = choose_pivots(lifted(sample, longest), pivots)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +146,7 @@ def _top_k_of_size(clean: DataFrame, n: int, n_queries: int, longest: float, k:
             side = side.combine_chunks()
             cols = [side.column(c).chunk(0) if side.num_rows else None for c in ("id", "v", "far")]
             sides.append((cols[0].to_numpy(), matrix(cols[1], np.int64), matrix(cols[2], np.float64)) if side.num_rows else None)
-        found = search_block(*sides, longest, k) if all(sides) else []
+        found = search_block(*sides, longest, k, known) if all(sides) else []
         columns = zip(*found, strict=True) if found else ([], [], [])
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "id", "score"])
 
