@@ -84,3 +84,25 @@ def vector_similarity(left: Column, right: Column) -> Column:
     """1 / (1 + Euclidean distance) of two vectors."""
     squares = F.aggregate(F.zip_with(left, right, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return 1 / (1 + F.sqrt(squares))
+
+
+# ---- counts ---------------------------------------------------------------------------------------
+
+
+def count_similarity(name: str, left: Column, right: Column) -> Column:
+    """tanimoto, dice or cosine of two count maps (key to number); a missing key is 0, two empty maps have 0.
+
+    tanimoto is the sum of least over the sum of largest counts, dice twice the former over both sums.
+    """
+    keys = F.array_union(F.map_keys(left), F.map_keys(right))
+    count = lambda m, k: F.coalesce(F.element_at(m, k), F.lit(0)).cast("double")
+    total = lambda f: F.aggregate(keys, F.lit(0.0), lambda s, k: s + f(count(left, k), count(right, k)))
+    low, both = total(F.least), total(lambda a, b: a + b)
+    forms = {
+        "tanimoto": lambda: _ratio(low, total(F.greatest)),
+        "dice": lambda: _ratio(2 * low, both),
+        "cosine": lambda: _ratio(total(lambda a, b: a * b), F.sqrt(total(lambda a, b: a * a)) * F.sqrt(total(lambda a, b: b * b))),
+    }
+    if name.lower() not in forms:
+        raise ValueError(f"no count form of {name!r}; one of {', '.join(forms)}")
+    return forms[name.lower()]()

@@ -1,70 +1,132 @@
-"""The structure stage: SMILES in, values out, one Arrow crossing. Everything after it is columns."""
+"""The structure stage: SMILES in, values out, one Arrow crossing. Everything after it is columns.
+
+A stage carries the table's own columns through, so nothing is joined back: no shuffle, and repeated keys stay repeated.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from leadlight.functions.rules import col
-from leadlight.kernel import pure
+from leadlight.kernel import chem, pure
 
-FIELDS = "Canonical_SMILES string, Scaffold_SMILES string, MolWt double, TPSA double, HBD int, HBA int, RotBonds int, Rings int, AromaticRings int, HeavyAtoms int, FractionCSP3 double, Patterns map<string,int>, fp array<bigint>"
-_TYPES = {"Canonical_SMILES": pa.string(), "Scaffold_SMILES": pa.string(), "MolWt": pa.float64(), "TPSA": pa.float64(), "HBD": pa.int32(), "HBA": pa.int32(), "RotBonds": pa.int32(), "Rings": pa.int32(), "AromaticRings": pa.int32(), "HeavyAtoms": pa.int32(), "FractionCSP3": pa.float64(), "Patterns": pa.map_(pa.string(), pa.int32()), "fp": pa.list_(pa.int64())}
+FIELDS = (
+    "Canonical_SMILES string, Scaffold_SMILES string, MolWt double, LogP double, MR double, TPSA double, HBD int, HBA int, RotBonds int, Rings int, "
+    "AromaticRings int, HeavyAtoms int, FractionCSP3 double, Stereo_Status string, Stereo_Unassigned_Centers int, Stereo_Unassigned_DoubleBonds int, "
+    "Patterns map<string,int>, fp array<bigint>"
+)
+PREPARED = "Prepared_SMILES string, Prep_Cleanup_Changed boolean, Prep_Fragment_Changed boolean, Prep_Uncharge_Changed boolean, Stereo_Status string, Stereo_Unassigned_Centers int, Stereo_Unassigned_DoubleBonds int"
+COMPLEXITY = "SpiroAtoms int, BridgeheadAtoms int, Stereocenters int, Heteroatoms int, AromaticFraction double, BalabanTopological double"
+FEATURES = "Groups map<string,double>, Morgan_Counts map<bigint,int>, AtomPair_Counts map<bigint,int>, Torsion_Counts map<bigint,int>, Fragments array<string>"
+GRAPH = "n_atoms int, n_edges int, atoms array<array<float>>, edges array<array<int>>, bonds array<array<float>>"
 
 
-def values(smiles: str | None, fingerprint: str = "morgan", n_bits: int = 2048) -> dict[str, object] | None:
-    """Everything the kernel knows of one structure; None if it can't be read."""
-    if fingerprint not in pure.FINGERPRINTS:
-        raise ValueError(f"unknown fingerprint {fingerprint!r}")
+def fingerprint_of(name: str) -> Callable[[pure.Mol], dict[int, int]]:
+    if name not in chem.FINGERPRINTS:
+        raise ValueError(f"unknown fingerprint {name!r}; one of {', '.join(chem.FINGERPRINTS)}")
+    return chem.FINGERPRINTS[name]
+
+
+def read(smiles: str | None) -> pure.Mol | None:
+    """The molecule of a text; None if it can't be read."""
     try:
-        mol = pure.parse(smiles or "")
+        return pure.parse(smiles or "")
     except (pure.ParseError, RecursionError):
         return None
-    return pure.descriptors(mol) | {
-        "Canonical_SMILES": pure.write(mol),
-        "Scaffold_SMILES": pure.scaffold(mol),
-        "Patterns": list({k: pure.count(mol, p) for k, p in pure.PANEL.items()}.items()),
-        "fp": pure.packed(pure.FINGERPRINTS[fingerprint](mol), n_bits),
-    }
 
 
-def structures(df: DataFrame, smiles: str = "SMILES", key: str = "row", fingerprint: str = "morgan", n_bits: int = 2048, drop_invalid: bool = True) -> DataFrame:
-    """The rows with FIELDS; invalid structures go, or stay with nulls. ``key`` tells rows apart (row order is not kept)."""
-    names = list(_TYPES)
+def values(smiles: str | None, fingerprint: str = "morgan", n_bits: int = 2048) -> dict[str, object] | None:
+    """FIELDS of one structure; None if it can't be read."""
+    kind, mol = fingerprint_of(fingerprint), read(smiles)
+    if mol is None:
+        return None
+    return (
+        pure.descriptors(mol)
+        | chem.lipophilicity(mol)
+        | dict(zip(("Stereo_Status", "Stereo_Unassigned_Centers", "Stereo_Unassigned_DoubleBonds"), chem.stereo_summary(mol), strict=True))
+        | {
+            "Canonical_SMILES": pure.write(mol),
+            "Scaffold_SMILES": pure.scaffold(mol),
+            "Patterns": list({k: pure.count(mol, p) for k, p in pure.PANEL.items()}.items()),
+            "fp": pure.packed(kind(mol), n_bits),
+        }
+    )
+
+
+def through(df: DataFrame, smiles: str, fields: str, make: Callable[[str | None], dict[str, object] | None]) -> DataFrame:
+    """The rows with ``fields``, nulls where ``make`` gives None; columns of these names that the table has are replaced."""
+    made = _parse_datatype_string(fields)
+    types = {f.name: to_arrow_type(f.dataType) for f in made}
+    kept = [c for c in df.columns if c not in types]
+    renamed = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)], col(smiles).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [values(s, fingerprint, n_bits) or {} for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([v.get(n) for v in found], t) for n, t in _TYPES.items()]], ["key", *names])
+            found = [make(s) or {} for s in batch.column(len(kept)).to_pylist()]
+            arrays = [*batch.columns[: len(kept)], *[pa.array([v.get(n) for v in found], t) for n, t in types.items()]]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[: len(kept)], *[f"m{i}" for i in range(len(types))]])
 
-    kind = df.schema[key].dataType.simpleString()
-    made = df.select(col(key).alias("key"), col(smiles).alias("s")).mapInArrow(run, f"key {kind}, {FIELDS}").withColumnRenamed("key", key)
-    if drop_invalid:
-        made = made.where(F.col("HeavyAtoms").isNotNull())
-    keep = [c for c in df.columns if c == key or c not in names]
-    return df.select(*[col(c) for c in keep]).join(made, key)
+    schema = renamed.drop("s").schema
+    for i, f in enumerate(made):
+        schema = schema.add(f"m{i}", f.dataType)
+    return renamed.mapInArrow(run, schema).toDF(*kept, *types)
 
 
-def graphs(df: DataFrame, smiles: str = "SMILES", key: str = "row") -> DataFrame:
-    """(row, n_atoms, n_edges, atoms array<array<float>>, edges array<array<int>>, bonds array<array<float>>); an invalid
-    structure has an empty graph."""
+def structures(df: DataFrame, smiles: str = "SMILES", fingerprint: str = "morgan", n_bits: int = 2048, drop_invalid: bool = True) -> DataFrame:
+    """The rows with FIELDS; invalid structures go, or stay with nulls (row order is not kept)."""
+    fingerprint_of(fingerprint)
+    made = through(df, smiles, FIELDS, lambda s: values(s, fingerprint, n_bits))
+    return made.where(F.col("HeavyAtoms").isNotNull()) if drop_invalid else made
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for s in batch.column(1).to_pylist():
-                try:
-                    rows.append(pure.graph(pure.parse(s or "")))
-                except (pure.ParseError, RecursionError):
-                    rows.append(([], [], []))
-            nested = pa.list_(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(a) for a, _, _ in rows], pa.int32()), pa.array([len(e) for _, e, _ in rows], pa.int32()), pa.array([a for a, _, _ in rows], nested), pa.array([e for _, e, _ in rows], pa.list_(pa.list_(pa.int32()))), pa.array([b for _, _, b in rows], nested)],
-                ["row", "n_atoms", "n_edges", "atoms", "edges", "bonds"],
-            )
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(col(key).alias("row"), col(smiles).alias("s")).mapInArrow(run, f"row {kind}, n_atoms int, n_edges int, atoms array<array<float>>, edges array<array<int>>, bonds array<array<float>>")
+
+def prepared(df: DataFrame, smiles: str = "SMILES") -> DataFrame:
+    """The rows with PREPARED: the largest part, uncharged, what each step changed, and the stereo summary."""
+
+    def make(s: str | None) -> dict[str, object] | None:
+        try:
+            return chem.prepare(s or "")
+        except (pure.ParseError, RecursionError):
+            return None
+
+    return through(df, smiles, PREPARED, make)
+
+
+def complexity(df: DataFrame, smiles: str = "SMILES") -> DataFrame:
+    """The rows with COMPLEXITY; nulls for invalid structures."""
+    return through(df, smiles, COMPLEXITY, lambda s: (mol := read(s)) and chem.complexity(mol))
+
+
+def features(df: DataFrame, smiles: str = "SMILES", max_fragments: int = 128) -> DataFrame:
+    """The rows with FEATURES: functional groups and environment, hashed counts of three kinds, fragments.
+
+    An invalid structure has zero groups and empty counts and fragments.
+    """
+
+    def make(s: str | None) -> dict[str, object]:
+        mol = read(s)
+        counts = {k: list(chem.FINGERPRINTS[f](mol).items()) if mol else [] for k, f in (("Morgan_Counts", "morgan"), ("AtomPair_Counts", "atompair"), ("Torsion_Counts", "torsion"))}
+        return {"Groups": list(chem.groups(mol).items()), "Fragments": chem.fragments(mol, max_fragments) if mol else []} | counts
+
+    return through(df, smiles, FEATURES, make)
+
+
+def graphs(df: DataFrame, smiles: str = "SMILES") -> DataFrame:
+    """The rows with GRAPH; an invalid structure has an empty graph."""
+
+    def make(s: str | None) -> dict[str, object]:
+        mol = read(s)
+        atoms, edges, bonds = pure.graph(mol) if mol else ([], [], [])
+        return {"n_atoms": len(atoms), "n_edges": len(edges), "atoms": atoms, "edges": edges, "bonds": bonds}
+
+    return through(df, smiles, GRAPH, make)
+
+
+def outcome(df: DataFrame, structure: str = "HeavyAtoms") -> DataFrame:
+    """(searched, valid, invalid) of a table that kept its invalid structures; one row."""
+    return df.agg(F.count("*").alias("searched"), F.count(col(structure)).alias("valid"), F.count_if(col(structure).isNull()).alias("invalid"))

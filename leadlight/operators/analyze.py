@@ -9,11 +9,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col, yes
 from leadlight.plans.categories import id_column
+from leadlight.sources.storage import stored
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -48,8 +48,8 @@ def numeric_summary(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def value_counts(df: DataFrame, column: str, by_value: bool = False) -> DataFrame:
     """(value, n, pct) with nulls as a value and percentages of all rows; largest count first, or by value."""
     counts = df.groupBy(col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
-    out = counts.withColumn("pct", 100 * F.col("n") / total)
+    total = counts.agg(F.sum("n").alias("__total"))  # one row
+    out = counts.join(F.broadcast(total)).withColumn("pct", 100 * F.col("n") / F.col("__total")).drop("__total")
     return out.orderBy("value") if by_value else out.orderBy(F.desc("n"), "value")
 
 
@@ -57,7 +57,8 @@ def value_counts_of(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """(column, value as text, n, pct) of several columns in one pass; otherwise as ``value_counts``."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
     counts = df.select(F.explode(cells).alias("c")).groupBy("c.column", "c.value").agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(W.partitionBy("column")))
+    totals = counts.groupBy("column").agg(F.sum("n").alias("__total"))  # a row for each column
+    return counts.join(F.broadcast(totals), "column").select("column", "value", "n", (100 * F.col("n") / F.col("__total")).alias("pct"))
 
 
 def rates(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
@@ -88,7 +89,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     If all values are equal, one bin of width 1 around them holds them all.
     """
     x = F.nanvl(_plain(df, column).cast("double"), F.lit(None))
-    values = df.select(x.alias("x")).where("x is not null")
+    values = stored(df.select(x.alias("x")).where("x is not null"), "histogram")  # what leads to the column runs once
     edges = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo is not null")
     edges = edges.select(F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins

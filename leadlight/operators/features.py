@@ -37,15 +37,15 @@ def blocks(named: dict[str, int], hashed: dict[str, int] | None = None) -> dict[
     return out
 
 
-def fragment_counts(rows: DataFrame, fragments: str = "fragments") -> DataFrame:
-    """(fragment, n): in how many rows each fragment stands; of a row the first FRAGMENTS_PER_ROW by name count."""
-    one = F.slice(F.array_sort(F.array_distinct(F.coalesce(col(fragments), F.array().cast("array<string>")))), 1, FRAGMENTS_PER_ROW)
+def fragment_counts(rows: DataFrame, fragments: str = "fragments", most: int = FRAGMENTS_PER_ROW) -> DataFrame:
+    """(fragment, n): in how many rows each fragment stands; of a row the first ``most`` by name count."""
+    one = F.slice(F.array_sort(F.array_distinct(F.coalesce(col(fragments), F.array().cast("array<string>")))), 1, most)
     return rows.select(F.explode(one).alias("fragment")).groupBy("fragment").agg(F.count("*").alias("n"))
 
 
-def vocabulary(rows: DataFrame, fragments: str = "fragments", least: int = 1) -> DataFrame:
+def vocabulary(rows: DataFrame, fragments: str = "fragments", least: int = 1, most: int = FRAGMENTS_PER_ROW) -> DataFrame:
     """(fragment, column): the fragments that at least ``least`` rows have, numbered by name from 0."""
-    return numbered(fragment_counts(rows, fragments).where(F.col("n") >= least).select("fragment"), [F.col("fragment")], "column").withColumn("column", F.col("column").cast("int"))
+    return numbered(fragment_counts(rows, fragments, most).where(F.col("n") >= least).select("fragment"), [F.col("fragment")], "column").withColumn("column", F.col("column").cast("int"))
 
 
 def unknown_fragments(rows: DataFrame, known: DataFrame, fragments: str = "fragments") -> DataFrame:
@@ -65,9 +65,9 @@ def named_cells(rows: DataFrame, row: str, values: dict[str, str], block: Block)
     return rows.select(col(row).alias("row"), F.explode(entries).alias("c")).select("row", "c.column", "c.value").where("value is not null and value <> 0")
 
 
-def presence_cells(rows: DataFrame, row: str, known: DataFrame, block: Block, fragments: str = "fragments") -> DataFrame:
+def presence_cells(rows: DataFrame, row: str, known: DataFrame, block: Block, fragments: str = "fragments", most: int = FRAGMENTS_PER_ROW) -> DataFrame:
     """(row, column, value 1) of the fragments that a vocabulary knows; Spark broadcasts it only if it is small."""
-    one = F.slice(F.array_sort(F.array_distinct(col(fragments))), 1, FRAGMENTS_PER_ROW)
+    one = F.slice(F.array_sort(F.array_distinct(col(fragments))), 1, most)
     cells = rows.select(col(row).alias("row"), F.explode(one).alias("fragment"))
     return cells.join(known, "fragment").select("row", (F.col("column") + block.offset).cast("int").alias("column"), F.lit(1.0).cast("float").alias("value"))
 

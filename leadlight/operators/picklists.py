@@ -147,7 +147,7 @@ def mask(df: DataFrame, rule: Rule, logic: str = "all") -> Column:
         found = _among(c, kind, values)
         return found if rule.op == "in" else ~found
     if rule.op in ("contains", "notcontains"):
-        found = F.lower(F.coalesce(c.cast("string"), F.lit(""))).contains(str(rule.value).lower())
+        found = F.lower(F.coalesce(c.cast("string"), F.lit(""))).contains("" if rule.value is None else str(rule.value).lower())
         return found if rule.op == "contains" else ~found
     number = _number(c, kind)
     if rule.op == "between":
@@ -157,7 +157,9 @@ def mask(df: DataFrame, rule: Rule, logic: str = "all") -> Column:
 
 
 def condition(df: DataFrame, picklist: Picklist) -> Column:
-    """All rules joined; "any" of no rules is false for every row."""
+    """All rules joined; "any" of no rules is false for every row. Any other logic than "all" and "any" raises."""
+    if picklist.logic not in ("all", "any"):
+        raise ValueError(f"unknown logic {picklist.logic!r}")
     masks = [mask(df, r, picklist.logic) for r in picklist.filters]
     if picklist.logic == "any":
         return reduce(or_, masks, F.lit(False))
@@ -167,12 +169,13 @@ def condition(df: DataFrame, picklist: Picklist) -> Column:
 def ordering(df: DataFrame, orders: Iterable[Order], tie: str | None) -> list[Column]:
     """Sort columns with nulls and NaN last, then ``tie``; columns that the table lacks are left out.
 
-    A text column is ordered as text; a caller that knows it to hold numbers casts it first.
+    A text column of which every value is a number is ordered by number (one job finds out for all of them).
     """
-    kinds, keys = dict(df.dtypes), []
+    orders = list(orders)
+    kinds, keys, numbers = dict(df.dtypes), [], numeric_text_columns(df, [o.column for o in orders])
     for o in orders:
         if o.column in kinds:
-            c = F.nanvl(col(o.column), F.lit(None)) if kinds[o.column] in ("double", "float") else col(o.column)
+            c = F.nanvl(col(o.column), F.lit(None)) if kinds[o.column] in ("double", "float") else col(o.column).try_cast("double") if o.column in numbers else col(o.column)
             keys.append(c.asc_nulls_last() if o.ascending else c.desc_nulls_last())
     return keys + ([col(tie).asc_nulls_last()] if tie else [])
 

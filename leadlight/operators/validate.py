@@ -48,6 +48,19 @@ def load_schema(text: str) -> Schema:
     return Schema({n: spec(n, e) for n, e in entries}, tuple((e["pattern"], spec(e["pattern"], e)) for e in raw.get("patterns", ())))
 
 
+def find_schema(spark, path: str | None = None, bundled: Schema | None = None) -> Schema:
+    """The schema at ``path`` if there is one, else ``bundled``, else one made of the known categories' columns."""
+    if path is not None:
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+            return load_schema("\n".join(r["value"] for r in spark.read.text(path).collect()))
+    if bundled is not None:
+        return bundled
+    from leadlight.plans.categories import CATEGORIES
+
+    return Schema({name: ColumnSpec(name, "auto", False, "", (key,), "") for key, c in CATEGORIES.items() for name in c.columns}, ())
+
+
 def coerces(c: Column, kind: str, to: str) -> Column:
     """Whether a non-null value can be read as a type."""
     number = c.cast("double") if kind in ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean") else c.try_cast("double")

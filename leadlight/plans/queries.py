@@ -8,18 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
-from leadlight.functions.similarity import METRICS, on_bits, similarity, words
-from leadlight.kernel.stage import graphs, structures
+from leadlight.functions import texts as T
+from leadlight.functions.similarity import METRICS, count_similarity, on_bits, similarity, words
+from leadlight.kernel.stage import complexity as structure_complexity
+from leadlight.kernel.stage import features as structure_features
+from leadlight.kernel.stage import graphs, outcome, structures
+from leadlight.kernel.stage import prepared as structure_prepared
 from leadlight.operators import analyze as A
 from leadlight.operators import cluster as C
 from leadlight.operators import features as X
 from leadlight.operators import picklists as P
 from leadlight.operators import search as S
 from leadlight.operators import validate as V
+from leadlight.operators.synthetic import sa_scores
 from leadlight.sources.smiles import parse_lines
 from leadlight.sources.tables import flatten_routes, retro_targets
 from leadlight.plans.adapters import FP_SQL, N_BITS, WIDE_SQL, compounds, fingerprints
 from leadlight.plans.calculator import TOX, calculate, fill_missing
+from leadlight.plans.reports import cluster_sizes, compare_columns, ragged_union
+from leadlight.sources.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,7 +175,7 @@ _TOPS = {
 
 @register("analyze_top", over_wide(" union all ".join(f"(select '{k}' as category, Compound_ID from w order by {order}, Compound_ID limit 20)" for k, order in _TOPS.items())))
 def analyze_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, out = wide(spark, sf_dir), None
+    df, out = stored(wide(spark, sf_dir), "wide"), None
     for k in _TOPS:
         part = A.analyze(df, k)["top"].select(F.lit(k).alias("category"), "Compound_ID")
         out = part if out is None else out.unionByName(part)
@@ -189,7 +196,7 @@ _SCREENS = {
 
 @register("analyze_screens", over_wide(" union all ".join(f"select '{k}' as category, count(*) as n, min(Compound_ID) as first_id from w where {where}" for k, where in _SCREENS.items())))
 def analyze_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, out = wide(spark, sf_dir), None
+    df, out = stored(wide(spark, sf_dir), "wide"), None
     for k in _SCREENS:
         part = A.analyze(df, k)["screen"].agg(F.count("*").alias("n"), F.min("Compound_ID").alias("first_id")).select(F.lit(k).alias("category"), "n", "first_id")
         out = part if out is None else out.unionByName(part)
@@ -269,15 +276,9 @@ def similarity_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.batch_search(library.where("row % 20 = 0"), library, N_BITS, threshold=0.3, top=5).withColumn("Similarity", F.round("Similarity", 9))
 
 
-@register("similarity_pairwise", over_fp(f'select a."row" as i, b."row" as j, case when a."row" = b."row" then 1.0::double else round({_FORMULAS["tanimoto"]}, 9) end as similarity from fp a, fp b where a.label = 3 and b.label = 3'))
+@register("similarity_pairwise", over_fp(f'select a."row" as i, b."row" as j, case when a."row" = b."row" then 1.0::double else round({_FORMULAS["tanimoto"]}, 9) end as similarity from fp a, fp b'))
 def similarity_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    library = fingerprints(spark, sf_dir).where("label = 3")
-    return S.pairwise(library, N_BITS).withColumn("similarity", F.round("similarity", 9))
-
-
-@register("similarity_matrix")
-def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of the whole table; held against a plain re-computation in the tests."""
+    """The matrix of the whole table."""
     return S.pairwise(fingerprints(spark, sf_dir), N_BITS).withColumn("similarity", F.round("similarity", 9))
 
 
@@ -353,7 +354,7 @@ def scaffold_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("series_join", over_wide(", s as (select Scaffold_SMILES as k, count(*) as n from w group by 1), t as (select Series as k, count(*) as m from w group by 1) select w.Compound_ID, s.n as \"Scaffold_Size\", t.m as \"Series_Size\", CNS_MPO from w left join s on s.k = w.Scaffold_SMILES left join t on t.k = w.Series"))
 def series_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table with two group tables joined by id."""
-    df = wide(spark, sf_dir)
+    df = stored(wide(spark, sf_dir).select("Compound_ID", "CNS_MPO", "Scaffold_SMILES", "Series"), "wide")
     size = lambda key, name: df.select("Compound_ID", key).join(df.groupBy(key).agg(F.count("*").alias(name)), key).select("Compound_ID", name)
     return C.series(df.select("Compound_ID", "CNS_MPO"), size("Scaffold_SMILES", "Scaffold_Size"), size("Series", "Series_Size"), "Compound_ID")
 
@@ -478,14 +479,131 @@ def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("row"), F.element_at(F.array(*[F.lit(s) for s in STRUCTURES]), (F.col("p_partkey") % len(STRUCTURES) + 1).cast("int")).alias("SMILES"))
 
 
-@register("kernel_structures")
+#: Values of STRUCTURES as published or countable by hand: weight, LogP and refractivity by Crippen's contributions, surface, donors,
+#: acceptors, CNS MPO, stereo, heavy atoms, directed bonds, aromatic share of the heavy atoms, functional groups of five kinds.
+_KNOWN = """k(i, s, "MolWt", "LogP", "MR", "TPSA", "HBD", "HBA", "CNS_MPO", "Stereo_Status", atoms, edges, aromatic, acid, amide, phenol, nitro, rings) as (values
+  (0, 'CC(=O)Oc1ccccc1C(=O)O', 180.159, 1.310, 44.710, 63.60, 1, 3, 5.36, 'None', 13, 26, 6, 1, 0, 0, 0, 1),
+  (1, 'CN1C=NC2=C1C(=O)N(C(=O)N2C)C', 194.194, -1.029, 51.196, 61.82, 0, 6, 5.56, 'None', 14, 30, 9, 0, 0, 0, 0, 1),
+  (2, 'CC(=O)Nc1ccc(O)cc1', 151.165, 1.351, 42.410, 49.33, 2, 2, 5.31, 'None', 11, 22, 6, 0, 1, 1, 0, 1),
+  (3, 'CC(C)Cc1ccc(cc1)C(C)C(=O)O', 206.285, 3.073, 61.035, 37.30, 1, 1, 5.80, 'Undefined', 15, 30, 6, 1, 0, 0, 0, 1),
+  (4, 'CCO', 46.069, -0.001, 12.760, 20.23, 1, 1, 5.83, 'None', 3, 4, 0, 0, 0, 0, 0, 0),
+  (5, 'c1ccccc1[N+](=O)[O-]', 123.111, 1.595, 33.096, 43.14, 0, 2, 5.44, 'None', 9, 18, 6, 0, 0, 0, 1, 1),
+  (6, 'c1ccc2ccccc2c1', 128.174, 2.840, 43.948, 0.0, 0, 0, 5.58, 'None', 10, 22, 10, 0, 0, 0, 0, 2))"""
+_KNOWN_ROWS = "part join k on k.i = p_partkey % 8"
+
+
+@register("kernel_structures", f'with {_KNOWN} select p_partkey as "row", cast("MolWt" as double) as "MolWt", cast("LogP" as double) as "LogP", cast("MR" as double) as "MR", cast("TPSA" as double) as "TPSA", "HBD", "HBA", cast("CNS_MPO" as double) as "CNS_MPO", "Stereo_Status", true as "RO5_Pass" from {_KNOWN_ROWS}')
 def kernel_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptors, counts and rules from structures; LogP is null, as the kernel has none."""
+    """From structures to rules: descriptors, lipophilicity, stereo and the CNS score."""
     out = calculate(structures(_structured(spark, sf_dir), drop_invalid=True))
-    return out.select("row", "Canonical_SMILES", "Scaffold_SMILES", "MolWt", "TPSA", "HBD", "HBA", "RotBonds", "Rings", "AromaticRings", "pKa_Type", "Tox_Risk", "Met_Total_Sites")
+    return out.select("row", "MolWt", "LogP", "MR", "TPSA", "HBD", "HBA", "CNS_MPO", "Stereo_Status", "RO5_Pass")
+
 
+@register("kernel_outcome", "select count(*) as searched, count(*) filter (p_partkey % 8 <> 7) as valid, count(*) filter (p_partkey % 8 = 7) as invalid from part")
+def kernel_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome(structures(_structured(spark, sf_dir), drop_invalid=False))
 
-@register("kernel_graphs")
+
+@register("kernel_graphs", f'with {_KNOWN}, g as (select p_partkey as r, coalesce(atoms, 0) as a, coalesce(edges, 0) as e from part left join k on k.i = p_partkey % 8) select r as "row", cast(a as int) as n_atoms, cast(e as int) as n_edges, cast(sum(a) over (order by r) - a as bigint) as atom_start, cast(sum(e) over (order by r) - e as bigint) as edge_start from g')
 def kernel_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs with their places in the joined tensors; an invalid structure is empty."""
-    return X.graph_offsets(graphs(_structured(spark, sf_dir))).select("row", "n_atoms", "n_edges", "atom_start", "edge_start")
+    return X.graph_offsets(graphs(_structured(spark, sf_dir)).select("row", "n_atoms", "n_edges")).select("row", "n_atoms", "n_edges", "atom_start", "edge_start")
+
+
+@register("kernel_groups", f'with {_KNOWN} select p_partkey as "row", coalesce(acid, 0)::double as acid, coalesce(amide, 0)::double as amide, coalesce(phenol, 0)::double as phenol, coalesce(nitro, 0)::double as nitro, coalesce(rings, 0)::double as rings, coalesce(atoms, 0)::double as atoms from part left join k on k.i = p_partkey % 8')
+def kernel_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functional groups and environment; zeros for an invalid structure."""
+    group = lambda name: F.element_at("Groups", name)
+    names = {"acid": "FG_CarboxylicAcid", "amide": "FG_Amide", "phenol": "FG_Phenol", "nitro": "FG_Nitro", "rings": "FG_AromaticRing", "atoms": "Env_HeavyAtomCount"}
+    return structure_features(_structured(spark, sf_dir)).select("row", *[group(v).alias(k) for k, v in names.items()])
+
+
+@register("kernel_count_cells", f'with {_KNOWN} select p_partkey as "row", cast(atoms * (atoms - 1) / 2 as double) as pairs, atoms * 3.0::double as environments from {_KNOWN_ROWS}')
+def kernel_count_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From structures to folded feature cells: every pair of atoms and every environment of three radii counts once."""
+    rows = structure_features(_structured(spark, sf_dir))
+    pairs = X.hashed_cells(rows, "row", "AtomPair_Counts", X.blocks({})["FP_AtomPair"]).select("row", F.col("value").alias("pairs"), F.lit(0.0).alias("environments"))
+    circles = X.hashed_cells(rows, "row", "Morgan_Counts", X.blocks({})["FP_Morgan"]).select("row", F.lit(0.0).alias("pairs"), F.col("value").alias("environments"))
+    return pairs.unionByName(circles).groupBy("row").agg(F.sum("pairs").alias("pairs"), F.sum("environments").alias("environments"))
+
+
+@register("kernel_complexity", f'with {_KNOWN} select p_partkey as "row", cast(round(aromatic / atoms, 3) as double) as "AromaticFraction", case when i = 3 then 1 else 0 end as "Stereocenters", 0 as "SpiroAtoms", 0 as "BridgeheadAtoms" from {_KNOWN_ROWS}')
+def kernel_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_complexity(_structured(spark, sf_dir)).where("AromaticFraction is not null").select("row", "AromaticFraction", "Stereocenters", "SpiroAtoms", "BridgeheadAtoms")
+
+
+#: Salts and ions: text, what is left of it as (weight-giving) heavy atoms, and which steps change it.
+SALTS = ("[Na+].CC(=O)[O-]", "C[NH3+].[Cl-]", "CCO", "C[N+](C)(C)C", "OC(=O)c1ccccc1.O")
+
+
+@register("kernel_prepare", "select p_partkey as \"row\", p_partkey % 5 in (0, 1, 4) as fragment, p_partkey % 5 in (0, 1) as uncharge, cast([4, 2, 3, 5, 9][p_partkey % 5 + 1] as int) as atoms from part")
+def kernel_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest part, uncharged: which steps changed a structure, and the heavy atoms left."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = part.select(F.col("p_partkey").alias("row"), F.element_at(F.array(*[F.lit(s) for s in SALTS]), (F.col("p_partkey") % len(SALTS) + 1).cast("int")).alias("SMILES"))
+    out = structures(structure_prepared(rows).drop("Stereo_Status", "Stereo_Unassigned_Centers", "Stereo_Unassigned_DoubleBonds"), "Prepared_SMILES")
+    return out.select("row", F.col("Prep_Fragment_Changed").alias("fragment"), F.col("Prep_Uncharge_Changed").alias("uncharge"), F.col("HeavyAtoms").alias("atoms"))
+
+
+# ---- counts, lookups, lists -----------------------------------------------------------------------
+
+_COUNT_SQL = """a as (select p_partkey as r, unnest([struct_pack(k := p_partkey % 7, n := p_size % 5 + 1), struct_pack(k := 10 + p_partkey % 3, n := p_size % 3 + 1), struct_pack(k := 20, n := 2)]) as c from part),
+x as (select r, c.k as k, c.n::double as n from a), q(k, n) as (values (1, 2.0), (11, 1.0), (20, 4.0)),
+j as (select p.r, coalesce(sum(least(x.n, coalesce(q.n, 0))), 0) as low, coalesce(sum(x.n * q.n), 0) as dot from (select distinct r from x) p left join x on x.r = p.r left join q on q.k = x.k group by 1),
+t as (select r, sum(n) as s, sqrt(sum(n * n)) as z from x group by 1)"""
+
+
+def _count_map() -> F.Column:
+    size, key = F.col("p_size"), F.col("p_partkey")
+    pairs = [key % 7, size % 5 + 1, 10 + key % 3, size % 3 + 1, F.lit(20), F.lit(2)]
+    return F.create_map(*[p.cast("long") if i % 2 == 0 else p.cast("int") for i, p in enumerate(pairs)])
+
+
+@register("similarity_counts", f'with {_COUNT_SQL} select t.r as "row", round(low / (s + 7 - low), 9) as tanimoto, round(2 * low / (s + 7), 9) as dice, round(dot / (z * sqrt(21)), 9) as cosine from t join j on j.r = t.r')
+def similarity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count forms of three metrics, to one query."""
+    query = F.create_map(*[F.lit(v).cast("long" if i % 2 == 0 else "int") for i, v in enumerate((1, 2, 11, 1, 20, 4))])
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("row"), *[F.round(count_similarity(k, _count_map(), query), 9).alias(k) for k in ("tanimoto", "dice", "cosine")])
+
+
+@register("sa_lookup", f"""with {_COUNT_SQL}, f(k, score) as (select range::bigint, (range * 37 % 11) / 4.0 - 1 from range(15)),
+m as (select x.r, sum(coalesce(f.score, -4.0) * n) / sum(n) as mean, count(*) as kinds from x left join f on f.k = x.k group by 1),
+v as (select p_partkey as r, mean - (pow(p_size, 1.005) - p_size) - log10(p_partkey % 4 + 1.0) + case when p_size > kinds then 0.5 * ln(p_size / kinds) else 0 end as raw from part join m on m.r = p_partkey),
+w as (select r, 11 - (raw + 5) / 6.5 * 9 as s from v) select r as "row", round(least(greatest(case when s > 8 then 8 + ln(s - 8) else s end, 1), 10), 2) as "SA_Score" from w""")
+def sa_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic accessibility by a lookup of fragment scores; unknown fragments count as the worst."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = part.select(F.col("p_partkey").alias("row"), _count_map().alias("Morgan_Counts"), F.col("p_size").alias("HeavyAtoms"), (F.col("p_partkey") % 4).alias("Stereocenters"))
+    table = spark.range(15).select(F.col("id").alias("fragment"), ((F.col("id") * 37 % 11) / 4.0 - 1).alias("score"))
+    return sa_scores(rows, table).select("row", "SA_Score")
+
+
+@register("cluster_top_sizes", over_fp(' select cast(label as int) as "Cluster_ID", count(*) as "Cluster_Size" from fp where label is not null group by 1 order by 2 desc, 1 limit 10'))
+def cluster_top_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_sizes(fingerprints(spark, sf_dir).select(F.col("label").cast("int").alias("Cluster_ID")))
+
+
+@register("similarity_hit_counts", over_fp(f', q as (select a.Compound_ID as "Query_ID", a.SMILES as "Query_SMILES", a."row" as qr, {_FORMULAS["tanimoto"]} as s from fp a, fp b where a."row" % 20 = 0 and s >= 0.3) select Query_ID, Query_SMILES, least(count(*), 5) as hits from q group by all'))
+def similarity_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    library = fingerprints(spark, sf_dir)
+    return S.hit_counts(S.batch_search(library.where("row % 20 = 0"), library, N_BITS, threshold=0.3, top=5))
+
+
+@register("text_functions", "select p_partkey as \"row\", trim(regexp_replace(p_name, '[^A-Za-z0-9._-]+', '_', 'g'), '_') as file, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') as slug, replace(replace('<' || p_name || ' & co>', '&', '&amp;'), '<', '&lt;').replace('>', '&gt;') as html, list_aggregate(list_slice(string_split(p_name, ' '), 1, 2), 'string_agg', '|') as top from part")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("row"), T.file_name(F.col("p_name")).alias("file"), T.slug(F.col("p_brand")).alias("slug"), T.html(F.concat(F.lit("<"), "p_name", F.lit(" & co>"))).alias("html"), T.top_joined(F.split("p_name", " "), 2).alias("top"))
+
+
+@register("ragged_union", 'select p_partkey as "row", p_name as name, p_size as size, null::double as price from part union all select p_partkey, p_name, null, p_retailprice::double from part')
+def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumnsRenamed({"p_partkey": "row", "p_name": "name"})
+    return ragged_union([part.select("row", "name", F.col("p_size").alias("size")), part.select("row", "name", F.col("p_retailprice").cast("double").alias("price"))])
+
+
+@register("compare_columns", over_wide('select Compound_ID, SMILES as input, SMILES as calc from w'))
+def compare_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = wide(spark, sf_dir)
+    found = compare_columns(df.columns)
+    return df.select("Compound_ID", *[col(found[k]).alias(k) for k in ("input", "calc")])

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` (or the warehouse, where that is unset) and read again.
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` (the warehouse of a local session, where that is unset) and read again.
 
     It cuts the lineage of iterations; the files are shared, so a lost executor loses nothing.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -190,5 +190,5 @@ def test_matrix_of_the_whole_table(spark, tmp_path):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(64)], i % 4) for i in range(23)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     on = [{k for k in range(BITS) if v[k] > 0} for _, v, _ in rows]
-    got = {(r["i"], r["j"]): r["similarity"] for r in QUERIES["similarity_matrix"](spark, str(tmp_path)).collect()}
+    got = {(r["i"], r["j"]): r["similarity"] for r in QUERIES["similarity_pairwise"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): 1.0 if i == j else pytest.approx(len(on[i] & on[j]) / len(on[i] | on[j]), abs=1e-8) for i in range(23) for j in range(23)}
