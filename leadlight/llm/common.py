@@ -17,7 +17,7 @@ STEP_BYTES = 4 << 20
 
 
 #: Bytes of an Arrow batch on its way to Python; Spark's default of 64 MB fills small executors.
-ARROW_BYTES = "8m"
+ARROW_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

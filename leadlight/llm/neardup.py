@@ -281,13 +281,16 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
 
 
-def keyed(texts: DataFrame) -> DataFrame:
-    """(node, data) of every packed text."""
+def keyed(texts: DataFrame, is_packed: bool) -> DataFrame:
+    """(node, packed data) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "data", STEP // 2):
-            sets = shingled(_unpacked(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([sets.node(i) for i in range(batch.num_rows)], pa.binary()), batch.column(0)], ["node", "data"])
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in bounded(batches, "data", STEP // 2 if is_packed else STEP):
+            data = batch.column(0)
+            sets = shingled(_unpacked(data) if is_packed else data.to_pylist())
+            data = data if is_packed else pa.array([press(x) for x in data.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([sets.node(i) for i in range(batch.num_rows)], pa.binary()), data], ["node", "data"])
         release()
 
     return texts.select("data").mapInArrow(run, "node binary, data binary")
@@ -502,19 +505,21 @@ def joining(rows: DataFrame, shares: np.ndarray, least: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of undirected edges (a, b), the root being the least node of its component.
 
-    Alternates large and small stars until the edges stay the same; every turn is written to the shared folder, and the one
-    before it deleted. Least neighbours are pre-aggregated and joined, so a node with very many edges is no hot window.
+    Alternates large and small stars until no node has edges both up and down; every turn is written to the shared folder,
+    and the one before it deleted. Least neighbours are pre-aggregated and joined, so a node with very many edges is no hot
+    window.
     """
 
     def least(edges: DataFrame) -> DataFrame:
         return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
-    edges, before = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars"), None
+    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # done if each node hangs on one least node that hangs on none: every u stands once and is no v
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before, old = now, edges
+        old = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         small = least(large)
@@ -549,9 +554,8 @@ def _found(texts: DataFrame, least: float) -> DataFrame:
     known = nodes.drop("bands").withColumn("short", F.xxhash64("node")).join(central, "short").drop("short")
     known = materialize(known, "nodes")
     # ids only say which texts to look at, as they may be null or clash; nodes say whose text it is
-    sent = packed(texts)
-    looked_at = sent.join(known.select("id").distinct(), "id", "left_semi").unionByName(sent.where("id is null"))
-    shown = materialize(keyed(looked_at).join(known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    looked_at = keyed(packed(texts.where("id is not null")).join(known.select("id").distinct(), "id", "left_semi"), True).unionByName(keyed(texts.where("id is null"), False))
+    shown = materialize(looked_at.join(known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
     short = known.select("node", "central", F.xxhash64("node").alias("short"))
     rows = materialize(crowded.select("band", "number", "short").join(short, "short").drop("short"), "crowded")
     looks = known.select("node", "marks", "weight", "size")
