@@ -554,7 +554,9 @@ def _found(texts: DataFrame, least: float) -> DataFrame:
     known = nodes.drop("bands").withColumn("short", F.xxhash64("node")).join(central, "short").drop("short")
     known = materialize(known, "nodes")
     # ids only say which texts to look at, as they may be null or clash; nodes say whose text it is
-    looked_at = keyed(packed(texts.where("id is not null")).join(known.select("id").distinct(), "id", "left_semi"), True).unionByName(keyed(texts.where("id is null"), False))
+    # a merge join always: with a broadcast two Python stages would share a task, and each executor hold twice the workers
+    wanted = known.select("id").distinct().hint("merge")
+    looked_at = keyed(packed(texts.where("id is not null")).join(wanted, "id", "left_semi"), True).unionByName(keyed(texts.where("id is null"), False))
     shown = materialize(looked_at.join(known.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
     short = known.select("node", "central", F.xxhash64("node").alias("short"))
     rows = materialize(crowded.select("band", "number", "short").join(short, "short").drop("short"), "crowded")
