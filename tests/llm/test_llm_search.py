@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("leadlight.llm")
 
 from leadlight.llm import licenses, neardup, topk  # noqa: E402
+from leadlight.llm.words import WINDOW  # noqa: E402
 
 
 def test_top_k_against_all(spark, monkeypatch):
@@ -196,10 +197,10 @@ def test_words_by_windows(monkeypatch):
     """Texts of megabytes and words longer than a window hash like their parts elsewhere."""
     rng = random.Random(5)
     words = [b"".join(rng.choice([b"a", b"Zz", "ж".encode()]) for _ in range(rng.choice([1, 3, 9, 700]))) for _ in range(3000)]
-    long = b"Q" * (neardup.WINDOW // 2) + b"x"
+    long = b"Q" * (WINDOW // 2) + b"x"
     words[100], words[2000], words[2001] = long, long * 5, long
     text = b"".join(w + rng.choice([b" ", b"\n\t "]) for w in words)
-    assert len(text) > 4 * neardup.WINDOW
+    assert len(text) > 4 * WINDOW
     own = {w: neardup.word_hashes(w + b" ")[1][0] for w in set(words)}
     assert neardup.word_hashes(text)[1].tolist() == [own[w] for w in words]
     assert own[long] == neardup.word_hashes(long.lower() + b" ")[1][0] and len(set(own.values())) == len(own)
