@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,30 +23,14 @@ from leadlight.sources.smiles import parse_lines
 from leadlight.sources.tables import flatten_routes, retro_targets
 from leadlight.plans.adapters import FP_SQL, N_BITS, WIDE_SQL, compounds, fingerprints
 from leadlight.plans.calculator import TOX, calculate, fill_missing
+from leadlight.plans.registry import Query, register
 from leadlight.plans.reports import cluster_sizes, compare_columns, ragged_union
 from leadlight.sources.storage import stored
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calculate(compounds(spark, sf_dir))
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """``sql`` continues after ``with`` and the common table expressions."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def over_wide(sql: str) -> str:
     return f"with {WIDE_SQL} {sql}"
 

@@ -117,11 +117,6 @@ def build_report(df: DataFrame, title: str = "Report", top: int = 10) -> str:
     return "\n".join(lines)
 
 
-def read_routes(spark, path: str, schema: str = "row_index long, target string, is_solved boolean, number_of_solved_routes int, number_of_routes int, top_score double, search_time double, trees array<string>") -> DataFrame:
-    """Route-search results from JSON lines, or from one JSON array; nested trees stay JSON texts."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def ragged_union(tables: list[DataFrame]) -> DataFrame:
     """All rows of tables with different columns; what a table lacks is null."""
     out = tables[0]

@@ -4,25 +4,38 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` (the warehouse of a local session, where that is unset) and read again.
-
-    It cuts the lineage of iterations; the files are shared, so a lost executor loses nothing.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, or the warehouse of a local session where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again.
+
+    It cuts the lineage of iterations; the files are shared, so a lost executor loses nothing. ``dropped`` deletes them.
+    """
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.leadlight_path = path
+    return written
+
+
+def dropped(written: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.leadlight_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "row_index", weight: Column | None = None) -> DataFrame:
