@@ -8,38 +8,73 @@ all its neighbours before it are, or one of them is a start. Each round is a joi
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
-from leadlight.functions.similarity import similarity, words
+from leadlight.operators.medoids import Bits, Vectors, best_members
+from leadlight.operators.ranges import range_pairs, whole
 from leadlight.operators.search import similar_pairs
-from leadlight.sources.storage import numbered, stored
+from leadlight.sources.storage import dropped, numbered, stored
 
 CONTEXT = ("CNS_MPO", "QED", "SA_Score", "MolWt", "LogP", "TPSA", "Dev_Score")
 
 
+#: Rounds that settle rows all over the order, and rows of a window of the order after them.
+ROUNDS, WINDOW = 16, 2048
+
+
+def _greedy(open_rows: pa.Table, edges: pa.Table) -> pa.Table:
+    """The greedy rule within one window of the order; ``edges`` lie within it."""
+    rows = np.sort(open_rows.column("row").to_numpy())
+    start, at = np.ones(len(rows), bool), {r: i for i, r in enumerate(rows.tolist())}
+    before, after = (edges.column(c).to_numpy() for c in ("before", "after"))
+    order = np.argsort(before, kind="stable")
+    for x, y in zip(before[order].tolist(), after[order].tolist(), strict=True):
+        if start[at[x]]:  # settled: all edges to x come from smaller rows and were seen
+            start[at[y]] = False
+    return pa.table({"row": pa.array(rows, pa.int64()), "start": pa.array(start)})
+
+
 def greedy_starts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, start boolean) of rows (row, order...) by the greedy rule; ``pairs`` (before, after) are the neighbours.
+    """(row, start boolean) of rows by the greedy rule in the order of ``row``; ``pairs`` (before, after) are the neighbours.
 
-    ``before`` is the row that comes first in the order.
+    A round settles all rows that no open row comes before, and the neighbours of those that start. Where neighbours form long
+    chains that settles little: after ROUNDS rounds the first WINDOW open rows and the pairs among them, at most
+    WINDOW * (WINDOW - 1) / 2, are settled in one task, then their neighbours, window by window. Settled pairs are left out, and
+    the tables of a round are deleted after the next.
     """
-    settled, open_rows = None, rows.select("row")
-    pairs = stored(pairs.select("before", "after"), "neighbours")
-    while True:
-        if settled is None:
-            status = open_rows.join(pairs.select(F.col("after").alias("row")).distinct(), "row", "left_anti").withColumn("start", F.lit(True))
+    open_rows, edges, settled, n = stored(rows.select(F.col("row").cast("long")), "open"), stored(pairs.select("before", "after").distinct(), "edges"), [], 0
+    while not open_rows.isEmpty():
+        if n < ROUNDS:
+            starts = open_rows.join(edges.select(F.col("after").alias("row")).distinct(), "row", "left_anti").withColumn("start", F.lit(True))
         else:
-            known = pairs.join(settled.withColumnRenamed("row", "before"), "before", "left")
-            seen = known.groupBy(F.col("after").alias("row")).agg(F.bool_or(F.coalesce("start", F.lit(False))).alias("joined"), F.bool_and(F.col("start").isNotNull()).alias("all_known"))
-            fresh = open_rows.join(seen, "row").where("joined or all_known").select("row", (~F.col("joined")).alias("start"))
-            status = settled.unionByName(fresh)
-        settled = stored(status, "settled")
-        open_rows = stored(rows.select("row").join(settled, "row", "left_anti"), "open")
-        if open_rows.isEmpty():
-            return settled
+            last = open_rows.orderBy("row").limit(WINDOW).agg(F.max("row")).first()[0]
+            window, within = open_rows.where(F.col("row") <= last), edges.where(F.col("after") <= last)
+            one = lambda df: df.withColumn("k", F.lit(0)).groupBy("k")
+            starts = one(window).cogroup(one(within)).applyInArrow(_greedy, "row long, start boolean")
+        fresh = stored(starts, "starts")
+        beside = edges.join(fresh.where("start").select(F.col("row").alias("before")), "before", "left_semi").select(F.col("after").alias("row")).distinct()
+        joined = stored(beside.join(fresh, "row", "left_anti").withColumn("start", F.lit(False)), "joined")
+        settled += [fresh, joined]
+        done = fresh.unionByName(joined).select("row")
+        old = open_rows, edges
+        open_rows = stored(open_rows.join(done, "row", "left_anti"), "open")
+        edges = stored(edges.join(done.select(F.col("row").alias("before")), "before", "left_anti").join(done.select(F.col("row").alias("after")), "after", "left_anti"), "edges")
+        for table in old:
+            dropped(table)
+        n += 1
+        if len(settled) > 32:  # few tables, however many rounds
+            whole = stored(reduce(DataFrame.unionByName, settled), "settled")
+            for table in settled:
+                dropped(table)
+            settled = [whole]
+    return reduce(DataFrame.unionByName, settled) if settled else rows.select(F.col("row").cast("long"), F.lit(True).alias("start"))
 
 
 def leader_clusters(library: DataFrame, n_bits: int, threshold: float = 0.7, name: str = "tanimoto") -> DataFrame:
@@ -60,39 +95,64 @@ def leader_clusters(library: DataFrame, n_bits: int, threshold: float = 0.7, nam
     return out.select("row", "Compound_ID", "SMILES", F.coalesce("Cluster_ID", F.lit(-1)).alias("Cluster_ID"), F.coalesce("Is_Centroid", F.lit(False)).alias("Is_Centroid"))
 
 
-def butina_clusters(library: DataFrame, n_bits: int, threshold: float = 0.7, name: str = "tanimoto") -> DataFrame:
-    """(row, Compound_ID, SMILES, Cluster_ID, Cluster_Size): the row with most neighbours takes them all, and so on.
+def butina(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, Cluster_ID int, Cluster_Size long) of rows by their neighbour pairs (a_row, b_row): the row with most neighbours takes them all, and so on.
 
     Rows with equally many neighbours go in row order. A row belongs to the first centroid among its neighbours. Ids run
-    from 1 by size, equal sizes by the centroid's place in that order. Invalid rows have no cluster.
+    from 1 by size, equal sizes by the centroid's place in that order.
     """
-    if not 0 < threshold < 1:
-        raise ValueError("the threshold must be between 0 and 1")
-    pairs = stored(similar_pairs(library, n_bits, threshold, name).select("a_row", "b_row"), "pairs")
-    both = pairs.unionByName(pairs.select(F.col("b_row").alias("a_row"), F.col("a_row").alias("b_row")))
-    valid = library.where("fp is not null").select("row")
-    degree = valid.join(both.groupBy(F.col("a_row").alias("row")).agg(F.count("*").alias("n")), "row", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
+    both = pairs.select("a_row", "b_row").unionByName(pairs.select(F.col("b_row").alias("a_row"), F.col("a_row").alias("b_row")))
+    degree = rows.select("row").join(both.groupBy(F.col("a_row").alias("row")).agg(F.count("*").alias("n")), "row", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"))
     place = stored(numbered(degree, [F.desc("n"), F.col("row")], "place").select("row", "place"), "places")
     of = lambda side: place.select(F.col("row").alias(f"{side}_row"), F.col("place").alias(f"{side}_place"))
     directed = stored(both.join(of("a"), "a_row").join(of("b"), "b_row").where("a_place < b_place").select(F.col("a_place").alias("before"), F.col("b_place").alias("after")), "directed")
     starts = greedy_starts(place.select(F.col("place").alias("row")), directed).withColumnRenamed("row", "place")
     joined = directed.join(starts.where("start").select(F.col("place").alias("before")), "before").groupBy(F.col("after").alias("place")).agg(F.min("before").alias("joined"))
-    center = starts.join(joined, "place", "left").select("place", F.when(F.col("start"), F.col("place")).otherwise(F.col("joined")).alias("center"))
+    center = stored(starts.join(joined, "place", "left").select("place", F.when(F.col("start"), F.col("place")).otherwise(F.col("joined")).alias("center")), "centers")
     sizes = center.groupBy("center").agg(F.count("*").alias("Cluster_Size"))
-    ids = numbered(sizes, [F.desc("Cluster_Size"), F.col("center")], "Cluster_ID").select("center", "Cluster_Size", (F.col("Cluster_ID") + 1).cast("int").alias("Cluster_ID"))
-    return library.select("row", "Compound_ID", "SMILES").join(place.join(center, "place").join(ids, "center").select("row", "Cluster_ID", "Cluster_Size"), "row", "left")
+    ids = stored(numbered(sizes, [F.desc("Cluster_Size"), F.col("center")], "Cluster_ID").select("center", "Cluster_Size", (F.col("Cluster_ID") + 1).cast("int").alias("Cluster_ID")), "ids")
+    return place.join(center, "place").join(ids, "center").select("row", "Cluster_ID", "Cluster_Size")
+
+
+def butina_clusters(library: DataFrame, n_bits: int, threshold: float = 0.7, name: str = "tanimoto") -> DataFrame:
+    """(row, Compound_ID, SMILES, Cluster_ID, Cluster_Size) by similar fingerprints, see ``butina``. Invalid rows have no cluster."""
+    _between(threshold)
+    pairs = stored(similar_pairs(library, n_bits, threshold, name).select("a_row", "b_row"), "pairs")
+    found = butina(library.where("fp is not null"), pairs)
+    return library.select("row", "Compound_ID", "SMILES").join(found, "row", "left")
+
+
+def butina_vectors(vectors: DataFrame, threshold: float = 0.7, row: str = "row", vector: str = "embedding") -> DataFrame:
+    """(row, Cluster_ID, Cluster_Size) of vectors whose similarity is 1 / (1 + Euclidean distance), see ``butina``.
+
+    Neighbours are within 1 / threshold - 1. Vectors that are null, empty or not finite have no cluster.
+    """
+    _between(threshold)
+    pairs = range_pairs(vectors, 1 / threshold - 1, row, vector)
+    rows = vectors.select(F.col(row).cast("long").alias("row"), F.col(vector).alias("v")).where(F.col("row").isNotNull())
+    found = butina(rows.where(whole("v")), pairs)
+    return rows.select("row").join(found, "row", "left")
+
+
+def _between(threshold: float) -> None:
+    if not 0 < threshold < 1:
+        raise ValueError("the threshold must be between 0 and 1")
 
 
 def medoids(clusters: DataFrame, library: DataFrame, n_bits: int, name: str = "tanimoto") -> DataFrame:
     """(Cluster_ID, Cluster_Representative_ID, Cluster_Representative_SMILES, Cluster_MedoidMeanSim): the member with the
-    highest mean similarity to the others (1 if it is alone), the first by row on ties."""
-    members = clusters.where("Cluster_ID is not null").select("row", "Cluster_ID").join(library.select("row", "Compound_ID", "SMILES", "fp"), "row")
-    a = members.select("Cluster_ID", F.col("row").alias("a_row"), F.col("Compound_ID").alias("a_id"), F.col("SMILES").alias("a_smiles"), F.col("fp").alias("a_fp"))
-    b = members.select("Cluster_ID", F.col("row").alias("b_row"), F.col("fp").alias("b_fp"))
-    s = F.when(F.col("a_row") != F.col("b_row"), similarity(name, words(F.col("a_fp"), n_bits), words(F.col("b_fp"), n_bits), n_bits))
-    mean = a.join(b, "Cluster_ID").groupBy("Cluster_ID", "a_row", "a_id", "a_smiles").agg(F.coalesce(F.avg(s), F.lit(1.0)).alias("mean"))
-    best = mean.groupBy("Cluster_ID").agg(F.max(F.struct("mean", (-F.col("a_row")).alias("first"), "a_id", "a_smiles")).alias("m"))
-    return best.select("Cluster_ID", F.col("m.a_id").alias("Cluster_Representative_ID"), F.col("m.a_smiles").alias("Cluster_Representative_SMILES"), F.col("m.mean").alias("Cluster_MedoidMeanSim"))
+    highest mean similarity to the others (1 if it is alone), the first by row on ties. Invalid rows are no members."""
+    members = clusters.where("Cluster_ID is not null").select("row", "Cluster_ID").join(library.where("fp is not null").select("row", F.col("fp").alias("x")), "row")
+    best = best_members(members, Bits(name, n_bits))
+    named = best.join(library.select("row", "Compound_ID", "SMILES"), "row")
+    return named.select("Cluster_ID", F.col("Compound_ID").alias("Cluster_Representative_ID"), F.col("SMILES").alias("Cluster_Representative_SMILES"), F.col("mean").alias("Cluster_MedoidMeanSim"))
+
+
+def vector_medoids(clusters: DataFrame, vectors: DataFrame, row: str = "row", vector: str = "embedding") -> DataFrame:
+    """(Cluster_ID, row, Cluster_MedoidMeanSim): the same of vectors, whose similarity is 1 / (1 + Euclidean distance)."""
+    usable = vectors.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("x")).where(whole("x"))
+    members = clusters.where("Cluster_ID is not null").select("row", "Cluster_ID").join(usable, "row")
+    return best_members(members, Vectors()).select("Cluster_ID", "row", F.col("mean").alias("Cluster_MedoidMeanSim"))
 
 
 def group_summary(df: DataFrame, key: str, id_name: str, smiles: str, row: str, context: Iterable[str] = CONTEXT) -> DataFrame:

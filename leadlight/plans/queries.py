@@ -23,7 +23,7 @@ from leadlight.sources.smiles import parse_lines
 from leadlight.sources.tables import flatten_routes, retro_targets
 from leadlight.plans.adapters import FP_SQL, N_BITS, WIDE_SQL, compounds, fingerprints
 from leadlight.plans.calculator import TOX, calculate, fill_missing
-from leadlight.plans.registry import Query, register
+from leadlight.plans.registry import QUERIES, SQL, Query, register  # noqa: F401
 from leadlight.plans.reports import cluster_sizes, compare_columns, ragged_union
 from leadlight.sources.storage import stored
 
