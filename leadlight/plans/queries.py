@@ -549,6 +549,25 @@ def similarity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("row"), *[F.round(count_similarity(k, _count_map(), query), 9).alias(k) for k in ("tanimoto", "dice", "cosine")])
 
 
+_COUNT_JOIN = f"""with {_COUNT_SQL},
+i as (select a.r as a, b.r as b, sum(least(a.n, b.n)) as low from x a join x b on a.k = b.k and a.r < b.r group by all)
+select a as a_row, b as b_row, round({{form}}, 9) as similarity from i join t p on p.r = a join t q on q.r = b where {{form}} >= {{least}}"""
+
+
+@register("similarity_counts_join", _COUNT_JOIN.format(form="low / (p.s + q.s - low)", least=0.8))
+def similarity_counts_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of count maps with a tanimoto of 0.8 or more."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row"), _count_map().alias("counts"))
+    return S.similar_counts(rows, 0.8).withColumn("similarity", F.round("similarity", 9))
+
+
+@register("similarity_counts_join_dice", _COUNT_JOIN.format(form="2 * low / (p.s + q.s)", least=0.95))
+def similarity_counts_join_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a dice of 0.95 or more."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row"), _count_map().alias("counts"))
+    return S.similar_counts(rows, 0.95, "dice").withColumn("similarity", F.round("similarity", 9))
+
+
 @register("sa_lookup", f"""with {_COUNT_SQL}, f(k, score) as (select range::bigint, (range * 37 % 11) / 4.0 - 1 from range(15)),
 m as (select x.r, sum(coalesce(f.score, -4.0) * n) / sum(n) as mean, count(*) as kinds from x left join f on f.k = x.k group by 1),
 v as (select p_partkey as r, mean - (pow(p_size, 1.005) - p_size) - log10(p_partkey % 4 + 1.0) + case when p_size > kinds then 0.5 * ln(p_size / kinds) else 0 end as raw from part join m on m.r = p_partkey),

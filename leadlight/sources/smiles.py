@@ -43,9 +43,11 @@ def parse_lines(lines: DataFrame, dialect: str = "calculator") -> DataFrame:
 
 
 def read_smiles(spark: SparkSession, path: str, dialect: str = "calculator") -> DataFrame:
-    """A structure list from a text file; the line number comes from the file's order in one task (files are small)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line", "value"))
-    return parse_lines(lines.select((F.col("line") + 1).cast("long").alias("line"), "value"), dialect)
+    """A structure list from a text file of any size; lines are numbered from 1 by where they stand, in Spark's splits of the file."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place")]
+    lines = spark.read.text(path).select(*at, "value")
+    placed = numbered(lines, [F.col("file"), F.col("start"), F.col("place")], "line")
+    return parse_lines(placed.select((F.col("line") + 1).cast("long").alias("line"), "value"), dialect)
 
 
 def load_library(spark: SparkSession, source: DataFrame | list[str] | str, smiles: str = "SMILES", ident: str = "Compound_ID") -> DataFrame:
