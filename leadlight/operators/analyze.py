@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col, yes
+from leadlight.operators.selection import medians
 from leadlight.plans.categories import id_column
 from leadlight.sources.storage import stored
 
@@ -32,17 +33,18 @@ def unpivoted(df: DataFrame, keys: list[str], columns: Iterable[str], name: str
 def numeric_summary(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """(column, n, mean, median, min, max, std) of each column, over what is not null. Booleans count as 1 and 0.
 
-    One aggregation for all columns: partial sums, then an exact median by value counts.
+    One aggregation for all columns, and a pass or a few for the exact medians, see ``medians``.
     """
     names = list(columns)
     aggs = []
     for i, c in enumerate(names):
         x = _plain(df, c).cast("double")
-        for k, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max), ("std", F.stddev_samp)):
+        for k, f in (("n", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp)):
             aggs.append(f(x).alias(f"c{i}_{k}"))
     one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"c{i}_{k}").alias(k) for k in ("n", "mean", "median", "min", "max", "std")]) for i, c in enumerate(names)])
-    return one.select(F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"c{i}_{k}").alias(k) for k in ("n", "mean", "min", "max", "std")]) for i, c in enumerate(names)])
+    middle = medians(unpivoted(df, [], names), ["column"])  # a row for each column
+    return one.select(F.inline(rows)).join(F.broadcast(middle), "column", "left").select("column", "n", "mean", "median", "min", "max", "std")
 
 
 def value_counts(df: DataFrame, column: str, by_value: bool = False) -> DataFrame:

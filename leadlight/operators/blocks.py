@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadlight.sources.storage import stored
+
 #: Crowded keys that may be broadcast; beyond that they are joined by shuffle, where Spark splits what is skewed.
 BROADCAST = 100_000
 
@@ -30,3 +32,14 @@ def pairs_within(rows: DataFrame, keys: list[str], ident: str, crowd: int) -> Da
     low = F.col(f"a_{ident}") < F.col(f"b_{ident}")
     # in a meeting of two chunks a pair is of one and the other, whichever has the smaller row
     return side("a").join(side("b"), meet).where(low & ((F.col("i") == F.col("j")) | (F.col("a_chunk") != F.col("b_chunk")))).drop("i", "j", "a_chunk", "b_chunk")
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table that has few rows for each key: broadcast up to BROADCAST rows, which are counted.
+
+    A larger table is written first, so that both sides are plain when they are shuffled and Spark splits a key that many rows have.
+    """
+    small = stored(table, "lookup")
+    if small.limit(BROADCAST + 1).count() <= BROADCAST:
+        return rows.join(F.broadcast(small), keys, how)
+    return rows.join(small.hint("merge"), keys, how)

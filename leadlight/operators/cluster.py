@@ -17,9 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
+from leadlight.operators.analyze import unpivoted
+from leadlight.operators.blocks import lookup
 from leadlight.operators.medoids import Bits, Vectors, best_members
 from leadlight.operators.ranges import range_pairs, whole
 from leadlight.operators.search import similar_pairs
+from leadlight.operators.selection import medians
 from leadlight.sources.storage import dropped, numbered, stored
 
 CONTEXT = ("CNS_MPO", "QED", "SA_Score", "MolWt", "LogP", "TPSA", "Dev_Score")
@@ -161,13 +164,14 @@ def group_summary(df: DataFrame, key: str, id_name: str, smiles: str, row: str,
     Rows with a null or empty key are left out. "First" is by ``row``; only five ids of a group are ever kept.
     """
     named = df.where(col(key).isNotNull() & (col(key).cast("string") != ""))
-    place = F.row_number().over(W.partitionBy(col(key)).orderBy(col(row)))
+    place = F.row_number().over(W.partitionBy(col(key)).orderBy(col(row)))  # Spark keeps five of each partition before it shuffles
     first = named.withColumn("__n", place).where("__n <= 5").groupBy(col(key)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", col(id_name).cast("string").alias("id")))), lambda x: x["id"]), ", ").alias("example_ids"))
-    stats = []
-    for c in context:
-        if c in df.columns:
-            stats += [F.avg(col(c)).alias(f"{c}_mean"), F.median(col(c)).alias(f"{c}_median")]
-    return named.groupBy(col(key)).agg(F.count("*").alias("n"), F.min_by(col(smiles), col(row)).alias("example_smiles"), *stats).join(first, key)
+    names = [c for c in context if c in df.columns]
+    out = named.groupBy(col(key)).agg(F.count("*").alias("n"), F.min_by(col(smiles), col(row)).alias("example_smiles"), *[F.avg(col(c)).alias(f"{c}_mean") for c in names]).join(first, key)
+    if not names:
+        return out
+    middle = medians(unpivoted(named, [key], names), [key, "column"]).groupBy(col(key)).agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"{c}_median") for c in names])
+    return out.join(middle, key, "left").select(key, "n", "example_smiles", *[f"{c}_{k}" for c in names for k in ("mean", "median")], "example_ids")
 
 
 def outliers(df: DataFrame, key: str, id_name: str, row: str, metrics: Iterable[str] = ("CNS_MPO", "QED", "SA_Score")) -> DataFrame:
@@ -194,7 +198,7 @@ def scaffold_assignments(df: DataFrame, scaffold: str, id_name: str) -> DataFram
     key = F.coalesce(col(scaffold), F.lit(""))
     sizes = df.groupBy(key.alias("__s")).agg(F.count("*").alias("Scaffold_Size"))
     ids = numbered(sizes.where("__s <> ''"), [F.desc("Scaffold_Size"), F.col("__s")], "__n").select("__s", F.format_string("SCAF_%04d", F.col("__n") + 1).alias("Scaffold_ID"))
-    return df.withColumn("__s", key).join(sizes.join(ids, "__s", "left"), "__s").drop("__s")
+    return lookup(df.withColumn("__s", key), sizes.join(ids, "__s", "left"), ["__s"]).drop("__s")
 
 
 def series(df: DataFrame, scaffolds: DataFrame, clusters: DataFrame, id_name: str) -> DataFrame:

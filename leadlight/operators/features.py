@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col, finite
+from leadlight.operators.blocks import lookup
 from leadlight.sources.storage import numbered
 
 # Block names and widths of the sparse matrix, in order, and the preferred dense columns.
@@ -66,10 +67,10 @@ def named_cells(rows: DataFrame, row: str, values: dict[str, str], block: Block)
 
 
 def presence_cells(rows: DataFrame, row: str, known: DataFrame, block: Block, fragments: str = "fragments", most: int = FRAGMENTS_PER_ROW) -> DataFrame:
-    """(row, column, value 1) of the fragments that a vocabulary knows; Spark broadcasts it only if it is small."""
+    """(row, column, value 1) of the fragments that a vocabulary knows, see ``lookup``."""
     one = F.slice(F.array_sort(F.array_distinct(col(fragments))), 1, most)
     cells = rows.select(col(row).alias("row"), F.explode(one).alias("fragment"))
-    return cells.join(known, "fragment").select("row", (F.col("column") + block.offset).cast("int").alias("column"), F.lit(1.0).cast("float").alias("value"))
+    return lookup(cells, known, ["fragment"]).select("row", (F.col("column") + block.offset).cast("int").alias("column"), F.lit(1.0).cast("float").alias("value"))
 
 
 def sparse_rows(rows: DataFrame, row: str, cells: DataFrame) -> DataFrame:
@@ -113,8 +114,7 @@ def frozen_vocabulary(spark: SparkSession, spec: str, block: str) -> DataFrame:
 
 def graph_offsets(graphs: DataFrame) -> DataFrame:
     """Rows (row, n_atoms, n_edges) with atom_start and edge_start, the places of each graph in the joined tensors."""
-    atoms = numbered(graphs, [F.col("row")], "atom_start", weight=F.col("n_atoms"))
-    return numbered(atoms, [F.col("row")], "edge_start", weight=F.col("n_edges"))
+    return numbered(graphs, [F.col("row")], "atom_start", weight=F.col("n_atoms"), more={"edge_start": F.col("n_edges")})
 
 
 def packed_bytes(bits: str, n_bits: int) -> object:

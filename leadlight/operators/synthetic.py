@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
+from leadlight.operators.blocks import lookup
 
 #: Score of a fragment that the table does not know, and the ends of the raw scale.
 UNKNOWN, LOWEST, HIGHEST = -4.0, -4.0, 2.5
@@ -16,10 +17,11 @@ def sa_scores(df: DataFrame, fragments: DataFrame, key: str = "row", counts: str
 
     fragments: (fragment, score). The mean score of a row's fragments, weighted by count, less penalties for size, stereo,
     spiro and bridgehead atoms and macrocycles, plus half the logarithm of atoms per distinct fragment where that is above
-    one. Rows are exploded and joined by fragment; partial sums keep common fragments from one task. ``key`` must be unique.
+    one. Rows are exploded and look their fragments up: the table is broadcast up to a size that is checked, else Spark splits
+    what many rows have. ``key`` must be unique.
     """
     cells = df.select(col(key).alias("__key"), F.explode(col(counts)).alias("fragment", "n"))
-    scored = cells.join(fragments.select("fragment", "score"), "fragment", "left")
+    scored = lookup(cells, fragments.select("fragment", "score"), ["fragment"], "left")
     mean = scored.groupBy("__key").agg((F.sum(F.coalesce("score", F.lit(UNKNOWN)) * F.col("n")) / F.sum("n")).alias("__mean"), F.count("*").alias("__kinds"))
     n, log = col(atoms).cast("double"), lambda c: F.log10(F.coalesce(col(c), F.lit(0)) + 1.0)
     present = [log(c) for c in (centres, spiro, bridgeheads) if c in df.columns]

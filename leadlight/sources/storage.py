@@ -38,15 +38,17 @@ def dropped(written: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "row_index", weight: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "row_index", weight: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """With a column that counts, over all rows in ``order``, the rows before (or the sum of ``weight`` before).
 
-    Rows are range partitioned by the order and counted within their partition; only one number for each partition is
-    summed up in one place. ``order`` should settle ties.
+    ``more`` are further columns with weights of their own, numbered in the same pass. Rows are range partitioned by the order
+    and counted within their partition; only one number for each partition is summed up in one place. ``order`` should settle ties.
     """
-    w = F.lit(1) if weight is None else weight
-    placed = stored(df.withColumn("__w", w.cast("long")).orderBy(*order).withColumn("__p", F.spark_partition_id()), "numbered")
-    sums = placed.groupBy("__p").agg(F.sum("__w").alias("__s"))
-    before = sums.withColumn("__b", F.sum("__s").over(W.orderBy("__p")) - F.col("__s")).select("__p", "__b")
-    within = F.sum("__w").over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("__w")
-    return placed.join(before, "__p").withColumn(name, F.col("__b") + within).drop("__p", "__b", "__w")
+    weights = {name: F.lit(1) if weight is None else weight} | (more or {})
+    placed = df.withColumns({f"__w{i}": w.cast("long") for i, w in enumerate(weights.values())}).orderBy(*order)
+    placed = stored(placed.withColumn("__p", F.spark_partition_id()), "numbered")
+    sums = placed.groupBy("__p").agg(*[F.sum(f"__w{i}").alias(f"__s{i}") for i in range(len(weights))])
+    before = sums.select("__p", *[(F.sum(f"__s{i}").over(W.orderBy("__p")) - F.col(f"__s{i}")).alias(f"__b{i}") for i in range(len(weights))])
+    rows = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    at = {n: F.col(f"__b{i}") + F.sum(f"__w{i}").over(rows) - F.col(f"__w{i}") for i, n in enumerate(weights)}
+    return placed.join(before, "__p").withColumns(at).drop("__p", *[f"__{k}{i}" for i in range(len(weights)) for k in "bw"])
