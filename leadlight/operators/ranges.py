@@ -59,17 +59,24 @@ def range_pairs(vectors: DataFrame, radius: float, row: str = "row", vector: str
     unique. At most SAMPLE vectors and PIVOTS * RINGS ranges come to the driver; the result does not depend on them.
     """
     spark = vectors.sparkSession
-    clean = vectors.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("v")).where(F.col("row").isNotNull() & whole("v"))
+    clean = vectors.select(F.col(row).cast("long").alias("row"), F.col(vector).alias("v")).where(F.col("row").isNotNull() & whole("v"))
     out = spark.createDataFrame([], "a_row long, b_row long, distance double")
     for r in clean.groupBy(F.size("v").alias("n")).count().where("count > 1").orderBy("n").collect():
-        out = out.unionByName(_pairs_of_size(clean.where(F.size("v") == r["n"]), radius))
+        out = out.unionByName(_pairs_of_size(clean.where(F.size("v") == r["n"]), radius, r["count"]))
     return out
 
 
-def placed_rows(clean: DataFrame, radius: float) -> DataFrame:
-    """(row, v, ring, home): every vector where it is at home and where it is a guest, in rings before its own only."""
+def placed_rows(clean: DataFrame, radius: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """(row, v, ring, home): every vector where it is at home and where it is a guest, in rings before its own only.
+
+    There are about as many rings as the rows make blocks of CROWD, so where the radius is so large that none is left out, a row is
+    sent no more often than if all blocks met. The table of distances that this reads is returned, too.
+    """
+    kind, wanted = dict(clean.dtypes)["v"], max(1, n // CROWD)
+    some = int(np.clip(np.ceil(np.sqrt(wanted)), 1, PIVOTS))
+    rings = int(np.clip(np.ceil(wanted / some), 1, RINGS))
     taken = clean.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).collect()
-    chosen = pivots(np.array([r["v"] for r in taken], np.float64), PIVOTS)
+    chosen = pivots(np.array([r["v"] for r in taken], np.float64), some)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +85,9 @@ def placed_rows(clean: DataFrame, radius: float) -> DataFrame:
                 ends = pa.array(np.arange(len(far) + 1, dtype=np.int32) * far.shape[1])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far.argmin(1).astype(np.int32)), pa.array(far.min(1)), pa.ListArray.from_arrays(ends, pa.array(far.ravel()))], ["row", "v", "pivot", "near", "far"])
 
-    measured = stored(clean.mapInArrow(measure, "row long, v array<double>, pivot int, near double, far array<double>"), "measured")
-    width = max(radius / 2, (measured.agg(F.max("near")).first()[0] or 0) / RINGS, 1e-300)
-    ring = (F.col("pivot") * RINGS + F.least(F.floor(F.col("near") / width), F.lit(RINGS - 1))).cast("int")
+    measured = stored(clean.mapInArrow(measure, f"row long, v {kind}, pivot int, near double, far array<double>"), "measured")
+    width = max(radius / 2, (measured.agg(F.max("near")).first()[0] or 0) / rings, 1e-300)
+    ring = (F.col("pivot") * rings + F.least(F.floor(F.col("near") / width), F.lit(rings - 1))).cast("int")
     ends = [f(F.col("far")[i]) for f in (F.min, F.max) for i in range(len(chosen))]
     facts = sorted(measured.groupBy(ring.alias("ring")).agg(F.array(*ends).alias("ends")).collect())
     numbers, span = np.array([r["ring"] for r in facts], np.int32), np.array([r["ends"] for r in facts])
@@ -99,12 +106,10 @@ def placed_rows(clean: DataFrame, radius: float) -> DataFrame:
                 sent = part.select([0, 1]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(numbers[to]), pa.array(numbers[to] == own[at])], ["row", "v", "ring", "home"])
 
-    placed = stored(measured.select("row", "v", "far", ring.alias("own")).mapInArrow(place, "row long, v array<double>, ring int, home boolean"), "placed")
-    dropped(measured)
-    return placed
+    return measured.select("row", "v", "far", ring.alias("own")).mapInArrow(place, f"row long, v {kind}, ring int, home boolean"), measured
 
 
-def _pairs_of_size(clean: DataFrame, radius: float) -> DataFrame:
+def _pairs_of_size(clean: DataFrame, radius: float, n: int) -> DataFrame:
     def compare(ring: pa.Table) -> pa.Table:
         row, home, chunk = (ring.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in ("row", "home", "chunk"))
         home, v, found = home.astype(bool), matrix(ring.column("v")), []
@@ -124,7 +129,7 @@ def _pairs_of_size(clean: DataFrame, radius: float) -> DataFrame:
         a, b, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a_row", "b_row", "distance"])
 
-    placed = placed_rows(clean, radius)
+    placed, measured = placed_rows(clean, radius, n)
     pairs = stored(dealt(placed, ["ring"], F.col("row"), CROWD).groupBy("ring", "i", "j").applyInArrow(compare, "a_row long, b_row long, distance double"), "pairs")
-    dropped(placed)
+    dropped(measured)
     return pairs

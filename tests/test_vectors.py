@@ -50,10 +50,11 @@ def test_range_pairs_of_sizes_and_nothing(spark):
     assert ranges.range_pairs(frame(spark, []), 1.0).count() == 0
 
 
-def test_rings_leave_pairs_out(spark):
+def test_rings_leave_pairs_out(spark, monkeypatch):
     """Far clumps never meet: what is placed as a guest is a small part of all with all."""
     vectors = [(np.array(v) + 50 * (i % 8)).tolist() for i, v in enumerate(np.random.default_rng(1).normal(size=(400, 4)))]
-    placed = ranges.placed_rows(frame(spark, vectors).where("row < 900 and embedding is not null").select("row", F.col("embedding").alias("v")), 0.5)
+    monkeypatch.setattr(ranges, "CROWD", 8)
+    placed, _ = ranges.placed_rows(frame(spark, vectors).where("row < 900 and embedding is not null").select("row", F.col("embedding").alias("v")), 0.5, 400)
     meet = placed.groupBy("ring").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g")).select(F.sum(F.expr("h * (h - 1) / 2 + h * g"))).first()[0]
     assert meet < 0.25 * 400 * 399 / 2
 
