@@ -9,6 +9,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col, yes
@@ -117,6 +118,51 @@ def top_table(df: DataFrame, key: str, id_name: str, n: int = 10) -> DataFrame:
     return marked.orderBy(first.desc(), col(key).asc_nulls_last(), col(id_name)).limit(n).drop("mode")
 
 
+# ---- the profile of a report ----------------------------------------------------------------------
+
+
+def profile(df: DataFrame, numbers: list[str], classes: list[str], bins: int = 30, bars: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Histograms (column, bin, low, high, n) of all numeric columns, and bars (column, place, value, n) of all others.
+
+    Two passes whatever the number of columns: the extremes of all, then bins and values as cells of one aggregation. Bins and
+    bars are those of ``histogram`` and ``category_bars``; a column without values has no bins. What is collected are two numbers a
+    column.
+    """
+    spark, value = df.sparkSession, lambda c: F.nanvl(_plain(df, c).cast("double"), F.lit(None))
+    ends = df.agg(*[f(value(c)) for c in numbers for f in (F.min, F.max)]).first() if numbers else ()
+    spans = {}
+    for i, c in enumerate(numbers):
+        lo, hi = ends[2 * i], ends[2 * i + 1]
+        if lo is not None:
+            spans[c] = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    width = lambda c: (spans[c][1] - spans[c][0]) / bins
+    place = lambda c: F.when(value(c).isNotNull(), F.least(F.floor((value(c) - spans[c][0]) / width(c)), F.lit(bins - 1))).cast("int")
+    cells = [F.struct(F.lit(c).alias("column"), place(c).alias("bin"), F.lit(None).cast("string").alias("value")) for c in spans]
+    cells += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("int").alias("bin"), F.coalesce(col(c).cast("string"), F.lit("(missing)")).alias("value")) for c in classes]
+    none = spark.createDataFrame([], "column string, bin int, value string, n long")
+    counts = stored(df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.column", "c.bin", "c.value").agg(F.count("*").alias("n")), "profile") if cells else none
+    grid = [(c, i, spans[c][0] + i * width(c), spans[c][0] + (i + 1) * width(c)) for c in spans for i in range(bins)]
+    full = F.broadcast(spark.createDataFrame(grid, "column string, bin int, low double, high double"))
+    histograms = full.join(counts.where("bin is not null").select("column", "bin", "n"), ["column", "bin"], "left").select("column", "bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    ranked = counts.where("value is not null").withColumn("place", F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value")))
+    return histograms, ranked.where(F.col("place") <= bars).select("column", "place", "value", "n")
+
+
+def top_rows(df: DataFrame, columns: list[str], bars: DataFrame, id_name: str, n: int = 10) -> DataFrame:
+    """(column, place, id, value) of the first rows by each column, as ``top_table``, in one pass; ``bars`` say which class is commonest."""
+    kinds = dict(df.dtypes)
+    modes = {r["column"]: r["value"] for r in bars.where("value <> '(missing)'").groupBy("column").agg(F.min_by("value", "place").alias("value")).collect()}
+    cells = []
+    for c in columns:
+        number = _plain(df, c).cast("double") if kinds[c] in NUMERIC else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if kinds[c] in NUMERIC else col(c).cast("string")
+        late = F.coalesce(text != modes.get(c), F.lit(True)) if c in modes else F.lit(False)
+        cells.append(F.struct(F.lit(c).alias("column"), late.alias("late"), number.alias("number"), text.alias("text"), col(c).cast("string").alias("value")))
+    spread = df.select(col(id_name).alias("id"), F.explode(F.array(*cells)).alias("c")).select("id", "c.*")
+    order = W.partitionBy("column").orderBy("late", F.desc_nulls_last("number"), F.asc_nulls_last("text"), "id")
+    return spread.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("column", "place", "id", "value")
+
+
 # ---- the category analyses ------------------------------------------------------------------------
 
 

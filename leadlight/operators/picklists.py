@@ -14,9 +14,11 @@ from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
+from leadlight.sources.storage import numbered, stored
 from leadlight.plans.categories import CATEGORIES, category_columns
 
 OPERATORS = ("==", "!=", ">", ">=", "<", "<=", "in", "notin", "contains", "notcontains", "isnull", "notnull", "between")
@@ -189,6 +191,53 @@ def run_picklist(df: DataFrame, picklist: Picklist, tie: str | None = None) -> D
     return kept.limit(picklist.limit) if picklist.limit > 0 else kept
 
 
+def run_together(df: DataFrame, picklists: list[Picklist], tie: str) -> DataFrame:
+    """The rows of all lists from one scan: picklist (its key), rank from 1, and the table's columns.
+
+    Each row gets the keys of the lists that keep it and is exploded by them. Sort keys of different lists share a few columns: for
+    every place of an order one that says what is null, one for numbers (negative where they fall) and one for texts in either
+    direction. Lists with a limit keep their best rows of each partition before they are shuffled; lists without are numbered by
+    range partitions, however long they are. The number of jobs does not depend on the number of lists.
+    """
+    if len({p.key for p in picklists}) < len(picklists):
+        raise ValueError("two picklists have one key")
+    kept = F.array_compact(F.array(*[F.when(condition(df, p), F.lit(p.key)) for p in picklists]))
+    kinds, at = dict(df.dtypes), F.col("__list")
+    numbers = numeric_text_columns(df, [o.column for p in picklists for o in p.sort])
+    orders = {p.key: [o for o in p.sort if o.column in kinds] for p in picklists}
+    keys = {}
+    for place in range(max((len(o) for o in orders.values()), default=0)):
+        null, number, up, down = F.lit(None).cast("boolean"), F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("string")
+        for key, order in orders.items():
+            if place >= len(order):
+                continue
+            o, kind, mine = order[place], kinds[order[place].column], at == key
+            if kind in NUMERIC or kind == "boolean" or o.column in numbers:
+                value = _number(col(o.column), kind)
+                number = F.when(mine, value if o.ascending else -value).otherwise(number)
+            else:
+                value = col(o.column).cast("string")
+                up, down = (F.when(mine, value).otherwise(up), down) if o.ascending else (up, F.when(mine, value).otherwise(down))
+            null = F.when(mine, value.isNull()).otherwise(null)
+        keys |= {f"__n{place}": null, f"__x{place}": number, f"__u{place}": up, f"__d{place}": down}
+    spread = df.withColumn("__list", F.explode(kept)).withColumns(keys)
+    order = [F.col(k).desc_nulls_last() if k.startswith("__d") else F.col(k).asc_nulls_last() for k in keys] + [col(tie).asc_nulls_last()]
+    limits = {p.key: p.limit for p in picklists if p.limit > 0}
+    out = None
+    if limits:
+        own = reduce(lambda c, kv: F.when(at == kv[0], F.lit(kv[1])).otherwise(c), limits.items(), F.lit(0))
+        ranked = spread.where(at.isin(list(limits))).withColumn("rank", F.row_number().over(W.partitionBy("__list").orderBy(*order)).cast("long"))
+        out = ranked.where(F.col("rank") <= max(limits.values())).where(F.col("rank") <= own)
+    if endless := [p.key for p in picklists if p.limit <= 0]:
+        placed = stored(numbered(spread.where(at.isin(endless)), [at, *order], "__place"), "endless")
+        first = placed.groupBy("__list").agg(F.min("__place").alias("__first"))  # a row for each list
+        ranked = placed.join(F.broadcast(first), "__list").withColumn("rank", F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
+        out = ranked if out is None else out.unionByName(ranked.select(*[col(c) for c in out.columns]))
+    if out is None:
+        out = spread.withColumn("rank", F.lit(0).cast("long")).where(F.lit(False))
+    return out.select(at.alias("picklist"), "rank", *[col(c) for c in df.columns])
+
+
 def numeric_text_columns(df: DataFrame, names: Iterable[str]) -> list[str]:
     """Text columns among ``names`` of which every non-null value is a number; one job for all of them."""
     texts = [n for n in names if dict(df.dtypes).get(n) == "string"]

@@ -85,6 +85,18 @@ _BUILTIN_SQL = {
 for _key, _where in _BUILTIN_SQL.items():
     register(f"picklist_{_key}", over_wide(f"select {quoted(SHOWN)} from w {_where}"))(_picklist_query(P.BUILTIN[_key]))
 
+@register("picklist_run", over_wide(" union all ".join(f"(select '{k}' as picklist, row_number() over (order by {o}) as rank, {quoted(SHOWN)} from w where {c} qualify rank <= {n})" for k, c, o, n in (
+    ("top_cns_followup", "CNS_MPO >= 4.5 and RO5_Pass and Tox_Risk <> 'High' and hERG_Risk <> 'High'", 'CNS_MPO desc, "row"', 50),
+    ("oral_low_ddi_risk", "Bioavail_Score >= 3 and RO5_Violations <= 1 and CYP_Total_Inhibition <= 1 and not CYP_MBI_Risk and Tox_Risk <> 'High'", 'Bioavail_Score desc, CYP_Total_Inhibition, "row"', 100),
+    ("soluble_by_class", "Sol_ESOL_LogS > -4", 'Sol_ESOL_Class desc nulls last, QED desc nulls last, "row"', 10**9),
+))))
+def picklist_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lists from one scan, one of them without a limit and sorted by a class and a number."""
+    own = P.Picklist("soluble_by_class", "Soluble", "", "all", (P.Rule("Sol_ESOL_LogS", ">", -4),), (P.Order("Sol_ESOL_Class", False), P.Order("QED", False)), 0, (), ())
+    lists = [P.BUILTIN["top_cns_followup"], P.BUILTIN["oral_low_ddi_risk"], own]
+    return P.run_together(stored(wide(spark, sf_dir), "wide"), lists, "row").select("picklist", "rank", *SHOWN)
+
+
 _RULE_CASES = {
     "eq": (P.Rule("PAINS", "==", True), "PAINS is true"),
     "ne": (P.Rule("PAINS", "!=", True), "PAINS is distinct from true"),
@@ -197,6 +209,26 @@ def report_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.histogram(wide(spark, sf_dir), "CNS_MPO").withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
+_PROFILED = ("CNS_MPO", "QED", "SA_Score", "Sol_ESOL_LogS", "Lead_LLE", "Dev_Score", "Met_Total_Sites")
+
+
+@register("report_histograms", over_wide(", " + ", ".join(f"e{i} as (select min({c})::double as lo, max({c})::double as hi from w), b{i} as (select cast(least(floor(({c} - lo) / ((hi - lo) / 30)), 29) as int) as bin, count(*) as n from w, e{i} where {c} is not null group by 1)" for i, c in enumerate(_PROFILED)) + " " + " union all ".join(
+    f"select '{c}' as \"column\", cast(g.bin as int) as bin, round(lo + g.bin * (hi - lo) / 30, 6) as low, round(lo + (g.bin + 1) * (hi - lo) / 30, 6) as high, coalesce(n, 0) as n from e{i}, (select unnest(range(30)) as bin) g left join b{i} on b{i}.bin = g.bin" for i, c in enumerate(_PROFILED))))
+def report_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histograms of all key columns together."""
+    return A.profile(wide(spark, sf_dir), list(_PROFILED), [])[0].withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
+
+
+_CLASSES = ("PAINS", "Sol_ESOL_Class", "Tox_Risk")
+
+
+@register("report_first_rows", over_wide(" union all ".join(f"(select '{c}' as \"column\", cast(row_number() over (order by coalesce({c} <> (select {c} from w where {c} is not null group by 1 order by count(*) desc, cast({c} as varchar) limit 1), true), cast({c} as varchar) nulls last, Compound_ID) as int) as place, Compound_ID as id, cast({c} as varchar) as value from w qualify place <= 10)" for c in _CLASSES) + """ union all (select 'QED', cast(row_number() over (order by QED desc nulls last, Compound_ID) as int) as place, Compound_ID, cast(QED as varchar) from w qualify place <= 10)"""))
+def report_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten rows by each of four columns, in one pass."""
+    table = stored(wide(spark, sf_dir).select("Compound_ID", "QED", *_CLASSES), "wide")
+    return A.top_rows(table, [*_CLASSES, "QED"], A.profile(table, [], list(_CLASSES))[1], "Compound_ID")
+
+
 @register("report_bars", over_wide("select coalesce(cast(PAINS as varchar), '(missing)') as value, count(*) as n from w group by 1 order by n desc, value limit 12"))
 def report_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.category_bars(wide(spark, sf_dir), "PAINS")

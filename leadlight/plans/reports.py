@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import html
-
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
-from leadlight.operators.analyze import NUMERIC, category_bars, histogram, numeric_summary, rates, top_table, value_counts
-from leadlight.operators.picklists import Picklist, output_columns, run_picklist
+from leadlight.operators.analyze import NUMERIC, numeric_summary, profile, rates, top_rows, value_counts
+from leadlight.operators.picklists import Picklist, output_columns, run_together
 from leadlight.plans.categories import CATEGORIES, SMILES_COLUMNS, category_columns, category_key, id_column
-from leadlight.sources.storage import stored
-from leadlight.sources.tables import metadata, write_table
+from leadlight.sources.storage import stored, write_text
+from leadlight.sources.tables import metadata
 
-#: Rows of a table in a page.
-PAGE_ROWS = 1000
+#: Rows of a table in a page, similarity columns of a report.
+PAGE_ROWS, SIM_COLUMNS = 1000, 8
 
 
 def present_categories(columns: list[str]) -> list[tuple[str, str, int]]:
@@ -46,19 +46,27 @@ def _cell(x: object) -> str:
     return "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x)
 
 
+def _markdown(columns: list[str], rows: list) -> str:
+    lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
+    return "\n".join(lines + ["| " + " | ".join(_cell(x).replace("|", "\\|").replace("\n", " ") for x in r) + " |" for r in rows])
+
+
 def markdown_table(df: DataFrame, limit: int = PAGE_ROWS) -> str:
     """The first rows as a Markdown table."""
-    rows = df.limit(limit).collect()
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(_cell(x).replace("|", "\\|").replace("\n", " ") for x in r) + " |" for r in rows])
+    return _markdown(df.columns, df.limit(limit).collect())
+
+
+def html_page(rows: list, columns: list[str], title: str, notes: list[str] | None = None) -> str:
+    """A page with one table, and a list of warnings before it where there are any."""
+    row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(_cell(x))}</{tag}>" for x in cells) + "</tr>"
+    body = "\n".join([row(columns, "th"), *(row(r, "td") for r in rows)])
+    warned = '<ul class="warnings">' + "".join(f"<li>{html.escape(n)}</li>" for n in notes) + "</ul>\n" if notes else ""
+    return f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head>\n<body><h1>{html.escape(title)}</h1>\n{warned}<table>\n{body}\n</table></body></html>\n'
 
 
 def html_table(df: DataFrame, title: str, limit: int = PAGE_ROWS) -> str:
     """The first rows as a page with one table."""
-    rows = df.limit(limit).collect()
-    row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(_cell(x))}</{tag}>" for x in cells) + "</tr>"
-    body = "\n".join([row(df.columns, "th"), *(row(r, "td") for r in rows)])
-    return f'<!doctype html>\n<html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head>\n<body><h1>{html.escape(title)}</h1>\n<table>\n{body}\n</table></body></html>\n'
+    return html_page(df.limit(limit).collect(), df.columns, title)
 
 
 def category_text(df: DataFrame, key: str, numeric_bool: bool = False) -> str:
@@ -74,46 +82,75 @@ def category_text(df: DataFrame, key: str, numeric_bool: bool = False) -> str:
 def run_picklists(df: DataFrame, picklists: list[Picklist], folder: str, mode: str = "minimal", fmt: str = "csv", parameters: dict[str, object] | None = None) -> dict[str, str]:
     """Each picklist written below ``folder``, with a page and one sidecar of parameters: {key: path}.
 
-    The enriched table is stored once, however many lists read it. Ids settle ties.
+    One scan keeps and ranks the rows of all lists, one write puts them into a folder for each; a table holds the columns of
+    all lists, a page its own. Pages (<key>.html, the first PAGE_ROWS rows and the warnings of missing columns) and metadata.json are
+    files below ``folder``, and rows of ``pages`` as well. Ids settle ties.
     """
-    spark, table, ident = df.sparkSession, stored(df, "picklists"), id_column(df.columns)
-    paths, pages = {}, []
-    for p in picklists:
-        shown = run_picklist(table, p, tie=ident).select(*[col(c) for c in output_columns(table.columns, ident, p, mode)])
-        paths[p.key] = f"{folder}/{p.key}.{fmt}"
-        write_table(shown, paths[p.key], ordered=False)
-        pages.append((p.key, html_table(shown, p.name)))
-    side = metadata(spark, "picklists", [], {"picklists": [p.key for p in picklists], "mode": mode} | (parameters or {}))
-    notes = spark.createDataFrame([*[(f"{k}.html", page) for k, page in pages], ("metadata.json", side)], "name string, text string")
-    notes.write.mode("overwrite").parquet(f"{folder}/pages")
-    return paths
+    spark, ident = df.sparkSession, id_column(df.columns)
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        every = stored(run_together(df, picklists, ident), "picklists")
+    shown = {p.key: output_columns(df.columns, ident, p, mode) for p in picklists}
+    missing = {p.key: sorted({f.column for f in p.filters if f.column not in df.columns}) for p in picklists}
+    union = list(dict.fromkeys(c for columns in shown.values() for c in columns))
+    tables = f"{folder}/lists"
+    writer = every.select("picklist", "rank", *[col(c) for c in union]).repartitionByRange("picklist", "rank").sortWithinPartitions("picklist", "rank").drop("rank").write.mode("overwrite").partitionBy("picklist")
+    if fmt == "parquet":
+        writer.parquet(tables)
+    else:
+        writer.option("header", True).option("sep", "\t" if fmt == "tsv" else ",").option("escape", '"').csv(tables)
+    first: dict[str, list] = {p.key: [] for p in picklists}
+    for r in every.where(F.col("rank") <= PAGE_ROWS).orderBy("picklist", "rank").collect():
+        first[r["picklist"]].append(r)
+    counts = {r["picklist"]: r["count"] for r in every.groupBy("picklist").count().collect()}
+    pages = {f"{p.key}.html": html_page([[r[c] for c in shown[p.key]] for r in first[p.key]], shown[p.key], p.name, [f"missing column: {c}" for c in missing[p.key]]) for p in picklists}
+    facts = {"picklists": [p.key for p in picklists], "mode": mode, "rows": {p.key: counts.get(p.key, 0) for p in picklists}, "warnings": sorted({str(w.message) for w in caught})}
+    pages["metadata.json"] = metadata(spark, "picklists", [], facts | (parameters or {}))
+    for name, text in pages.items():
+        write_text(spark, f"{folder}/{name}", text)
+    spark.createDataFrame(list(pages.items()), "name string, text string").write.mode("overwrite").parquet(f"{folder}/pages")
+    return {p.key: f"{tables}/picklist={p.key}" for p in picklists}
 
 
 def build_report(df: DataFrame, title: str = "Report", top: int = 10) -> str:
     """A Markdown report: an overview, then for every present category its key column's summary, distribution and first rows.
 
-    The key columns are stored once; all numeric ones share one aggregation, all flags another.
+    The key columns are stored once. Summaries, flags, distributions and first rows are one job or two for all categories together.
+    Similarity columns (Sim_..., the first 8 by name) have a section of their own with their summaries.
     """
     ident = id_column(df.columns)
     keys = {k: category_key(df, k) for k, _, _ in present_categories(df.columns)}
-    names = list(dict.fromkeys([ident, *keys.values()]))
+    kinds = dict(df.dtypes)
+    similar = [c for c in sorted(df.columns) if c.startswith("Sim_") and kinds[c] in NUMERIC][:SIM_COLUMNS]
+    names = list(dict.fromkeys([ident, *keys.values(), *similar]))
     table = stored(df.select(*[col(c) for c in names]), "report")
-    kinds = dict(table.dtypes)
+    chosen = list(dict.fromkeys(keys.values()))
     numbers = [c for c in names[1:] if kinds[c] in NUMERIC]
-    flags = [c for c in names[1:] if kinds[c] == "boolean"]
+    flags = [c for c in chosen if kinds[c] == "boolean"]
     summary = {r["column"]: r for r in numeric_summary(table, numbers).collect()} if numbers else {}
     share = {r["name"]: r for r in rates(table, {c: col(c) for c in flags}).collect()} if flags else {}
+    histograms, bars = profile(table, [c for c in chosen if c in numbers], [c for c in chosen if c not in numbers], 10)
+    bins, counts, rows = {}, {}, {}
+    for r in histograms.orderBy("column", "bin").collect():
+        bins.setdefault(r["column"], []).append(r[1:])
+    for r in bars.orderBy("column", "place").collect():
+        counts.setdefault(r["column"], []).append(r[2:])
+    for r in top_rows(table, chosen, bars, ident, top).orderBy("column", "place").collect() if chosen else ():
+        rows.setdefault(r["column"], []).append(r)
+    facts = lambda r: f"n {r['n']}, mean {_cell(r['mean'])}, median {_cell(r['median'])}, {_cell(r['min'])} to {_cell(r['max'])}, deviation {_cell(r['std'])}"
     lines = [f"# {title}", "", f"{table.count()} compounds, {len(keys)} categories.", ""]
     for key, column in keys.items():
         lines += [f"## {CATEGORIES[key].title}", ""]
         if column in summary:
-            r = summary[column]
-            lines += [f"{column}: n {r['n']}, mean {_cell(r['mean'])}, median {_cell(r['median'])}, {_cell(r['min'])} to {_cell(r['max'])}, deviation {_cell(r['std'])}", "", markdown_table(histogram(table, column, 10).orderBy("bin"))]
+            lines += [f"{column}: {facts(summary[column])}", "", _markdown(["bin", "low", "high", "n"], bins.get(column, []))]
         else:
             if column in share:
                 lines.append(f"{column}: {share[column]['hits']} of {share[column]['n']}\n")
-            lines.append(markdown_table(category_bars(table, column)))
-        lines += ["", markdown_table(top_table(table, column, ident, top).select(*dict.fromkeys([ident, column]))), ""]
+            lines.append(_markdown(["value", "n"], counts.get(column, [])))
+        shown = [[r["id"]] if column == ident else [r["id"], r["value"]] for r in rows.get(column, [])]
+        lines += ["", _markdown(list(dict.fromkeys([ident, column])), shown), ""]
+    if similar:
+        lines += ["## Similarity", "", *[f"{c}: {facts(summary[c])}" for c in similar], ""]
     return "\n".join(lines)
 
 

@@ -38,6 +38,14 @@ def dropped(written: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "row_index", weight: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """With a column that counts, over all rows in ``order``, the rows before (or the sum of ``weight`` before).
 
