@@ -14,6 +14,7 @@ from leadlight.kernel.stage import graphs, outcome, structures
 from leadlight.kernel.stage import prepared as structure_prepared
 from leadlight.operators import analyze as A
 from leadlight.operators import cluster as C
+from leadlight.operators import export as E
 from leadlight.operators import features as X
 from leadlight.operators import picklists as P
 from leadlight.operators import search as S
@@ -441,6 +442,37 @@ def feature_dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row", cell(1).alias("a"), cell(2).alias("b"), cell(3).cast("int").alias("c"))
 
 
+_EXPORTED = """with u as (select distinct p_partkey as "row", unnest(string_split(p_name, ' ')) as fragment from part), t as (select distinct p_partkey as "row", unnest(string_split(p_type, ' ')) as fragment from part),
+k as (select fragment, cast(row_number() over (order by fragment) - 1 as int) as i from (select fragment from u where "row" % 37 = 0 group by 1 having count(*) >= 2)),
+l as (select fragment, cast(row_number() over (order by fragment) - 1 as int) as i from (select fragment from t where "row" % 37 = 0 group by 1 having count(*) >= 2)),
+h as (select p_partkey as "row", unnest([struct_pack(key := p_partkey * 7, n := 2), struct_pack(key := p_partkey * 7 + 4096, n := 1), struct_pack(key := p_partkey % 97 + 100000, n := 3)]) as c from part),
+m as (select "row", cast(c.key % 512 as int) as col, cast(sum(c.n) as double) as v from h group by 1, 2
+  union all select p_partkey, 512, cast(p_size as double) from part where p_size <> 0
+  union all select p_partkey, 513, cast(cast(p_retailprice as float) as double) from part where p_retailprice <> 0
+  union all select "row", i + 514, 1.0 from u join k on k.fragment = u.fragment
+  union all select "row", i + 514 + (select count(*) from k), 1.0 from t join l on l.fragment = t.fragment)"""
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.split("p_type", " ").alias("Type"))
+    rows = fragments(spark, sf_dir).withColumnRenamed("fragments", "Frag").join(part, F.col("row") == F.col("p_partkey")).drop("p_partkey")
+    spec = E.specify(rows.where("row % 37 = 0"), ["size", "price"], ["Frag", "Type"], least=2, hashed={"FP_Morgan": 512})
+    return E.export(rows, "row", spec, {"FP_Morgan": "counts"})
+
+
+@register("feature_export", _EXPORTED + ' select "row", count(*) as nnz, cast(sum(col) as bigint) as column_sum, round(sum(v), 3) as value_sum, cast(sum(count(*)) over (order by "row") - count(*) as bigint) as start from m group by 1')
+def feature_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks by a specification frozen on a few of the rows, with the index pointers."""
+    total = lambda c, zero: F.aggregate(c, zero, lambda s, x: s + x)
+    return _exported(spark, sf_dir)[0].select("row", F.size("indices").cast("long").alias("nnz"), total("indices", F.lit(0).cast("long")).alias("column_sum"), F.round(total("values", F.lit(0.0)), 3).alias("value_sum"), "start")
+
+
+@register("feature_export_dropped", _EXPORTED + " select 'Frag' as block, fragment as name, count(*) as n from u where fragment not in (select fragment from k) group by 2 union all select 'Type', fragment, count(*) from t where fragment not in (select fragment from l) group by 2")
+def feature_export_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that specification does not know."""
+    return _exported(spark, sf_dir)[1]
+
+
 # ---- validation, export, sources ------------------------------------------------------------------
 
 _TYPED = {"CNS_MPO": "float", "QED": "int", "RO5_Violations": "int", "PAINS": "bool", "SMILES": "float", "Dev_Class": "bool", "HBD": "bool"}

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadlight.operators.cluster import butina_vectors, vector_medoids
+from leadlight.operators.cluster import butina_vectors, medoids, vector_medoids
 from leadlight.operators.ranges import range_pairs
+from leadlight.plans.adapters import FP_SQL, N_BITS, fingerprints
+from leadlight.plans.clusters import assigned, counts_of, summary
 from leadlight.plans.registry import register
+from leadlight.sources.storage import stored
 
 #: Similarity 1 / (1 + distance) from which on vectors are neighbours.
 SIMILAR = 0.47
@@ -53,3 +56,19 @@ def cluster_vector_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = vectors(spark, sf_dir)
     found = vector_medoids(table.select("row", F.col("label").alias("Cluster_ID")), table)
     return found.withColumn("Cluster_MedoidMeanSim", F.round("Cluster_MedoidMeanSim", 9))
+
+
+@register("cluster_summary", f"""with {FP_SQL},
+x as (select fp.*, cast(embedding[63] as double) as "LogP", case when vec_id % 11 = 0 then null else cast(embedding[64] as double) end as "QED" from fp join embeddings on vec_id = "row"),
+p as (select a.label as c, a."row" as r, a.Compound_ID as id, round(avg(cast(bit_count(a.f & b.f) as double) / bit_count(a.f | b.f)), 12) as mean from fp a join fp b on a.label = b.label and a."row" <> b."row" group by all),
+m as (select c, id from p qualify row_number() over (partition by c order by mean desc, r) = 1)
+select cast(label as int) as "Cluster_ID", count(*) as "Count", any_value(m.id) as "Representative", list_aggregate(list_slice(list(Compound_ID order by "row"), 1, 5), 'string_agg', ', ') as "Example_Compounds",
+  round(avg("LogP"), 9) as "LogP_mean", round(median("LogP"), 9) as "LogP_median", round(avg("QED"), 9) as "QED_mean", round(median("QED"), 9) as "QED_median" from x join m on m.c = label group by 1""")
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label as a cluster: its size, representative, first members, and context columns."""
+    part = F.element_at
+    context = vectors(spark, sf_dir).select("row", part("embedding", 63).cast("double").alias("LogP"), F.when(F.col("row") % 11 != 0, part("embedding", 64).cast("double")).alias("QED"))
+    library = stored(fingerprints(spark, sf_dir).join(context, "row"), "library")
+    clusters = library.select("row", F.col("label").alias("Cluster_ID"))
+    table, _ = counts_of(assigned(library.drop("label"), clusters, medoids(clusters, library, N_BITS)))
+    return summary(table, ("LogP", "QED")).select("Cluster_ID", "Count", "Representative", "Example_Compounds", *[F.round(f"{c}_{k}", 9).alias(f"{c}_{k}") for c in ("LogP", "QED") for k in ("mean", "median")])
