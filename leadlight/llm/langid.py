@@ -27,6 +27,8 @@ from leadlight.llm.common import bounded, in_fold, keep_rows
 WINDOW, VECTOR, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
 #: Training texts of a language (in the order of a hash) and windows of a text, at most; passes; windows of a step.
 TEXTS, TEXT_WINDOWS, PASSES, STEP = 250, 4, 8, 64
+#: Languages that are learned at most, those with the most labelled texts.
+LANGUAGES = 256
 #: Windows that prediction holds at a time.
 BLOCK = 256
 UNKNOWN = "und"
@@ -132,14 +134,18 @@ def fit(rows: np.ndarray, labels: list[str], seed: int = 11) -> Network:
     return Network(languages, params["e"], {w: params[f"f{w}"] for w in WIDTHS}, {w: params[f"b{w}"] for w in WIDTHS}, params["o"], params["ob"])
 
 
-def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", texts: int = TEXTS) -> Network:
+def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", texts: int = TEXTS, languages: int = LANGUAGES) -> Network:
     """A network from labelled rows: of each language at most ``texts`` texts, and TEXT_WINDOWS windows spread over each.
 
+    Learned are the ``languages`` labels that most rows have, equal ones by name, so what reaches the driver is bounded.
+
     Rows whose text or language is null, or whose text has no letter, teach nothing. Of several rows with one id and language
     the one with the least windows counts, so repeated ids don't lift the bound. An empty table gives a network that
     knows no language.
     """
     known = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
+    common = known.groupBy(F.col(lang_column).alias("common")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "common").limit(languages).select("common")
+    known = known.join(F.broadcast(common), F.col(lang_column) == F.col("common"), "left_semi")  # ``languages`` rows at most
     order = W.partitionBy("lang").orderBy("h", "id")
     ids = known.select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(id_column).alias("h"))
     chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts).select("id").distinct()
@@ -204,7 +210,8 @@ def predict(docs: DataFrame, network: Network, id_column: str = "doc_id", text_c
 def accepted(docs: DataFrame, network: Network, least: float = 0.4, text_column: str = "text") -> DataFrame:
     """The rows whose language is known with a probability of at least ``least``, with all their columns.
 
-    Without a learned language all rows with a letter stay.
+    Without a learned language all rows with a letter stay. A null or empty text and one without a letter go; a text of any length
+    is read whole; repeated rows share their fate; an empty table gives an empty one. Column names may be any.
     """
     model = pickle.dumps(network)
 

@@ -399,7 +399,7 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """Columns (id, n_bytes long, media binary, payload binary, clips array) of every row.
 
     media is the text's UTF-8 bytes as AVI, payload what is read back from it, clips the shots found in it. A null
-    text is empty; an empty one fills one frame. Repeated rows give repeated rows, an empty table an empty result; other columns are not read. One
+    text is empty; an empty one fills one frame; a text of megabytes is one row, held alone. Repeated rows give repeated rows, an empty table an empty result; other columns are not read. One
     narrow stage without a shuffle; a few megabytes are held at a time.
     """
 
@@ -420,7 +420,8 @@ def clip_rows(media: DataFrame, id_column: str = "doc_id", media_column: str = "
     """One row for each clip of each media value, whatever wrote it: (id, clip, first_frame, frames, start_s, end_s, change).
 
     A null value has no rows, nor has an AVI without frames; any other value that is no AVI of baseline JPEG frames gives one
-    row with null columns besides the id. Frames may differ in size and headers. Repeated rows give repeated rows.
+    row with null columns besides the id; so does a frame of more than LARGEST blocks (67 million pixels), as a bound of memory. Frames
+    may differ in size and headers. Repeated rows give repeated rows, an empty table none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

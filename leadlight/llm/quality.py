@@ -141,7 +141,11 @@ def score(docs: DataFrame, ranking: Ranking, id_column: str = "doc_id", text_col
 
 
 def accepted(docs: DataFrame, ranking: Ranking, text_column: str = "text") -> DataFrame:
-    """The rows with a score of at least CUT, with all their columns."""
+    """The rows with a score of at least CUT, with all their columns, whatever their names.
+
+    A null text is scored as an empty one, a text of any length whole; repeated rows share their fate; an empty table gives an
+    empty one.
+    """
 
     def decide(texts: pa.Array) -> list[bool]:
         return (ranking.score(np.array([features((t or "").encode()) for t in texts.to_pylist()])) >= CUT).tolist()

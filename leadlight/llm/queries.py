@@ -48,6 +48,13 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def media_clip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each timed clip of every document stored as motion-JPEG."""
+    from leadlight.llm.media import clip_rows, media_columns
+
+    return clip_rows(media_columns(table(spark, sf_dir, "documents")).select("doc_id", "media"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document and whether they pass 1024."""
     from leadlight.llm.token_counts import count_tokens
@@ -216,7 +223,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses, op7_brown_lm, op8_neardup, op9_quality, op10_langid, op11_vector_dups, op12_centroids, op13_hard_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_media, op3_token_counts, op4_topk, op5_packing, op6_licenses, op7_brown_lm, op8_neardup, op9_quality, op10_langid, op11_vector_dups, op12_centroids, op13_hard_negatives, media_clip_rows, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

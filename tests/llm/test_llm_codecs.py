@@ -264,3 +264,41 @@ def test_empty_table(spark):
     assert bpe.encode_decode(none, WORD).count() == token_counts.count_tokens(none, BYTE).count() == media.media_columns(none).count() == 0
     assert packing.pack(none, BYTE).count() == 0
     assert media.clip_rows(none.select("doc_id", F.lit(None).cast("binary").alias("media"))).count() == 0
+
+
+def plain_shots(samples):
+    """Shots by loops over frames and greys."""
+    shares = []
+    for frame in samples:
+        counts = [0] * media.BINS
+        for grey in frame.tolist():
+            counts[grey * media.BINS // 256] += 1
+        shares.append([c / len(frame) for c in counts])
+    change = [0.0] + [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 2 for x, y in zip(shares, shares[1:], strict=False)]
+    cuts = [0]
+    for t in range(1, len(change)):
+        around = [change[i] for i in range(max(t - media.AROUND, 1), min(t + media.AROUND + 1, len(change))) if i != t]
+        mean = sum(around) / max(len(around), 1)
+        spread = math.sqrt(max(sum(c * c for c in around) / max(len(around), 1) - mean * mean, 0.0))
+        if change[t] >= media.LEAST and change[t] >= change[t - 1] and change[t] > (change[t + 1] if t + 1 < len(change) else 0) and change[t] > mean + media.DEVIATIONS * spread:
+            cuts.append(t)
+    return cuts, change
+
+
+def test_feature_against_plain_histograms(spark):
+    """The clips of texts of many styles, some of megabytes, are those of plain loops over the stored bytes."""
+    rng = random.Random(9)
+    style = lambda n, kinds: "".join(rng.choice(kinds) for _ in range(n))
+    texts = [style(900, "abc ") + style(2000, "ABC0") + style(1500, "xyz\n"), style(40_000, "etaoin "), "", None, style(5, "a"), "".join(style(576 * 3, k) for k in ("ab", "ZZ9", "é", "  ", "~}", "ab") * 4), style(1_500_000, "lorem ipsum")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    columns = media.media_columns(docs)
+    rows = {}
+    for r in media.clip_rows(columns.select("doc_id", "media")).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    for r in columns.collect():
+        payload = np.frombuffer(bytes(r["payload"]), np.uint8).reshape(-1, media.FRAME)
+        cuts, change = plain_shots(payload)
+        assert [c["first_frame"] for c in r["clips"]] == cuts and sum(c["frames"] for c in r["clips"]) == len(payload)
+        mine = sorted(rows[r["doc_id"]], key=lambda x: x["clip"])
+        assert [(x["clip"], x["first_frame"], x["start_s"]) for x in mine] == [(k, t, t / media.FPS) for k, t in enumerate(cuts)]
+        assert [x["change"] for x in mine] == pytest.approx([change[t] for t in cuts], abs=1e-6)

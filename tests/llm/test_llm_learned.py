@@ -271,4 +271,123 @@ def test_pipeline_stages(spark, small):
 
 def test_queries_are_registered():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{n}" for n in range(1, 14)), "media", "pipeline"]
+
+
+# ---- training against plain loops -----------------------------------------------------------------
+
+
+def test_pairwise_fit_against_plain_gradients(monkeypatch):
+    """The weights are those of a loop over pairs in plain Python, the threshold the one with the fewest errors."""
+    monkeypatch.setattr(quality, "PAIRS", 60)
+    monkeypatch.setattr(quality, "STEPS", 15)
+    rng = np.random.default_rng(2)
+    rows, labels = rng.normal(size=(40, 4)), np.array([0, 1] * 20)
+    rows[labels == 1, 0] += 1.0
+    got = quality.fit(rows, labels, seed=3)
+    mean = [sum(r[j] for r in rows) / 40 for j in range(4)]
+    scale = [math.sqrt(sum((r[j] - mean[j]) ** 2 for r in rows) / 40) + 1e-3 for j in range(4)]
+    x = [[(r[j] - mean[j]) / scale[j] for j in range(4)] for r in rows]
+    draw = np.random.default_rng(3)
+    pairs = list(zip(draw.choice(np.flatnonzero(labels == 1), 60), draw.choice(np.flatnonzero(labels == 0), 60), strict=True))
+    w, first, second = [0.0] * 4, [0.0] * 4, [0.0] * 4
+    for step in range(1, 16):
+        slope = [quality.RIDGE * v for v in w]
+        for better, worse in pairs:
+            d = [a - b for a, b in zip(x[better], x[worse], strict=True)]
+            lost = 1 / (1 + math.exp(sum(a * b for a, b in zip(d, w, strict=True))))
+            slope = [s - lost * v / 60 for s, v in zip(slope, d, strict=True)]
+        for j in range(4):
+            first[j] = 0.9 * first[j] + 0.1 * slope[j]
+            second[j] = 0.99 * second[j] + 0.01 * slope[j] ** 2
+            w[j] -= 0.1 * (first[j] / (1 - 0.9**step)) / (math.sqrt(second[j] / (1 - 0.99**step)) + 1e-8)
+    assert got.weights == pytest.approx(w, rel=1e-9)
+    strengths = [sum(a * b for a, b in zip(r, w, strict=True)) for r in x]
+    errors = lambda t: sum((s > t) != (y == 1) for s, y in zip(strengths, labels, strict=True))
+    assert errors(got.threshold) == min(errors(t) for t in [*strengths, min(strengths) - 1])
+    assert quality.Ranking.score(got, rows)[0] == pytest.approx(1 / (1 + math.exp(-(strengths[0] - got.threshold)) * (1 - quality.CUT) / quality.CUT), rel=1e-6)
+
+
+def test_features_against_plain_counts():
+    rng = random.Random(4)
+    for data in (b"", b"\n\n", b"word", ("Aa 1\n. é$ aa aa\n" * 3).encode(), bytes(rng.choice(b"ab A1.\n\xc3\xa9") for _ in range(3_000_000))):
+        got, n = quality.features(data), len(data)
+        counts = Counter(data)
+        shares = [sum(counts[b] for b in g) / n if n else 0.0 for g in quality.GROUPS]
+        words, lines = data.split(), [x for x in data.split(b"\n") if x]
+        more = [len(set(words)) / max(len(words), 1), min(1.0, len(set(words)) / max(len(words), 1) ** 0.75), sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1), len(set(lines)) / max(len(lines), 1)]
+        more += [math.log(1 + len(words)) / 10, min(n / max(len(words), 1), 40) / 40, min(n / max(len(lines), 1), 2000) / 2000, float(len(words) < 5)]
+        assert got == pytest.approx([*shares, *(min(50 * s, 1) for s in shares), *(more if n else [0.0] * 8)], rel=1e-9)
+
+
+def test_network_steps_against_plain_convolution(monkeypatch):
+    """One pass over two windows: the slopes of every parameter are those of finite differences of the loss."""
+    monkeypatch.setattr(langid, "WINDOW", 12)
+    monkeypatch.setattr(langid, "PASSES", 1)
+    monkeypatch.setattr(langid, "STEP", 4)
+    rng = np.random.default_rng(1)
+    rows, labels = rng.integers(0, 5, (4, 12)).astype(np.uint8), ["a", "b", "b", "b"]
+    trained = langid.fit(rows, labels, seed=5)
+    monkeypatch.setattr(langid, "PASSES", 0)
+    start = langid.fit(rows, labels, seed=5)
+    weight = {"a": 4 / 1 / 2, "b": 4 / 3 / 2}
+
+    def loss(net):
+        total = 0.0
+        for row, y in zip(rows, labels, strict=True):
+            hidden = []
+            for width, filters in net.filters.items():
+                best = [max(sum(net.vectors[row[p + j]] @ filters[j * langid.VECTOR : (j + 1) * langid.VECTOR][:, f] for j in range(width)) + net.biases[width][f] for p in range(12 - width + 1)) for f in range(langid.FILTERS)]
+                hidden += [max(b, 0.0) for b in best]
+            logits = np.array(hidden) @ net.out + net.out_bias
+            total += weight[y] * (np.log(np.exp(logits).sum()) - logits[net.languages.index(y)]) / 4
+        return total + 0.5e-4 * (net.out**2).sum()
+
+    # the first step of this rule moves each parameter by 0.01 against the sign of its slope
+    parts = [(start.vectors, trained.vectors), (start.out, trained.out), (start.out_bias, trained.out_bias), *[(start.filters[w], trained.filters[w]) for w in langid.WIDTHS], *[(start.biases[w], trained.biases[w]) for w in langid.WIDTHS]]
+    for before, after in parts:
+        for at in rng.permutation(before.size)[:12]:
+            flat, kept = before.reshape(-1), before.reshape(-1)[at]
+            flat[at] = kept + 1e-5
+            high = loss(start)
+            flat[at] = kept - 1e-5
+            slope = (high - loss(start)) / 2e-5
+            flat[at] = kept
+            moved = after.reshape(-1)[at] - kept
+            assert moved == pytest.approx(-0.01 * np.sign(slope) if abs(slope) > 1e-6 else moved, abs=1e-4)
+            assert abs(slope) > 1e-6 or abs(moved) <= 0.01 + 1e-9
+
+
+def test_languages_are_bounded(spark):
+    words = {"a": "aba baa", "b": "bcd dcb", "c": "xyz zyx", "d": "kkk lll"}
+    rows = [(i, words[k] * 30, k) for i, k in enumerate("aaaaabbbbcccd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, languages=2).languages == ["a", "b"] and langid.train(docs, languages=3).languages == ["a", "b", "c"]
+
+
+ODD = [(1, None, "en"), (2, "", "en"), (3, "1234 ... 5678", None), (4, "a sentence of plain words that says little but is whole. " * 40_000, "en"), (5, "a short plain sentence of words.", "en"), (5, "a short plain sentence of words.", "en"), (None, "no number but a sentence of words.", None), (6, "one more sentence with some words in it, and then some.", "de")]
+
+
+def test_stages_keep_columns_and_survive_odd_rows(spark, small):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names; and nothing at all."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, id string, data string, `c0` int, node string, root int"
+    docs = spark.createDataFrame([(*r, "x", None, 1, "n", 2) for r in ODD], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}, name
+        assert stage(spark, docs.limit(0), small).count() == 0
+    kept = [tuple(r)[:2] for r in corpus_pipeline.keep_one_copy(spark, docs, small).collect()]
+    assert len(kept) == len(ODD) - 1 and kept.count((5, ODD[4][1])) == 1  # texts without words stay, of repeated rows one
+    pieces = corpus_pipeline.pack_sequences(spark, docs, small).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(r[0] for r in ODD)
+    assert all(r["length"] <= 2048 for r in pieces) and corpus_pipeline.pack_sequences(spark, docs.limit(0), small).count() == 0
+
+
+def test_pipeline_of_nothing(spark, small, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
