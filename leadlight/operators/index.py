@@ -57,7 +57,7 @@ class FingerprintIndex:
         return able.withColumn("place", F.row_number().over(W.partitionBy("a_row").orderBy(F.desc("bound"), "block")))
 
     def scored(self, wanted: DataFrame, n_queries: int, name: str) -> DataFrame:
-        """(a_row, b_row, b_id, b_smiles, similarity) of every query with all rows of its blocks."""
+        """(a_row, b_row, b_id, b_smiles, similarity) of every query with all rows of its blocks, from its ``floor`` on."""
         salts = max(1, -(-n_queries // QUERIES))
         asked = wanted.withColumn("salt", F.pmod(F.xxhash64("a_row"), F.lit(salts)).cast("int"))
         needed = stored(asked.select("block", "salt").distinct(), "needed")
@@ -66,7 +66,8 @@ class FingerprintIndex:
         there = rows.select("block", F.col("row").alias("b_row"), F.col("Compound_ID").alias("b_id"), F.col("SMILES").alias("b_smiles"), F.col("fp").alias("b_fp"), F.col("bits").alias("b_bits"))
         pairs = asked.join(there.join(needed, "block"), ["block", "salt"])
         value = similarity(name, words(F.col("a_fp"), self.n_bits), words(F.col("b_fp"), self.n_bits), self.n_bits, F.col("a_bits"), F.col("b_bits"))
-        return pairs.select("a_row", "b_row", "b_id", "b_smiles", value.alias("similarity"))
+        found = pairs.select("a_row", "b_row", "b_id", "b_smiles", value.alias("similarity"), "floor")
+        return found.where(F.col("similarity") >= F.col("floor")).drop("floor")
 
     def search(self, queries: DataFrame, name: str = "tanimoto", threshold: float | None = 0.0, top: int = 10, include_query: bool = True) -> tuple[DataFrame, DataFrame]:
         """The ``top`` best rows of every query (row, SMILES, fp), and (a_row, visited) how many blocks it took.
@@ -84,12 +85,14 @@ class FingerprintIndex:
 
         def kept(wanted: DataFrame) -> DataFrame:
             found = self.scored(wanted, n, name)
-            found = found if threshold is None else found.where(F.col("similarity") >= threshold)
             return found if include_query else found.join(texts, "a_row").where(~F.coalesce(F.col("a_smiles") == F.col("b_smiles"), F.lit(False))).drop("a_smiles")
 
-        near = stored(best(kept(plan.where(F.col("place") <= FIRST))), "near")
+        floor = F.lit(float("-inf") if threshold is None else threshold)
+        near = stored(best(kept(plan.where(F.col("place") <= FIRST).withColumn("floor", floor))), "near")
         kth = near.where(F.col("Rank") == top).select("a_row", F.col("similarity").alias("kth"))
-        rest = stored(plan.where(F.col("place") > FIRST).join(kth, "a_row", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth"))).drop("kth"), "rest")
+        # what is below a query's k-th best similarity is left out where it is scored, before anything is ranked
+        rest = plan.where(F.col("place") > FIRST).join(kth, "a_row", "left").withColumn("floor", F.coalesce("kth", floor)).drop("kth")
+        rest = stored(rest.where(F.col("bound") >= F.col("floor")), "rest")
         hits = best(near.drop("Rank").unionByName(kept(rest)))
         visited = plan.where(F.col("place") <= FIRST).select("a_row").unionByName(rest.select("a_row")).groupBy("a_row").agg(F.count("*").alias("visited"))
         return hits, visited
