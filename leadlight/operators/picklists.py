@@ -191,19 +191,21 @@ def run_picklist(df: DataFrame, picklist: Picklist, tie: str | None = None) -> D
     return kept.limit(picklist.limit) if picklist.limit > 0 else kept
 
 
-def run_together(df: DataFrame, picklists: list[Picklist], tie: str) -> DataFrame:
+def run_together(df: DataFrame, picklists: list[Picklist], tie: str, numbers: list[str] | None = None) -> DataFrame:
     """The rows of all lists from one scan: picklist (its key), rank from 1, and the table's columns.
 
     Each row gets the keys of the lists that keep it and is exploded by them. Sort keys of different lists share a few columns: for
     every place of an order one that says what is null, one for numbers (negative where they fall) and one for texts in either
     direction. Lists with a limit keep their best rows of each partition before they are shuffled; lists without are numbered by
-    range partitions, however long they are. The number of jobs does not depend on the number of lists.
+    range partitions, however long they are. The number of jobs does not depend on the number of lists. ``numbers`` names the
+    text columns that are ordered as numbers; by default one job finds out.
     """
     if len({p.key for p in picklists}) < len(picklists):
         raise ValueError("two picklists have one key")
     kept = F.array_compact(F.array(*[F.when(condition(df, p), F.lit(p.key)) for p in picklists]))
     kinds, at = dict(df.dtypes), F.col("__list")
-    numbers = numeric_text_columns(df, [o.column for p in picklists for o in p.sort])
+    if numbers is None:
+        numbers = numeric_text_columns(df, [o.column for p in picklists for o in p.sort])
     orders = {p.key: [o for o in p.sort if o.column in kinds] for p in picklists}
     keys = {}
     for place in range(max((len(o) for o in orders.values()), default=0)):
