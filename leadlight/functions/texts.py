@@ -12,6 +12,13 @@ def file_name(text: Column, most: int = 80) -> Column:
     return F.substring(F.when(clean == "", F.lit("unnamed")).otherwise(clean), 1, most)
 
 
+def structure_name(text: Column, most: int = 120) -> Column:
+    """A text as the name of a structure's or a list's own file: as above, but trimmed of dots, dashes and underscores, "compound" if nothing is left."""
+    given = F.coalesce(F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("")), F.lit("compound"))
+    clean = F.trim(F.regexp_replace(given, r"[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
+    return F.substring(F.coalesce(F.nullif(clean, F.lit("")), F.lit("compound")), 1, most)
+
+
 def slug(text: Column) -> Column:
     """A text as an anchor: lower case, words joined by dashes."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))

@@ -661,6 +661,14 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("row"), T.file_name(F.col("p_name")).alias("file"), T.slug(F.col("p_brand")).alias("slug"), T.html(F.concat(F.lit("<"), "p_name", F.lit(" & co>"))).alias("html"), T.top_joined(F.split("p_name", " "), 2).alias("top"))
 
 
+@register("text_structure_names", "with t as (select p_partkey as r, case p_partkey % 5 when 0 then '-' || p_name || '.' when 1 then ' ' || p_type || '/#' when 2 then '._-' when 3 then '' else repeat(p_name || '%', 9) end as t from part), c as (select r, trim(regexp_replace(case when trim(t) = '' then 'compound' else trim(t) end, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') as t from t) select r as \"row\", left(case when t = '' then 'compound' else t end, 120) as name from c")
+def text_structure_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of structures from texts with signs at their ends, empty and long ones."""
+    part, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 5
+    text = F.when(k == 0, F.concat(F.lit("-"), "p_name", F.lit("."))).when(k == 1, F.concat(F.lit(" "), "p_type", F.lit("/#"))).when(k == 2, F.lit("._-")).when(k == 3, F.lit("")).otherwise(F.repeat(F.concat("p_name", F.lit("%")), F.lit(9)))
+    return part.select(F.col("p_partkey").alias("row"), T.structure_name(text).alias("name"))
+
+
 @register("ragged_union", 'select p_partkey as "row", p_name as name, p_size as size, null::double as price from part union all select p_partkey, p_name, null, p_retailprice::double from part')
 def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumnsRenamed({"p_partkey": "row", "p_name": "name"})

@@ -6,10 +6,11 @@ import html
 import warnings
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
-from leadlight.operators.analyze import NUMERIC, numeric_summary, profile, rates, top_rows, value_counts
+from leadlight.operators.analyze import NUMERIC, numeric_summary, profile, rates, top_rows, value_counts, value_counts_of
 from leadlight.operators.picklists import Picklist, output_columns, run_together
 from leadlight.plans.categories import CATEGORIES, SMILES_COLUMNS, category_columns, category_key, id_column
 from leadlight.sources.storage import stored, write_text
@@ -154,6 +155,44 @@ def build_report(df: DataFrame, title: str = "Report", top: int = 10) -> str:
     return "\n".join(lines)
 
 
+def combined_text(df: DataFrame, dataset: str, top: int = 5, values: int = 50) -> str:
+    """All categories that a table has, as one text: numbers with their first rows, classes with counts and shares of all rows.
+
+    The jobs are those of one summary, one count of all classes and one ranking, whatever the number of categories. Of a class
+    column the ``values`` commonest are listed, and how many others there are.
+    """
+    ident = id_column(df.columns)
+    keys = {k: category_key(df, k) for k, _, _ in present_categories(df.columns)}
+    chosen = list(dict.fromkeys(keys.values()))
+    table = stored(df.select(*[col(c) for c in dict.fromkeys([ident, *chosen])]), "combined")
+    kinds = dict(table.dtypes)
+    numbers, classes = [c for c in chosen if kinds[c] in NUMERIC], [c for c in chosen if kinds[c] not in NUMERIC]
+    summary = {r["column"]: r for r in numeric_summary(table, numbers).collect()} if numbers else {}
+    first, counted, others = {}, {}, {}
+    if numbers:
+        _, none = profile(table, [], [], 1)
+        for r in top_rows(table, numbers, none, ident, top).orderBy("column", "place").collect():
+            first.setdefault(r["column"], []).append(r)
+    if classes:
+        place = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value"))
+        counts = stored(value_counts_of(table, classes).withColumn("place", place), "counts")
+        for r in counts.where(F.col("place") <= values).orderBy("column", "place").collect():
+            counted.setdefault(r["column"], []).append(r)
+        others = {r["column"]: r["n"] for r in counts.where(F.col("place") > values).groupBy("column").agg(F.count("*").alias("n")).collect()}
+    lines = [f"dataset: {dataset}", f"compounds: {table.count()}", f"columns: {len(df.columns)}"]
+    for key, column in keys.items():
+        lines += ["", f"{CATEGORIES[key].title} ({key})"]
+        if column in summary:
+            r = summary[column]
+            if r["n"]:
+                lines.append(f"{column}: " + ", ".join(f"{k}={r[k]:.3f}" for k in ("mean", "median", "min", "max")))
+                lines += [f"  {x['id']} | {column}={x['value']}" for x in first.get(column, ()) if x["value"] is not None]
+        else:
+            lines += [f"{column}={r['value']}: {r['n']} ({r['pct']:.1f}%)" for r in counted.get(column, ())]
+            lines += [f"{column}: {others[column]} other values"] if column in others else []
+    return "\n".join(lines) + "\n"
+
+
 def ragged_union(tables: list[DataFrame]) -> DataFrame:
     """All rows of tables with different columns; what a table lacks is null."""
     out = tables[0]
