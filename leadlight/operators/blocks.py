@@ -19,14 +19,27 @@ def dealt(rows: DataFrame, keys: list[str], ident: Column, crowd: int) -> DataFr
     """
     crowded = rows.groupBy(keys).agg(F.ceil(F.count("*") / crowd).cast("int").alias("__n")).where("__n > 1")
     crowded = F.broadcast(crowded) if crowded.limit(BROADCAST + 1).count() <= BROADCAST else crowded.hint("merge")
-    cut = rows.join(crowded, keys, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
-    cut = cut.withColumn("chunk", F.pmod(F.xxhash64(ident), "__n").cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return _spread(rows.join(crowded, keys, "left").withColumn("__n", F.coalesce("__n", F.lit(1))), ident)
+
+
+def _spread(rows: DataFrame, ident: Column) -> DataFrame:
+    """The rows at all meetings of their chunk, of which there are ``__n``."""
+    cut = rows.withColumn("chunk", F.pmod(F.xxhash64(ident), "__n").cast("int")).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return cut.withColumns({"i": F.least("chunk", "__o"), "j": F.greatest("chunk", "__o")}).drop("__n", "__o")
 
 
 def pairs_within(rows: DataFrame, keys: list[str], ident: str, crowd: int) -> DataFrame:
     """Every two rows of a key once, as a_<column> and b_<column>, the smaller ``ident`` first."""
-    placed = dealt(rows, keys, F.col(ident), crowd)
+    return _met(dealt(rows, keys, F.col(ident), crowd), keys, ident)
+
+
+def all_pairs(rows: DataFrame, ident: str, crowd: int) -> DataFrame:
+    """Every two rows of a table once, likewise; a task holds two chunks of about ``crowd`` rows."""
+    chunks = max(1, -(-rows.count() // crowd))
+    return _met(_spread(rows.withColumn("__n", F.lit(chunks)), F.col(ident)), [], ident)
+
+
+def _met(placed: DataFrame, keys: list[str], ident: str) -> DataFrame:
     meet = [*keys, "i", "j"]
     side = lambda p: placed.select(*meet, *[F.col(c).alias(f"{p}_{c}") for c in placed.columns if c not in meet])
     low = F.col(f"a_{ident}") < F.col(f"b_{ident}")
