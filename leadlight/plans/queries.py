@@ -314,21 +314,38 @@ def fingerprint_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark, sf_dir).select("Compound_ID", F.size(positions).alias("n_on"), F.round(F.size(positions) / 62.0, 9).alias("density"), F.aggregate(positions, F.lit(0).cast("long"), lambda s, x: s + x).alias("bit_sum"))
 
 
-@register("maxmin_diverse")
+@register("maxmin_diverse", f"""with recursive {FP_SQL}, d as materialized (select a."row" as x, b."row" as y, 1 - {_FORMULAS["tanimoto"]} as far from fp a, fp b),
+m(k, r, far, p) as (
+  select 1, "row", case when "row" = 0 then -1.0::double else 'infinity'::double end, 0::bigint from fp
+  union all select k + 1, r, far, first_value(r) over (order by far desc, r) from (select m.k, m.r, case when m.r = m.p then -1.0::double else least(m.far, d.far) end as far from m join d on d.x = m.p and d.y = m.r where m.k < 12)),
+t as (select k, any_value(p) as p, case when k = 1 then 0.0::double else max(far) end as far from m group by k)
+select Compound_ID, SMILES, cast(k as int) as "Pick_Order", far as "Min_Distance" from t join fp on fp."row" = t.p""")
 def maxmin_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve picks from the first row on; held against a plain re-computation in the tests."""
+    """Twelve picks from the first row on."""
     return S.diverse(fingerprints(spark, sf_dir), N_BITS, 12, seed=0)
 
 
-_NEIGHBOURS = f', e as (select a."row" as a, b."row" as b from fp a join fp b on a."row" < b."row" where {_FORMULAS["tanimoto"]} >= 0.5)'
+_NEIGHBOURS = f"""{FP_SQL}, e as materialized (select a."row" as a, b."row" as b from fp a join fp b on a."row" < b."row" where {_FORMULAS["tanimoto"]} >= 0.5), sides as (select a, b from e union all select b, a from e)"""
+#: The greedy rule over places 1, 2, ... in ``place``, one after another, in SQL.
+_GREEDY = """near as materialized (select x.p as p, list(y.p) as before from sides join place x on x.r = sides.a join place y on y.r = sides.b where y.p < x.p group by x.p),
+greedy(p, starts) as (
+  select 0::bigint, []::bigint[]
+  union all select g.p + 1, case when n.before is null or not list_has_any(n.before, g.starts) then list_append(g.starts, g.p + 1) else g.starts end
+  from greedy g left join near n on n.p = g.p + 1 where g.p < (select count(*) from place)),
+starts as (select starts from greedy order by p desc limit 1),
+center as (select place.r, place.p, list_contains(starts, place.p) as leads, case when leads then place.p else list_min(list_filter(before, lambda q: list_contains(starts, q))) end as c from place left join near on near.p = place.p, starts)"""
 
 
-@register("cluster_leader")
+@register("cluster_leader", f"""with recursive {_NEIGHBOURS}, place as materialized (select "row" as r, row_number() over (order by "row") as p from fp), {_GREEDY},
+ids as (select p, cast(row_number() over (order by p) - 1 as int) as id from center where leads)
+select "row", Compound_ID, SMILES, id as "Cluster_ID", leads as "Is_Centroid" from fp join center on center.r = "row" join ids on ids.p = center.c""")
 def cluster_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.leader_clusters(fingerprints(spark, sf_dir), N_BITS, 0.5)
 
 
-@register("cluster_butina")
+@register("cluster_butina", f"""with recursive {_NEIGHBOURS}, place as materialized (select "row" as r, row_number() over (order by coalesce(n, 0) desc, "row") as p from fp left join (select a, count(*) as n from sides group by a) on a = "row"), {_GREEDY},
+sizes as (select c, count(*) as n, cast(row_number() over (order by count(*) desc, c) as int) as id from center group by c)
+select "row", Compound_ID, SMILES, id as "Cluster_ID", n as "Cluster_Size" from fp join center on center.r = "row" join sizes on sizes.c = center.c""")
 def cluster_butina(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.butina_clusters(fingerprints(spark, sf_dir), N_BITS, 0.5)
 
