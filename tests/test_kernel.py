@@ -1,12 +1,16 @@
 """The structure kernel: counts of well-known molecules, patterns, scaffolds, graphs, invalid texts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadlight.kernel import pure as K
-from leadlight.kernel.stage import graphs, structures
+from leadlight.kernel.stage import graphs, structures, through
 from leadlight.operators.features import graph_offsets
+from leadlight.plans.catalog import QUERIES
 
 ASPIRIN = "CC(=O)Oc1ccccc1C(=O)O"
+#: Queries whose structures are dealt out before they are read.
+DEALT = ["kernel_groups"]
 
 
 @pytest.mark.parametrize(
@@ -57,3 +61,18 @@ def test_stage(spark):
     assert [found[i]["atom_start"] for i in range(4)] == [0, 3, 3, 3]
     assert found[3]["edge_start"] == found[0]["n_edges"] == 4
     assert structures(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_file_meet_many_tasks_and_equal_texts_once(spark):
+    made = []
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(600)], "row long, SMILES string").coalesce(1)
+    found = through(df, "SMILES", "n int", lambda s: {"n": made.append(s) or len(made)} if s != "c" else None).withColumn("task", F.spark_partition_id()).collect()
+    by_task = {t: {(r["SMILES"], r["n"]) for r in found if r["task"] == t} for t in {r["task"] for r in found}}
+    assert len(found) == 600 and len(by_task) > 4
+    assert all(len(v) <= 3 and all((n is None) == (s == "c") for s, n in v) for v in by_task.values())
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_structures_of_one_file_are_dealt_out(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning" in plan
