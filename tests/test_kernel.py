@@ -10,7 +10,7 @@ from leadlight.plans.catalog import QUERIES
 
 ASPIRIN = "CC(=O)Oc1ccccc1C(=O)O"
 #: Queries whose structures are dealt out before they are read.
-DEALT = ["kernel_groups"]
+DEALT = ["kernel_groups", "kernel_count_cells"]
 
 
 @pytest.mark.parametrize(
@@ -76,3 +76,8 @@ def test_rows_of_one_file_meet_many_tasks_and_equal_texts_once(spark):
 def test_structures_of_one_file_are_dealt_out(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().toString()
     assert "RoundRobinPartitioning" in plan
+
+
+def test_count_cells_read_structures_once_and_shuffle_no_cells(spark, small):
+    plan = QUERIES["kernel_count_cells"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("hashpartitioning") == 1
