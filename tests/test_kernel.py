@@ -10,7 +10,7 @@ from leadlight.plans.catalog import QUERIES
 
 ASPIRIN = "CC(=O)Oc1ccccc1C(=O)O"
 #: Queries whose structures are dealt out before they are read.
-DEALT = ["kernel_groups", "kernel_count_cells", "kernel_outcome", "kernel_prepare", "kernel_structures"]
+DEALT = ["kernel_groups", "kernel_count_cells", "kernel_outcome", "kernel_prepare", "kernel_structures", "kernel_complexity"]
 
 
 @pytest.mark.parametrize(
