@@ -81,3 +81,8 @@ def test_structures_of_one_file_are_dealt_out(spark, small, name):
 def test_count_cells_read_structures_once_and_shuffle_no_cells(spark, small):
     plan = QUERIES["kernel_count_cells"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("hashpartitioning") == 1
+
+
+def test_graphs_are_dealt_out(spark):
+    df = spark.createDataFrame([(0, "CCO")], "row long, SMILES string").coalesce(1)
+    assert "RoundRobinPartitioning" in graphs(df)._jdf.queryExecution().toString()
