@@ -37,6 +37,19 @@ class Vectors:
     def similar(distance: np.ndarray | F.Column) -> np.ndarray | F.Column:
         return 1 / (1 + distance)
 
+    symmetric = True
+
+    @staticmethod
+    def found(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, distance) of rows of x and y within ``radius``; near it the differences decide."""
+        i, j = np.nonzero(distances(x, y) <= radius * (1 + 1e-9) + 1e-9)
+        far = np.zeros(len(i))
+        for at in range(0, len(i), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            far[part] = np.sqrt(((x[i[part]] - y[j[part]]) ** 2).sum(1))
+        kept = far <= radius
+        return i[kept], j[kept], far[kept]
+
 
 class Bits:
     """A metric of packed fingerprints; only for tanimoto is 1 - similarity a distance that can bound others."""
@@ -52,8 +65,32 @@ class Bits:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
 
+    @property
+    def symmetric(self) -> bool:
+        return self.name != "asymmetric"
+
     def distances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """1 - similarity, by a formula of the bits of each and of both; a quotient by 0 is 0."""
+        return 1 - self.similarities(x, y)
+
+    def found(self, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, similarity) of rows of x and y from ``least`` on."""
+        if self.name != "tanimoto" or least <= 0:
+            near = self.similarities(x, y)
+            i, j = np.nonzero(near >= least)
+            return i, j, near[i, j]
+        a, b = (np.bitwise_count(m).sum(1).astype(np.float32) for m in (x, y))
+        both = np.bitwise_count(x[:, 0, None] & y[:, 0]).astype(np.uint16)
+        for w in range(1, x.shape[1]):
+            both += np.bitwise_count(x[:, w, None] & y[:, w])
+        share = np.float32(least / (1 + least) * (1 - 1e-4))  # of the bits of each; those few that reach it are divided
+        i, j = np.nonzero(both >= np.maximum((a * share)[:, None] + b * share, 1))
+        c = both[i, j].astype(np.float64)
+        near = c / (a[i].astype(np.float64) + b[j] - c)
+        kept = near >= least
+        return i[kept], j[kept], near[kept]
+
+    def similarities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """By a formula of the bits of each and of both; a quotient by 0 is 0."""
         a, b = (np.bitwise_count(m).sum(1).astype(np.float64) for m in (x, y))
         both = np.zeros((len(x), len(y)))
         for w in range(x.shape[1]):
@@ -71,7 +108,7 @@ class Bits:
             "asymmetric": lambda: ratio(c, a * np.ones_like(b)),
             "braun_blanquet": lambda: ratio(c, np.maximum(a, b)),
         }
-        return 1 - forms[self.name]()
+        return forms[self.name]()
 
     @staticmethod
     def similar(distance: np.ndarray | F.Column) -> np.ndarray | F.Column:
