@@ -49,3 +49,13 @@ def test_leaders_list_no_pairs(library, monkeypatch, window):
         starts += [r] * (first == r)
         ids[r] = starts.index(first), first == r
     assert {r["row"]: (r["Cluster_ID"], r["Is_Centroid"]) for r in cluster.leader_clusters(library, 62, 0.45).collect()} == ids
+
+
+@pytest.mark.parametrize("crowd", [20, 8192])
+def test_butina_lists_no_pairs(library, monkeypatch, crowd):
+    monkeypatch.setattr(meetings, "CROWD", crowd)
+    monkeypatch.setattr(meetings, "WINDOW", crowd)
+    pairs = S.similar_pairs(library, 62, 0.4).select("a_row", "b_row")
+    want = {r["row"]: (r["Cluster_ID"], r["Cluster_Size"]) for r in cluster.butina(library, pairs).collect()}
+    monkeypatch.setattr(cluster, "similar_pairs", None)
+    assert {r["row"]: (r["Cluster_ID"], r["Cluster_Size"]) for r in cluster.butina_clusters(library, 62, 0.4).collect()} == want
