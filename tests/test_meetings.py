@@ -59,3 +59,20 @@ def test_butina_lists_no_pairs(library, monkeypatch, crowd):
     want = {r["row"]: (r["Cluster_ID"], r["Cluster_Size"]) for r in cluster.butina(library, pairs).collect()}
     monkeypatch.setattr(cluster, "similar_pairs", None)
     assert {r["row"]: (r["Cluster_ID"], r["Cluster_Size"]) for r in cluster.butina_clusters(library, 62, 0.4).collect()} == want
+
+
+@pytest.mark.parametrize(("name", "least"), [("tanimoto", 0.6), ("dice", 0.8)])
+def test_equal_count_maps_are_compared_as_one(spark, monkeypatch, name, least):
+    compared, meet = [], S.candidate_pairs
+    monkeypatch.setattr(S, "UNIT", 4)
+    monkeypatch.setattr(S, "candidate_pairs", lambda rows, *more: compared.append(rows.count()) or meet(rows, *more))
+    maps = [{"a": 3, "b": 1}, {"b": 1, "a": 3}, {"a": 3, "b": 2}, {"c": 1}, {"a": 1, "c": 9, "d": 0}]
+    rows = [(i, maps[i * 7 % 5]) for i in range(60)]
+    got = {(r["a_row"], r["b_row"]): r["similarity"] for r in S.similar_counts(spark.createDataFrame(rows, "row long, counts map<string,int>"), least, name).collect()}
+
+    def value(x, y):
+        low, both = sum(min(x.get(k, 0), y.get(k, 0)) for k in x), sum(x.values()) + sum(y.values())
+        return low / (both - low) if name == "tanimoto" else 2 * low / both
+
+    want = {(i, j): value(a, b) for i, a in rows for j, b in rows if i < j and value(a, b) >= least}
+    assert got == pytest.approx(want) and compared == [4]
