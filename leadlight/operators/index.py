@@ -13,17 +13,21 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadlight.functions.similarity import bits, metric, similarity, words
+from leadlight.functions.similarity import bits, metric, words
+from leadlight.operators.medoids import Bits
 from leadlight.sources.storage import folder, stored
 
 #: Rows of a block, blocks that a query visits first, queries that meet a block in one task.
 BLOCK, FIRST, QUERIES = 1024, 2, 1024
 #: Words of all blocks' facts that may be broadcast; blocks that are read by name, so that Parquet leaves the others out.
 BROADCAST, NAMED = 1 << 20, 1000
+HIT = ("a_row", "b_row", "b_id", "b_smiles", "similarity")
 
 
 @dataclass
@@ -56,18 +60,44 @@ class FingerprintIndex:
         able = able if threshold is None else able.where(F.col("bound") >= threshold)
         return able.withColumn("place", F.row_number().over(W.partitionBy("a_row").orderBy(F.desc("bound"), "block")))
 
-    def scored(self, wanted: DataFrame, n_queries: int, name: str) -> DataFrame:
-        """(a_row, b_row, b_id, b_smiles, similarity) of every query with all rows of its blocks, from its ``floor`` on."""
+    def scored(self, wanted: DataFrame, n_queries: int, name: str, top: int) -> DataFrame:
+        """(a_row, b_row, b_id, b_smiles, similarity): of every query and each of its blocks the ``top`` best rows, from its ``floor`` on.
+
+        Queries that have an ``a_smiles`` leave rows with that text out. A task scores up to about QUERIES queries with one block.
+        """
         salts = max(1, -(-n_queries // QUERIES))
         asked = wanted.withColumn("salt", F.pmod(F.xxhash64("a_row"), F.lit(salts)).cast("int"))
         needed = stored(asked.select("block", "salt").distinct(), "needed")
         names = [r["block"] for r in needed.select("block").distinct().limit(NAMED + 1).collect()]
         rows = self.rows.where(F.col("block").isin(names)) if len(names) <= NAMED else self.rows
-        there = rows.select("block", F.col("row").alias("b_row"), F.col("Compound_ID").alias("b_id"), F.col("SMILES").alias("b_smiles"), F.col("fp").alias("b_fp"), F.col("bits").alias("b_bits"))
-        pairs = asked.join(there.join(needed, "block"), ["block", "salt"])
-        value = similarity(name, words(F.col("a_fp"), self.n_bits), words(F.col("b_fp"), self.n_bits), self.n_bits, F.col("a_bits"), F.col("b_bits"))
-        found = pairs.select("a_row", "b_row", "b_id", "b_smiles", value.alias("similarity"), "floor")
-        return found.where(F.col("similarity") >= F.col("floor")).drop("floor")
+        there = rows.select("block", F.col("row").alias("b_row"), F.col("Compound_ID").alias("b_id"), F.col("SMILES").alias("b_smiles"), F.col("fp").alias("b_fp")).join(needed, "block")
+        measure, excluding = Bits(name, self.n_bits), "a_smiles" in wanted.columns
+
+        def run(queries: pa.Table, block: pa.Table) -> pa.Table:
+            if not queries.num_rows or not block.num_rows:
+                return pa.table([queries.column("a_row")[:0], *[block.column(c)[:0] for c in ("b_row", "b_id", "b_smiles")], pa.array([], pa.float64())], names=[*HIT])
+            x, y, floor = measure.matrix(queries.column("a_fp")), measure.matrix(block.column("b_fp")), queries.column("floor").to_numpy()
+            b_row, kept = block.column("b_row").to_numpy(), []
+            if excluding:
+                mine, theirs = (np.array(t.column(c).to_pylist(), object) for t, c in ((queries, "a_smiles"), (block, "b_smiles")))
+            for start in range(0, len(x), 128):
+                value = measure.similarities(x[start : start + 128], y)
+                able = value >= floor[start : start + 128, None]
+                if excluding:
+                    own = mine[start : start + 128, None]
+                    able &= ~((own == theirs) & (own != None))  # noqa: E711
+                p, q = np.nonzero(able)
+                order = np.lexsort((b_row[q], -value[p, q], p))
+                p, q = p[order], q[order]
+                place = np.arange(len(p)) - np.searchsorted(p, p)
+                p, q = p[place < top], q[place < top]
+                kept.append((p + start, q, value[p, q]))
+            p, q, value = (np.concatenate(c) for c in zip(*kept, strict=True))
+            return pa.table([queries.column("a_row").take(pa.array(p)), *[block.column(c).take(pa.array(q)) for c in ("b_row", "b_id", "b_smiles")], pa.array(value)], names=[*HIT])
+
+        types = dict(asked.dtypes) | dict(there.dtypes) | {"similarity": "double"}
+        columns = ["block", "salt", "a_row", "a_fp", "floor", *["a_smiles"] * excluding]
+        return asked.select(*columns).groupBy("block", "salt").cogroup(there.groupBy("block", "salt")).applyInArrow(run, ", ".join(f"{c} {types[c]}" for c in HIT))
 
     def search(self, queries: DataFrame, name: str = "tanimoto", threshold: float | None = 0.0, top: int = 10, include_query: bool = True) -> tuple[DataFrame, DataFrame]:
         """The ``top`` best rows of every query (row, SMILES, fp), and (a_row, visited) how many blocks it took.
@@ -84,8 +114,7 @@ class FingerprintIndex:
             return found.withColumn("Rank", rank).where(F.col("Rank") <= top)
 
         def kept(wanted: DataFrame) -> DataFrame:
-            found = self.scored(wanted, n, name)
-            return found if include_query else found.join(texts, "a_row").where(~F.coalesce(F.col("a_smiles") == F.col("b_smiles"), F.lit(False))).drop("a_smiles")
+            return self.scored(wanted if include_query else wanted.join(texts, "a_row"), n, name, top)
 
         floor = F.lit(float("-inf") if threshold is None else threshold)
         near = stored(best(kept(plan.where(F.col("place") <= FIRST).withColumn("floor", floor))), "near")

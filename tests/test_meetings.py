@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadlight.operators import cluster, meetings
 from leadlight.operators import search as S
+from leadlight.operators.index import build_index
 from leadlight.operators.medoids import Bits
 
 
@@ -76,3 +77,13 @@ def test_equal_count_maps_are_compared_as_one(spark, monkeypatch, name, least):
 
     want = {(i, j): value(a, b) for i, a in rows for j, b in rows if i < j and value(a, b) >= least}
     assert got == pytest.approx(want) and compared == [4]
+
+
+def test_a_block_hands_on_only_the_best_rows_of_a_query(library):
+    index = build_index(library, 62)
+    plan = index.plan(library.where("row < 30"), "tanimoto").withColumn("floor", F.lit(0.0))
+    found = index.scored(plan, 10, "tanimoto", 3).collect()
+    blocks, queries = index.blocks.count(), {r["a_row"] for r in found}
+    assert len(queries) == 10 and len(found) <= 10 * 3 * blocks < 10 * library.count()
+    best = {r["a_row"]: max(x["similarity"] for x in found if x["a_row"] == r["a_row"]) for r in found}
+    assert all(v == 1.0 for v in best.values())
