@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlight.operators.blocks import dealt
-from leadlight.sources.storage import dropped, stored
+from leadlight.operators.blocks import blocked
+from leadlight.sources.storage import stored
 
 #: Rows (by hash) among which pivots are chosen, pivots and rings of each at most, rows of a ring that meet in one task.
-SAMPLE, PIVOTS, RINGS, CROWD = 4096, 24, 16, 4096
+SAMPLE, PIVOTS, RINGS, CROWD = 4096, 24, 16, 8192
 
 
 def whole(vector: str) -> F.Column:
@@ -109,15 +109,32 @@ def placed_rows(clean: DataFrame, radius: float, n: int) -> tuple[DataFrame, Dat
     return measured.select("row", "v", "far", ring.alias("own")).mapInArrow(place, f"row long, v {kind}, ring int, home boolean"), measured
 
 
+def _meetings(placed: DataFrame, n: int) -> DataFrame:
+    """The rows with i, j and chunk at all meetings of their ring: its own chunks with each other and with those of its guests.
+
+    Guests don't meet guests. Where that leaves out less than half of all pairs, all rows are at home in one ring instead.
+    """
+    rings = placed.groupBy("ring").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("guests"))
+    pairs = rings.agg(F.sum(F.col("own").cast("double") * ((F.col("own") - 1) / 2 + F.col("guests")))).first()[0] or 0
+    if pairs > n * (n - 1) / 4:
+        return blocked(placed.where("home").withColumn("ring", F.lit(0)), "row", CROWD)
+    part = lambda c: F.ceil(F.col(c) / CROWD).cast("int")
+    table = placed.join(F.broadcast(rings.select("ring", part("own").alias("o"), part("guests").alias("g"))), "ring")  # PIVOTS * RINGS rows at most
+    cut = table.withColumn("chunk", F.when(F.col("home"), F.pmod(F.xxhash64("row"), "o")).otherwise(F.col("o") + F.pmod(F.xxhash64("row"), "g")).cast("int"))
+    last = F.when(F.col("home"), F.col("o") + F.col("g")).otherwise(F.col("o")) - 1
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return met.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "o", "g")
+
+
 def _pairs_of_size(clean: DataFrame, radius: float, n: int) -> DataFrame:
-    def compare(ring: pa.Table) -> pa.Table:
-        row, home, chunk = (ring.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in ("row", "home", "chunk"))
-        home, v, found = home.astype(bool), matrix(ring.column("v")), []
-        one, other = ring.column("i")[0].as_py(), ring.column("j")[0].as_py()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ring = pa.Table.from_batches(list(batches))
+        row, chunk = (ring.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in ("row", "chunk"))
+        v, one, other = matrix(ring.column("v")), ring.column("i")[0].as_py(), ring.column("j")[0].as_py()
         first, second = np.flatnonzero(chunk == one), np.flatnonzero(chunk == other)
-        for start in range(0, len(first), 512):
-            some = first[start : start + 512]
-            x, y = np.nonzero((distances(v[some], v[second]) <= radius * (1 + 1e-9) + 1e-9) & (home[some, None] | home[second]))
+        for start in range(0, len(first), 256):
+            some = first[start : start + 256]
+            x, y = np.nonzero(distances(v[some], v[second]) <= radius * (1 + 1e-9) + 1e-9)
             p, q = some[x], second[y]
             if one == other:
                 p, q = p[row[p] < row[q]], q[row[p] < row[q]]
@@ -125,11 +142,8 @@ def _pairs_of_size(clean: DataFrame, radius: float, n: int) -> DataFrame:
             for at in range(0, len(p), 1 << 14):
                 part = slice(at, at + (1 << 14))
                 far[part] = np.sqrt(((v[p[part]] - v[q[part]]) ** 2).sum(1))
-            found.append((row[p[far <= radius]], row[q[far <= radius]], far[far <= radius]))
-        a, b, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], names=["a_row", "b_row", "distance"])
-
-    placed, measured = placed_rows(clean, radius, n)
-    pairs = stored(dealt(placed, ["ring"], F.col("row"), CROWD).groupBy("ring", "i", "j").applyInArrow(compare, "a_row long, b_row long, distance double"), "pairs")
-    dropped(measured)
-    return pairs
+            a, b = row[p[far <= radius]], row[q[far <= radius]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far[far <= radius])], ["a_row", "b_row", "distance"])
+
+    placed, _ = placed_rows(clean, radius, n)
+    return _meetings(placed, n).groupBy("ring", "i", "j").applyInArrow(compare, "a_row long, b_row long, distance double")

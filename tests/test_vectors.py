@@ -162,3 +162,13 @@ def test_bit_medoids(spark, monkeypatch, name):
         means = {i: round(sum(plain(sets[i], sets[j]) for j in mine if j != i) / (len(mine) - 1), 12) for i in mine}
         best = min(mine, key=lambda i: (-means[i], i))
         assert got[k] == (f"c{best}", round(means[best], 9))
+
+
+def test_guests_of_a_ring_meet_its_own_rows_only(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "CROWD", 8)
+    clean = frame(spark, clumps(2, 12, 40, 2)).where("row < 900 and embedding is not null").select("row", F.col("embedding").alias("v"))
+    n = clean.count()
+    for radius, narrow in ((0.3, True), (1e6, False)):
+        placed, _ = ranges.placed_rows(clean, radius, n)
+        met = ranges._meetings(placed, n).groupBy("ring", "i", "j").agg(F.count_if("home").alias("own")).collect()
+        assert all(m["own"] for m in met) and (len({m["ring"] for m in met}) > 1) == narrow
