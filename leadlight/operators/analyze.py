@@ -210,12 +210,15 @@ def projection(df: DataFrame, key: str) -> DataFrame:
     return df.select(*[col(c) for c in names if c in df.columns])
 
 
-def analyze(df: DataFrame, key: str, n: int = 20) -> dict[str, DataFrame]:
-    """The lazy parts of a category's analysis, by name; parts whose columns are missing are left out."""
+def analyze(df: DataFrame, key: str, n: int = 20, summarized: bool = True) -> dict[str, DataFrame]:
+    """The parts of a category's analysis, by name; parts whose columns are missing are left out.
+
+    All but the summary, whose medians take jobs of their own, are lazy; ``summarized`` False leaves it out.
+    """
     a, have = ANALYSES[key], set(df.columns)
     rows = projection(df, key)
     out = {"table": rows}
-    if numeric := [c for c in a.numeric if c in have]:
+    if numeric := [c for c in a.numeric if c in have and summarized]:
         out["summary"] = numeric_summary(rows, numeric)
     for c in a.counts:
         if c in have:

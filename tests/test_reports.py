@@ -81,3 +81,12 @@ def test_count_metrics(spark):
     assert tuple(got[0]) == pytest.approx((1 / 7, 2 / 8, 2 / (5**0.5 * 17**0.5))) and tuple(got[1]) == (0, 0, 0)
     with pytest.raises(ValueError, match="no count form"):
         count_similarity("sokal", df.a, df.b)
+
+
+def test_screens_and_tops_take_no_summary(spark, small, monkeypatch):
+    from leadlight.operators import analyze
+    from leadlight.plans.catalog import QUERIES
+
+    monkeypatch.setattr(analyze, "numeric_summary", None)
+    assert QUERIES["analyze_screens"](spark, small).columns == ["category", "n", "first_id"]
+    assert QUERIES["analyze_top"](spark, small).columns == ["category", "Compound_ID"]
