@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlight.plans.registry import register
-from leadlight.sources.routes import counted_routes, flatten_solved, read_routes, route_nodes
-from leadlight.sources.storage import folder
+from leadlight.sources.routes import counted_routes, flatten_solved, read_routes, route_nodes, walked
+from leadlight.sources.storage import folder, stored
 
 
 def solver_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,14 @@ def solver_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     mol = lambda name, stocked, *more: F.struct(F.lit("mol").alias("type"), name.alias("smiles"), stocked.alias("in_stock"), *more)
-    text = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    made = F.array(F.struct(F.lit("reaction").alias("type"), F.array(mol(text("S", "l_suppkey"), F.lit(True))).alias("children")))
-    item = mol(text("P", "l_partkey"), F.col("l_returnflag") == "N", F.when(F.col("l_linenumber") % 2 == 0, made).alias("children"))
-    children = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    text_of = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    text = lambda letter, c: text_of(letter, F.col(c))
+
+    def item(x: F.Column) -> F.Column:
+        made = F.array(F.struct(F.lit("reaction").alias("type"), F.array(mol(text_of("S", x["l_suppkey"]), F.lit(True))).alias("children")))
+        return mol(text_of("P", x["l_partkey"]), x["l_returnflag"] == "N", F.when(x["l_linenumber"] % 2 == 0, made).alias("children"))
+
+    children = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))), item).alias("items"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").join(children, "o_orderkey")
     reaction = F.array(F.struct(F.lit("reaction").alias("type"), F.col("items").alias("children")))
     first = F.to_json(mol(text("O", "o_orderkey"), F.lit(False), reaction.alias("children")))
@@ -34,9 +38,13 @@ def solver_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.withColumn("facts", F.to_json(facts)).select(F.col("o_orderkey").alias("key"), whole.alias("json"))
 
 
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solver_output(spark, sf_dir).select(F.col("key").alias("row_index"), F.parse_json("json").alias("v"))
+
+
 def written_output(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a third of the results as JSON lines, a third in arrays, a third under ``data`` of table-oriented objects."""
-    path, results = folder(spark, "solver"), solver_output(spark, sf_dir)
+    path, results = folder(spark, "solver"), stored(solver_output(spark, sf_dir), "solved")  # three writers read it
     kind = F.col("key") % 3
     results.where(kind == 0).select("json").write.text(f"{path}/lines")
     many = results.where(kind > 0).groupBy(kind.alias("kind"), F.floor(F.col("key") / 300).alias("part")).agg(F.array_join(F.collect_list("json"), ",").alias("joined"))  # 100 results at most
@@ -78,11 +86,10 @@ select row_index, route, node, parent, depth, kind, smiles, in_stock from nodes"
 @register("retro_route_nodes", _NODES)
 def retro_route_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of every route tree."""
-    results = solver_output(spark, sf_dir).select(F.col("key").alias("row_index"), F.parse_json("json").alias("v"))
-    return route_nodes(results)
+    return route_nodes(_results(spark, sf_dir))
 
 
 @register("retro_route_counts", _NODES.replace("select row_index, route, node, parent", "select row_index, route, cast(count(*) filter (kind = 'reaction') as int) as steps, cast(count(*) filter (kind = 'mol' and not exists (select 1 from edges e where e.k = row_index and e.route = nodes.route and e.parent = nodes.node)) as int) as precursors from nodes group by all -- ", 1))
 def retro_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps and precursors of every route."""
-    return counted_routes(retro_route_nodes(spark, sf_dir)).select("row_index", "route", "steps", "precursors")
+    return counted_routes(walked(_results(spark, sf_dir))).select("row_index", "route", "steps", "precursors")

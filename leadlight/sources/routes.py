@@ -5,7 +5,11 @@ The JSON stays a VARIANT: nothing needs a schema, and what a solver leaves out i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
@@ -18,21 +22,34 @@ COLUMNS = {
 }
 
 
-def _json(value: Column) -> Column:
-    """The one JSON value that a text holds, null if it holds another number of them or anything else.
+#: Cells of a node; ``odd`` are the values of one that has others than two texts and a truth value.
+NODE = {"node": pa.string(), "parent": pa.string(), "depth": pa.int32(), "kind": pa.string(), "smiles": pa.string(), "in_stock": pa.bool_(), "odd": pa.string(), "inner": pa.bool_()}
+#: The usual kinds of a node's values.
+TEXT, TRUTH = (str, type(None)), (bool, type(None))
+#: Nodes that a task holds as Python objects before they leave it.
+HELD = 1 << 16
+
+
+def _parsed(rows: DataFrame, blank: str) -> DataFrame:
+    """With ``v``: the one JSON value that the text ``value`` holds, null if it holds another number of them or anything else.
 
     The parser stops after the first value; within brackets it has to read to the end.
     """
+    value = F.trim("value", F.lit(blank))
     ends = F.concat(F.left(value, F.lit(1)), F.right(value, F.lit(1))).isin("{}", "[]")
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))), "$", "array<variant>")
-    return F.when(ends & (F.size(items) == 1), items[0])
+    # a step of its own, so that the text is parsed once
+    return rows.withColumn("items", F.when(ends, items)).withColumn("v", F.when(F.size("items") == 1, F.col("items")[0])).drop("items", "value")
 
 
-def _entries(lines: DataFrame) -> DataFrame:
-    """(file, place, v): the results in each JSON value: of an object with ``data`` those, of an array its items, else itself."""
-    table = F.try_variant_get("v", "$.data", "array<variant>")
-    items = F.coalesce(table, F.expr("case when schema_of_variant(v) like 'ARRAY%' then cast(v as array<variant>) end"), F.array("v"))
-    return lines.select("file", "place", F.posexplode(items).alias("item", "v"))
+def _entries(rows: DataFrame) -> DataFrame:
+    """(file, place, item, own, v): the results in each JSON value: of an object with ``data`` those, of an array its items, else itself.
+
+    ``own`` is the row_index that a result says itself. A null value stays as one row without ``read``.
+    """
+    items = F.coalesce(F.try_variant_get("v", "$.data", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    each = rows.select("file", "place", F.col("v").isNotNull().alias("read"), F.posexplode(items).alias("item", "v"))
+    return each.withColumn("own", F.try_variant_get("v", "$.row_index", "long"))
 
 
 def read_routes(spark: SparkSession, path: str) -> DataFrame:
@@ -41,55 +58,91 @@ def read_routes(spark: SparkSession, path: str) -> DataFrame:
     A file may hold JSON lines, one array, or one table-oriented object (results under ``data``), on one line or many,
     compressed or not. Lines that are JSON are read as lines, so large files are split; only a file with a line that is none is
     read as a whole. A file that is not JSON then raises an error. Results are numbered by file name and place; one that says
-    ``row_index`` itself keeps that number.
+    ``row_index`` itself keeps that number. Every text is parsed once, and only results without a number are joined with one.
     """
-    text = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("place"), F.trim("value", F.lit(" \t\r")).alias("value"))
-    lines = text.where("value <> ''").withColumn("v", _json(F.col("value")))
-    whole = [r["file"] for r in lines.where("v is null").select("file").distinct().collect()]  # names of files only
-    found = _entries(lines.where(~F.col("file").isin(whole)) if whole else lines)
+    text = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("place"), "value")
+    kept = stored(_entries(_parsed(text.where(F.trim("value", F.lit(" \t\r")) != ""), " \t\r")), "results")
+    whole = [r["file"] for r in kept.where("not read").select("file").distinct().collect()]  # names of files only
     if whole:
         cells = spark.read.text(whole, wholetext=True)
         at = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("line")).alias("place")
-        file = F.col("_metadata.file_path")
-        v = F.coalesce(_json(F.trim(F.col("value"), F.lit(" \t\r\n"))), F.raise_error(F.concat(F.lit("not JSON: "), file)).cast("variant"))
-        found = found.unionByName(_entries(cells.select(file.alias("file"), at, v.alias("v"))))
+        found = _parsed(cells.select(F.col("_metadata.file_path").alias("file"), at, "value"), " \t\r\n")
+        sure = found.withColumn("v", F.coalesce("v", F.raise_error(F.concat(F.lit("not JSON: "), "file")).cast("variant")))
+        kept = kept.where(~F.col("file").isin(whole)).unionByName(stored(_entries(sure), "results"))
+    said = kept.where("own is not null").select(F.col("own").alias("row_index"), "v")
+    rest = kept.where("own is null")
+    if rest.isEmpty():
+        return said
     # a variant can't be sorted or shuffled by, so only places are numbered
-    kept = stored(found.select("file", "place", "item", F.to_json("v").alias("json")), "results")
     places = numbered(kept.select("file", "place", "item"), [F.col("file"), F.col("place"), F.col("item")], "row")
-    placed = kept.join(places, ["file", "place", "item"]).withColumn("v", F.parse_json("json"))
-    return placed.select(F.coalesce(F.try_variant_get("v", "$.row_index", "long"), "row").alias("row_index"), "v")
+    return said.unionByName(rest.join(places, ["file", "place", "item"]).select(F.col("row").alias("row_index"), "v"))
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """NODE of every tree (row_index, route, json): a node, then its children, whatever the depth."""
+    for batch in batches:
+        found: list[tuple] = []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            open_nodes = [(json.loads(text), "0", None, 0)]
+            while open_nodes:
+                node, name, parent, depth = open_nodes.pop()
+                held = node if type(node) is dict else {}
+                kind, smiles, in_stock, below = held.get("type"), held.get("smiles"), held.get("in_stock"), held.get("children")
+                below = below if type(below) is list else ()
+                if type(kind) in TEXT and type(smiles) in TEXT and type(in_stock) in TRUTH:
+                    found.append((i, name, parent, depth, kind, smiles, in_stock, None, bool(below)))
+                else:
+                    found.append((i, name, parent, depth, None, None, None, json.dumps({"type": kind, "smiles": smiles, "in_stock": in_stock}), bool(below)))
+                if below:
+                    open_nodes += [(child, f"{name}.{j}", name, depth + 1) for j, child in enumerate(below)]
+            if len(found) >= HELD:
+                yield _cells(batch, found)
+                found = []
+        if found:
+            yield _cells(batch, found)
+
+
+def _cells(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    at, *cells = zip(*found, strict=True)
+    kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(2)]
+    return pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cells, NODE.values(), strict=True)]], ["row_index", "route", *NODE])
+
+
+def walked(routes: DataFrame, n_routes: int | None = None) -> DataFrame:
+    """The nodes of ``route_nodes`` with ``inner`` (a node has children), of all routes or of the first ``n_routes`` of each result.
+
+    One narrow stage unfolds each tree where it lies; depth is not bounded, nothing is shuffled or written.
+    """
+    trees = F.try_variant_get("v", "$.trees", "array<variant>")
+    each = routes.select("row_index", F.posexplode(trees if n_routes is None else F.slice(trees, 1, n_routes)).alias("route", "tree"))
+    # the whole type is only worked out for what is no usual node
+    parsed = F.expr("case when try_variant_get(tree, '$.type', 'string') is null and schema_of_variant(tree) = 'STRING' then try_parse_json(cast(tree as string)) else tree end")
+    texts = each.select(F.col("row_index").cast("long"), "route", F.to_json(parsed).alias("json")).where("json is not null")
+    nodes = texts.mapInArrow(_unfolded, "row_index long, route int, node string, parent string, depth int, kind string, smiles string, in_stock boolean, odd string, inner boolean")
+    # a value that is not of its usual kind is cast as a variant is
+    cast = lambda name, path, kind: F.coalesce(name, F.when(F.col("odd").isNotNull(), F.try_variant_get(F.parse_json("odd"), path, kind))).alias(name)
+    return nodes.select("row_index", "route", "node", "parent", "depth", cast("kind", "$.type", "string"), cast("smiles", "$.smiles", "string"), cast("in_stock", "$.in_stock", "boolean"), "inner")
 
 
 def route_nodes(routes: DataFrame) -> DataFrame:
     """(row_index, route, node, parent string, depth int, kind, smiles string, in_stock boolean) of every node of every route tree.
 
     Trees stand under ``trees`` as objects or as JSON texts, routes count from 0; a node's name is its parent's and its place among
-    the children. Level by level the children are exploded, one narrow stage each, and written to the shared folder, until no
-    node has any; so depth is not bounded and nothing is shuffled.
+    the children.
     """
-    trees = F.posexplode(F.try_variant_get("v", "$.trees", "array<variant>")).alias("route", "tree")
-    parsed = F.expr("case when schema_of_variant(tree) = 'STRING' then try_parse_json(cast(tree as string)) else tree end")
-    level = routes.select("row_index", trees).select("row_index", "route", F.lit("0").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.to_json(parsed).alias("json")).where("json is not null")
-    out = None
-    while out is None or not level.isEmpty():
-        level = stored(level, "nodes")
-        v = level.withColumn("v", F.parse_json("json"))
-        text = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
-        part = v.select("row_index", "route", "node", "parent", "depth", text("type", "string").alias("kind"), text("smiles", "string").alias("smiles"), text("in_stock", "boolean").alias("in_stock"))
-        out = part if out is None else out.unionByName(part)
-        children = v.select("row_index", "route", "node", "depth", F.posexplode(text("children", "array<variant>")).alias("place", "child"))
-        level = children.select("row_index", "route", F.concat_ws(".", "node", F.col("place").cast("string")).alias("node"), F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth"), F.to_json("child").alias("json"))
-    return out
+    return walked(routes).drop("inner")
 
 
 def counted_routes(nodes: DataFrame) -> DataFrame:
     """(row_index, route, steps, precursors int, in_stock, not_in_stock string): reactions, leaves, and the leaves' texts.
 
-    A leaf is a molecule without children; texts come in the order of their node names, joined by ", ".
+    A leaf is a molecule without children; texts come in the order of their node names, joined by ", ". Nodes without ``inner``
+    are joined with their parents first.
     """
-    parents = nodes.where("parent is not null").select("row_index", "route", F.col("parent").alias("node")).distinct()
-    inner = nodes.join(parents.withColumn("inner", F.lit(True)), ["row_index", "route", "node"], "left")
-    leaf = inner.withColumn("leaf", F.col("inner").isNull() & (F.coalesce("kind", F.lit("mol")) != "reaction"))
+    if "inner" not in nodes.columns:
+        parents = nodes.where("parent is not null").select("row_index", "route", F.col("parent").alias("node")).distinct()
+        nodes = nodes.join(parents.withColumn("inner", F.lit(True)), ["row_index", "route", "node"], "left")
+    leaf = nodes.withColumn("leaf", ~F.coalesce("inner", F.lit(False)) & (F.coalesce("kind", F.lit("mol")) != "reaction"))
     listed = lambda stocked: F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.when(F.col("leaf") & (F.coalesce("in_stock", F.lit(False)) == stocked), F.struct(F.transform(F.split("node", "\\."), lambda x: x.cast("int")).alias("order"), "smiles")))), lambda x: x["smiles"]))
     return leaf.groupBy("row_index", "route").agg(F.count_if(F.col("kind") == "reaction").cast("int").alias("steps"), F.count_if("leaf").cast("int").alias("precursors"), listed(True).alias("in_stock"), listed(False).alias("not_in_stock"))
 
@@ -99,7 +152,8 @@ def flatten_solved(targets: DataFrame, routes: DataFrame, n_routes: int = 5, ind
 
     Steps and precursors that the solver left out are counted in the target's first route. A target without a result has nulls.
     """
-    first = counted_routes(route_nodes(routes.where(F.try_variant_get("v", "$.number_of_steps", "int").isNull() | F.try_variant_get("v", "$.number_of_precursors", "int").isNull())).where("route = 0")).drop("route")
+    short = routes.where(F.try_variant_get("v", "$.number_of_steps", "int").isNull() | F.try_variant_get("v", "$.number_of_precursors", "int").isNull())
+    first = counted_routes(walked(short, 1)).drop("route")
     cells = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in COLUMNS.items()]
     trees = F.slice(F.coalesce(F.try_variant_get("v", "$.trees", "array<variant>"), F.array().cast("array<variant>")), 1, n_routes)
     flat = routes.select(F.col("row_index"), *cells, F.size(trees).alias("n_routes_exported"), F.concat(F.lit("["), F.array_join(F.transform(trees, lambda t: F.to_json(t)), ","), F.lit("]")).alias("routes_json"))

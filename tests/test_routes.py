@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from leadlight.sources import routes
 from leadlight.sources.routes import counted_routes, flatten_solved, read_routes, route_nodes
 
 LEAF = {"type": "mol", "smiles": "B", "in_stock": True}
@@ -72,3 +73,28 @@ def test_flattened_columns(spark):
     assert (out[1]["number_of_steps"], out[1]["precursors_in_stock"], out[1]["precursors_not_in_stock"]) == (9, "Z", "")
     assert [out[i]["html_page"] for i in range(3)] == ["targets/a_b_c.html", "targets/compound.html", "targets/gone.html"]
     assert out[2]["target"] is None and out[2]["routes_json"] == "[]" and out[2]["n_routes_exported"] == 0
+
+
+def test_trees_are_unfolded_in_one_stage_without_writing(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(routes, "stored", lambda df, name: written.append(name) or stored(df, name))
+    deep = LEAF
+    for _ in range(40):
+        deep = {"type": "reaction", "children": [deep, None, "x"]}
+    nodes = route_nodes(results(spark, [(1, {"trees": [deep]}), (2, {"trees": [{"type": 7, "smiles": {"a": 1}, "in_stock": "true", "children": {}}]})]))
+    got = {(r["row_index"], r["node"]): tuple(r)[3:] for r in nodes.collect()}
+    assert len(got) == 1 + 3 * 40 + 1 and got[1, "0" + ".0" * 40] == ("0" + ".0" * 39, 40, "mol", "B", True)
+    assert got[1, "0.1"] == got[1, "0.2"] == ("0", 1, None, None, None) and got[2, "0"] == (None, 0, "7", '{"a":1}', True)
+    assert not written and "Exchange" not in nodes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_that_have_a_number_are_not_joined(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(r | {"row_index": i + 5}) for i, r in enumerate(RESULTS)))
+    found = read_routes(spark, str(tmp_path))
+    assert rows(found) == [(i + 5, f"T{i}") for i in range(5)] and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_from_nodes_that_know_their_children(spark):
+    found = results(spark, [(1, {"trees": [TREE, LEAF]}), (2, {"trees": [json.dumps(TREE)]})])
+    known, joined = counted_routes(routes.walked(found)), counted_routes(route_nodes(found))
+    assert sorted(known.collect()) == sorted(joined.collect()) and "Join" not in known._jdf.queryExecution().executedPlan().toString()
