@@ -111,6 +111,15 @@ def test_pairwise(library, sets):
     assert all(rows[i, j] == pytest.approx(rows[j, i]) == pytest.approx(plain("russel", sets[i], sets[j])) for i in range(n - 1) for j in range(i))
 
 
+def test_pairs_of_the_matrix_meet_once(library, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    matrix = S.pairwise(library, N_BITS, digits=3)
+    plan, n = matrix._jdf.queryExecution().optimizedPlan().toString(), library.count()
+    assert plan.count("Join ") == 1 and "RepartitionByExpression" in plan
+    rows = {(r["i"], r["j"]): r["similarity"] for r in matrix.collect()}
+    assert len(rows) == matrix.count() == n * n and all(v is None or v == round(v, 3) for v in rows.values())
+
+
 @pytest.mark.parametrize(("name", "threshold"), [("tanimoto", 0.5), ("tanimoto", 1.0), ("tanimoto", 0.0), ("dice", 0.6)])
 def test_threshold_join(library, sets, name, threshold):
     got = {(r["a_row"], r["b_row"]) for r in S.similar_pairs(library, N_BITS, threshold, name).collect()}
