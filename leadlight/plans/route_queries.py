@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlight.plans.registry import register
-from leadlight.sources.routes import counted_routes, flatten_solved, read_routes, route_nodes, walked
+from leadlight.sources.routes import flatten_solved, read_routes, route_counts, route_nodes
 from leadlight.sources.storage import folder, stored
 
 
@@ -92,4 +92,4 @@ def retro_route_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("retro_route_counts", _NODES.replace("select row_index, route, node, parent", "select row_index, route, cast(count(*) filter (kind = 'reaction') as int) as steps, cast(count(*) filter (kind = 'mol' and not exists (select 1 from edges e where e.k = row_index and e.route = nodes.route and e.parent = nodes.node)) as int) as precursors from nodes group by all -- ", 1))
 def retro_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps and precursors of every route."""
-    return counted_routes(walked(_results(spark, sf_dir))).select("row_index", "route", "steps", "precursors")
+    return route_counts(_results(spark, sf_dir)).select("row_index", "route", "steps", "precursors")

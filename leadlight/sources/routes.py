@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlight.functions.rules import col
@@ -83,7 +83,7 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[tuple] = []
         for i, text in enumerate(batch.column(2).to_pylist()):
-            open_nodes = [(json.loads(text), "0", None, 0)]
+            open_nodes = [] if text is None else [(json.loads(text), "0", None, 0)]
             while open_nodes:
                 node, name, parent, depth = open_nodes.pop()
                 held = node if type(node) is dict else {}
@@ -108,17 +108,79 @@ def _cells(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cells, NODE.values(), strict=True)]], ["row_index", "route", *NODE])
 
 
-def walked(routes: DataFrame, n_routes: int | None = None) -> DataFrame:
-    """The nodes of ``route_nodes`` with ``inner`` (a node has children), of all routes or of the first ``n_routes`` of each result.
+#: What a tree counts; ``odd`` are the leaves of one that has others than texts and truth values.
+COUNTS = {"steps": pa.int32(), "precursors": pa.int32(), "in_stock": pa.string(), "not_in_stock": pa.string(), "odd": pa.string()}
+
+
+def _tree_counts(text: str) -> dict[str, object]:
+    """COUNTS of one tree: reactions, leaves, and the leaves' texts from left to right."""
+    open_nodes, steps, leaves, odd = [json.loads(text)], 0, [], False
+    while open_nodes:
+        node = open_nodes.pop()
+        held = node if type(node) is dict else {}
+        kind, below = held.get("type"), held.get("children")
+        steps += kind == "reaction"
+        if type(below) is list and below:
+            open_nodes += reversed(below)
+        elif kind != "reaction":
+            smiles, in_stock = held.get("smiles"), held.get("in_stock")
+            odd |= type(smiles) not in TEXT or type(in_stock) not in TRUTH
+            leaves.append((smiles, in_stock))
+    if odd:
+        return {"steps": steps, "precursors": len(leaves), "odd": json.dumps([{"smiles": s, "in_stock": k} for s, k in leaves])}
+    yes, no = (", ".join([s for s, k in leaves if s is not None and bool(k) == stocked]) for stocked in (True, False))
+    return {"steps": steps, "precursors": len(leaves), "in_stock": yes, "not_in_stock": no}
+
+
+def tree_counts(text: Column) -> Column:
+    """A struct (steps, precursors int, in_stock, not_in_stock string) of a tree's JSON text, null for null; see ``counted_routes``.
+
+    A tree is counted where it lies: no node becomes a row, nothing is shuffled, and columns beside it stay where they are.
+    """
+
+    @F.arrow_udf("steps int, precursors int, in_stock string, not_in_stock string, odd string")
+    def counted(texts: pa.Array) -> pa.Array:
+        found = [None if s is None else _tree_counts(s) for s in texts.to_pylist()]
+        return pa.array(found, pa.struct(list(COUNTS.items())))
+
+    return counted.asNondeterministic()(text)  # or a filter on the result would count every tree a second time
+
+
+def _plain_counts(c: Column) -> list[Column]:
+    """The four counts of a ``tree_counts``; leaves that are not of their usual kind are cast as a variant is."""
+    leaves = F.try_variant_get(F.parse_json(c["odd"]), "$", "array<variant>")
+    stocked = lambda x: F.coalesce(F.try_variant_get(x, "$.in_stock", "boolean"), F.lit(False))
+    texts = lambda kept: F.concat_ws(", ", F.transform(F.filter(leaves, kept), lambda x: F.try_variant_get(x, "$.smiles", "string")))
+    of = lambda name, kept: F.coalesce(c[name], F.when(c["odd"].isNotNull(), texts(kept))).alias(name)
+    return [c["steps"].alias("steps"), c["precursors"].alias("precursors"), of("in_stock", stocked), of("not_in_stock", lambda x: ~stocked(x))]
+
+
+def route_counts(routes: DataFrame) -> DataFrame:
+    """(row_index, route, steps, precursors int, in_stock, not_in_stock string) of every route tree, as ``counted_routes`` of its nodes, in one narrow stage."""
+    return _trees(routes).withColumn("c", tree_counts(F.col("json"))).where("c is not null").select("row_index", "route", *_plain_counts(F.col("c")))
+
+
+def _texts(rows: DataFrame, tree: str) -> DataFrame:
+    """With ``json``: the text of a tree, which is an object or a JSON text itself; null if it is neither.
+
+    Only what is written as a text is looked at again, and each is written once (a filter on ``json`` would write it twice).
+    """
+    inner = F.to_json(F.try_parse_json(F.col(tree).cast("string")))
+    return rows.withColumn("text", F.to_json(tree)).withColumn("json", F.when(F.startswith("text", F.lit('"')), inner).otherwise(F.col("text"))).drop("text")
+
+
+def _trees(routes: DataFrame) -> DataFrame:
+    """(row_index, route, json) of every tree."""
+    each = routes.select(F.col("row_index").cast("long"), F.posexplode(F.try_variant_get("v", "$.trees", "array<variant>")).alias("route", "tree"))
+    return _texts(each, "tree").drop("tree")
+
+
+def walked(routes: DataFrame) -> DataFrame:
+    """The nodes of ``route_nodes`` with ``inner`` (a node has children).
 
     One narrow stage unfolds each tree where it lies; depth is not bounded, nothing is shuffled or written.
     """
-    trees = F.try_variant_get("v", "$.trees", "array<variant>")
-    each = routes.select("row_index", F.posexplode(trees if n_routes is None else F.slice(trees, 1, n_routes)).alias("route", "tree"))
-    # the whole type is only worked out for what is no usual node
-    parsed = F.expr("case when try_variant_get(tree, '$.type', 'string') is null and schema_of_variant(tree) = 'STRING' then try_parse_json(cast(tree as string)) else tree end")
-    texts = each.select(F.col("row_index").cast("long"), "route", F.to_json(parsed).alias("json")).where("json is not null")
-    nodes = texts.mapInArrow(_unfolded, "row_index long, route int, node string, parent string, depth int, kind string, smiles string, in_stock boolean, odd string, inner boolean")
+    nodes = _trees(routes).mapInArrow(_unfolded, "row_index long, route int, node string, parent string, depth int, kind string, smiles string, in_stock boolean, odd string, inner boolean")
     # a value that is not of its usual kind is cast as a variant is
     cast = lambda name, path, kind: F.coalesce(name, F.when(F.col("odd").isNotNull(), F.try_variant_get(F.parse_json("odd"), path, kind))).alias(name)
     return nodes.select("row_index", "route", "node", "parent", "depth", cast("kind", "$.type", "string"), cast("smiles", "$.smiles", "string"), cast("in_stock", "$.in_stock", "boolean"), "inner")
@@ -152,13 +214,14 @@ def flatten_solved(targets: DataFrame, routes: DataFrame, n_routes: int = 5, ind
 
     Steps and precursors that the solver left out are counted in the target's first route. A target without a result has nulls.
     """
-    short = routes.where(F.try_variant_get("v", "$.number_of_steps", "int").isNull() | F.try_variant_get("v", "$.number_of_precursors", "int").isNull())
-    first = counted_routes(walked(short, 1)).drop("route")
-    cells = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in COLUMNS.items()]
+    said = lambda name: F.try_variant_get("v", f"$.{name}", COLUMNS[name])
+    first = F.try_variant_get("v", "$.trees[0]", "variant")
+    short = said("number_of_steps").isNull() | said("number_of_precursors").isNull()
+    known = _texts(routes.withColumn("first", F.when(short, first)), "first").withColumn("c", tree_counts(F.col("json"))).select("row_index", "v", F.struct(*_plain_counts(F.col("c"))).alias("c"))
+    counted = {"number_of_steps": "steps", "number_of_precursors": "precursors", "precursors_in_stock": "in_stock", "precursors_not_in_stock": "not_in_stock"}
+    cells = [(F.coalesce(said(name), F.col("c")[counted[name]]) if name in counted else said(name)).alias(name) for name in COLUMNS]
     trees = F.slice(F.coalesce(F.try_variant_get("v", "$.trees", "array<variant>"), F.array().cast("array<variant>")), 1, n_routes)
-    flat = routes.select(F.col("row_index"), *cells, F.size(trees).alias("n_routes_exported"), F.concat(F.lit("["), F.array_join(F.transform(trees, lambda t: F.to_json(t)), ","), F.lit("]")).alias("routes_json"))
-    fallback = {"number_of_steps": "steps", "number_of_precursors": "precursors", "precursors_in_stock": "in_stock", "precursors_not_in_stock": "not_in_stock"}
-    full = flat.join(first, "row_index", "left").withColumns({name: F.coalesce(name, other) for name, other in fallback.items()}).drop(*fallback.values())
+    full = known.select(F.col("row_index"), *cells, F.size(trees).alias("n_routes_exported"), F.concat(F.lit("["), F.array_join(F.transform(trees, lambda t: F.to_json(t)), ","), F.lit("]")).alias("routes_json"))
     safe = F.substring(F.trim(F.regexp_replace(col(ident).cast("string"), r"[^\p{L}\p{N}._-]", "_"), F.lit("_")), 1, 80)
     page = F.concat(F.lit("targets/"), F.coalesce(F.nullif(safe, F.lit("")), F.lit("compound")), F.lit(".html"))
     out = targets.select(col(index).alias("row_index"), col(ident)).join(full, "row_index", "left")

@@ -98,3 +98,22 @@ def test_counts_from_nodes_that_know_their_children(spark):
     found = results(spark, [(1, {"trees": [TREE, LEAF]}), (2, {"trees": [json.dumps(TREE)]})])
     known, joined = counted_routes(routes.walked(found)), counted_routes(route_nodes(found))
     assert sorted(known.collect()) == sorted(joined.collect()) and "Join" not in known._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trees_are_counted_where_they_lie(spark):
+    odd = {"type": "reaction", "children": [{"smiles": 7, "in_stock": "true"}, {"type": 3, "smiles": {"a": 1}, "in_stock": 0}, None, {"type": "reaction"}, {"smiles": "Z", "children": {}}]}
+    found = results(spark, [(1, {"trees": [TREE, LEAF]}), (2, {"trees": [json.dumps(TREE), odd]}), (3, {"trees": []}), (4, {}), (5, {"trees": ["no tree", None, 3]})])
+    counted = routes.route_counts(found)
+    assert sorted(counted.collect()) == sorted(counted_routes(route_nodes(found)).collect())
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    targets = spark.createDataFrame([(i, "x") for i in range(1, 6)], "row_index long, Compound_ID string")
+    flat = flatten_solved(targets, found)
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {r["row_index"]: (r["number_of_steps"], r["number_of_precursors"], r["precursors_in_stock"], r["precursors_not_in_stock"]) for r in flat.collect()}
+    assert got == {1: (2, 2, "B", "D"), 2: (2, 2, "B", "D"), 3: (None,) * 4, 4: (None,) * 4, 5: (None,) * 4}
+
+
+def test_results_of_one_number_count_their_own_trees(spark):
+    found = results(spark, [(1, {"target": "A", "trees": [TREE]}), (1, {"target": "B", "trees": [LEAF]})])
+    targets = spark.createDataFrame([(1, "x")], "row_index long, Compound_ID string")
+    assert sorted((r["target"], r["number_of_steps"], r["number_of_precursors"]) for r in flatten_solved(targets, found).collect()) == [("A", 2, 2), ("B", 0, 1)]
