@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadlight.kernel import pure as K
-from leadlight.kernel.stage import graphs, structures, through
+from leadlight.kernel.stage import FIELDS, graphs, structures, through, values
 from leadlight.operators.features import graph_offsets
 from leadlight.plans.catalog import QUERIES
 
@@ -86,3 +86,23 @@ def test_count_cells_read_structures_once_and_shuffle_no_cells(spark, small):
 def test_graphs_are_dealt_out(spark):
     df = spark.createDataFrame([(0, "CCO")], "row long, SMILES string").coalesce(1)
     assert "RoundRobinPartitioning" in graphs(df)._jdf.queryExecution().toString()
+
+
+def test_only_the_fields_asked_for_are_made(spark):
+    names = [f.split(" ")[0] for f in FIELDS.split(", ")]
+    whole = values(ASPIRIN)
+    assert set(whole) == set(names)
+    for name in names:
+        assert values(ASPIRIN, wanted=[name])[name] == whole[name]
+    df = spark.createDataFrame([(0, "CCO", "a"), (1, "bad", "b"), (2, None, "c")], "row long, SMILES string, MolWt string")
+    some = structures(df, drop_invalid=False, fields=["LogP"])
+    assert some.columns == ["row", "SMILES", "MolWt", "LogP", "HeavyAtoms"]
+    assert {r["row"]: r["HeavyAtoms"] for r in some.collect()} == {0: 3, 1: None, 2: None}
+    assert structures(df, fields=["LogP"]).collect()[0]["LogP"] == values("CCO")["LogP"]
+    with pytest.raises(ValueError, match="no such field"):
+        structures(df, fields=["Weight"])
+
+
+def test_an_outcome_needs_no_patterns(spark, small):
+    query = QUERIES["kernel_outcome"](spark, small)._jdf.queryExecution().toString()
+    assert "Patterns" not in query and "HeavyAtoms" in query
