@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadlight.kernel import pure as K
-from leadlight.kernel.stage import FIELDS, graphs, structures, through, values
+from leadlight.kernel.stage import FIELDS, STEREO, graphs, prepared, prepared_structures, structures, through, values
 from leadlight.operators.features import graph_offsets
 from leadlight.plans.catalog import QUERIES
 
@@ -106,3 +106,21 @@ def test_only_the_fields_asked_for_are_made(spark):
 def test_an_outcome_needs_no_patterns(spark, small):
     query = QUERIES["kernel_outcome"](spark, small)._jdf.queryExecution().toString()
     assert "Patterns" not in query and "HeavyAtoms" in query
+
+
+def test_prepared_structures_are_those_of_two_steps(spark):
+    texts = ["[Na+].CC(=O)[O-]", "C[NH3+].[Cl-]", ASPIRIN, "bad", None, "", "OC(=O)c1ccccc1.O"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, SMILES string")
+    for drop in (True, False):
+        two = structures(prepared(df).drop(*STEREO), "Prepared_SMILES", drop_invalid=drop)
+        one = prepared_structures(df, drop_invalid=drop)
+        assert set(one.columns) == set(two.columns)
+        assert sorted(map(str, one.select(two.columns).collect())) == sorted(map(str, two.collect()))
+    some = prepared_structures(df, fields=["LogP"])
+    assert {"LogP", "HeavyAtoms", "Prepared_SMILES", *STEREO} <= set(some.columns) and "MolWt" not in some.columns
+    assert {r["row"]: r["Stereo_Status"] for r in some.collect()} == {r["row"]: r["Stereo_Status"] for r in prepared(df).collect() if r["Stereo_Status"]}
+
+
+def test_preparation_and_values_cross_once(spark, small):
+    plan = QUERIES["kernel_prepare"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("RoundRobinPartitioning") == 1
