@@ -124,3 +124,18 @@ def test_prepared_structures_are_those_of_two_steps(spark):
 def test_preparation_and_values_cross_once(spark, small):
     plan = QUERIES["kernel_prepare"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("RoundRobinPartitioning") == 1
+
+
+def test_graphs_are_made_once_for_their_places(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def make(s):
+        with open(seen, "a") as out:
+            out.write(f"{s}\n")
+        return {"n_atoms": int(s), "n_edges": 2 * int(s)}
+
+    df = spark.createDataFrame([(i, str(i)) for i in range(200)], "row long, SMILES string")
+    found = graph_offsets(through(df, "SMILES", "n_atoms int, n_edges int", make)).collect()
+    assert {r["row"]: (r["atom_start"], r["edge_start"]) for r in found} == {i: (i * (i - 1) // 2, i * (i - 1)) for i in range(200)}
+    with open(seen) as lines:
+        assert len(lines.readlines()) == 200
