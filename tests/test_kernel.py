@@ -88,6 +88,26 @@ def test_graphs_are_dealt_out(spark):
     assert "RoundRobinPartitioning" in graphs(df)._jdf.queryExecution().toString()
 
 
+def test_a_panel_is_counted_like_its_patterns():
+    texts = [ASPIRIN, "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "CC(=O)Nc1ccc(O)cc1", "[O-][N+](=O)c1ccccc1", "CN(C)CC#C", "O=C1C=CC(=O)C=C1", "c1cc2OCOc2cc1CCN", "CCNC(=S)N", "CS(=O)(=O)O", "c1cnc[nH]1", "C1OC1CN1CC1", "C"]
+    for mol in map(K.parse, texts):
+        for panel in (K.PANEL, K.GROUPS):
+            assert K.counts(mol, panel) == {k: K.count(mol, p) for k, p in panel.items()}
+
+
+def test_an_expression_is_tested_once_for_all_patterns(monkeypatch):
+    tried = []
+    query = K.Query([lambda mol, i: tried.append(i) or mol.atoms[i].symbol == "O"] * 2, [{}, {0: ""}], ["O", "O"])
+    monkeypatch.setattr(K, "compile_smarts", lambda smarts: query)
+    assert K.counts(K.parse("CCOO"), {"a": "OO", "b": "OO"}) == {"a": 1, "b": 1}
+    assert tried == [0, 1, 2, 3]
+
+
+def test_calculated_tables_make_no_texts(spark, small):
+    plan = QUERIES["kernel_structures"](spark, small)._jdf.queryExecution().toString()
+    assert "Canonical_SMILES" not in plan and "Patterns" in plan
+
+
 def test_only_the_fields_asked_for_are_made(spark):
     names = [f.split(" ")[0] for f in FIELDS.split(", ")]
     whole = values(ASPIRIN)
