@@ -87,3 +87,21 @@ def test_a_block_hands_on_only_the_best_rows_of_a_query(library):
     assert len(queries) == 10 and len(found) <= 10 * 3 * blocks < 10 * library.count()
     best = {r["a_row"]: max(x["similarity"] for x in found if x["a_row"] == r["a_row"]) for r in found}
     assert all(v == 1.0 for v in best.values())
+
+
+@pytest.mark.parametrize("query", ["similarity_counts_join", "similarity_counts_join_dice"])
+def test_pairs_of_rows_are_unpacked_one_list_at_a_time_and_rounded_before(spark, small, query):
+    from leadlight.plans.queries import QUERIES
+
+    lines = [line.strip(" :+-") for line in QUERIES[query](spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    one, other = (next(i for i, line in enumerate(lines) if line.startswith(f"Generate explode({side}_rows")) for side in "ba")
+    assert one < other and any(line.startswith("Repartition ") and "false" in line for line in lines[one:other])
+    assert not any("round(" in line for line in lines[:other]) and any("round(" in line for line in lines[other:])
+
+
+def test_rows_of_a_kind_in_order(spark, monkeypatch):
+    monkeypatch.setattr(S, "UNIT", 8)
+    df = spark.createDataFrame([(i * 37 % 41, {"a": 1 + i % 2, "b": 7}) for i in range(41)], "row long, counts map<string,int>").repartition(4)
+    got = S.similar_counts(df, 0.8, digits=2)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) == 41 * 40 // 2 and {r[2] for r in rows} == {0.89, 1.0} and all(a < b for a, b, _ in rows)
