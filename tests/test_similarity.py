@@ -201,3 +201,18 @@ def test_matrix_of_the_whole_table(spark, tmp_path):
     on = [{k for k in range(BITS) if v[k] > 0} for _, v, _ in rows]
     got = {(r["i"], r["j"]): r["similarity"] for r in QUERIES["similarity_pairwise"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): 1.0 if i == j else pytest.approx(len(on[i] & on[j]) / len(on[i] | on[j]), abs=1e-8) for i in range(23) for j in range(23)}
+
+
+def test_cells_of_the_matrix_come_row_by_row(library, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rows = S.pairwise(library, N_BITS, digits=9).collect()
+    runs = 1 + sum(a["i"] != b["i"] for a, b in zip(rows, rows[1:]))
+    assert len({(r["i"], r["j"]) for r in rows}) == len(rows) and runs < len(rows) / 4
+    none = library.where("fp is null").first()["row"]
+    assert all((r["similarity"] is None) == (none in (r["i"], r["j"])) for r in rows)
+
+
+def test_rounding_equals_that_of_decimal_texts(spark):
+    values = [c / n for n in range(1, 130) for c in range(-n, n + 1, 1 + n // 40)] + [1 / 1024, 3 / 2048, 0.0000000005, -0.0000000005, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[F.round("v", k).alias(f"a{k}") for k in (3, 9)], *[S._rounded(F.col("v"), k).alias(f"b{k}") for k in (3, 9)])
+    assert df.where("not (a3 <=> b3 and a9 <=> b9)").count() == 0
